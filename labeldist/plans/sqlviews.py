@@ -83,7 +83,8 @@ def taxonomy_values() -> str:
 
 
 # Normalised, rolled-up crowd distributions in long form:
-# dist(itemid, side, level, idx, p) for every item with at least one vote.
+# dist(itemid, side, level, idx, p) for every item with at least one vote, and
+# the raw counts cdist(itemid, side, level, idx, n).
 VOTE_DIST_LONG = VOTE_ROWS + ",\n" + taxonomy_values() + """,
 items AS (SELECT DISTINCT itemid FROM vote_rows),
 cnt AS (SELECT itemid, side, l3_idx, count(*) AS n FROM vote_rows GROUP BY ALL),
@@ -98,7 +99,11 @@ p3 AS (
 dist AS (
   SELECT itemid, side, 3 AS level, l3_idx AS idx, p FROM p3
   UNION ALL SELECT itemid, side, 2, l2_idx, sum(p) FROM p3 GROUP BY itemid, side, l2_idx
-  UNION ALL SELECT itemid, side, 1, l1_idx, sum(p) FROM p3 GROUP BY itemid, side, l1_idx)"""
+  UNION ALL SELECT itemid, side, 1, l1_idx, sum(p) FROM p3 GROUP BY itemid, side, l1_idx),
+cdist AS (
+  SELECT itemid, side, 3 AS level, l3_idx AS idx, n FROM grid
+  UNION ALL SELECT itemid, side, 2, l2_idx, sum(n) FROM grid GROUP BY itemid, side, l2_idx
+  UNION ALL SELECT itemid, side, 1, l1_idx, sum(n) FROM grid GROUP BY itemid, side, l1_idx)"""
 
 
 def smoothed(src: str, name: str, keys: str, margin: float = 0.001) -> str:
