@@ -61,11 +61,7 @@ def read_annotations(spark: SparkSession, root: str,
     """
     df = (spark.read.option("recursiveFileLookup", True).text(root)
           .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path")))
-    cond = None
-    for t in relation_types:
-        c = F.col("line").startswith(t)
-        cond = c if cond is None else cond | c
-    df = df.filter(cond)
+    df = df.filter(relation_line_filter("line", relation_types))
     return df.select(
         F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"),
         F.regexp_extract("path", "([^/]+)$", 1).alias("file"),
@@ -73,6 +69,16 @@ def read_annotations(spark: SparkSession, root: str,
     )
 
 
+def relation_line_filter(line, relation_types: Sequence[str] = RELATION_TYPES):
+    """Predicate: the line starts with one of the relation types."""
+    c = F.col(line) if isinstance(line, str) else line
+    cond = None
+    for t in relation_types:
+        x = c.startswith(t)
+        cond = x if cond is None else cond | x
+    return cond
+
+
 def rstrip(c):
     """Python-style ``rstrip()``: remove trailing Unicode white space."""
     return F.regexp_replace(c, f"[{TX.WHITESPACE_CLASS}]+\\z", "")
