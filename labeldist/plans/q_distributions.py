@@ -35,7 +35,7 @@ def crowd_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ A6 / slice
 
-@register("mean_js_by_level", "WITH " + S.VOTE_DIST_LONG + ",\n" + S.smoothed("dist", "sm", "itemid, side, level") + """,
+CROWD_JS_SQL = "WITH " + S.VOTE_DIST_LONG + ",\n" + S.smoothed("dist", "sm", "itemid, side, level") + """,
 pq AS (
   SELECT a.itemid, a.level, a.ps AS p, b.ps AS q, (a.ps + b.ps) / 2 AS m
   FROM sm a JOIN sm b ON a.itemid = b.itemid AND a.level = b.level AND a.idx = b.idx
@@ -43,6 +43,15 @@ pq AS (
 js AS (
   SELECT itemid, level, sqrt(greatest(0, sum(p * ln(p / m) + q * ln(q / m)) / ln(2) / 2)) AS js
   FROM pq GROUP BY itemid, level)
+"""
+
+
+def crowd_js(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-item JS distance at every level ``(itemid, level, js)``."""
+    return OD.distances_by_level(crowd_pairs(spark, sf), "gold", "pred", "js", keys=["itemid"], out="js")
+
+
+@register("mean_js_by_level", CROWD_JS_SQL + """
 SELECT CAST(level AS INTEGER) AS level, round(avg(js), 6) AS mean_js FROM js GROUP BY level""")
 def mean_js_by_level(spark: SparkSession, sf: str) -> DataFrame:
     """Minimal slice: mean JS distance per taxonomy level between the two
