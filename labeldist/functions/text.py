@@ -16,8 +16,8 @@ WHITESPACE_CLASS = (
 )
 # Language suffixes removed from majority labels.
 LANG_SUFFIX_PATTERN = "_(en|de|fr|cs)$"
-# Question template of the prompt jobs.
-QUESTION_TEMPLATE = "Sentence 1: %s\nSentence 2: %s"
+# Question template of the prompt jobs: the two prefixes of the two sentences.
+QUESTION_PREFIXES = ("Sentence 1: ", "\nSentence 2: ")
 # -----------------------------------------------------------------------------
 
 
@@ -52,5 +52,6 @@ def is_blank(c: ColumnOrName) -> Column:
 
 
 def format_question(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """Q2: the user question of a prompt for an argument pair."""
-    return F.format_string(QUESTION_TEMPLATE, _c(a), _c(b))
+    """Q2: the user question of a prompt for an argument pair (NULL when a
+    sentence is missing)."""
+    return F.concat(F.lit(QUESTION_PREFIXES[0]), _c(a), F.lit(QUESTION_PREFIXES[1]), _c(b))
