@@ -167,3 +167,184 @@ def evaluate_clusters(df: DataFrame, cluster: str = "cluster", label: str = "sen
     overall = M.accuracy(mapped, label, "predicted_sense", by)
     per = M.accuracy_by_label(mapped, label, "predicted_sense", by)
     return mapped, overall, per
+
+
+# ------------------------------------------------------------------- M5-M9
+
+MICRO_CLUSTERS = 200   # micro-clusters summarising the data for the merge-based algorithms
+
+
+def _kmeans(df: DataFrame, k: int, features: str, seed: int, out: str = "cluster"):
+    from pyspark.ml.clustering import KMeans
+    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out, initMode="k-means||").fit(df)
+    return model, model.transform(df)
+
+
+def _micro(df: DataFrame, features: str, seed: int, micro: int):
+    """Micro-clusters: k-means with ``micro`` centres; returns the rows with
+    ``_micro`` and the centre table ``(_micro, size, centre)`` (<= micro rows)."""
+    from pyspark.ml.functions import vector_to_array
+    model, rows = _kmeans(df, micro, features, seed, "_micro")
+    sizes = rows.groupBy("_micro").agg(F.count(F.lit(1)).alias("size"))
+    centres = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
+    spark = df.sparkSession
+    ctab = spark.createDataFrame(centres, "_micro INT, centre ARRAY<DOUBLE>")
+    return rows, sizes.join(ctab, "_micro")
+
+
+def ward_merge(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Agglomerative (Ward) merge of weighted points down to ``k`` groups.
+
+    Returns the group label of every input point.  Used on micro-cluster
+    centres only (bounded by ``MICRO_CLUSTERS``): each step merges the pair
+    with the smallest increase of within-group squared error and updates
+    one row of the cost matrix."""
+    n = len(centres)
+    c = centres.astype(float).copy()
+    s = sizes.astype(float).copy()
+
+    def cost_row(i):
+        d2 = ((c - c[i]) ** 2).sum(1)
+        return s * s[i] / (s + s[i]) * d2
+
+    cost = np.array([cost_row(i) for i in range(n)])
+    np.fill_diagonal(cost, np.inf)
+    label = np.arange(n)
+    alive = n
+    while alive > k:
+        i, j = np.unravel_index(np.argmin(cost), cost.shape)
+        i, j = min(i, j), max(i, j)
+        c[i] = (c[i] * s[i] + c[j] * s[j]) / (s[i] + s[j])
+        s[i] += s[j]
+        label[label == j] = i
+        cost[j, :] = np.inf
+        cost[:, j] = np.inf
+        row = cost_row(i)
+        dead = np.isinf(cost[:, i]) & (np.arange(n) != i)
+        dead |= np.isinf(cost[i, :]) & (np.arange(n) != i)
+        row[dead] = np.inf
+        row[i] = np.inf
+        cost[i, :] = row
+        cost[:, i] = row
+        alive -= 1
+    _, out = np.unique(label, return_inverse=True)
+    return out
+
+
+def spectral_labels(centres: np.ndarray, sizes: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """Spectral clustering of weighted points (micro-cluster centres).
+
+    RBF affinity scaled by the median squared distance, weighted by sizes;
+    normalised Laplacian; k smallest eigenvectors, row-normalised; k-means
+    (farthest-point start) in that space."""
+    d2 = ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(-1)
+    med = np.median(d2[d2 > 0]) if np.any(d2 > 0) else 1.0
+    w = np.exp(-d2 / med) * np.sqrt(np.outer(sizes, sizes))
+    np.fill_diagonal(w, 0.0)
+    deg = w.sum(1)
+    dinv = 1.0 / np.sqrt(np.where(deg > 0, deg, 1.0))
+    lap = np.eye(len(w)) - dinv[:, None] * w * dinv[None, :]
+    _, vecs = np.linalg.eigh(lap)
+    u = vecs[:, :k]
+    u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    start = [int(np.argmax(sizes))]
+    for _ in range(1, k):
+        dist = np.min(((u[:, None, :] - u[start][None, :, :]) ** 2).sum(-1), axis=1)
+        start.append(int(np.argmax(dist)))
+    cen = u[start]
+    lab = np.zeros(len(u), dtype=int)
+    for _ in range(100):
+        lab_new = np.argmin(((u[:, None, :] - cen[None, :, :]) ** 2).sum(-1), axis=1)
+        if np.array_equal(lab_new, lab) and _ > 0:
+            break
+        lab = lab_new
+        for g in range(k):
+            m = lab == g
+            if m.any():
+                cen[g] = np.average(u[m], axis=0, weights=sizes[m])
+    return lab
+
+
+def _merge_micro(df: DataFrame, k: int, features: str, seed: int, micro: int, how: str) -> DataFrame:
+    rows, centres = _micro(df, features, seed, micro)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.array(pdf["centre"].tolist())
+        s = pdf["size"].to_numpy(dtype=float)
+        kk = min(k, len(pdf))
+        lab = ward_merge(c, s, kk) if how == "ward" else spectral_labels(c, s, kk, seed)
+        return pd.DataFrame({"_micro": pdf["_micro"].to_numpy(), "cluster": lab.astype("int32")})
+
+    mapping = (centres.withColumn("_g", F.lit(0)).groupBy("_g")
+               .applyInPandas(solve, "_micro INT, cluster INT"))
+    # the mapping has one row per micro-cluster (<= micro), so broadcasting it is bounded
+    return rows.join(F.broadcast(mapping), "_micro").drop("_micro")
+
+
+def grid_density(df: DataFrame, features: str = "features", min_size: int = 5, eps: float | None = None,
+                 dims: int = 3, max_iter: int = 50) -> DataFrame:
+    """Density clustering on a grid (re-aim of a density hierarchy).
+
+    Points are projected to ``dims`` principal components and binned into
+    cells of width ``eps``; cells holding at least ``min_size`` points are
+    dense; dense cells touching (including diagonals) form one cluster,
+    found by iterated min-label propagation over the cell graph; points in
+    sparse cells are noise (-1).  No point pairs are ever formed: each dense
+    cell emits its 3^dims neighbour keys.
+    """
+    from itertools import product
+
+    from pyspark.ml.functions import vector_to_array
+
+    from labeldist.operators.features import reduce
+    from labeldist.session import cut_lineage
+    p = reduce(df, features, k=dims, out="_p").withColumn("_pa", vector_to_array("_p")).drop("_p")
+    if eps is None:
+        st = p.agg(*[F.stddev_pop(F.col("_pa")[i]).alias(f"s{i}") for i in range(dims)]).first()
+        spread = max([v for v in st if v] or [1.0])
+        eps = spread / 4.0
+    cell = F.array(*[F.floor(F.col("_pa")[i] / F.lit(eps)).cast("long") for i in range(dims)])
+    p = p.withColumn("_cell", cell).drop("_pa")
+    dense = p.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size).select("_cell")
+    offsets = [list(o) for o in product((-1, 0, 1), repeat=dims) if any(o)]
+    nb = F.array(*[F.array(*[F.col("_cell")[i] + F.lit(o[i]) for i in range(dims)]) for o in offsets])
+    edges = (dense.select("_cell", F.explode(nb).alias("_nb"))
+             .join(dense.select(F.col("_cell").alias("_nb")), "_nb"))
+    label_of = F.xxhash64("_cell")
+    labels = cut_lineage(dense.select("_cell", label_of.alias("_lab")))
+    for _ in range(max_iter):
+        prop = edges.join(labels.select(F.col("_cell").alias("_nb"), "_lab"), "_nb").select("_cell", "_lab")
+        new = labels.unionByName(prop).groupBy("_cell").agg(F.min("_lab").alias("_lab"))
+        new = cut_lineage(new)
+        changed = new.join(labels.withColumnRenamed("_lab", "_old"), "_cell").filter(
+            F.col("_lab") != F.col("_old")).limit(1).count()
+        labels = new
+        if changed == 0:
+            break
+    out = p.join(labels, "_cell", "left")
+    return out.withColumn("cluster", F.coalesce(F.col("_lab"), F.lit(NOISE).cast("long"))).drop("_cell", "_lab")
+
+
+def cluster(df: DataFrame, algo: str = "kmeans", k: int = 4, features: str = "features",
+            seed: int = 42, micro: int = MICRO_CLUSTERS, **kw) -> DataFrame:
+    """M5-M9: add a ``cluster`` column.
+
+    ``kmeans`` and ``gmm`` are Spark ML estimators.  ``hierarchical`` (Ward)
+    and ``spectral`` first summarise the data with ``micro`` k-means
+    centres, then cluster those centres (a bounded table) and map every row
+    through its centre.  ``density`` is :func:`grid_density`.
+    """
+    if algo == "kmeans":
+        return _kmeans(df, k, features, seed)[1]
+    if algo == "gmm":
+        from pyspark.ml.clustering import GaussianMixture
+        m = GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="cluster",
+                            probabilityCol="_prob").fit(df)
+        return m.transform(df).drop("_prob")
+    if algo == "hierarchical":
+        return _merge_micro(df, k, features, seed, micro, "ward")
+    if algo == "spectral":
+        return _merge_micro(df, k, features, seed, micro, "spectral")
+    if algo == "density":
+        return grid_density(df, features, **kw)
+    raise ValueError(f"unknown clustering algorithm {algo!r}")
