@@ -136,14 +136,16 @@ def complete_level3(l2: ColumnOrName) -> Column:
 def argmax_idx(arr: ColumnOrName) -> Column:
     """0-based index of the first maximum; NULLs skipped; all-NULL -> NULL."""
     a = _c(arr)
-    return F.array_position(a, F.array_max(a)).cast("int") - 1
+    mx = F.array_max(a)
+    return F.when(mx.isNotNull(), F.array_position(a, mx).cast("int") - 1)
 
 
 def argmax_label(arr: ColumnOrName, names: Sequence[str] | Column) -> Column:
     """Name of the first maximum (majority label)."""
     a = _c(arr)
     n = names if isinstance(names, Column) else F.array(*[F.lit(x) for x in names])
-    return F.element_at(n, F.array_position(a, F.array_max(a)).cast("int"))
+    mx = F.array_max(a)
+    return F.when(mx.isNotNull(), F.element_at(n, F.array_position(a, mx).cast("int")))
 
 
 # -------------------------------------------------------------- distances ---

@@ -329,7 +329,9 @@ def cluster(df: DataFrame, algo: str = "kmeans", k: int = 4, features: str = "fe
             seed: int = 42, micro: int = MICRO_CLUSTERS, **kw) -> DataFrame:
     """M5-M9: add a ``cluster`` column.
 
-    ``kmeans`` and ``gmm`` are Spark ML estimators.  ``hierarchical`` (Ward)
+    ``kmeans`` and ``gmm`` are Spark ML estimators; the mixture is fitted on
+    ``gmm_dims`` (default 10) principal components, since full covariances in
+    the raw dimension are singular for small samples.  ``hierarchical`` (Ward)
     and ``spectral`` first summarise the data with ``micro`` k-means
     centres, then cluster those centres (a bounded table) and map every row
     through its centre.  ``density`` is :func:`grid_density`.
@@ -338,9 +340,13 @@ def cluster(df: DataFrame, algo: str = "kmeans", k: int = 4, features: str = "fe
         return _kmeans(df, k, features, seed)[1]
     if algo == "gmm":
         from pyspark.ml.clustering import GaussianMixture
-        m = GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="cluster",
-                            probabilityCol="_prob").fit(df)
-        return m.transform(df).drop("_prob")
+
+        from labeldist.operators.features import reduce
+        dims = kw.get("gmm_dims", 10)
+        src, col = (reduce(df, features, k=dims, out="_gmm_x"), "_gmm_x") if dims else (df, features)
+        m = GaussianMixture(k=k, seed=seed, featuresCol=col, predictionCol="cluster",
+                            probabilityCol="_prob").fit(src)
+        return m.transform(src).drop("_prob", "_gmm_x")
     if algo == "hierarchical":
         return _merge_micro(df, k, features, seed, micro, "ward")
     if algo == "spectral":

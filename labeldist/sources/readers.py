@@ -105,7 +105,7 @@ def read_prompts(spark: SparkSession, root: str) -> DataFrame:
 
     Output ``(lang, prompt)``; the whole file is one value.
     """
-    df = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/*.txt")
+    df = spark.read.text(f"{root.rstrip('/')}/*.txt", wholetext=True)
     return df.select(
         F.regexp_extract(F.col("_metadata.file_name"), "_([A-Za-z]+)\\.txt$", 1).alias("lang"),
         F.col("value").alias("prompt"),
