@@ -28,16 +28,17 @@ def vote_distribution(df: DataFrame, keys: Sequence[str], label_col: str, n_labe
     a third of all votes) is reduced to one small row per map task before the
     shuffle, so skew does not concentrate raw rows on one reducer.
     """
-    w = F.col(count_col).cast("double") if count_col else F.lit(1.0)
-    lab = F.col(label_col)
+    w = f"CAST(`{count_col}` AS DOUBLE)" if count_col else "1D"
 
-    def arr(cond):
-        return F.array(*[F.sum(F.when(cond & (lab == k), w).otherwise(0.0)) for k in range(n_labels)])
+    def arr(cond: str):
+        # one SQL expression: n conditional sums, all fused into the partial aggregation
+        return F.expr("array(" + ", ".join(
+            f"sum(CASE WHEN {cond}`{label_col}` = {k} THEN {w} ELSE 0D END)" for k in range(n_labels)) + ")")
 
     if side_col is None:
-        aggs = [arr(F.lit(True)).alias(out_prefix)]
+        aggs = [arr("").alias(out_prefix)]
     else:
-        aggs = [arr(F.col(side_col) == s).alias(f"{out_prefix}_{s}") for s in sides]
+        aggs = [arr(f"`{side_col}` = {s} AND ").alias(f"{out_prefix}_{s}") for s in sides]
     return df.groupBy(*keys).agg(*aggs)
 
 
@@ -69,7 +70,7 @@ def distances_by_level(df: DataFrame, gold: str, pred: str, metric: str = "js",
     (guarded, D12).
     """
     fn = {
-        "js": lambda g, p: D.js_distance(D.smooth(g), D.smooth(p)),
+        "js": D.smoothed_js,
         "js_scores": D.classifier_js,
         "kl_scores": D.classifier_kl,
         "hellinger_scores": D.classifier_hellinger,

@@ -144,9 +144,8 @@ SELECT event_id, TRY_CAST(nullif({PROB_TEXT_SQL}, '') AS DOUBLE) AS prob FROM ev
 def safe_cast_prob_q(spark, sf):
     """Label text -> double; empty and unparseable text -> NULL."""
     e = V.table(spark, sf, "events")
-    txt = (F.when(F.col("event_id") % 5 == 0, F.lit(""))
-            .when(F.col("event_id") % 5 == 1, F.concat(F.lit("x"), F.col("value").cast("string")))
-            .otherwise(F.col("value").cast("string")))
+    txt = ("CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN concat('x', CAST(value AS STRING)) "
+           "ELSE CAST(value AS STRING) END")
     return e.select("event_id", D.to_prob(txt).alias("prob"))
 
 
@@ -246,7 +245,7 @@ SELECT itemid, CAST(idx AS INTEGER) AS idx, round(CASE WHEN t = 0 THEN v ELSE v
 def shift_normalize_q(spark, sf):
     """D7 on signed score vectors (second group minus gold counts)."""
     c = crowd_counts(spark, sf).select(
-        "itemid", D.shift_normalize(F.zip_with("pc_l3", "gc_l3", lambda a, b: a - b)).alias("s"))
+        "itemid", D.shift_normalize("zip_with(pc_l3, gc_l3, (a, b) -> a - b)").alias("s"))
     return explode_long(c, ["itemid"], "s")
 
 

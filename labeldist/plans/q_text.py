@@ -41,8 +41,7 @@ FROM embeddings""")
 def vector_literal_roundtrip(spark, sf):
     """Vectors written as list literals and parsed back are unchanged."""
     e = V.table(spark, sf, "embeddings")
-    lit = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", "),
-                   F.lit("]"))
+    lit = "concat('[', array_join(transform(embedding, x -> CAST(x AS STRING)), ', '), ']')"
     p = e.select("vec_id", "embedding", D.parse_vector(lit).alias("v"))
     back = F.transform("v", lambda x: x.cast("float"))
     return p.select(
