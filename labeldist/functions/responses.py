@@ -1,12 +1,16 @@
 """Column functions for model responses (Q3): is a text a list literal of
-exactly ``n`` float literals summing to 1?"""
+exactly ``n`` float literals summing to 1?
+
+Built as one SQL expression (regular expressions and higher-order array
+functions, all JVM-side); intermediate values are bound once with
+:func:`labeldist.functions.distributions.let_sql`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-ColumnOrName = Column | str
+from labeldist.functions.distributions import Expr, _out, _var, let_sql, sql_of
 
 # --- fixed values ------------------------------------------------------------
 N_SENSES = 28
@@ -18,25 +22,56 @@ FLOAT_PATTERN = "[+-]?(\\d+\\.\\d*([eE][+-]?\\d+)?|\\.\\d+([eE][+-]?\\d+)?|\\d+[
 REASONS = ["not_list", "length", "not_float", "sum"]
 # -----------------------------------------------------------------------------
 
+_LEAD = "^[ \\t]+"
+_TRAIL = "\\s+$"
+_LIST = "^\\[[\\s\\S]*\\]$"
+_INNER = "^\\[([\\s\\S]*)\\]$"
+_TRIM = "^\\s+|\\s+$"
+_SPACE = "\\s"
+
 
-def _c(c: ColumnOrName) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def _lit(s: str) -> str:
+    """A Spark SQL string literal for ``s`` (backslashes and quotes escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def list_elements(c: ColumnOrName) -> Column:
+def list_elements_sql(c: str) -> str:
     """Elements of a ``[a, b, ...]`` literal as trimmed strings; NULL when the
     text is not bracketed.  A trailing comma is allowed, ``[]`` is empty."""
-    s = F.regexp_replace(F.regexp_replace(_c(c), "^[ \\t]+", ""), "\\s+$", "")
-    inner = F.regexp_extract(s, "^\\[([\\s\\S]*)\\]$", 1)
-    el = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
-    n = F.size(el)
-    el = (F.when(F.regexp_replace(inner, "\\s", "") == "", F.array().cast("array<string>"))
-           .when(F.element_at(el, -1) == "", F.slice(el, 1, n - 1))
-           .otherwise(el))
-    return F.when(s.rlike("^\\[[\\s\\S]*\\]$"), el)
+    stripped = f"regexp_replace(regexp_replace({c}, {_lit(_LEAD)}, ''), {_lit(_TRAIL)}, '')"
+
+    def on_inner(inner: str) -> str:
+        x = _var("x")
+        parts = f"transform(split({inner}, ','), {x} -> regexp_replace({x}, {_lit(_TRIM)}, ''))"
+        return let_sql(parts, lambda el: (
+            f"CASE WHEN regexp_replace({inner}, {_lit(_SPACE)}, '') = '' THEN CAST(array() AS ARRAY<STRING>) "
+            f"WHEN element_at({el}, -1) = '' THEN slice({el}, 1, size({el}) - 1) ELSE {el} END"))
+
+    return let_sql(stripped, lambda s: (
+        f"CASE WHEN {s} RLIKE {_lit(_LIST)} THEN "
+        f"{let_sql(f'regexp_extract({s}, {_lit(_INNER)}, 1)', on_inner)} END"))
+
+
+def list_elements(c: Expr) -> Column:
+    return _out(list_elements_sql(sql_of(c)))
+
+
+def validate_response_sql(c: str, n: int = N_SENSES, tol: float = SUM_TOLERANCE) -> str:
+    def on_el(el: str) -> str:
+        x, y, z, a, b = (_var(p) for p in "xyzab")
+        probs = f"transform({el}, {x} -> try_cast({x} AS DOUBLE))"
+        total = f"aggregate({probs}, 0D, ({a}, {b}) -> {a} + {b})"
+        reason = (f"CASE WHEN {el} IS NULL OR NOT forall({el}, {y} -> {y} RLIKE {_lit('^' + NUMBER_PATTERN + '$')}) "
+                  f"THEN 'not_list' WHEN size({el}) <> {n} THEN 'length' "
+                  f"WHEN NOT forall({el}, {z} -> {z} RLIKE {_lit('^' + FLOAT_PATTERN + '$')}) THEN 'not_float' "
+                  f"WHEN abs({total} - 1D) >= {float(tol)!r}D THEN 'sum' END")
+        return let_sql(reason, lambda r: (
+            f"named_struct('valid', {r} IS NULL, 'reason', {r}, "
+            f"'probs', CASE WHEN {r} IS NULL THEN {probs} END)"))
+    return let_sql(list_elements_sql(c), on_el)
 
 
-def validate_response(c: ColumnOrName, n: int = N_SENSES, tol: float = SUM_TOLERANCE) -> Column:
+def validate_response(c: Expr, n: int = N_SENSES, tol: float = SUM_TOLERANCE) -> Column:
     """Q3: ``struct(valid, reason, probs)``.
 
     Checks, in order: a bracketed list of numbers (``not_list``), exactly
@@ -45,15 +80,4 @@ def validate_response(c: ColumnOrName, n: int = N_SENSES, tol: float = SUM_TOLER
     (``sum``).  Negative floats are accepted.  ``probs`` is set only when
     valid.
     """
-    el = list_elements(c)
-    all_num = F.forall(el, lambda x: x.rlike(f"^{NUMBER_PATTERN}$"))
-    all_float = F.forall(el, lambda x: x.rlike(f"^{FLOAT_PATTERN}$"))
-    probs = F.transform(el, lambda x: x.cast("double"))
-    total = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
-    reason = (F.when(el.isNull() | ~all_num, F.lit("not_list"))
-               .when(F.size(el) != n, F.lit("length"))
-               .when(~all_float, F.lit("not_float"))
-               .when(F.abs(total - 1.0) >= tol, F.lit("sum")))
-    valid = reason.isNull()
-    return F.struct(valid.alias("valid"), reason.alias("reason"),
-                    F.when(valid, probs).alias("probs"))
+    return _out(validate_response_sql(sql_of(c), n, tol))

@@ -2,9 +2,10 @@
 cross-lingual matrices and run summaries.
 
 Every metric is a grouped aggregation with partial (map-side) aggregation;
-no metric collects rows to the driver.  Batch-based metrics need a global
-row order; :func:`distributed_rank` provides it without a single-partition
-window.
+no metric collects rows to the driver.  The batch mean needs only the last
+few rows of each group (a per-task group limit); the sampled batches need a
+global row order, which :func:`distributed_rank` provides without a
+single-partition window.
 """
 
 from __future__ import annotations
@@ -96,12 +97,34 @@ def with_batches(df: DataFrame, key: Sequence[str], by: Sequence[str] = (),
 def mean_of_batch_means(df: DataFrame, value: str, key: Sequence[str], by: Sequence[str] = ("level",),
                         batch_size: int = BATCH_SIZE, out: str = "batch_mean",
                         digits: int | None = 6) -> DataFrame:
-    """Mean over batches of the batch mean (a short last batch weighs as
-    much as a full one), batches cut in a stable key order."""
-    b = with_batches(df, key, by, batch_size)
-    bm = b.groupBy(*by, "batch_idx").agg(F.avg(value).alias("_bm"))
-    m = F.avg("_bm")
-    return bm.groupBy(*by).agg((F.round(m, digits) if digits is not None else m).alias(out))
+    """Mean over batches of the batch mean, batches of ``batch_size`` cut
+    in a stable key order (a short last batch weighs as much as a full one).
+
+    No global sort is needed: with ``n`` rows, sum ``S`` and ``r = n mod b``,
+    every batch but the last is full, so the result is
+    ``((S - T) / b + T / r) / ceil(n / b)`` where ``T`` is the sum of the last
+    ``r`` rows in key order (``S / n`` when ``r = 0``).  Those rows come from a
+    ``row_number() <= b - 1`` window, which Spark plans as a per-task group
+    limit before the shuffle.  ``value`` must not be NULL.
+    """
+    by = list(by)
+    grouped = bool(by)
+    if not grouped:
+        df, by = df.withColumn("_g", F.lit(0)), ["_g"]
+    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    w = Window.partitionBy(*by).orderBy(*[F.col(k).desc() for k in key])
+    tail = (df.select(*by, F.col(value).alias("_v"), F.row_number().over(w).alias("_rn"))
+              .filter(F.col("_rn") <= batch_size - 1))
+    # stats has one row per group: small, joined by group key (no cross join)
+    t = tail.join(stats.select(*by, "_n"), by)
+    t = t.filter(F.col("_rn") <= F.col("_n") % batch_size).groupBy(*by).agg(F.sum("_v").alias("_t"))
+    j = stats.join(t, by, "left")
+    r = F.col("_n") % batch_size
+    tt = F.coalesce(F.col("_t"), F.lit(0.0))
+    nb = F.ceil(F.col("_n") / batch_size)
+    m = F.when(r == 0, F.col("_s") / F.col("_n")).otherwise(((F.col("_s") - tt) / batch_size + tt / r) / nb)
+    res = j.select(*by, (F.round(m, digits) if digits is not None else m).alias(out))
+    return res if grouped else res.drop("_g")
 
 
 def sampled_batches(df: DataFrame, value: str, key: Sequence[str], by: Sequence[str] = ("level",),

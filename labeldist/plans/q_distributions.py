@@ -178,11 +178,14 @@ SELECT l1, l2, l3, round(sum(p), 6) AS mass FROM m GROUP BY ROLLUP (l1, l2, l3)"
 def taxonomy_mass_rollup_q(spark, sf):
     """Corpus-wide mass per sense at every level in one pass.
 
-    Long form (item, l3_idx, p) joined with the 28-row taxonomy (broadcast:
-    fixed size) and aggregated with ``rollup(l1, l2, l3)``."""
-    long = crowd_pairs(spark, sf).select(F.posexplode("gold_l3").alias("l3_idx", "p"))
-    t = F.broadcast(tx.taxonomy_df(spark))
-    j = long.join(t, "l3_idx")
+    The 28 per-sense totals are summed over all items in ONE aggregation
+    (partial sums per task, no explode of the item rows); only the resulting
+    28 rows are joined with the taxonomy (broadcast: fixed 28 rows) and
+    rolled up over ``(l1, l2, l3)``."""
+    p = crowd_pairs(spark, sf)
+    sums = p.agg(F.expr("array(" + ", ".join(f"sum(gold_l3[{i}])" for i in range(tx.N_L3)) + ")").alias("m"))
+    long = sums.select(F.posexplode("m").alias("l3_idx", "p"))
+    j = long.join(F.broadcast(tx.taxonomy_df(spark)), "l3_idx")
     return j.rollup("l1", "l2", "l3").agg(F.round(F.sum("p"), 6).alias("mass"))
 
 
