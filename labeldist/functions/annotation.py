@@ -1,12 +1,12 @@
 """Column functions for pipe-delimited stand-off annotation lines
-(P10, P11, P13, P14, P15)."""
+(P10, P11, P13, P14, P15).  Inputs: column names, SQL text or results of
+labeldist functions (see :mod:`labeldist.functions.distributions`)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-ColumnOrName = Column | str
+from labeldist.functions.distributions import Expr, _out, _var, let_sql, sql_lit, sql_of
 
 # --- fixed values ------------------------------------------------------------
 # 0-based positions of the fields read from an annotation line.
@@ -23,60 +23,63 @@ SPAN_PATTERN = "(\\d+)\\.\\.(\\d+)"
 # -----------------------------------------------------------------------------
 
 
-def _c(c: ColumnOrName) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def field_sql(line: str, i: int) -> str:
+    return f"nullif(split_part({line}, '|', {i + 1}), '')"
 
 
-def field(line: ColumnOrName, i: int) -> Column:
+def field(line: Expr, i: int) -> Column:
     """0-based positional field of a ``|``-separated line; empty/missing -> NULL."""
-    return F.nullif(F.split_part(_c(line), F.lit("|"), F.lit(i + 1)), F.lit(""))
+    return _out(field_sql(sql_of(line), i))
 
 
-def parse_annotation(line: ColumnOrName) -> Column:
+def parse_annotation(line: Expr) -> Column:
     """P10: strict positional parse -> struct(relation, connective, sense,
     arg1_spans, arg2_spans).  A short or malformed line gives NULL fields
     instead of sliding to a later field."""
-    return F.struct(
-        field(line, FIELD_RELATION).alias("relation"),
-        field(line, FIELD_CONNECTIVE).alias("connective"),
-        field(line, FIELD_SENSE).alias("sense"),
-        field(line, FIELD_ARG1_SPANS).alias("arg1_spans"),
-        field(line, FIELD_ARG2_SPANS).alias("arg2_spans"),
-    )
+    return _out(let_sql(sql_of(line), lambda l: (
+        f"named_struct('relation', {field_sql(l, FIELD_RELATION)}, "
+        f"'connective', {field_sql(l, FIELD_CONNECTIVE)}, 'sense', {field_sql(l, FIELD_SENSE)}, "
+        f"'arg1_spans', {field_sql(l, FIELD_ARG1_SPANS)}, 'arg2_spans', {field_sql(l, FIELD_ARG2_SPANS)})")))
 
 
-def parse_second_sense(line: ColumnOrName, relation: ColumnOrName | None = None) -> Column:
+def parse_second_sense(line: Expr, relation: Expr | None = None) -> Column:
     """Optional second connective and sense, only on implicit lines."""
-    rel = _c(relation) if relation is not None else field(line, FIELD_RELATION)
-    ok = rel == F.lit(SECOND_SENSE_RELATION)
-    return F.struct(
-        F.when(ok, field(line, FIELD_CONNECTIVE_2)).alias("multi_connective"),
-        F.when(ok, field(line, FIELD_SENSE_2)).alias("multi_sense"),
-    )
+    def body(l: str) -> str:
+        rel = sql_of(relation) if relation is not None else field_sql(l, FIELD_RELATION)
+        ok = f"{rel} = '{SECOND_SENSE_RELATION}'"
+        return (f"named_struct('multi_connective', CASE WHEN {ok} THEN {field_sql(l, FIELD_CONNECTIVE_2)} END, "
+                f"'multi_sense', CASE WHEN {ok} THEN {field_sql(l, FIELD_SENSE_2)} END)")
+    return _out(let_sql(sql_of(line), body))
 
 
-def split_sense(c: ColumnOrName, prefix: str = "sense") -> Column:
+def split_sense(c: Expr, prefix: str = "sense") -> Column:
     """Dotted sense path -> struct(<prefix>1, <prefix>2, <prefix>3,
     <prefix>_final); ``final`` is the deepest level present."""
-    s = _c(c)
-    parts = F.split(s, "\\.", 3)
-    l1 = F.when(s.isNotNull(), F.nullif(parts[0], F.lit("")))
-    l2 = F.when(F.size(parts) >= 2, F.nullif(parts[1], F.lit("")))
-    l3 = F.when(F.size(parts) >= 3, F.nullif(parts[2], F.lit("")))
-    return F.struct(l1.alias(f"{prefix}1"), l2.alias(f"{prefix}2"), l3.alias(f"{prefix}3"),
-                    F.coalesce(l3, l2).alias(f"{prefix}_final"))
+    def body(parts: str) -> str:
+        l1 = f"nullif({parts}[0], '')"
+        l2 = f"CASE WHEN size({parts}) >= 2 THEN nullif({parts}[1], '') END"
+        l3 = f"CASE WHEN size({parts}) >= 3 THEN nullif({parts}[2], '') END"
+        return (f"named_struct('{prefix}1', {l1}, '{prefix}2', {l2}, '{prefix}3', {l3}, "
+                f"'{prefix}_final', coalesce({l3}, {l2}))")
+    return _out(let_sql(f"split({sql_of(c)}, {sql_lit(chr(92) + '.')}, 3)", body))
 
 
-def parse_spans(c: ColumnOrName) -> Column:
+def parse_spans_sql(c: str) -> str:
+    m = _var("m")
+    pat = sql_lit(SPAN_PATTERN)
+    return (f"transform(regexp_extract_all({c}, {pat}, 0), {m} -> named_struct("
+            f"'b', CAST(regexp_extract({m}, {pat}, 1) AS INT), 'e', CAST(regexp_extract({m}, {pat}, 2) AS INT)))")
+
+
+def parse_spans(c: Expr) -> Column:
     """``"b..e;b..e"`` -> ARRAY<STRUCT<b INT, e INT>> (0-based, end exclusive)."""
-    s = _c(c)
-    b = F.transform(F.regexp_extract_all(s, F.lit(SPAN_PATTERN), 1), lambda x: x.cast("int"))
-    e = F.transform(F.regexp_extract_all(s, F.lit(SPAN_PATTERN), 2), lambda x: x.cast("int"))
-    return F.transform(F.arrays_zip(b.alias("b"), e.alias("e")),
-                       lambda z: F.struct(z["b"].alias("b"), z["e"].alias("e")))
+    return _out(parse_spans_sql(sql_of(c)))
 
 
-def slice_spans(text: ColumnOrName, spans: ColumnOrName, sep: str = " ") -> Column:
+def slice_spans(text: Expr, spans: Expr, sep: str = " ") -> Column:
     """The pieces of ``text`` covered by the spans, joined by one blank."""
-    t = _c(text)
-    return F.array_join(F.transform(_c(spans), lambda s: F.substring(t, s["b"] + 1, s["e"] - s["b"])), sep)
+    def body(t: str) -> str:
+        s = _var("s")
+        return (f"array_join(transform({sql_of(spans)}, {s} -> substring({t}, {s}.b + 1, {s}.e - {s}.b)), "
+                f"{sql_lit(sep)})")
+    return _out(let_sql(sql_of(text), body))

@@ -49,6 +49,11 @@ def sql_of(c: Expr) -> str:
     return t
 
 
+def sql_lit(s: str) -> str:
+    """A Spark SQL string literal for ``s`` (backslashes and quotes escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _out(sql: str) -> Column:
     col = F.expr(sql)
     col.__dict__["_labeldist_sql"] = sql

@@ -19,7 +19,7 @@ def parse_lines(ann: DataFrame, line_col: str = "line", keep: Sequence[str] = DO
     """P10, P11, P13 on annotation lines: positional fields, optional second
     sense (implicit lines only) and both sense paths split into levels."""
     df = ann.select(*keep, A.parse_annotation(line_col).alias("a"), F.col(line_col))
-    df = df.select(*keep, "a.*", A.parse_second_sense(line_col, F.col("a.relation")).alias("m"))
+    df = df.select(*keep, "a.*", A.parse_second_sense(line_col, "a.relation").alias("m"))
     df = df.select("*", "m.*").drop("m")
     df = df.select("*", A.split_sense("sense", "sense").alias("s1"),
                    A.split_sense("multi_sense", "multi_sense").alias("s2"))

@@ -170,3 +170,19 @@ def relations_sorted(spark, sf):
     path = scratch_path(spark, "relations")
     K.write_relations(relations(spark, sf), path)
     return spark.read.parquet(path).select("folder", "file", "begin", "relation", "sense_final")
+
+
+@register("relation_cluster_eval")
+def relation_cluster_eval(spark, sf):
+    """Dataflow B end to end: relations (annotation lines x documents) ->
+    single-sense, one relation type -> TF-IDF embedding of the argument
+    pair -> k-means with 4 clusters -> optimal mapping -> accuracy per
+    level-1 sense."""
+    from labeldist.operators import clustering as CL
+    from labeldist.operators import features as FE
+    rel = SO.by_relation(SO.single_sense(relations(spark, sf)), "Implicit")
+    rel = rel.filter(F.col("arg1_arg2").isNotNull())
+    emb = FE.as_features(FE.embed(rel.select("file", "sense1", "arg1_arg2"), "arg1_arg2", num_features=1 << 10))
+    c = CL.cluster(emb, "kmeans", k=4)
+    _, _, per = CL.evaluate_clusters(c.select("file", "sense1", "cluster"), "cluster", "sense1")
+    return per
