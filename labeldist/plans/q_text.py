@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labeldist import taxonomy as tx
 from labeldist.functions import distributions as D
 from labeldist.functions import text as TX
 from labeldist.operators import corpus as C
@@ -155,3 +156,104 @@ def drop_blank_text(spark, sf):
     d = V.table(spark, sf, "documents").select(
         F.col("doc_id").alias("itemid"), F.split_part("text", F.lit("\n"), F.lit(3)).alias("t"))
     return C.drop_blank(d, "t").select("itemid")
+
+
+# ---------------------------------------------------------- dataflow A end to end
+
+CORPUS_TEST_LANGS = ["en", "de", "fr", "es"]
+
+
+def _dist_literal_sql(doc: str, short: bool) -> str:
+    """A single-quoted distribution literal over the source keys (+ excluded
+    label) with values 0.d derived from a document id (SQL text, both engines)."""
+    keys = tx.L3_SOURCE_KEYS[:5] if short else tx.L3_SOURCE_KEYS
+    parts = []
+    for i, k in enumerate(keys):
+        parts.append(f"'\\'{k}\\': 0.' || CAST(({doc} * {i + 3}) % 10 AS STRING)")
+    parts.append(f"'\\'{tx.EXCLUDED_LABEL}\\': 0.' || CAST({doc} % 10 AS STRING)")
+    return "'{' || " + " || ', ' || ".join(parts) + " || '}'"
+
+
+def items_table(spark, sf):
+    """An all-string item table in the wide corpus layout, built from
+    ``documents``: four documents form one item, one per language; the first
+    two lines are the arguments; distribution literals derive from the ids
+    (every sixth lists only five senses, i.e. a partial row)."""
+    d = V.table(spark, sf, "documents")
+    g = d.groupBy((F.col("doc_id") - F.col("doc_id") % 4).alias("item")).agg(
+        *[F.max(F.when(F.col("lang") == l, F.col("text"))).alias(f"text_{l}") for l in CORPUS_TEST_LANGS],
+        *[F.max(F.when(F.col("lang") == l, F.col("doc_id"))).alias(f"doc_{l}") for l in CORPUS_TEST_LANGS])
+    cols = [F.expr("CASE WHEN item % 10 < 7 THEN 'train' WHEN item % 10 = 7 THEN 'dev' ELSE 'test' END").alias("split"),
+            F.col("item").cast("string").alias("itemid"), F.lit("en").alias("orig_lang"),
+            F.lit("['en', 'de', 'fr', 'es']").alias("available_langs")]
+    for l in CORPUS_TEST_LANGS:
+        doc = f"doc_{l}"
+        cols += [
+            F.expr(f"nullif(split_part(text_{l}, '\\n', 1), '')").alias(f"arg1_context_{l}"),
+            F.expr(f"nullif(split_part(text_{l}, '\\n', 2), '')").alias(f"arg2_context_{l}"),
+            F.expr(f"CASE WHEN {doc} IS NOT NULL THEN 'reason_{l}' END").alias(f"MV_{l}"),
+            F.expr(f"CASE WHEN {doc} IS NULL THEN NULL WHEN {doc} % 6 = 0 THEN {_dist_literal_sql(doc, True)} "
+                   f"ELSE {_dist_literal_sql(doc, False)} END").alias(f"MV_dist_{l}"),
+        ]
+    return g.select(*cols)
+
+
+def _corpus_sql() -> str:
+    def lit(doc, short):
+        return _dist_literal_sql(doc, short).replace("\\'", "''").replace("AS STRING", "AS VARCHAR")
+    items = ", ".join(
+        f"max(CASE WHEN lang = '{l}' THEN text END) AS text_{l}, max(CASE WHEN lang = '{l}' THEN doc_id END) AS doc_{l}"
+        for l in CORPUS_TEST_LANGS)
+    unp = "\n  UNION ALL ".join(
+        f"SELECT item, '{l}' AS inst_lang, nullif(split_part(text_{l}, chr(10), 1), '') AS arg1, "
+        f"nullif(split_part(text_{l}, chr(10), 2), '') AS arg2, "
+        f"CASE WHEN doc_{l} IS NOT NULL THEN 'reason_{l}' END AS mv, "
+        f"CASE WHEN doc_{l} IS NULL THEN NULL WHEN doc_{l} % 6 = 0 THEN {lit('doc_' + l, True)} "
+        f"ELSE {lit('doc_' + l, False)} END AS dist FROM g" for l in CORPUS_TEST_LANGS)
+    tax = S.taxonomy_values().replace("tax AS (SELECT * FROM (VALUES ", "tax0 AS (SELECT * FROM (VALUES ")
+    keys = ", ".join(f"({i}, '{k}')" for i, k in enumerate(tx.L3_SOURCE_KEYS))
+    return f"""WITH g AS (SELECT doc_id - doc_id % 4 AS item, {items} FROM documents GROUP BY 1),
+u AS ({unp}),
+p AS (SELECT *, json_transform(replace(dist, chr(39), '"'), '"MAP(VARCHAR, DOUBLE)"') AS m FROM u),
+{tax},
+tk AS (SELECT * FROM (VALUES {keys}) t(l3_idx, l3_key)),
+tax AS (SELECT tax0.*, tk.l3_key FROM tax0 JOIN tk USING (l3_idx)),
+lg AS (SELECT p.item, p.inst_lang, t.l3_idx, t.l2_idx, t.l1_idx, p.m[t.l3_key] AS v FROM p CROSS JOIN tax t),
+nm AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN sum(coalesce(abs(v), 0)) OVER w = 0 THEN v
+                      ELSE v / sum(coalesce(abs(v), 0)) OVER w END AS pn
+       FROM lg WINDOW w AS (PARTITION BY item, inst_lang)),
+l2 AS (SELECT item, inst_lang, l2_idx, any_value(l1_idx) AS l1_idx,
+              CASE WHEN count(pn) = count(*) THEN sum(pn) END AS v FROM nm GROUP BY item, inst_lang, l2_idx),
+l1 AS (SELECT item, inst_lang, l1_idx, CASE WHEN count(v) = count(*) THEN sum(v) END AS v
+       FROM l2 GROUP BY item, inst_lang, l1_idx),
+m2 AS (SELECT item, inst_lang, l2_idx FROM (SELECT *, row_number() OVER (PARTITION BY item, inst_lang
+        ORDER BY v DESC, l2_idx) AS rk FROM l2 WHERE v IS NOT NULL) WHERE rk = 1),
+m1 AS (SELECT item, inst_lang, l1_idx FROM (SELECT *, row_number() OVER (PARTITION BY item, inst_lang
+        ORDER BY v DESC, l1_idx) AS rk FROM l1 WHERE v IS NOT NULL) WHERE rk = 1),
+n2 AS (SELECT DISTINCT l2_idx, l2 FROM tax), n1 AS (SELECT DISTINCT l1_idx, l1 FROM tax),
+w1 AS (SELECT item, inst_lang, """ + ", ".join(
+        f"max(CASE WHEN l1_idx = {i} THEN round(v, 6) END) AS {n}" for i, n in enumerate(tx.L1_NAMES)) + """
+       FROM l1 GROUP BY item, inst_lang),
+res AS (SELECT CAST(u.item AS VARCHAR) AS itemid, u.inst_lang,
+               CASE WHEN u.item % 10 < 7 THEN 'train' WHEN u.item % 10 = 7 THEN 'dev' ELSE 'test' END AS split,
+               u.arg1 || ' ' || u.arg2 AS arg1_arg2, n1.l1 AS majority_level_1, n2.l2 AS majority_level_2,
+               regexp_replace(u.mv, '_(en|de|fr|cs)$', '') AS majority_level_3,
+               """ + ", ".join(f"w1.{n}" for n in tx.L1_NAMES) + f"""
+        FROM u LEFT JOIN m1 USING (item, inst_lang) LEFT JOIN n1 USING (l1_idx)
+        LEFT JOIN m2 USING (item, inst_lang) LEFT JOIN n2 USING (l2_idx)
+        LEFT JOIN w1 USING (item, inst_lang))
+SELECT itemid, inst_lang, split, md5(arg1_arg2) AS text_md5, majority_level_1, majority_level_2, majority_level_3,
+       {", ".join(tx.L1_NAMES)}
+FROM res WHERE (inst_lang = 'en' OR majority_level_1 IS NOT NULL)
+  AND regexp_matches(arg1_arg2, '[^{TX.WHITESPACE_CLASS}]')"""
+
+
+@register("corpus_instances", _corpus_sql())
+def corpus_instances(spark, sf):
+    """Dataflow A end to end: wide item table -> markup removed -> unpivot
+    -> parse / exclude / normalise / roll up / majority -> required labels
+    -> blank texts dropped (one map-only plan after the item build)."""
+    inst = C.prepare_instances(items_table(spark, sf), langs=CORPUS_TEST_LANGS)
+    return inst.select("itemid", "inst_lang", "split", F.md5("arg1_arg2").alias("text_md5"),
+                       "majority_level_1", "majority_level_2", "majority_level_3",
+                       *[F.round(F.col("dist_l1")[i], 6).alias(n) for i, n in enumerate(tx.L1_NAMES)])
