@@ -51,6 +51,19 @@ def is_blank(c: ColumnOrName) -> Column:
     return x.isNull() | ~x.rlike(f"[^{WHITESPACE_CLASS}]")
 
 
+def line(text: ColumnOrName, n: int, sep: str = "\n") -> Column:
+    """The ``n``-th line (1-based) of a text; ``''`` when the text has fewer
+    lines.  Uses byte-level ``substring_index`` scans that stop after the
+    ``n``-th separator, instead of splitting the whole (possibly very long)
+    text into an array of lines."""
+    t = _c(text)
+    if n == 1:
+        return F.substring_index(t, sep, 1)
+    has = F.octet_length(F.substring_index(t, sep, n - 1)) < F.octet_length(t)
+    return F.when(t.isNull(), F.lit(None)).when(
+        has, F.substring_index(F.substring_index(t, sep, n), sep, -1)).otherwise(F.lit(""))
+
+
 def format_question(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Q2: the user question of a prompt for an argument pair (NULL when a
     sentence is missing)."""

@@ -154,7 +154,7 @@ WHERE regexp_matches(split_part(text, chr(10), 3), '[^{_WS_SQL}]')""")
 def drop_blank_text(spark, sf):
     """rows whose third line is empty or white space only are dropped."""
     d = V.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("itemid"), F.split_part("text", F.lit("\n"), F.lit(3)).alias("t"))
+        F.col("doc_id").alias("itemid"), TX.line("text", 3).alias("t"))
     return C.drop_blank(d, "t").select("itemid")
 
 
@@ -189,8 +189,8 @@ def items_table(spark, sf):
     for l in CORPUS_TEST_LANGS:
         doc = f"doc_{l}"
         cols += [
-            F.expr(f"nullif(split_part(text_{l}, '\\n', 1), '')").alias(f"arg1_context_{l}"),
-            F.expr(f"nullif(split_part(text_{l}, '\\n', 2), '')").alias(f"arg2_context_{l}"),
+            F.nullif(TX.line(f"text_{l}", 1), F.lit("")).alias(f"arg1_context_{l}"),
+            F.nullif(TX.line(f"text_{l}", 2), F.lit("")).alias(f"arg2_context_{l}"),
             F.expr(f"CASE WHEN {doc} IS NOT NULL THEN 'reason_{l}' END").alias(f"MV_{l}"),
             F.expr(f"CASE WHEN {doc} IS NULL THEN NULL WHEN {doc} % 6 = 0 THEN {_dist_literal_sql(doc, True)} "
                    f"ELSE {_dist_literal_sql(doc, False)} END").alias(f"MV_dist_{l}"),

@@ -2,7 +2,7 @@
 
 The test tables are not a discourse corpus, so every check query first derives
 corpus-shaped data from them with plain projections / aggregations.  Each view
-here has a twin in :mod:`labeldist.plans.oracle` written in DuckDB SQL; all of
+here has a twin in :mod:`labeldist.plans.sqlviews` written in DuckDB SQL; all of
 them read whole tables (no id subsets or row caps).
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labeldist.functions import text as TX
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -30,8 +32,8 @@ def v_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("itemid"),
         F.col("lang").alias("inst_lang"),
         F.when(mod < 7, "train").when(mod == 7, "dev").otherwise("test").alias("split"),
-        F.nullif(F.split_part("text", F.lit(NL), F.lit(1)), F.lit("")).alias("arg1"),
-        F.nullif(F.split_part("text", F.lit(NL), F.lit(2)), F.lit("")).alias("arg2"),
+        F.nullif(TX.line("text", 1), F.lit("")).alias("arg1"),
+        F.nullif(TX.line("text", 2), F.lit("")).alias("arg2"),
     )
 
 

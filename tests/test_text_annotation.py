@@ -135,3 +135,9 @@ def test_embed_input_checks(spark):
         embed("not a frame", "text")
     with pytest.raises(ValueError):
         embed(spark.createDataFrame([(1,)], "x INT"), "text")
+
+
+def test_nth_line(spark):
+    df = spark.createDataFrame([("a\nb\nc",), ("one",), ("x\n",), ("",), (None,)], "t STRING")
+    got = [tuple(r) for r in df.select(TX.line("t", 1), TX.line("t", 2), TX.line("t", 3)).collect()]
+    assert got == [("a", "b", "c"), ("one", "", ""), ("x", "", ""), ("", "", ""), (None, None, None)]
