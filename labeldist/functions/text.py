@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 ColumnOrName = Column | str
 
 # --- fixed values ------------------------------------------------------------
-# Characters that count as white space when deciding whether a text is blank:
-# the characters for which Python's str.isspace() is true.
-WHITESPACE_CLASS = (
-    "\\t\\n\\x{0B}\\x{0C}\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
-)
+# Characters that count as white space (blank texts, trailing white space):
+# the code points for which Python's str.isspace() is true, as ranges.
+WHITESPACE_RANGES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+                     (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F),
+                     (0x3000, 0x3000)]
 # Language suffixes removed from majority labels.
 LANG_SUFFIX_PATTERN = "_(en|de|fr|cs)$"
 # Question template of the prompt jobs: the two prefixes of the two sentences.
 QUESTION_PREFIXES = ("Sentence 1: ", "\nSentence 2: ")
 # -----------------------------------------------------------------------------
 
+# regex character class body (Java and RE2 syntax) and the literal characters
+WHITESPACE_CLASS = "".join(f"\\x{{{a:02X}}}" if a == b else f"\\x{{{a:02X}}}-\\x{{{b:02X}}}"
+                           for a, b in WHITESPACE_RANGES)
+WHITESPACE_CHARS = "".join(chr(c) for a, b in WHITESPACE_RANGES for c in range(a, b + 1))
+
 
 def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -45,6 +49,14 @@ def short_name(c: ColumnOrName) -> Column:
     return F.regexp_extract(_c(c), "[^/]+$", 0)
 
 
+def rstrip(c: ColumnOrName) -> Column:
+    """Python-style ``rstrip()``: remove trailing Unicode white space.
+
+    ``TRIM(TRAILING chars FROM ...)`` scans from the end of the string only,
+    so it costs the length of the trailing run, not of the text."""
+    return F.rtrim(_c(c), F.lit(WHITESPACE_CHARS))
+
+
 def is_blank(c: ColumnOrName) -> Column:
     """F3 predicate: NULL, empty or white space only (Unicode white space)."""
     x = _c(c)

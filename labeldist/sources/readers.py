@@ -79,9 +79,7 @@ def relation_line_filter(line, relation_types: Sequence[str] = RELATION_TYPES):
     return cond
 
 
-def rstrip(c):
-    """Python-style ``rstrip()``: remove trailing Unicode white space."""
-    return F.regexp_replace(c, f"[{TX.WHITESPACE_CLASS}]+\\z", "")
+rstrip = TX.rstrip
 
 
 def read_raw_docs(spark: SparkSession, root: str, encoding: str = RAW_ENCODING) -> DataFrame:
@@ -92,7 +90,9 @@ def read_raw_docs(spark: SparkSession, root: str, encoding: str = RAW_ENCODING)
     """
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
           .select("path", "content"))
-    txt = F.regexp_replace(F.decode("content", encoding), "\r\n?", "\n")
+    # text-mode newline rule: \r\n and lone \r become \n (plain replaces, no regex)
+    txt = F.replace(F.replace(F.decode("content", encoding), F.lit("\r\n"), F.lit("\n")),
+                    F.lit("\r"), F.lit("\n"))
     return df.select(
         F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"),
         F.regexp_extract("path", "([^/]+)$", 1).alias("file"),
