@@ -106,6 +106,11 @@ def split(df: DataFrame, name: str, col: str = "split") -> DataFrame:
     return df.filter(F.col(col) == F.lit(name))
 
 
+def splits(df: DataFrame, names: Sequence[str], col: str = "split") -> DataFrame:
+    """F1 for several splits at once (one scan, one filter)."""
+    return df.filter(F.col(col).isin(list(names)))
+
+
 def prepare_instances(items: DataFrame, langs: Sequence[str] = CORPUS_LANGS,
                       keep_unlabelled: Sequence[str] = KEEP_UNLABELLED,
                       markup_tag: str = "SPEAKER", recompute_l3: bool = False) -> DataFrame:

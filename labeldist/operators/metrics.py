@@ -65,32 +65,31 @@ def weighted_prf(df: DataFrame, gold: str = "gold", pred: str = "pred",
     return per.groupBy(*by).agg(w("p").alias("precision"), w("r").alias("recall"), w("f").alias("f1"))
 
 
-def distributed_rank(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
-    """0-based rank of every row in ``order`` (columns must identify rows).
-
-    A range-partitioned sort (spread over all tasks), then each row's rank is
-    its partition's offset plus its position inside the partition.  The
-    offsets table has one row per partition, so broadcasting it is bounded
-    by the partition count, not by the data.
+def distributed_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
+                     out: str = "rank") -> DataFrame:
+    """0-based rank of every row within its ``by`` group, in ``order``
+    (the columns must identify rows within a group).
+
+    A range-partitioned sort on ``(by, order)`` spreads the rows over all
+    tasks; inside a task the rows of a group are contiguous, so a row's rank
+    is its group's offset in that task plus its distance from the group's
+    first row there.  The offsets table has one row per (task, group) that
+    meets, so broadcasting it is bounded by tasks + groups, not by the data.
     """
-    s = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    by, keys = list(by), [*by, *order]
+    s = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select("_pid", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
-    r = s.join(F.broadcast(offsets), "_pid")
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return r.withColumn(out, F.col("_off") + pos).drop("_pid", "_mid", "_off")
+    counts = s.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select("_pid", *by, "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
+    r = s.join(F.broadcast(offsets), ["_pid", *by])
+    return r.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_first")).drop("_pid", "_mid", "_off", "_first")
 
 
 def with_batches(df: DataFrame, key: Sequence[str], by: Sequence[str] = (),
                  batch_size: int = BATCH_SIZE, out: str = "batch_idx") -> DataFrame:
     """Batch index ``floor(rank_in_group / batch_size)`` in a stable key order."""
-    by = list(by)
-    r = distributed_rank(df, [*by, *key], "_rk")
-    if by:
-        start = r.groupBy(*by).agg(F.min("_rk").alias("_start"))
-        r = r.join(start, by).withColumn("_rk", F.col("_rk") - F.col("_start")).drop("_start")
+    r = distributed_rank(df, key, by, "_rk")
     return r.withColumn(out, F.floor(F.col("_rk") / batch_size).cast("long")).drop("_rk")
 
 

@@ -105,3 +105,11 @@ def test_ward_and_spectral_labels():
     assert all(len(set(lab[i * 20:(i + 1) * 20])) == 1 for i in range(3))
     sl = CL.spectral_labels(pts, np.ones(len(pts)), 3)
     assert all(len(set(sl[i * 20:(i + 1) * 20])) == 1 for i in range(3))
+
+
+def test_distributed_rank_within_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(k)) for g in range(3) for k in rng.permutation(700)]
+    df = spark.createDataFrame(rows, "g INT, k LONG").repartition(5)
+    got = M.distributed_rank(df, ["k"], ["g"]).collect()
+    assert len(got) == 2100 and all(r["rank"] == r.k for r in got)
