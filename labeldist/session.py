@@ -20,6 +20,25 @@ SCALE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int = 4,
+                 target_partition_bytes: float = 256 * 1024 ** 2) -> dict[str, str]:
+    """Starting values for a cluster job over ``input_bytes`` of Parquet.
+
+    Scan splits and shuffle partitions of about ``target_partition_bytes``
+    keep every task's data well inside executor memory; the shuffle
+    partition count never drops below the number of task slots, and AQE
+    coalesces small partitions and splits skewed ones at run time."""
+    slots = executors * cores_per_executor
+    shuffle = max(slots, int(input_bytes / target_partition_bytes))
+    return {
+        **SCALE_CONF,
+        "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes)),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "labeldist") -> SparkSession:
     """A ``local[cores]`` session for tests and the bench (UI off)."""
