@@ -26,10 +26,12 @@ def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int = 4
 
     Scan splits and shuffle partitions of about ``target_partition_bytes``
     keep every task's data well inside executor memory; the shuffle
-    partition count never drops below the number of task slots, and AQE
-    coalesces small partitions and splits skewed ones at run time."""
+    partition count stays between the number of task slots and 20 waves of
+    them (map-side aggregation makes most shuffles far smaller than the
+    input), and AQE coalesces small partitions and splits skewed ones at
+    run time."""
     slots = executors * cores_per_executor
-    shuffle = max(slots, int(input_bytes / target_partition_bytes))
+    shuffle = min(max(slots, int(input_bytes / target_partition_bytes)), 20 * slots)
     return {
         **SCALE_CONF,
         "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes)),
