@@ -211,9 +211,10 @@ def _rel_entr(x: str, y: str) -> str:
             f"WHEN {x} = 0 AND {y} >= 0 THEN 0D ELSE double('inf') END")
 
 
-def kl_sql(p: str, q: str) -> str:
+def kl_sql(p: str, q: str, normalized: bool = False) -> str:
     a, b = _var("a"), _var("b")
-    terms = f"zip_with({l1_normalize_sql(p)}, {l1_normalize_sql(q)}, ({a}, {b}) -> {_rel_entr(a, b)})"
+    pn, qn = (p, q) if normalized else (l1_normalize_sql(p), l1_normalize_sql(q))
+    terms = f"zip_with({pn}, {qn}, ({a}, {b}) -> {_rel_entr(a, b)})"
     return f"{_sum_sql(terms)} / {_LN2}"
 
 
@@ -222,10 +223,13 @@ def kl_distance(p: Expr, q: Expr) -> Column:
     return _out(kl_sql(sql_of(p), sql_of(q)))
 
 
-def js_sql(p: str, q: str) -> str:
+def js_sql(p: str, q: str, normalized: bool = False) -> str:
+    """``normalized=True`` skips re-normalising inputs that already sum to 1
+    (outputs of :func:`smooth_sql`), saving two passes over each array."""
     a, b = _var("a"), _var("b")
     m = f"(({a} + {b}) / 2D)"
-    terms = (f"zip_with({l1_normalize_sql(p)}, {l1_normalize_sql(q)}, "
+    pn, qn = (p, q) if normalized else (l1_normalize_sql(p), l1_normalize_sql(q))
+    terms = (f"zip_with({pn}, {qn}, "
              f"({a}, {b}) -> {_rel_entr(a, m)} + {_rel_entr(b, m)})")
     return f"sqrt(greatest(0D, {_sum_sql(terms)} / {_LN2} / 2D))"
 
@@ -272,12 +276,14 @@ def guard_distance(c: Expr, fallback: float = 1.0) -> Column:
 def classifier_js(gold: Expr, scores: Expr, margin: float = DEFAULT_MARGIN) -> Column:
     """JS distance between a gold distribution and raw classifier scores:
     gold is smoothed, scores are shifted to >= 0, normalised and smoothed."""
-    return _out(js_sql(smooth_sql(sql_of(gold), margin), smooth_sql(shift_normalize_sql(sql_of(scores)), margin)))
+    return _out(js_sql(smooth_sql(sql_of(gold), margin), smooth_sql(shift_normalize_sql(sql_of(scores)), margin),
+                       normalized=True))
 
 
 def classifier_kl(gold: Expr, scores: Expr, margin: float = DEFAULT_MARGIN) -> Column:
     """KL distance with the same preparation as :func:`classifier_js`."""
-    return _out(kl_sql(smooth_sql(sql_of(gold), margin), smooth_sql(shift_normalize_sql(sql_of(scores)), margin)))
+    return _out(kl_sql(smooth_sql(sql_of(gold), margin), smooth_sql(shift_normalize_sql(sql_of(scores)), margin),
+                       normalized=True))
 
 
 def classifier_hellinger(gold: Expr, scores: Expr) -> Column:
@@ -287,9 +293,10 @@ def classifier_hellinger(gold: Expr, scores: Expr) -> Column:
 
 def smoothed_js(p: Expr, q: Expr, margin: float = DEFAULT_MARGIN) -> Column:
     """JS distance of two distributions, both smoothed first."""
-    return _out(js_sql(smooth_sql(sql_of(p), margin), smooth_sql(sql_of(q), margin)))
+    return _out(js_sql(smooth_sql(sql_of(p), margin), smooth_sql(sql_of(q), margin), normalized=True))
 
 
 def response_js(gold: Expr, pred: Expr, margin: float = DEFAULT_MARGIN) -> Column:
     """JS distance of a model response: both sides smoothed, then guarded."""
-    return _out(guard_sql(js_sql(smooth_sql(sql_of(gold), margin), smooth_sql(sql_of(pred), margin))))
+    return _out(guard_sql(js_sql(smooth_sql(sql_of(gold), margin), smooth_sql(sql_of(pred), margin),
+                                 normalized=True)))
