@@ -106,17 +106,17 @@ def score_and_js(spark, sf):
 
 
 @register("model_roundtrip", """
-SELECT vec_id, true AS same FROM embeddings WHERE vec_id % 10 >= 8""")
+SELECT vec_id, true AS same FROM embeddings""")
 def model_roundtrip(spark, sf):
-    """Saved and reloaded heads score exactly as the fitted ones."""
+    """Saved and reloaded heads score every vector exactly as the
+    fitted ones (trained on the training split, scored on the whole table)."""
     d = soft_labelled(spark, sf)
     model = H.fit_heads(d.filter(F.col("split") == "train"), arch="chain", levels=[1, 2])
     path = scratch_path(spark, "heads")
     H.save_model(model, path)
     back = H.load_model(spark, path)
-    test = d.filter(F.col("split") == "test")
-    a = H.score(model, test).select("vec_id", *[F.col(f"scores_l{l}").alias(f"a{l}") for l in (1, 2)])
-    b = H.score(back, test).select("vec_id", *[F.col(f"scores_l{l}").alias(f"b{l}") for l in (1, 2)])
+    a = H.score(model, d).select("vec_id", *[F.col(f"scores_l{l}").alias(f"a{l}") for l in (1, 2)])
+    b = H.score(back, d).select("vec_id", *[F.col(f"scores_l{l}").alias(f"b{l}") for l in (1, 2)])
     j = a.join(b, "vec_id")
     return j.select("vec_id", ((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).alias("same"))
 
