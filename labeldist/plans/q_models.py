@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeldist import taxonomy as tx
 from labeldist.functions import distributions as D
 from labeldist.operators import clustering as CL
 from labeldist.operators import distributions as OD

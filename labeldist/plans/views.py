@@ -16,8 +16,6 @@ from labeldist.functions import text as TX
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-NL = "\n"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one test table (Parquet; pruning and filters reach the scan)."""

@@ -5,7 +5,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from labeldist import taxonomy as tx
 from labeldist.functions import distributions as D
@@ -156,4 +155,3 @@ def test_vote_distribution_single_pass(spark):
     assert out[2].votes_0[28] == 1.0 and sum(out[2].votes_1) == 0.0
     plan = vote_distribution(df, ["itemid"], "l3_idx", 29, side_col="side")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1
-    assert F is not None

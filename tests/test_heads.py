@@ -25,7 +25,6 @@ def test_soft_targets_recovered(spark):
 
 
 def test_better_than_uniform_and_roundtrip(spark, tmp_dir):
-    import __spark_entry__ as E
     from labeldist.plans.q_models import soft_labelled
     d = soft_labelled(spark, "/root/testdata/sf0.001")
     m = H.fit_heads(d, arch="chain", levels=[1, 2])
@@ -38,4 +37,3 @@ def test_better_than_uniform_and_roundtrip(spark, tmp_dir):
     a = s.select("vec_id", "scores_l2").collect()
     b = {r.vec_id: r.scores_l2 for r in H.score(back, d).select("vec_id", "scores_l2").collect()}
     assert all(r.scores_l2 == b[r.vec_id] for r in a)
-    assert E is not None

@@ -1,6 +1,5 @@
 """Response validation, first valid answer, prompt building."""
 
-from pyspark.sql import functions as F
 
 from labeldist.functions import responses as RS
 from labeldist.operators import prompts as PR
@@ -43,4 +42,3 @@ def test_build_messages(spark):
     assert m[1] == [("user", "P"), ("assistant", "ACK"), ("user", "q1"), ("assistant", "a1"),
                     ("user", "q2"), ("assistant", "a2"), ("user", "Q?")]
     assert m[2] == [("user", None), ("assistant", None), ("user", "Q2?")]
-    assert F is not None

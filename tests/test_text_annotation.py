@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from labeldist import taxonomy as tx
 from labeldist.functions import annotation as A
@@ -126,7 +125,6 @@ def test_read_prompts(spark, tmp_dir):
             fh.write(f"line one {l}\nline two\n")
     got = {r.lang: r.prompt for r in R.read_prompts(spark, tmp_dir).collect()}
     assert got == {"en": "line one en\nline two\n", "de": "line one de\nline two\n"}
-    assert F is not None
 
 
 def test_embed_input_checks(spark):
