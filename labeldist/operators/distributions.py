@@ -59,6 +59,14 @@ def with_levels(df: DataFrame, l3_col: str, prefix: str, normalize: bool = True)
     return out.withColumn(f"{prefix}_l1", D.rollup_level(f"{prefix}_l2", 1))
 
 
+def with_levels_many(df: DataFrame, specs: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """:func:`with_levels` for several ``(l3_col, prefix, normalize)`` at once,
+    in three ``withColumns`` steps (one plan analysis per level, not per column)."""
+    out = df.withColumns({f"{p}_l3": (D.l1_normalize(c) if n else F.col(c)) for c, p, n in specs})
+    out = out.withColumns({f"{p}_l2": D.rollup_level(f"{p}_l3", 2) for _, p, _ in specs})
+    return out.withColumns({f"{p}_l1": D.rollup_level(f"{p}_l2", 1) for _, p, _ in specs})
+
+
 def distances_by_level(df: DataFrame, gold: str, pred: str, metric: str = "js",
                        keys: Sequence[str] = (), levels: Sequence[int] = (1, 2, 3),
                        out: str = "distance") -> DataFrame:

@@ -53,9 +53,9 @@ def build_messages(df: DataFrame, prompts: DataFrame, exemplars: DataFrame, k: i
     ex = exemplar_arrays(exemplars, max_examples=MAX_EXAMPLES).withColumnRenamed("lang", lang)
     j = (df.join(F.broadcast(prompts.withColumnRenamed("lang", lang)), lang, "left")
            .join(F.broadcast(ex), lang, "left"))
-    turns = F.flatten(F.transform(F.slice(F.coalesce("examples", F.array().cast(ex.schema["examples"].dataType)), 1, k),
-                                  lambda e: F.array(message("user", e["question"]),
-                                                    message("assistant", e["answer"]))))
+    turns = F.expr(f"flatten(transform(slice(coalesce(examples, array()), 1, {int(k)}), e -> array("
+                   "named_struct('role', 'user', 'content', e.question), "
+                   "named_struct('role', 'assistant', 'content', e.answer))))")
     msgs = F.concat(F.array(message("user", F.col("prompt")), message("assistant", F.col("ack"))),
                     turns, F.array(message("user", F.col(question))))
     return j.withColumn("messages", msgs).drop("prompt", "ack", "examples")

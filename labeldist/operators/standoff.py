@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labeldist import taxonomy as tx
 from labeldist.functions import annotation as A
 from labeldist.functions import text as TX
+from labeldist.functions.distributions import sql_lit
 
 DOC_KEYS = ["folder", "file"]
 
@@ -46,8 +47,8 @@ def attach_text(rel: DataFrame, docs: DataFrame, keys: Sequence[str] = DOC_KEYS,
 def one_hot(df: DataFrame, col: str, vocab: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """One 0/1 double column per vocabulary value (exact match; NULL -> 0)."""
     names = list(names) if names is not None else [v.lower() for v in vocab]
-    return df.select("*", *[F.when(F.col(col) == F.lit(v), 1.0).otherwise(0.0).alias(n)
-                            for v, n in zip(vocab, names)])
+    return df.selectExpr("*", *[f"CASE WHEN `{col}` = {sql_lit(v)} THEN 1D ELSE 0D END AS `{n}`"
+                                for v, n in zip(vocab, names)])
 
 
 RELATION_COLUMNS = ["folder", "file", "relation", "arg1", "arg2", "arg1_arg2", "connective", "sense",

@@ -24,12 +24,9 @@ def crowd_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """
     d = OD.vote_distribution(V.vote_rows(spark, sf), ["itemid"], "l3_idx", tx.N_L3 + 1,
                              side_col="side", out_prefix="votes")
-    d = OD.drop_excluded(d, "votes_0", out="g28")
-    d = OD.drop_excluded(d, "votes_1", out="p28")
-    d = OD.with_levels(d, "g28", "gold")
-    d = OD.with_levels(d, "p28", "pred")
-    d = OD.with_levels(d, "g28", "gc", normalize=False)
-    d = OD.with_levels(d, "p28", "pc", normalize=False)
+    d = d.withColumns({"g28": F.slice("votes_0", 1, tx.N_L3), "p28": F.slice("votes_1", 1, tx.N_L3)})  # P8
+    d = OD.with_levels_many(d, [("g28", "gold", True), ("p28", "pred", True),
+                                ("g28", "gc", False), ("p28", "pc", False)])
     return d.drop("votes_0", "votes_1", "g28", "p28")
 
 

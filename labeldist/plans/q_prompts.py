@@ -36,13 +36,12 @@ def _prompt_values_sql() -> str:
     return f"prompts AS (SELECT * FROM (VALUES {rows}) t(lang, prompt, ack))"
 
 
-def answer_literal(idcol) -> "F.Column":
+def answer_literal(idcol: str) -> "F.Column":
     """A 28-float answer literal derived from an id, with the five malformed
     kinds of the response view (residue of the id modulo 7)."""
-    good = F.concat(F.lit("["), F.array_join(F.transform(
-        F.sequence(F.lit(0), F.lit(27)),
-        lambda i: F.when(i == idcol % 28, F.lit("0.7")).when(i == (idcol + 9) % 28, F.lit("0.3"))
-                   .otherwise(F.lit("0.0"))), ", "), F.lit("]"))
+    good = F.expr(f"concat('[', array_join(transform(sequence(0, 27), i -> CASE WHEN i = {idcol} % 28 THEN '0.7' "
+                  f"WHEN i = ({idcol} + 9) % 28 THEN '0.3' ELSE '0.0' END), ', '), ']')")
+    idcol = F.col(idcol)
     k = idcol % 7
     return (F.when(k == 0, F.replace(good, F.lit("0.7"), F.lit("0.8")))
              .when(k == 1, F.replace(good, F.lit(", "), F.lit(" ")))
@@ -67,7 +66,7 @@ def exemplars(spark: SparkSession, sf: str) -> DataFrame:
                                     & F.col("arg2").isNotNull())
     return i.select(F.col("inst_lang").alias("lang"), F.col("itemid").alias("idx"),
                     TX.format_question("arg1", "arg2").alias("question"),
-                    answer_literal(F.col("itemid")).alias("answer"))
+                    answer_literal("itemid").alias("answer"))
 
 
 Q_SQL = "'Sentence 1: ' || arg1 || chr(10) || 'Sentence 2: ' || arg2"

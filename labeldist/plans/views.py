@@ -134,11 +134,8 @@ def v_responses(spark: SparkSession, sf_dir: str, attempts: int = 6) -> DataFram
     """Model answers ``(itemid, attempt, response)``, attempts 1..6, with five
     malformed kinds out of seven residues of ``itemid + attempt``."""
     it = response_items(spark, sf_dir)
-    good = F.concat(F.lit("["), F.array_join(F.transform(
-        F.sequence(F.lit(0), F.lit(27)),
-        lambda i: F.when(i == F.col("itemid") % 28, F.lit("0.7"))
-                   .when(i == (F.col("itemid") + 9) % 28, F.lit("0.3"))
-                   .otherwise(F.lit("0.0"))), ", "), F.lit("]"))
+    good = F.expr("concat('[', array_join(transform(sequence(0, 27), i -> CASE WHEN i = itemid % 28 THEN '0.7' "
+                  "WHEN i = (itemid + 9) % 28 THEN '0.3' ELSE '0.0' END), ', '), ']')")
     r = it.select("itemid", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"),
                   good.alias("good"))
     k = (F.col("itemid") + F.col("attempt")) % 7
