@@ -73,7 +73,8 @@ def _soft_rows(df: DataFrame, label_col: str, n: int) -> DataFrame:
     return x.select("_x", F.col("y").cast("double").alias("y", metadata=meta), "w")
 
 
-def _fit_level(df: DataFrame, label_col: str, n: int, loss: str, max_iter: int, reg: float) -> PipelineModel:
+def _fit_level(df: DataFrame, label_col: str, n: int, loss: str, max_iter: int, reg: float,
+               seed: int = 42) -> PipelineModel:
     if loss == "cross-entropy":
         rows = _soft_rows(df, label_col, n).cache()
         lr = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", family="multinomial",
@@ -86,7 +87,7 @@ def _fit_level(df: DataFrame, label_col: str, n: int, loss: str, max_iter: int,
     for i in range(n):
         if loss == "l1":
             est = GBTRegressor(featuresCol="_x", labelCol=f"_y{i}", predictionCol=f"_s{i}",
-                               lossType="absolute", maxIter=max(5, max_iter // 10), seed=42)
+                               lossType="absolute", maxIter=max(5, max_iter // 10), seed=seed)
         else:
             est = LinearRegression(featuresCol="_x", labelCol=f"_y{i}", predictionCol=f"_s{i}",
                                    maxIter=max_iter, regParam=reg,
@@ -108,7 +109,7 @@ def _apply_level(model: PipelineModel, df: DataFrame, n: int, loss: str, out: st
 def fit_heads(df: DataFrame, features: str = "features",
               labels: Mapping[int, str] | None = None, arch: str = "flat",
               levels: Sequence[int] = (1, 2, 3), loss: str = "cross-entropy",
-              max_iter: int = 100, reg: float = 0.0) -> HeadsModel:
+              max_iter: int = 100, reg: float = 0.0, seed: int = 42) -> HeadsModel:
     """Fit one head per level (M14 = a single level).
 
     ``labels`` maps level -> soft-label array column (default
@@ -125,7 +126,7 @@ def fit_heads(df: DataFrame, features: str = "features",
     cur = df
     for lv in levels:
         x = _input_features(cur, arch, lv, levels, features)
-        hm.models[lv] = _fit_level(x, labels[lv], tx.LEVEL_SIZES[lv], loss, max_iter, reg)
+        hm.models[lv] = _fit_level(x, labels[lv], tx.LEVEL_SIZES[lv], loss, max_iter, reg, seed)
         if arch != "flat" and lv != levels[-1]:
             cur = _apply_level(hm.models[lv], x, tx.LEVEL_SIZES[lv], loss, f"scores_l{lv}").drop("_x")
     return hm
