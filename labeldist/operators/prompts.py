@@ -78,18 +78,21 @@ def first_valid(responses: DataFrame, keys: Sequence[str], attempt: str = "attem
                 items: DataFrame | None = None) -> DataFrame:
     """Q4: the first valid response of at most ``max_attempts`` per key.
 
-    ``(keys..., attempt, probs)``; keys without a valid response keep NULLs
-    when ``items`` (all keys) is given.  ``min_by`` aggregates partially, so
-    a key with very many attempts does not gather its rows on one task.
+    ``(keys..., attempt, probs)`` with NULLs for a key whose attempts are all
+    invalid: one aggregation whose ordering is the attempt number of valid
+    rows only (``min_by`` skips NULL orderings).  ``items`` (every key that
+    should have an answer) is joined only when given, for keys with no
+    response rows at all.  The aggregation is partial, so a key with very
+    many attempts does not gather its rows on one task.
     """
     keys = list(keys)
     v = validate(responses.filter(F.col(attempt) <= max_attempts), response)
-    best = (v.filter("valid").groupBy(*keys)
+    best = (v.groupBy(*keys)
              .agg(F.min_by(F.struct(F.col(attempt).alias("attempt"), F.col("probs").alias("probs")),
-                           F.col(attempt)).alias("_b"))
+                           F.when(F.col("valid"), F.col(attempt))).alias("_b"))
              .select(*keys, "_b.attempt", "_b.probs"))
     if items is None:
-        items = responses.select(*keys).distinct()
+        return best
     return items.join(best, keys, "left")
 
 

@@ -142,8 +142,7 @@ firstv AS (SELECT i.itemid, f.attempt, v.probs FROM resp_items i LEFT JOIN fv f
 @register("first_valid_response", FIRST_SQL + "SELECT itemid, attempt FROM firstv")
 def first_valid_response(spark, sf):
     """Q4: first valid of at most five attempts; NULL when none is valid."""
-    items = V.response_items(spark, sf)
-    f = PR.first_valid(V.v_responses(spark, sf), ["itemid"], items=items)
+    f = PR.first_valid(V.v_responses(spark, sf), ["itemid"])
     return f.select("itemid", "attempt")
 
 
@@ -170,8 +169,7 @@ SELECT CAST(lv.level AS INTEGER) AS level, round(avg(js.js), 6) AS mean_js,
 FROM lv LEFT JOIN js ON js.level = lv.level GROUP BY lv.level""")
 def response_js_by_level(spark, sf):
     """Q5 + Q6 + A9: first valid answers rolled up and scored per level."""
-    items = V.response_items(spark, sf)
-    first = PR.first_valid(V.v_responses(spark, sf), ["itemid"], items=items)
+    first = PR.first_valid(V.v_responses(spark, sf), ["itemid"])
     gold = crowd_pairs(spark, sf).select("itemid", "gold_l1", "gold_l2", "gold_l3")
     return PR.score_responses(first, gold, ["itemid"])
 
