@@ -92,7 +92,7 @@ def test_items_tsv_end_to_end(spark, tmp_dir):
     full.update({"reason": 6, "result": 2, "norel": 2})
     dist = "{" + ", ".join(f"'{k}': {v}" for k, v in full.items()) + "}"
     rows = []
-    for i, split in enumerate(["train", "dev"]):
+    for i, split in enumerate(["train", "dev", "test"]):
         r = {"split": split, "itemid": str(i), "orig_lang": "en", "available_langs": "['en', 'de']", "extra": "x"}
         for l in ["en", "de", "fr", "cs"]:
             r.update({f"arg1_context_{l}": f"<SPEAKER id=1>first {l}", f"arg2_context_{l}": f"second {l}",
@@ -100,6 +100,8 @@ def test_items_tsv_end_to_end(spark, tmp_dir):
         rows.append(r)
     rows[1]["arg1_context_en"] = "\"\t\""
     rows[1]["arg2_context_en"] = " "
+    rows[2]["MV_dist_en"] = ""          # no distribution: kept for English only
+    rows[2]["MV_dist_de"] = ""
     path = os.path.join(tmp_dir, "items.tsv")
     with open(path, "w") as fh:
         fh.write("\t".join(header) + "\n")
@@ -107,8 +109,11 @@ def test_items_tsv_end_to_end(spark, tmp_dir):
             fh.write("\t".join(r[h] for h in header) + "\n")
     inst = C.prepare_instances(R.read_items(spark, path))
     got = {(r.itemid, r.inst_lang): r for r in inst.collect()}
-    # fr/cs have no distribution -> dropped; en kept; item 1 en is blank -> dropped
-    assert set(got) == {("0", "en"), ("0", "de"), ("1", "de")}
+    # fr/cs have no distribution -> dropped; en kept; item 1 en is blank -> dropped;
+    # item 2 has no distribution at all -> kept for en (NULL labels), dropped for de
+    assert set(got) == {("0", "en"), ("0", "de"), ("1", "de"), ("2", "en")}
+    r2 = got[("2", "en")]
+    assert r2.majority_level_1 is None and all(v is None for v in r2.dist_l3)
     r = got[("0", "en")]
     assert r.arg1 == "first en" and r.arg1_arg2 == "first en second en"
     assert r.available_langs == ["en", "de"]
