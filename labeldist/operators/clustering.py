@@ -321,7 +321,9 @@ def grid_density(df: DataFrame, features: str = "features", min_size: int = 5, e
         labels = new
         if changed == 0:
             break
-    out = p.join(labels, "_cell", "left")
+    # dense regions concentrate points in few cells: split hot cells
+    from labeldist.operators.skew import salted_join
+    out = salted_join(p, labels, ["_cell"], "left")
     return out.withColumn("cluster", F.coalesce(F.col("_lab"), F.lit(NOISE).cast("long"))).drop("_cell", "_lab")
 
 

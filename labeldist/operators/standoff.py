@@ -12,6 +12,7 @@ from labeldist import taxonomy as tx
 from labeldist.functions import annotation as A
 from labeldist.functions import text as TX
 from labeldist.functions.distributions import sql_lit
+from labeldist.operators import skew as SK
 
 DOC_KEYS = ["folder", "file"]
 
@@ -28,15 +29,19 @@ def parse_lines(ann: DataFrame, line_col: str = "line", keep: Sequence[str] = DO
 
 
 def attach_text(rel: DataFrame, docs: DataFrame, keys: Sequence[str] = DOC_KEYS,
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", hot_share: float | None = SK.DEFAULT_SHARE) -> DataFrame:
     """J1 + P14 + P15: join every relation with its document once and cut
     the argument spans out of the text.
 
     An equi-join on the document keys: each document is read and shuffled
-    once (the reference re-opens the file per span).  AQE picks broadcast
-    when the document side is small and splits skewed documents otherwise.
+    once (the reference re-opens the file per span).  A document carrying
+    more than ``hot_share`` of all annotation lines is split over salted
+    buckets (:func:`labeldist.operators.skew.salted_join`); ``None`` leaves
+    skew to AQE.
     """
-    j = rel.join(docs.select(*keys, F.col(text_col).alias("_text")), list(keys))
+    d = docs.select(*keys, F.col(text_col).alias("_text"))
+    j = (SK.salted_join(rel, d, keys, "inner", share=hot_share) if hot_share
+         else rel.join(d, list(keys)))
     sp1, sp2 = A.parse_spans("arg1_spans"), A.parse_spans("arg2_spans")
     j = j.withColumn("_sp1", sp1).withColumn("_sp2", sp2)
     j = j.withColumn("arg1", A.slice_spans("_text", "_sp1")).withColumn("arg2", A.slice_spans("_text", "_sp2"))
