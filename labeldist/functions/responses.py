@@ -22,7 +22,7 @@ FLOAT_PATTERN = "[+-]?(\\d+\\.\\d*([eE][+-]?\\d+)?|\\.\\d+([eE][+-]?\\d+)?|\\d+[
 REASONS = ["not_list", "length", "not_float", "sum"]
 # -----------------------------------------------------------------------------
 
-_LEAD = "^[ \\t]+"
+_LEAD = "^\\s+"
 _TRAIL = "\\s+$"
 _LIST = "^\\[[\\s\\S]*\\]$"
 _INNER = "^\\[([\\s\\S]*)\\]$"

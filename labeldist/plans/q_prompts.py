@@ -79,7 +79,7 @@ ex AS (SELECT lang, itemid AS idx, question, {ANSWER_SQL} AS answer FROM ex0)
 
 def _validate_sql(src: str, col: str, keys: str) -> str:
     """CTEs ``vs`` -> ``vv(keys, valid, reason, probs)`` mirroring Q3."""
-    return f"""vs AS (SELECT {keys}, regexp_replace(regexp_replace({col}, '^[ \\t]+', ''), '\\s+$', '') AS s FROM {src}),
+    return f"""vs AS (SELECT {keys}, regexp_replace(regexp_replace({col}, '^\\s+', ''), '\\s+$', '') AS s FROM {src}),
 vl AS (SELECT *, regexp_matches(s, '^\\[[\\s\\S]*\\]$') AS is_list, regexp_extract(s, '^\\[([\\s\\S]*)\\]$', 1) AS inner_txt FROM vs),
 ve0 AS (SELECT *, list_transform(string_split(inner_txt, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS el FROM vl),
 ve AS (SELECT *, CASE WHEN NOT is_list THEN NULL WHEN regexp_replace(inner_txt, '\\s', '', 'g') = '' THEN []::VARCHAR[]
