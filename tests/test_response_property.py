@@ -48,3 +48,26 @@ def test_validator_agrees_with_python_rule(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "r STRING")
     got = [r[0] for r in df.select(RS.validate_response("r").alias("v")).select("v.valid").collect()]
     assert got == [py_valid(t) for t in texts]
+
+
+from labeldist import taxonomy as tx  # noqa: E402
+from labeldist.functions import distributions as D  # noqa: E402
+
+keys = st.sampled_from(tx.L3_SOURCE_KEYS + [tx.EXCLUDED_LABEL])
+values = st.floats(min_value=0, max_value=1, allow_nan=False, allow_infinity=False)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.dictionaries(keys, values, min_size=0, max_size=29), min_size=10, max_size=30))
+def test_distribution_literal_parses_like_python(spark, dists):
+    texts = [repr(d) for d in dists]                  # single-quoted Python dict literals
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = [r[0] for r in df.select(D.parse_distribution("t")).collect()]
+    assert [dict(g) for g in got] == [ast.literal_eval(t) for t in texts]
+    al = df.select(D.l1_normalize(D.align_distribution(D.exclude_label(D.parse_distribution("t")),
+                                                       tx.L3_SOURCE_KEYS)).alias("a")).collect()
+    for d, row in zip(dists, al):
+        vals = [d.get(k) for k in tx.L3_SOURCE_KEYS]
+        tot = sum(abs(v) for v in vals if v is not None)
+        exp = [None if v is None else (v if tot == 0 else v / tot) for v in vals]
+        assert all((a is None and b is None) or abs(a - b) < 1e-12 for a, b in zip(row.a, exp))
