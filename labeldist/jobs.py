@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +125,9 @@ def train_and_test(spark: SparkSession, corpus_path: str, lang: str = "all", arc
     (M17) under it.  Returns the metrics table."""
     train_raw = load_split(spark, corpus_path, lang, "train")
     enc = _encoder(train_raw, features)
-    train = _apply(enc, train_raw)
+    # every head (and every run) reads the encoded training split again:
+    # keep it (spills to disk; recomputed from the corpus if an executor is lost)
+    train = _apply(enc, train_raw).persist(StorageLevel.MEMORY_AND_DISK)
     sets = {"Validation": _apply(enc, load_split(spark, corpus_path, lang, "dev")),
             "Testing": _apply(enc, load_split(spark, corpus_path, lang, "test"))}
     keys = ["itemid", "inst_lang"]
@@ -157,6 +160,7 @@ def train_and_test(spark: SparkSession, corpus_path: str, lang: str = "all", arc
         out = out.unionByName(m)
     if out_path:
         K.append_metrics(out, f"{out_path}/metrics")
+        train.unpersist()
         return spark.read.parquet(f"{out_path}/metrics")
     return out
 
