@@ -71,11 +71,6 @@ def explode_long(df: DataFrame, keys: list[str], arr: str, idx: str = "idx",
     return out.select(*keys, F.col(idx).cast("int").alias(idx), v.alias(val))
 
 
-def crowd_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw vote counts per level (see :func:`crowd_pairs`)."""
-    return crowd_pairs(spark, sf)
-
-
 def literals(spark: SparkSession, sf: str) -> DataFrame:
     lit = V.v_literals(spark, sf)
     return lit.select("itemid", D.parse_distribution("dist").alias("m"),
@@ -200,7 +195,7 @@ SELECT itemid, max(CASE WHEN level = 1 THEN name END) AS majority_l1,
 FROM nm GROUP BY itemid""")
 def majority_label_q(spark, sf):
     """First-maximum label per level (on counts: exact, same argmax)."""
-    c = crowd_counts(spark, sf)
+    c = crowd_pairs(spark, sf)
     return c.select("itemid", *[D.argmax_label(f"gc_l{lv}", tx.LEVEL_NAMES[lv]).alias(f"majority_l{lv}")
                                 for lv in (1, 2, 3)])
 
@@ -214,7 +209,7 @@ SELECT itemid, CAST(level AS INTEGER) AS level,
 FROM r WHERE rk = 1 GROUP BY itemid, level""")
 def argmax_pairs_q(spark, sf):
     """0-based argmax of gold and predicted vectors per level."""
-    c = crowd_counts(spark, sf)
+    c = crowd_pairs(spark, sf)
     per = F.array(*[F.struct(F.lit(lv).alias("level"), D.argmax_idx(f"gc_l{lv}").alias("gold_idx"),
                              D.argmax_idx(f"pc_l{lv}").alias("pred_idx")) for lv in (1, 2, 3)])
     return c.select("itemid", F.inline(per))
@@ -244,7 +239,7 @@ tt AS (SELECT itemid, idx, v, sum(v) OVER (PARTITION BY itemid) AS t FROM sh)
 SELECT itemid, CAST(idx AS INTEGER) AS idx, round(CASE WHEN t = 0 THEN v ELSE v / t END, 6) AS value FROM tt""")
 def shift_normalize_q(spark, sf):
     """D7 on signed score vectors (second group minus gold counts)."""
-    c = crowd_counts(spark, sf).select(
+    c = crowd_pairs(spark, sf).select(
         "itemid", D.shift_normalize("zip_with(pc_l3, gc_l3, (a, b) -> a - b)").alias("s"))
     return explode_long(c, ["itemid"], "s")
 
