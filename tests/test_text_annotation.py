@@ -144,3 +144,18 @@ def test_nth_line(spark):
     df = spark.createDataFrame([("a\nb\nc",), ("one",), ("x\n",), ("",), (None,)], "t STRING")
     got = [tuple(r) for r in df.select(TX.line("t", 1), TX.line("t", 2), TX.line("t", 3)).collect()]
     assert got == [("a", "b", "c"), ("one", "", ""), ("x", "", ""), ("", "", ""), (None, None, None)]
+
+
+def test_hot_document_join_is_exact(spark):
+    # one document carries a third of all annotation lines: the salted join
+    # gives exactly the plain join's rows
+    lines = [("00", "hot" if i % 3 == 0 else f"f{i % 40}",
+              line("Implicit", "Expansion.Conjunction", "so", "Contingency.Cause.Result", f"{i % 5}..{i % 5 + 3}", "4..8"))
+             for i in range(600)]
+    ann = spark.createDataFrame(lines, "folder STRING, file STRING, line STRING")
+    docs = spark.createDataFrame([("00", "hot", "abcdefghijklmnop")] + [("00", f"f{i}", f"text number {i}") for i in range(40)],
+                                 "folder STRING, file STRING, text STRING")
+    rel = SO.parse_lines(ann)
+    salted = SO.attach_text(rel, docs, hot_share=0.05).select("file", "arg1", "arg2").collect()
+    plain = SO.attach_text(rel, docs, hot_share=None).select("file", "arg1", "arg2").collect()
+    assert sorted(map(tuple, salted)) == sorted(map(tuple, plain)) and len(salted) == 600
