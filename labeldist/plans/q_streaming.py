@@ -4,6 +4,7 @@ response files written from the test tables, then read the results back."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,20 @@ from labeldist.streaming import responses as SR
 RESPONSE_SCHEMA = "itemid LONG, response STRING, attempt INT"
 
 
+@contextmanager
+def state_partitions(spark, n: int | None = None):
+    """Shuffle / state-store partitions used by a streaming query started in
+    this block (fixed at its first start): the cluster's task slots by
+    default, instead of a batch-sized setting."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def _response_stream(spark, sf):
     """Answers written as one file per attempt, then read as a stream that
     takes one file per micro-batch (attempts arrive over time)."""
@@ -27,8 +42,9 @@ def _response_stream(spark, sf):
 
 def _settled_files(spark, sf):
     out, ckpt = scratch_path(spark, "settled"), scratch_path(spark, "settled-ckpt")
-    q = (SR.first_valid_stream(_response_stream(spark, sf)).writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    with state_partitions(spark):
+        q = (SR.first_valid_stream(_response_stream(spark, sf)).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
@@ -46,8 +62,9 @@ def stream_running_scores(spark, sf):
     settled = spark.readStream.schema(SR.OUTPUT_SCHEMA).parquet(_settled_files(spark, sf))
     gold = crowd_pairs(spark, sf).select("itemid", "gold_l1", "gold_l2", "gold_l3")
     name = f"running_scores_{uuid.uuid4().hex[:8]}"
-    q = (SR.running_scores(settled, gold).writeStream.outputMode("complete").format("memory")
-         .queryName(name).option("checkpointLocation", scratch_path(spark, "scores-ckpt"))
-         .trigger(availableNow=True).start())
+    with state_partitions(spark):
+        q = (SR.running_scores(settled, gold).writeStream.outputMode("complete").format("memory")
+             .queryName(name).option("checkpointLocation", scratch_path(spark, "scores-ckpt"))
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(name).select("level", F.round("mean_js", 6).alias("mean_js"), "bad_outputs")
