@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,17 +75,20 @@ def standardize(df: DataFrame, col: str = "features", out: str = "scaled",
                 population: bool = True) -> DataFrame:
     """M3: centre and scale every dimension.
 
-    ``population=True`` divides by the population standard deviation (the
-    common single-machine convention); Spark's scaler uses the sample one, so
-    its output is rescaled by sqrt(n / (n - 1))."""
-    model = StandardScaler(inputCol=col, outputCol="_z", withMean=True, withStd=True).fit(df)
-    res = model.transform(df)
-    arr = vector_to_array("_z")
-    if population:
-        n = df.count()
-        f = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-        arr = F.transform(arr, lambda x: x * F.lit(f))
-    return res.withColumn(out, array_to_vector(arr)).drop("_z")
+    One summary pass (``Summarizer``: mean, variance, count -- d-sized
+    results, never rows) and one map-side projection.  ``population=True``
+    divides by the population standard deviation (the common single-machine
+    convention) instead of the sample one; a constant dimension becomes 0.
+    """
+    s = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(col)).alias("s")).first().s
+    n = s["count"]
+    f = (n - 1) / n if population and n > 1 else 1.0
+    mean = s["mean"].toArray().tolist()
+    inv = [1.0 / math.sqrt(v * f) if v > 0 else 0.0 for v in s["variance"].toArray().tolist()]
+    lit = lambda xs: "array(" + ", ".join(f"{x!r}D" for x in xs) + ")"
+    z = F.expr(f"zip_with(zip_with(_x, {lit(mean)}, (a, b) -> a - b), {lit(inv)}, (a, b) -> a * b)")
+    res = df.withColumn("_x", vector_to_array(col))
+    return res.withColumn(out, array_to_vector(z)).drop("_x")
 
 
 def reduce(df: DataFrame, col: str = "features", k: int = 10, out: str = "pca") -> DataFrame:
