@@ -9,8 +9,8 @@ unchanged (salt 0).  AQE's skew-join splitting does the same at run time for
 sort-merge joins; this keeps the plan balanced whatever the session's AQE
 settings.
 
-Bounds: a hot key holds more than ``share`` of all rows, so there are at most
-``1 / share`` hot keys; only that table is broadcast.  The salt is a hash of
+Bounds: a hot key holds more than ``share`` of all rows, so the frequent-items
+sketch returns at most about ``1 / share`` keys; only that table is broadcast.  The salt is a hash of
 row content, so a recomputed task reproduces the same assignment.
 """
 
@@ -27,12 +27,15 @@ DEFAULT_BUCKETS = 32
 
 
 def hot_keys(many: DataFrame, keys: Sequence[str], share: float = DEFAULT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows of ``many`` (at most
-    ``1 / share`` rows).  One partial aggregation plus a one-row total."""
+    """Keys holding more than ``share`` of the rows of ``many``.
+
+    One pass with Spark's frequent-items sketch (``freqItems``): every task
+    keeps at most ``1 / share`` counters, the result is one row, and it may
+    contain a few extra keys but never misses a hot one (an extra key is only
+    salted needlessly).  Lazy: no job runs until the join does."""
     keys = list(keys)
-    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    return counts.filter(F.col("_n") > F.lit(share * total)).select(*keys)
+    fi = many.select(F.struct(*keys).alias("_k")).stat.freqItems(["_k"], support=share)
+    return fi.select(F.explode("_k_freqItems").alias("_k")).select(*[F.col("_k")[c].alias(c) for c in keys])
 
 
 def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner",
