@@ -43,12 +43,15 @@ class HeadsModel:
     levels: list[int]
     features: str
     models: dict[int, PipelineModel] = field(default_factory=dict)
+    gate_l2: float = GATE_L2
+    gate_l3: tuple[float, float, float] = GATE_L3
 
     def transform(self, df: DataFrame) -> DataFrame:
         return score(self, df)
 
 
-def _input_features(df: DataFrame, arch: str, level: int, levels: Sequence[int], features: str) -> DataFrame:
+def _input_features(df: DataFrame, arch: str, level: int, levels: Sequence[int], features: str,
+                    gate_l2: float = GATE_L2, gate_l3: Sequence[float] = GATE_L3) -> DataFrame:
     """Feature vector seen by the head of ``level`` (``_x``)."""
     ups = [lv for lv in levels if lv < level]
     if arch == "flat" or not ups:
@@ -58,9 +61,9 @@ def _input_features(df: DataFrame, arch: str, level: int, levels: Sequence[int],
         arr = F.concat(f, *[F.col(f"scores_l{u}") for u in ups])
     else:  # gated
         if len(ups) == 1:
-            wf, wu = 1.0 - GATE_L2, [GATE_L2]
+            wf, wu = 1.0 - gate_l2, [gate_l2]
         else:
-            wf, wu = GATE_L3[0], list(GATE_L3[1:1 + len(ups)])
+            wf, wu = gate_l3[0], list(gate_l3[1:1 + len(ups)])
         arr = F.concat(F.transform(f, lambda x: x * F.lit(wf)),
                        *[F.transform(f"scores_l{u}", lambda x, w=w: x * F.lit(w)) for u, w in zip(ups, wu)])
     return df.withColumn("_x", array_to_vector(arr))
@@ -109,7 +112,8 @@ def _apply_level(model: PipelineModel, df: DataFrame, n: int, loss: str, out: st
 def fit_heads(df: DataFrame, features: str = "features",
               labels: Mapping[int, str] | None = None, arch: str = "flat",
               levels: Sequence[int] = (1, 2, 3), loss: str = "cross-entropy",
-              max_iter: int = 100, reg: float = 0.0, seed: int = 42) -> HeadsModel:
+              max_iter: int = 100, reg: float = 0.0, seed: int = 42,
+              gate_l2: float = GATE_L2, gate_l3: Sequence[float] = GATE_L3) -> HeadsModel:
     """Fit one head per level (M14 = a single level).
 
     ``labels`` maps level -> soft-label array column (default
@@ -122,10 +126,10 @@ def fit_heads(df: DataFrame, features: str = "features",
         raise ValueError(f"loss must be one of {LOSSES}")
     levels = sorted(levels)
     labels = dict(labels or {lv: f"dist_l{lv}" for lv in (1, 2, 3)})
-    hm = HeadsModel(arch, loss, list(levels), features)
+    hm = HeadsModel(arch, loss, list(levels), features, gate_l2=gate_l2, gate_l3=tuple(gate_l3))
     cur = df
     for lv in levels:
-        x = _input_features(cur, arch, lv, levels, features)
+        x = _input_features(cur, arch, lv, levels, features, gate_l2, gate_l3)
         hm.models[lv] = _fit_level(x, labels[lv], tx.LEVEL_SIZES[lv], loss, max_iter, reg, seed)
         if arch != "flat" and lv != levels[-1]:
             cur = _apply_level(hm.models[lv], x, tx.LEVEL_SIZES[lv], loss, f"scores_l{lv}").drop("_x")
@@ -136,7 +140,7 @@ def score(model: HeadsModel, df: DataFrame) -> DataFrame:
     """Add raw score arrays ``scores_l<level>`` (map-only, no shuffle)."""
     cur = df
     for lv in model.levels:
-        x = _input_features(cur, model.arch, lv, model.levels, model.features)
+        x = _input_features(cur, model.arch, lv, model.levels, model.features, model.gate_l2, model.gate_l3)
         cur = _apply_level(model.models[lv], x, tx.LEVEL_SIZES[lv], model.loss, f"scores_l{lv}").drop("_x")
     return cur
 
@@ -148,14 +152,49 @@ def save_model(model: HeadsModel, path: str) -> None:
     from pyspark.sql import SparkSession
     s = SparkSession.getActiveSession()
     meta = json.dumps({"arch": model.arch, "loss": model.loss, "levels": model.levels,
-                       "features": model.features})
+                       "features": model.features, "gate_l2": model.gate_l2, "gate_l3": list(model.gate_l3)})
     s.createDataFrame([(meta,)], "meta STRING").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(spark, path: str) -> HeadsModel:
     """Load heads saved by :func:`save_model`."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    hm = HeadsModel(meta["arch"], meta["loss"], meta["levels"], meta["features"])
+    hm = HeadsModel(meta["arch"], meta["loss"], meta["levels"], meta["features"],
+                    gate_l2=meta.get("gate_l2", GATE_L2), gate_l3=tuple(meta.get("gate_l3", GATE_L3)))
     for lv in hm.levels:
         hm.models[lv] = PipelineModel.load(f"{path}/level_{lv}")
     return hm
+
+
+# --- fixed values: search grid of the gate weights --------------------------
+GATE_GRID = [0.25, 0.5, 0.622, 0.75]
+# -----------------------------------------------------------------------------
+
+
+def tune_gates(train: DataFrame, valid: DataFrame, features: str = "features",
+               labels: Mapping[int, str] | None = None, levels: Sequence[int] = (1, 2, 3),
+               grid: Sequence[float] = GATE_GRID, **fit_kw) -> tuple[HeadsModel, list[tuple[float, float]]]:
+    """Choose the gate weight of the gated heads on the validation split.
+
+    For every ``g`` in ``grid`` the level-2 head sees ``(1-g)`` x features and
+    ``g`` x level-1 scores, and the level-3 head ``(1-g)`` x features and
+    ``g / 2`` x each upstream score vector.  Each candidate is fitted on
+    ``train`` and scored on ``valid`` (mean JS over levels, one aggregation);
+    returns the best model and ``(g, mean JS)`` per candidate.
+    """
+    from pyspark.sql import functions as F
+
+    from labeldist.functions import distributions as D
+    labels = dict(labels or {lv: f"dist_l{lv}" for lv in (1, 2, 3)})
+    results, best = [], None
+    for g in grid:
+        m = fit_heads(train, features, labels, "gated", levels, gate_l2=g,
+                      gate_l3=(1.0 - g, g / 2.0, g / 2.0), **fit_kw)
+        s = score(m, valid)
+        js = F.array(*[D.classifier_js(labels[lv], f"scores_l{lv}") for lv in m.levels])
+        v = s.select(F.aggregate(js, F.lit(0.0), lambda a, x: a + x).alias("_j")).agg(F.avg("_j")).first()[0]
+        v = float(v) / len(m.levels) if v is not None else float("inf")
+        results.append((g, v))
+        if best is None or v < best[1]:
+            best = (m, v)
+    return best[0], results

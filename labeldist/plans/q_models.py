@@ -71,6 +71,18 @@ def soft_heads_gated(spark, sf):
     return _heads_eval(spark, sf, arch="gated")
 
 
+@register("soft_heads_gated_tuned")
+def soft_heads_gated_tuned(spark, sf):
+    """M13 with the gate weight chosen on the validation split (grid search),
+    then JS per test vector and level."""
+    d = soft_labelled(spark, sf)
+    model, _ = H.tune_gates(d.filter(F.col("split") == "train"), d.filter(F.col("split") == "dev"))
+    s = H.score(model, d.filter(F.col("split") == "test"))
+    per = F.array(*[F.struct(F.lit(lv).alias("level"),
+                             D.classifier_js(f"dist_l{lv}", f"scores_l{lv}").alias("js")) for lv in model.levels])
+    return s.select("vec_id", F.inline(per)).withColumn("js", F.round("js", 6))
+
+
 @register("soft_heads_single")
 def soft_heads_single(spark, sf):
     """Single-level ablation (level 3 only)."""

@@ -37,3 +37,13 @@ def test_better_than_uniform_and_roundtrip(spark, tmp_dir):
     a = s.select("vec_id", "scores_l2").collect()
     b = {r.vec_id: r.scores_l2 for r in H.score(back, d).select("vec_id", "scores_l2").collect()}
     assert all(r.scores_l2 == b[r.vec_id] for r in a)
+
+
+def test_tune_gates(spark):
+    from labeldist.plans.q_models import soft_labelled
+    d = soft_labelled(spark, "/root/testdata/sf0.001")
+    train, valid = d.filter("split = 'train'"), d.filter("split <> 'train'")
+    model, res = H.tune_gates(train, valid, levels=[1, 2], grid=[0.25, 0.75], max_iter=20)
+    assert [g for g, _ in res] == [0.25, 0.75]
+    assert model.gate_l2 == min(res, key=lambda r: r[1])[0]
+    assert all(0.0 <= v <= 1.0 for _, v in res)
