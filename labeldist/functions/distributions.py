@@ -211,6 +211,14 @@ def _rel_entr(x: str, y: str) -> str:
             f"WHEN {x} = 0 AND {y} >= 0 THEN 0D ELSE double('inf') END")
 
 
+def _js_term(x: str, y: str) -> str:
+    # rel_entr(x, m) with m = (x + y) / 2, written with s = x + y: the tests
+    # m > 0 / m >= 0 become s > 0 / s >= 0 and x / m == 2x / s exactly
+    # (scaling by 2 is exact), so m itself is never formed
+    return (f"CASE WHEN {x} > 0 AND {x} + {y} > 0 THEN {x} * ln(2D * {x} / ({x} + {y})) "
+            f"WHEN {x} = 0 AND {x} + {y} >= 0 THEN 0D ELSE double('inf') END")
+
+
 def kl_sql(p: str, q: str, normalized: bool = False) -> str:
     a, b = _var("a"), _var("b")
     pn, qn = (p, q) if normalized else (l1_normalize_sql(p), l1_normalize_sql(q))
@@ -227,10 +235,8 @@ def js_sql(p: str, q: str, normalized: bool = False) -> str:
     """``normalized=True`` skips re-normalising inputs that already sum to 1
     (outputs of :func:`smooth_sql`), saving two passes over each array."""
     a, b = _var("a"), _var("b")
-    m = f"(({a} + {b}) / 2D)"
     pn, qn = (p, q) if normalized else (l1_normalize_sql(p), l1_normalize_sql(q))
-    terms = (f"zip_with({pn}, {qn}, "
-             f"({a}, {b}) -> {_rel_entr(a, m)} + {_rel_entr(b, m)})")
+    terms = f"zip_with({pn}, {qn}, ({a}, {b}) -> {_js_term(a, b)} + {_js_term(b, a)})"
     return f"sqrt(greatest(0D, {_sum_sql(terms)} / {_LN2} / 2D))"
 
 
