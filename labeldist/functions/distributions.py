@@ -121,9 +121,9 @@ def total_sql(arr: str) -> str:
 def l1_normalize_sql(arr: str) -> str:
     def body(a: str) -> str:
         x = _var("x")
+        # a zero total means every non-NULL element is 0: the array stays as it is
         return let_sql(total_sql(a), lambda t: (
-            f"transform({a}, {x} -> CASE WHEN {x} IS NULL THEN CAST(NULL AS DOUBLE) "
-            f"WHEN {t} = 0 THEN {x} ELSE {x} / {t} END)"))
+            f"CASE WHEN {t} = 0 THEN {a} ELSE transform({a}, {x} -> {x} / {t}) END"))
     return let_sql(arr, body)
 
 
