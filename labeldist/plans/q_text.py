@@ -255,3 +255,17 @@ def corpus_instances(spark, sf):
     return inst.select("itemid", "inst_lang", "split", F.md5("arg1_arg2").alias("text_md5"),
                        "majority_level_1", "majority_level_2", "majority_level_3",
                        *[F.round(F.col("dist_l1")[i], 6).alias(n) for i, n in enumerate(tx.L1_NAMES)])
+
+
+@register("corpus_train_test")
+def corpus_train_test(spark, sf):
+    """Dataflows A + C end to end on the given tables: the item table built
+    from ``documents`` is prepared and written partitioned (S6), the text
+    encoder and soft-label heads are fitted on the training split, and the
+    validation / test metrics per level come back (S9 table)."""
+    from labeldist import jobs
+    corpus = scratch_path(spark, "corpus-tt")
+    K.write_corpus(C.prepare_instances(items_table(spark, sf), langs=CORPUS_TEST_LANGS), corpus)
+    m = jobs.train_and_test(spark, corpus, "all", max_iter=50, out_path=scratch_path(spark, "run-tt"))
+    return m.select("mode", "level", F.round("mean_js", 6).alias("mean_js"),
+                    F.round("batch_mean_js", 6).alias("batch_mean_js"), "accuracy")
