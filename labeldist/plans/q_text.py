@@ -174,14 +174,16 @@ def _dist_literal_sql(doc: str, short: bool) -> str:
 
 def items_table(spark, sf):
     """An all-string item table in the wide corpus layout, built from
-    ``documents``: four documents form one item, one per language; the first
-    two lines are the arguments; distribution literals derive from the ids
-    (every sixth lists only five senses, i.e. a partial row)."""
+    ``documents``: four consecutive documents form one item, one per
+    language; the split follows the item number; the first two lines are the
+    arguments; distribution literals derive from the ids (every sixth lists
+    only five senses, i.e. a partial row)."""
     d = V.table(spark, sf, "documents")
     g = d.groupBy((F.col("doc_id") - F.col("doc_id") % 4).alias("item")).agg(
         *[F.max(F.when(F.col("lang") == l, F.col("text"))).alias(f"text_{l}") for l in CORPUS_TEST_LANGS],
         *[F.max(F.when(F.col("lang") == l, F.col("doc_id"))).alias(f"doc_{l}") for l in CORPUS_TEST_LANGS])
-    cols = [F.expr("CASE WHEN item % 10 < 7 THEN 'train' WHEN item % 10 = 7 THEN 'dev' ELSE 'test' END").alias("split"),
+    cols = [F.expr("CASE WHEN (item DIV 4) % 10 < 7 THEN 'train' WHEN (item DIV 4) % 10 = 7 THEN 'dev' "
+                   "ELSE 'test' END").alias("split"),
             F.col("item").cast("string").alias("itemid"), F.lit("en").alias("orig_lang"),
             F.lit("['en', 'de', 'fr', 'es']").alias("available_langs")]
     for l in CORPUS_TEST_LANGS:
@@ -233,7 +235,7 @@ w1 AS (SELECT item, inst_lang, """ + ", ".join(
         f"max(CASE WHEN l1_idx = {i} THEN round(v, 6) END) AS {n}" for i, n in enumerate(tx.L1_NAMES)) + """
        FROM l1 GROUP BY item, inst_lang),
 res AS (SELECT CAST(u.item AS VARCHAR) AS itemid, u.inst_lang,
-               CASE WHEN u.item % 10 < 7 THEN 'train' WHEN u.item % 10 = 7 THEN 'dev' ELSE 'test' END AS split,
+               CASE WHEN (u.item // 4) % 10 < 7 THEN 'train' WHEN (u.item // 4) % 10 = 7 THEN 'dev' ELSE 'test' END AS split,
                u.arg1 || ' ' || u.arg2 AS arg1_arg2, n1.l1 AS majority_level_1, n2.l2 AS majority_level_2,
                regexp_replace(u.mv, '_(en|de|fr|cs)$', '') AS majority_level_3,
                """ + ", ".join(f"w1.{n}" for n in tx.L1_NAMES) + f"""
