@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,19 +43,23 @@ def text_encoder(text_col: str = "text", out: str = "features",
 
 def embed(df: DataFrame, text_col: str = "arg1_arg2", out: str = "embedding",
           encoder: Callable[[pd.Series], pd.Series] | None = None,
-          num_features: int = DEFAULT_FEATURES, dim: int | None = None) -> DataFrame:
-    """M1: text -> dense embedding column ``ARRAY<FLOAT>``.
-
-    Default: a TF-IDF pipeline fitted on ``df`` (whole texts).  A
-    user-supplied ``encoder`` (pandas Series of texts -> Series of float
-    lists, e.g. a sentence encoder loaded once per task) runs through
-    ``mapInPandas`` in Arrow batches; ``dim`` gives its output width.
+          num_features: int = DEFAULT_FEATURES, dense: bool = False) -> DataFrame:
+    """M1: text -> embedding column.
+
+    Default: a TF-IDF pipeline fitted on ``df`` (whole texts); the result
+    stays a *sparse* ML vector (a dense array of ``num_features`` values per
+    text would multiply the storage of a large corpus), ``dense=True`` gives
+    ``ARRAY<FLOAT>``.  A user-supplied ``encoder`` (pandas Series of texts ->
+    Series of float lists, e.g. a sentence encoder loaded once per task) runs
+    through ``mapInPandas`` in Arrow batches and gives ``ARRAY<FLOAT>``.
     """
     check_text_input(df, text_col)
     if encoder is None:
         model = text_encoder(text_col, "_vec", num_features).fit(df)
-        res = model.transform(df)
-        return res.withColumn(out, vector_to_array("_vec", "float32")).drop("_tokens", "_tf", "_vec")
+        res = model.transform(df).drop("_tokens", "_tf")
+        if dense:
+            return res.withColumn(out, vector_to_array("_vec", "float32")).drop("_vec")
+        return res.withColumnRenamed("_vec", out)
 
     schema = df.schema.add(out, "array<float>")
 
@@ -67,7 +72,9 @@ def embed(df: DataFrame, text_col: str = "arg1_arg2", out: str = "embedding",
 
 
 def as_features(df: DataFrame, col: str = "embedding", out: str = "features") -> DataFrame:
-    """Array column -> ML vector column."""
+    """Embedding column (array or ML vector) -> ML vector column."""
+    if isinstance(df.schema[col].dataType, VectorUDT):
+        return df.withColumn(out, F.col(col))
     return df.withColumn(out, array_to_vector(F.col(col).cast("array<double>")))
 
 

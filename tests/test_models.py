@@ -29,7 +29,7 @@ def test_density_noise_label(spark, q):
 
 def test_embed_and_pca_shapes(spark, q):
     e = q["embed_documents"](spark, SF).collect()
-    assert all(r.dim == 1024 and r.n_tokens >= 0 for r in e)
+    assert all(r.has_vector and r.n_tokens >= 0 for r in e)
     p = q["pca_embeddings"](spark, SF)
     assert p.groupBy("vec_id").count().filter("count <> 10").count() == 0
 
