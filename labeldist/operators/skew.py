@@ -9,9 +9,10 @@ unchanged (salt 0).  AQE's skew-join splitting does the same at run time for
 sort-merge joins; this keeps the plan balanced whatever the session's AQE
 settings.
 
-Bounds: a hot key holds more than ``share`` of all rows, so the frequent-items
-sketch returns at most about ``1 / share`` keys; only that table is broadcast.  The salt is a hash of
-row content, so a recomputed task reproduces the same assignment.
+Bounds: a hot key holds more than ``share`` of all rows, so the
+frequent-items sketch returns at most about ``1 / share`` keys; only that
+table is broadcast.  The salt is a hash of row content, so a recomputed task
+reproduces the same assignment (and results are exact for any salt).
 """
 
 from __future__ import annotations
