@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labeldist.llm import line_dedup, mixing
+from labeldist.llm import language_id, line_dedup, mixing, sentencepieces
 from labeldist.llm.common import table
 
 QUERIES: dict = {}
@@ -21,3 +21,5 @@ def _register(name: str, tables: tuple[str, ...], fn, sql: str | None = None) ->
 
 _register("op6_line_dedup", ("documents",), line_dedup.op6, line_dedup.SQL)
 _register("op8_mix_sources", ("documents",), mixing.op8, mixing.SQL)
+_register("op9_language_id", ("documents",), language_id.op9)
+_register("op10_sentencepiece_samples", ("documents",), sentencepieces.op10)

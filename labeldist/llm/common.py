@@ -7,7 +7,11 @@ name (``size``, ``score``, ``target`` ...) may be present and never clash.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,12 @@ def row_ids(df: DataFrame, name: str = "__rid") -> DataFrame:
     give the same rows in the same places when it is read again, as tables,
     files and checkpoints do."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes of text (one long text is a slice of its own)."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // limit
+    start = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(start, [*start[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
