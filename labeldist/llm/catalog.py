@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labeldist.llm import language_id, line_dedup, mixing, sentencepieces
+from labeldist.llm import language_id, line_dedup, mixing, ngram_join, sentencepieces
 from labeldist.llm.common import table
 
 QUERIES: dict = {}
@@ -19,6 +19,7 @@ def _register(name: str, tables: tuple[str, ...], fn, sql: str | None = None) ->
         ORACLE[name] = sql.strip()
 
 
+_register("op5_ngram_jaccard_join", ("documents",), ngram_join.op5)
 _register("op6_line_dedup", ("documents",), line_dedup.op6, line_dedup.SQL)
 _register("op8_mix_sources", ("documents",), mixing.op8, mixing.SQL)
 _register("op9_language_id", ("documents",), language_id.op9)

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: A table is broadcast only after it was counted and has at most so many (narrow) rows; beyond, it is joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +67,16 @@ def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBa
     start = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(start, [*start[1:], batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A hint to broadcast a narrow table, if a count shows that it has few rows."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two 64-bit integers (order matters)."""
+    h = (a * _MULT) ^ (a >> np.uint64(29))
+    h = (h + b + np.uint64(1)) * _MULT
+    h = (h ^ (h >> np.uint64(32))) * _MULT
+    return h ^ (h >> np.uint64(29))

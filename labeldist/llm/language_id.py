@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labeldist.llm.common import column_or_null, crc_mod, slices
+from labeldist.llm.common import column_or_null, crc_mod, mixed, slices
 from labeldist.session import cut_lineage
 
 ORDER = 4          # characters of an n-gram, at most 6
@@ -38,7 +38,6 @@ SHARPNESS = 20.0   # characters that the score (a softmax of the cross-entropies
 FALSE_REJECTS = 1e-4      # share of training texts beyond the calibrated threshold ...
 MARGIN = 1.5              # ... which is widened by this factor
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.uint64(21)
 
 
@@ -72,13 +71,6 @@ class Grams:
         self.gram, self.a, self.b = code, packed[0][first], packed[1][first]
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = (a * _MULT) ^ (a >> np.uint64(29))
-    h = (h + b + np.uint64(1)) * _MULT
-    h = (h ^ (h >> np.uint64(32))) * _MULT
-    return h ^ (h >> np.uint64(29))
-
-
 def characters(a: np.ndarray, b: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Packed n-grams as a matrix with one column per character."""
     head, tail = min(order, 3), max(order - 3, 0)
