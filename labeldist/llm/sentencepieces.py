@@ -96,28 +96,56 @@ class Vocabulary:
                 texts.append(piece)
         if any("▁" in t.lstrip("▁") for t in texts):
             raise ValueError("a piece crosses the start of a word")
-        length = np.array([len(t) for t in texts])
+        # all beginnings of pieces: the id of the piece, or -1 where only longer pieces begin so
+        begun = dict.fromkeys((t[:j] for t in texts for j in range(1, len(t))), -1) | dict(zip(texts, ids, strict=True))
+        length = np.array([len(t) for t in begun])
         self.longest = int(length.max())
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer("".join(begun).encode("utf-32-le"), np.uint32).astype(np.uint64)
         start = np.concatenate([[0], np.cumsum(length)[:-1]])
+        h = np.zeros(len(start), np.uint64)
         with np.errstate(over="ignore"):
-            h = Hashes(codes).of(start, length)
+            for j in range(self.longest):
+                more = np.flatnonzero(length > j)
+                h[more] = self.longer(h[more], codes[start[more] + j])
         sort = np.argsort(h)
-        self.hashes, self.ids = h[sort], np.array(ids, np.int32)[sort]
+        self.hashes, self.ids = h[sort], np.fromiter(begun.values(), np.int32)[sort]
+        bucket = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.bucket = np.full(1 << 20, -1, np.int32)   # the first hash with these leading bits
+        self.bucket[bucket[::-1]] = np.arange(len(bucket))[::-1]
         self.weight = np.full(n, -np.inf)
         self.weight[np.array(ids)] = -theta * np.log(np.arange(len(ids)) + 2.0)
         self.byte_weight = -theta * np.log(len(ids) + 2.0)
-        self.chars = np.sort(codes[start[length == 1]])
-        self.maybe = np.zeros(1 << 20, bool)   # most stretches are no piece, which this tells at once
-        self.maybe[self.hashes >> np.uint64(44)] = True
+        self.known = np.zeros(LITERAL + 1, bool)
+        self.known[[ord(t) for t in texts if len(t) == 1]] = True
         self.n = n
 
+    @staticmethod
+    def longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The hash of a stretch of characters from that of its beginning and its last character."""
+        h = (h ^ (code + np.uint64(1))) * M1
+        h ^= h >> np.uint64(32)
+        h *= M2
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes among the known beginnings (-1: none)."""
+        place = self.bucket[h >> np.uint64(44)]
+        open_ = np.flatnonzero(place >= 0)
+        while len(open_):
+            open_ = open_[self.hashes[place[open_]] != h[open_]]
+            place[open_] += 1   # hashes with the same leading bits are neighbours
+            end = place[open_] >= len(self.hashes)
+            over = end | ((self.hashes[np.where(end, 0, place[open_])] ^ h[open_]) >> np.uint64(44) > 0)
+            place[open_[over]] = -1
+            open_ = open_[~over]
+        return place
+
 
 class Lattice:
     """The lattices of the distinct words of some texts: a slot per character and one for each word's end,
     and the edges of each slot next to each other, longest first."""
 
-    def __init__(self, codes: np.ndarray, hashes: Hashes, start: np.ndarray, length: np.ndarray, vocab: Vocabulary):
+    def __init__(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, vocab: Vocabulary):
         slots = length + 1
         self.slot_of_word = np.concatenate([[0], np.cumsum(slots)[:-1]]).astype(np.int64)
         total = int(slots.sum())
@@ -125,28 +153,31 @@ class Lattice:
         offset = np.arange(total) - self.slot_of_word[word]
         self.to_end = to_end = length[word] - offset   # 0: the end
         source = np.minimum(start[word] + offset, max(len(codes) - 1, 0))
+        found = []
+        code = codes[source].astype(np.uint64)   # by slot
+        at = np.flatnonzero(to_end > 0)
+        h = np.zeros(len(at), np.uint64)
+        for k in range(1, vocab.longest + 1):   # go on only where some piece begins so
+            h = vocab.longer(h, code[at + (k - 1)])
+            place = vocab.find(h)
+            some = np.flatnonzero(place >= 0)
+            at, h, piece = at[some], h[some], vocab.ids[place[some]]
+            some = np.flatnonzero(piece >= 0)
+            found.append((at[some], k, piece[some]))
+            some = np.flatnonzero(to_end[at] > k)
+            at, h = at[some], h[some]
+        found.reverse()
         # a character that has no piece of its own is one edge, spelt in bytes
-        distinct, which = np.unique(np.where(to_end > 0, codes[source], 32), return_inverse=True)
-        strange = ~np.isin(distinct, vocab.chars)
-        spelt = [(chr(SPACE) if c == LITERAL else chr(c)).encode() for c in distinct[strange]]
+        odd = np.flatnonzero((to_end > 0) & ~vocab.known[codes[source]]) if total else np.zeros(0, np.int64)
+        strange, number = np.unique(codes[source[odd]], return_inverse=True)
+        found.append((odd, 1, vocab.n + number))
+        spelt = [(chr(SPACE) if c == LITERAL else chr(c)).encode() for c in strange]
         weight = np.concatenate([vocab.weight, [len(b) * vocab.byte_weight for b in spelt]])
         self.spelt = [vocab.bytes_id[list(b)] for b in spelt]
-        number = np.zeros(len(distinct), np.int32)
-        number[strange] = vocab.n + np.arange(len(spelt))
-        found = []
-        for k in range(min(vocab.longest, int(length.max()) if len(length) else 0), 0, -1):
-            at = np.flatnonzero(to_end >= k)
-            h = hashes.of(source[at], k)
-            some = np.flatnonzero(vocab.maybe[h >> np.uint64(44)])
-            at, h = at[some], h[some]
-            place = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
-            hit = vocab.hashes[place] == h
-            found.append((at[hit], k, vocab.ids[place[hit]]))
-        odd = np.flatnonzero((to_end > 0) & strange[which])
-        found.append((odd, 1, number[which[odd]]))
-        self.ways = sum((np.bincount(at, minlength=total) for at, _, _ in found), np.zeros(total, np.int64))
+        self.ways = np.bincount(np.concatenate([at for at, _, _ in found]), minlength=total)
         # edges in order of their slot's distance from the end, so that sums over ways run backwards
-        order = np.argsort(to_end, kind="stable")
+        deepest = int(to_end.max()) if total else 0
+        order = np.argsort(to_end.astype(np.uint16) if deepest < 2**16 else to_end, kind="stable")
         self.edge = np.zeros(total, np.int64)
         self.edge[order] = np.concatenate([[0], np.cumsum(self.ways[order])[:-1]]) if total else 0
         n = int(self.ways.sum())
@@ -159,7 +190,7 @@ class Lattice:
         # log mass of all ways to the word's end, each edge's log share and the running share of a slot's edges
         w, self.mass = weight[self.piece], np.zeros(total)
         self.log_q, self.upto = np.empty(n), np.empty(n)
-        bound = np.searchsorted(to_end[order], np.arange(1, (int(to_end.max()) if total else 0) + 2))
+        bound = np.searchsorted(to_end[order], np.arange(1, deepest + 2))
         for a, b in zip(bound[:-1], bound[1:], strict=True):
             at = order[a:b]
             many, first = self.ways[at], self.edge[at]
@@ -310,12 +341,11 @@ def sample(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int) -> Ite
     origin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
     with np.errstate(over="ignore"):
         start, length = _units(codes, origin[size > 0])
-        hashes = Hashes(codes)
-        which = pd.factorize(hashes.of(start, length))[0]
+        which = pd.factorize(Hashes(codes).of(start, length))[0]
         first = np.zeros(which.max() + 1 if len(which) else 0, np.int64)
         first[which[::-1]] = np.arange(len(which))[::-1]
-        lat = Lattice(codes, hashes, start[first], length[first], vocab)
-    del hashes, codes
+        lat = Lattice(codes, start[first], length[first], vocab)
+    del codes
     unit_doc = np.searchsorted(origin + size, start, side="right")
     unit_slot = lat.slot_of_word[which]
     at_text = np.zeros(n, np.int64)
