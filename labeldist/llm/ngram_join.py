@@ -14,11 +14,11 @@ few pairs); sizes fall into bands, and a set makes its pairs for its own band
 and the next, so that any two sets of fitting sizes meet in one band.
 
 Candidates are not expanded to all pairs of a list.  First each set is held
-against the smallest of its list; the links found give components, and only
+against the centre of its list; the links found give components, and only
 pairs of a list whose components still differ are looked at after that (and
 exactly these are needed: a further link inside a component changes nothing).
-Candidates pass a bound on the difference of bucketed counts, and are then
-verified on the whole sets.
+Candidates pass bounds on their difference (by numbers of rare and frequent
+tokens, then by bucketed counts), and are then verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.llm.common import GAP, column_or_null, mixed, row_ids, slices, small
+from labeldist.llm.common import GAP, column_or_null, mixed, row_ids, slices, small, stored
 from labeldist.llm.components import components
-from labeldist.session import cut_lineage
 
 BATCH_BYTES = 1_500_000
 #: A token is frequent if more sets than this have it among their first tokens.
@@ -155,8 +154,8 @@ def _sign(percent: int):
                                   for c in ("rare", "frequent"))
                 sig = signatures(int(n[i]), rare, frequent, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), rid[i])), pa.array(np.full(len(sig), n[i]))],
-                    names=["sig", "rid", "n"])
+                    [pa.array(sig.view(np.int64)), *[pa.array(np.full(len(sig), x)) for x in (rid[i], n[i], np.int32(len(rare)))],
+                     pa.array(np.arange(len(sig)) < len(rare))], names=["sig", "rid", "n", "r", "single"])
     return run
 
 
@@ -204,70 +203,89 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     least = least_size(percent)
     rows = row_ids(docs).select("__rid", column_or_null(docs, "doc_id", "long").alias("__id"),
                                 column_or_null(docs, "text", "string").alias("__text"))
-    described = cut_lineage(rows.mapInArrow(
-        _describe(width, percent), "__rid long, __id long, n long, k1 long, k2 long, zone array<long>, counts binary"))
+    described = stored(rows.mapInArrow(
+        _describe(width, percent), "__rid long, __id long, n long, k1 long, k2 long, zone array<long>, counts binary"), "described")
     key = ["n", "k1", "k2"]
-    sets = cut_lineage(described.filter("n > 0").groupBy(*key).agg(
-        F.min("__rid").alias("rid"), F.min("__id").alias("id"), F.count(F.lit(1)).alias("rows")))
+    sets = stored(described.filter("n > 0").groupBy(*key).agg(
+        F.min("__rid").alias("rid"), F.min("__id").alias("id"), F.count(F.lit(1)).alias("rows")), "sets")
     # one row for each distinct set
     first = sets.filter("rows > 1").select(*key, F.col("rid").alias("keep"))
     copies = described.filter(F.col("n") >= least).select("__rid", *key).join(first, key).filter("__rid <> keep").select("__rid")
-    nodes = described.filter(F.col("n") >= least).join(small(cut_lineage(copies)), "__rid", "left_anti").select(
+    nodes = described.filter(F.col("n") >= least).join(small(stored(copies, "copies")), "__rid", "left_anti").select(
         F.col("__rid").alias("rid"), "n", "zone", "counts")
 
-    token = nodes.select("rid", "n", F.posexplode("zone").alias("pos", "token"))
-    frequent = cut_lineage(token.groupBy("token").count().filter(F.col("count") > FREQUENT).select("token"))
-    frequent = small(frequent)
-    hits = token.join(frequent, "token", "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("hit"))
-    need = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1
-    marked = cut_lineage(hits)
-    plain = nodes.join(small(marked), "rid", "left").select(
-        "rid", "n", need.cast("int").alias("need"), F.when(F.col("hit").isNull(), F.col("zone")).otherwise(
-            F.filter("zone", lambda x, i: ~F.array_contains("hit", i))).alias("rare"))
-    enough = F.size("rare") >= F.col("need")
-    singles = plain.filter(enough).select(F.explode(F.slice("rare", F.lit(1), F.col("need"))).alias("sig"), "rid", "n")
-    # sets of mostly frequent tokens: all their tokens count
-    deep = small(cut_lineage(plain.filter(~enough).select("rid", "n")))
-    of_deep = rows.withColumnRenamed("__rid", "rid").join(deep.select("rid"), "rid", "left_semi").select(
-        F.col("rid").alias("__rid"), "__text").mapInArrow(_sets(width), "rid long, tokens array<long>")
-    each = of_deep.select("rid", F.explode("tokens").alias("token")).join(
-        frequent.withColumn("often", F.lit(True)), "token", "left")
-    classed = each.groupBy("rid").agg(
-        F.collect_list(F.when(F.col("often").isNull(), F.col("token"))).alias("rare"),
-        F.collect_list(F.when(F.col("often"), F.col("token"))).alias("frequent"))
-    pairs_of = classed.join(deep, "rid").select("rid", "n", "rare", "frequent").mapInArrow(
-        _sign(percent), "sig long, rid long, n long")
-    signed = singles.union(pairs_of)
-
-    # lists of more than one set, with the smallest of each
-    lists = signed.groupBy("sig").agg(F.min(F.struct("n", "rid")).alias("center"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    member = cut_lineage(signed.join(lists.select("sig", "center"), "sig"))
-    fits = lambda x, y: F.lit(percent) * F.greatest(x, y) <= 100 * F.least(x, y)
+    # Classes: frequent tokens, and the sets of mostly frequent tokens ("deep"), of which all tokens count.
+    # What the deep sets hold often is frequent too, which can make further sets deep.
+    token = nodes.select("rid", F.posexplode("zone").alias("pos", "token"))
+    often = lambda tokens: tokens.groupBy("token").count().filter(F.col("count") > FREQUENT).select("token")
+    frequent = stored(often(token), "frequent")
+    need = (F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1).cast("int")
+    deep = of_deep = None
+    while True:
+        hits = token.join(small(frequent), "token", "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("hit"))
+        plain = nodes.join(small(stored(hits, "hits")), "rid", "left").select(
+            "rid", "n", need.alias("need"), F.when(F.col("hit").isNull(), F.col("zone")).otherwise(
+                F.filter("zone", lambda x, i: ~F.array_contains("hit", i))).alias("rare"))
+        enough = F.size("rare") >= F.col("need")
+        now = stored(plain.filter(~enough).select("rid", "n"), "deep")
+        new = now if deep is None else now.join(small(deep), "rid", "left_anti")
+        if new.isEmpty():
+            break
+        tokens = stored(rows.withColumnRenamed("__rid", "rid").join(small(new.select("rid")), "rid", "left_semi").select(
+            F.col("rid").alias("__rid"), "__text").mapInArrow(_sets(width), "rid long, tokens array<long>"), "tokens")
+        deep, of_deep = now, tokens if of_deep is None else of_deep.union(tokens)
+        frequent = stored(frequent.union(often(of_deep.select(F.explode("tokens").alias("token")))).distinct(), "frequent")
+    signed = plain.filter(enough).select(
+        F.explode(F.slice("rare", F.lit(1), F.col("need"))).alias("sig"), "rid", "n", F.col("need").alias("r"), F.lit(True).alias("single"))
+    if deep is not None:
+        each = of_deep.select("rid", F.explode("tokens").alias("token")).join(
+            small(frequent).withColumn("often", F.lit(True)), "token", "left")
+        classed = each.groupBy("rid").agg(
+            F.collect_list(F.when(F.col("often").isNull(), F.col("token"))).alias("rare"),
+            F.collect_list(F.when(F.col("often"), F.col("token"))).alias("frequent"))
+        signed = signed.union(classed.join(small(deep), "rid").select("rid", "n", "rare", "frequent").mapInArrow(
+            _sign(percent), "sig long, rid long, n long, r int, single boolean"))
+
+    # lists of more than one set; the centre is the set with the fewest rare tokens, as an original has among its copies
+    lists = signed.groupBy("sig").agg(F.min(F.struct("r", "n", "rid")).alias("center"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    member = stored(signed.join(lists.select("sig", "center"), "sig"), "members")
+
+    def may_link(a: str, b: str):
+        """Sizes fit; and if two sets meet by frequent tokens only (else a single brings them together as well), they
+        differ by all their rare tokens and by the difference of their numbers of frequent ones at least."""
+        n, m, r, s = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}r", f"{b}r"))
+        apart = r + s + F.abs((n - r) - (m - s))
+        return (percent * F.greatest(n, m) <= 100 * F.least(n, m)) & (
+            F.col("single") | (apart * (100 + percent) <= (n + m) * (100 - percent)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
         side = nodes.select("rid", "n", "counts")
-        near = cut_lineage(pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b").mapInArrow(
-            _differ(percent), "a long, b long"))
-        used = small(cut_lineage(near.select(F.col("a").alias("rid")).union(near.select("b")).distinct()))
-        tokens = rows.withColumnRenamed("__rid", "rid").join(used, "rid", "left_semi").select(
-            F.col("rid").alias("__rid"), "__text").mapInArrow(_sets(width), "rid long, tokens array<long>")
-        tokens = cut_lineage(tokens)
-        return cut_lineage(near.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b").mapInArrow(
-            _verify(percent), "a long, b long"))
-
-    links = verified(member.filter((F.col("rid") != F.col("center.rid")) & fits(F.col("n"), F.col("center.n"))).select(
-        F.col("rid").alias("a"), F.col("center.rid").alias("b")))
+        near = stored(pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b").mapInArrow(
+            _differ(percent), "a long, b long"), "near")
+        used = small(stored(near.select(F.col("a").alias("rid")).union(near.select("b")).distinct(), "used"))
+        tokens = stored(rows.withColumnRenamed("__rid", "rid").join(used, "rid", "left_semi").select(
+            F.col("rid").alias("__rid"), "__text").mapInArrow(_sets(width), "rid long, tokens array<long>"), "tokens")
+        return stored(near.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b").mapInArrow(
+            _verify(percent), "a long, b long"), "links")
+
+    c = member.select("sig", "single", "rid", F.col("n").alias("a_n"), F.col("r").alias("a_r"), F.col("center.rid").alias("b"),
+                      F.col("center.n").alias("b_n"), F.col("center.r").alias("b_r"))
+    links = verified(c.filter(F.col("rid") != F.col("b")).filter(may_link("a_", "b_")).select(F.col("rid").alias("a"), "b"))
+
+    # What the centres have not brought together: sets outside a list's largest component against all others of the list
     part = components(links).toDF("rid", "part")
-    placed = member.join(part, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
-    split = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("sig")
-    apart = cut_lineage(placed.join(split, "sig", "left_semi").select("sig", "rid", "n", "part", F.col("center.rid").alias("center")))
-    a = apart.select("sig", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    b = apart.select("sig", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), "center")
-    rest = a.join(b, "sig").filter(F.col("a") < F.col("b")).filter(
-        (F.col("pa") != F.col("pb")) & (F.col("a") != F.col("center")) & (F.col("b") != F.col("center"))
-        & fits(F.col("na"), F.col("nb"))).select("a", "b")
-    links = links.union(verified(rest))
+    placed = member.select("sig", "single", "rid", "n", "r", F.col("center.rid").alias("center")).join(
+        part, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
+    sizes = placed.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("size"))
+    split = sizes.groupBy("sig").agg(F.max_by("part", F.struct("size", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    apart = stored(placed.join(split.filter("parts > 1").select("sig", "most"), "sig"), "apart")
+    a = apart.filter("part <> most").select("sig", "single", "center", "most", *[F.col(x).alias(f"a_{x}") for x in ("rid", "n", "r", "part")])
+    b = apart.select("sig", *[F.col(x).alias(f"b_{x}") for x in ("rid", "n", "r", "part")])
+    rest = a.join(b, "sig").filter(
+        (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("most")) | (F.col("a_rid") < F.col("b_rid")))
+        & (F.col("a_rid") != F.col("center")) & (F.col("b_rid") != F.col("center")) & may_link("a_", "b_"))
+    links = links.union(verified(rest.select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"))))
 
     part = components(links).toDF("rid", "part")
     joined = sets.join(part, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
@@ -293,4 +311,4 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     found = jaccard_components(docs, width, percent).select("__rid", "group", mine.alias("mine"))
     best = found.groupBy("group").agg(F.min("mine").alias("best"))
     gone = found.join(best, "group").filter(F.col("mine") != F.col("best")).select("__rid")
-    return rows.join(small(cut_lineage(gone)), "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(small(stored(gone, "gone")), "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
