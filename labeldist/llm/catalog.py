@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labeldist.llm import language_id, line_dedup, mixing, ngram_join, sentencepieces
+from labeldist.llm import cover_tree, flat_graph, language_id, line_dedup, mixing, ngram_join, pu_quality, sentencepieces, surrogates
 from labeldist.llm.common import table
 
 QUERIES: dict = {}
@@ -19,8 +19,12 @@ def _register(name: str, tables: tuple[str, ...], fn, sql: str | None = None) ->
         ORACLE[name] = sql.strip()
 
 
+_register("op1_pii_surrogates", ("documents",), surrogates.op1)
+_register("op3_cover_tree_topk", ("embeddings",), cover_tree.op3, cover_tree.SQL)
+_register("op4_flat_graph_dedup", ("embeddings",), flat_graph.op4)
 _register("op5_ngram_jaccard_join", ("documents",), ngram_join.op5)
 _register("op6_line_dedup", ("documents",), line_dedup.op6, line_dedup.SQL)
+_register("op7_pu_quality", ("documents", "labels"), pu_quality.op7)
 _register("op8_mix_sources", ("documents",), mixing.op8, mixing.SQL)
 _register("op9_language_id", ("documents",), language_id.op9)
 _register("op10_sentencepiece_samples", ("documents",), sentencepieces.op10)

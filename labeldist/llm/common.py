@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labeldist.session import scratch_path
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: A table is broadcast only after it was counted and has at most so many (narrow) rows; beyond, it is joined by a shuffle.
@@ -46,6 +48,13 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast(kind)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written as Parquet to the shared folder and read again: compressed, and safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Total length of all texts: one aggregate row, used to size groups to the data."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
