@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labeldist.llm import cover_tree, flat_graph, language_id, line_dedup, mixing, ngram_join, pu_quality, sentencepieces, surrogates
+from labeldist.llm import cover_tree, flat_graph, katz, language_id, line_dedup, mixing, ngram_join, pu_quality, sentencepieces, surrogates
 from labeldist.llm.common import table
 
 QUERIES: dict = {}
@@ -20,6 +20,7 @@ def _register(name: str, tables: tuple[str, ...], fn, sql: str | None = None) ->
 
 
 _register("op1_pii_surrogates", ("documents",), surrogates.op1)
+_register("op2_katz_backoff", ("documents",), katz.op2)
 _register("op3_cover_tree_topk", ("embeddings",), cover_tree.op3, cover_tree.SQL)
 _register("op4_flat_graph_dedup", ("embeddings",), flat_graph.op4)
 _register("op5_ngram_jaccard_join", ("documents",), ngram_join.op5)
