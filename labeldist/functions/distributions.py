@@ -206,8 +206,9 @@ def argmax_label(arr: Expr, names: Sequence[str]) -> Column:
 # -------------------------------------------------------------- distances ---
 
 def _rel_entr(x: str, y: str) -> str:
-    # x*ln(x/y); 0 when x == 0; +inf when y == 0 < x (elementwise relative entropy)
-    return (f"CASE WHEN {x} > 0 AND {y} > 0 THEN {x} * ln({x} / {y}) "
+    # x*ln(x/y); 0 when x == 0; +inf when y == 0 < x (elementwise relative entropy); NULL if either is
+    return (f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"WHEN {x} > 0 AND {y} > 0 THEN {x} * ln({x} / {y}) "
             f"WHEN {x} = 0 AND {y} >= 0 THEN 0D ELSE double('inf') END")
 
 
@@ -215,7 +216,8 @@ def _js_term(x: str, y: str) -> str:
     # rel_entr(x, m) with m = (x + y) / 2, written with s = x + y: the tests
     # m > 0 / m >= 0 become s > 0 / s >= 0 and x / m == 2x / s exactly
     # (scaling by 2 is exact), so m itself is never formed
-    return (f"CASE WHEN {x} > 0 AND {x} + {y} > 0 THEN {x} * ln(2D * {x} / ({x} + {y})) "
+    return (f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"WHEN {x} > 0 AND {x} + {y} > 0 THEN {x} * ln(2D * {x} / ({x} + {y})) "
             f"WHEN {x} = 0 AND {x} + {y} >= 0 THEN 0D ELSE double('inf') END")
 
 
@@ -237,14 +239,17 @@ def js_sql(p: str, q: str, normalized: bool = False) -> str:
     a, b = _var("a"), _var("b")
     pn, qn = (p, q) if normalized else (l1_normalize_sql(p), l1_normalize_sql(q))
     terms = f"zip_with({pn}, {qn}, ({a}, {b}) -> {_js_term(a, b)} + {_js_term(b, a)})"
-    return f"sqrt(greatest(0D, {_sum_sql(terms)} / {_LN2} / 2D))"
+    # greatest() skips NULLs, so a NULL divergence (a NULL array or element) is passed on by hand
+    return let_sql(f"{_sum_sql(terms)} / {_LN2} / 2D",
+                   lambda d: f"CASE WHEN {d} IS NOT NULL THEN sqrt(greatest(0D, {d})) END")
 
 
 def js_distance(p: Expr, q: Expr) -> Column:
     """Jensen-Shannon *distance* (square root of the divergence), base 2.
 
     Both inputs are L1-normalised first.  Rounding can make the divergence a
-    hair below zero for near-identical inputs; it is clamped at 0.
+    hair below zero for near-identical inputs; it is clamped at 0.  A NULL
+    array or element gives NULL.
     """
     return _out(js_sql(sql_of(p), sql_of(q)))
 

@@ -149,7 +149,7 @@ def train_and_test(spark: SparkSession, corpus_path: str, lang: str = "all", arc
                 pred = js.select(F.lit(lang).alias("train_lang"), F.col("inst_lang").alias("test_lang"),
                                  F.lit(arch).alias("arch"), F.lit(run).alias("run"), "itemid", "level",
                                  "label", "pred")
-                K.write_predictions(pred, f"{out_path}/predictions", mode="append")
+                K.write_predictions(pred, f"{out_path}/predictions", mode="overwrite" if run == 1 else "append")
         if out_path:
             mdir = f"{out_path}/models/{lang}_{arch}_{loss}_{run}"
             H.save_model(model, mdir)
@@ -159,7 +159,7 @@ def train_and_test(spark: SparkSession, corpus_path: str, lang: str = "all", arc
     for m in metrics[1:]:
         out = out.unionByName(m)
     if out_path:
-        K.append_metrics(out, f"{out_path}/metrics")
+        K.append_metrics(out, f"{out_path}/metrics", mode="overwrite")
         train.unpersist()
         return spark.read.parquet(f"{out_path}/metrics")
     return out

@@ -282,14 +282,15 @@ def _merge_micro(df: DataFrame, k: int, features: str, seed: int, micro: int, ho
 
 
 def grid_density(df: DataFrame, features: str = "features", min_size: int = 5, eps: float | None = None,
-                 dims: int = 3, max_iter: int = 50) -> DataFrame:
+                 *, dims: int) -> DataFrame:
     """Density clustering on a grid (re-aim of a density hierarchy).
 
     Points are projected to ``dims`` principal components and binned into
     cells of width ``eps``; cells holding at least ``min_size`` points are
     dense; dense cells touching (including diagonals) form one cluster,
-    found by iterated min-label propagation over the cell graph; points in
-    sparse cells are noise (-1).  No point pairs are ever formed: each dense
+    found by min-label propagation over the cell graph, iterated until no
+    label changes; points in sparse cells are noise (-1).  ``dims`` is the
+    caller's choice: all other directions are projected away.  No point pairs are ever formed: each dense
     cell emits its 3^dims neighbour keys.
     """
     from itertools import product
@@ -312,7 +313,7 @@ def grid_density(df: DataFrame, features: str = "features", min_size: int = 5, e
              .join(dense.select(F.col("_cell").alias("_nb")), "_nb"))
     label_of = F.xxhash64("_cell")
     labels = cut_lineage(dense.select("_cell", label_of.alias("_lab")))
-    for _ in range(max_iter):
+    while True:
         prop = edges.join(labels.select(F.col("_cell").alias("_nb"), "_lab"), "_nb").select("_cell", "_lab")
         new = labels.unionByName(prop).groupBy("_cell").agg(F.min("_lab").alias("_lab"))
         new = cut_lineage(new)
@@ -332,8 +333,8 @@ def cluster(df: DataFrame, algo: str = "kmeans", k: int = 4, features: str = "fe
     """M5-M9: add a ``cluster`` column.
 
     ``kmeans`` and ``gmm`` are Spark ML estimators; the mixture is fitted on
-    ``gmm_dims`` (default 10) principal components, since full covariances in
-    the raw dimension are singular for small samples.  ``hierarchical`` (Ward)
+    ``gmm_dims`` principal components if given (full covariances in the raw
+    dimension are singular for small samples).  ``hierarchical`` (Ward)
     and ``spectral`` first summarise the data with ``micro`` k-means
     centres, then cluster those centres (a bounded table) and map every row
     through its centre.  ``density`` is :func:`grid_density`.
@@ -344,11 +345,13 @@ def cluster(df: DataFrame, algo: str = "kmeans", k: int = 4, features: str = "fe
         from pyspark.ml.clustering import GaussianMixture
 
         from labeldist.operators.features import reduce
-        dims = kw.get("gmm_dims", 10)
+        dims = kw.get("gmm_dims")
         src, col = (reduce(df, features, k=dims, out="_gmm_x"), "_gmm_x") if dims else (df, features)
         m = GaussianMixture(k=k, seed=seed, featuresCol=col, predictionCol="cluster",
                             probabilityCol="_prob").fit(src)
         return m.transform(src).drop("_prob", "_gmm_x")
+    if algo in ("hierarchical", "spectral") and k > micro:
+        raise ValueError(f"k={k} clusters need at least as many micro-clusters (micro={micro})")
     if algo == "hierarchical":
         return _merge_micro(df, k, features, seed, micro, "ward")
     if algo == "spectral":

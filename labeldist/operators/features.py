@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_FEATURES = 1 << 12  # hashed vocabulary size of the default text encoder
-TOKEN_PATTERN = "\\W+"
+TOKEN_PATTERN = "(?U)\\W+"  # letters of every script belong to words
 
 
 def check_text_input(df, text_col: str) -> None:

@@ -7,8 +7,8 @@ soft-label cross-entropy, so Spark ML's ``LogisticRegression`` trains the
 head directly.  The other losses fit one regressor per sense.
 
 Architectures: ``flat`` (independent heads), ``chain`` (level 2 sees level-1
-scores, level 3 sees both), ``gated`` (fixed-weight mix of features and
-upstream scores).  Fitted heads are ``PipelineModel``s and persist with
+probabilities, level 3 sees both), ``gated`` (fixed-weight mix of features and
+upstream probabilities).  Fitted heads are ``PipelineModel``s and persist with
 Spark ML writers.
 """
 
@@ -31,7 +31,7 @@ LOSSES = ("cross-entropy", "l2", "smooth-l1", "l1")
 ARCHS = ("flat", "chain", "gated")
 # --- fixed values: starting mix weights of the gated architecture -----------
 GATE_L2 = 0.622                    # sigmoid(0.5): weight of upstream scores at level 2
-GATE_L3 = (0.305, 0.305, 0.391)    # softmax(.25, .25, .5): features, level 1, level 2
+GATE_L3 = (0.391, 0.305, 0.305)    # softmax(.5, .25, .25): features, level 1, level 2
 # -----------------------------------------------------------------------------
 
 
@@ -50,6 +50,14 @@ class HeadsModel:
         return score(self, df)
 
 
+def _upstream(level: int):
+    """Probabilities of an upstream head: the softmax of its scores.  Raw scores are linear in the features and would
+    add nothing to a linear head."""
+    s = F.col(f"scores_l{level}")
+    e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+
 def _input_features(df: DataFrame, arch: str, level: int, levels: Sequence[int], features: str,
                     gate_l2: float = GATE_L2, gate_l3: Sequence[float] = GATE_L3) -> DataFrame:
     """Feature vector seen by the head of ``level`` (``_x``)."""
@@ -58,14 +66,14 @@ def _input_features(df: DataFrame, arch: str, level: int, levels: Sequence[int],
         return df.withColumn("_x", F.col(features))
     f = vector_to_array(features)
     if arch == "chain":
-        arr = F.concat(f, *[F.col(f"scores_l{u}") for u in ups])
+        arr = F.concat(f, *[_upstream(u) for u in ups])
     else:  # gated
         if len(ups) == 1:
             wf, wu = 1.0 - gate_l2, [gate_l2]
         else:
             wf, wu = gate_l3[0], list(gate_l3[1:1 + len(ups)])
         arr = F.concat(F.transform(f, lambda x: x * F.lit(wf)),
-                       *[F.transform(f"scores_l{u}", lambda x, w=w: x * F.lit(w)) for u, w in zip(ups, wu)])
+                       *[F.transform(_upstream(u), lambda x, w=w: x * F.lit(w)) for u, w in zip(ups, wu)])
     return df.withColumn("_x", array_to_vector(arr))
 
 
@@ -77,11 +85,13 @@ def _soft_rows(df: DataFrame, label_col: str, n: int) -> DataFrame:
 
 
 def _fit_level(df: DataFrame, label_col: str, n: int, loss: str, max_iter: int, reg: float,
-               seed: int = 42) -> PipelineModel:
+               seed: int = 42, standardize: bool = True) -> PipelineModel:
+    # a partial distribution (a NULL or a NULL element) is no label
+    df = df.filter(F.forall(label_col, lambda p: p.isNotNull()))
     if loss == "cross-entropy":
         rows = _soft_rows(df, label_col, n).cache()
         lr = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", family="multinomial",
-                                maxIter=max_iter, regParam=reg, rawPredictionCol="_raw",
+                                maxIter=max_iter, regParam=reg, standardization=standardize, rawPredictionCol="_raw",
                                 probabilityCol="_prob", predictionCol="_pred")
         model = Pipeline(stages=[lr]).fit(rows)
         rows.unpersist()
@@ -90,10 +100,10 @@ def _fit_level(df: DataFrame, label_col: str, n: int, loss: str, max_iter: int,
     for i in range(n):
         if loss == "l1":
             est = GBTRegressor(featuresCol="_x", labelCol=f"_y{i}", predictionCol=f"_s{i}",
-                               lossType="absolute", maxIter=max(5, max_iter // 10), seed=seed)
+                               lossType="absolute", maxIter=max_iter, seed=seed)
         else:
             est = LinearRegression(featuresCol="_x", labelCol=f"_y{i}", predictionCol=f"_s{i}",
-                                   maxIter=max_iter, regParam=reg,
+                                   maxIter=max_iter, regParam=reg, standardization=standardize,
                                    loss="huber" if loss == "smooth-l1" else "squaredError")
         stages.append(est)
     data = df.select("_x", *[F.col(label_col)[i].alias(f"_y{i}") for i in range(n)]).cache()
@@ -112,12 +122,13 @@ def _apply_level(model: PipelineModel, df: DataFrame, n: int, loss: str, out: st
 def fit_heads(df: DataFrame, features: str = "features",
               labels: Mapping[int, str] | None = None, arch: str = "flat",
               levels: Sequence[int] = (1, 2, 3), loss: str = "cross-entropy",
-              max_iter: int = 100, reg: float = 0.0, seed: int = 42,
+              max_iter: int = 100, reg: float = 1e-4, seed: int = 42,
               gate_l2: float = GATE_L2, gate_l3: Sequence[float] = GATE_L3) -> HeadsModel:
     """Fit one head per level (M14 = a single level).
 
     ``labels`` maps level -> soft-label array column (default
-    ``dist_l1/l2/l3``).  Chained / gated heads are fitted in level order,
+    ``dist_l1/l2/l3``); rows whose label of a level is NULL or partial are not
+    trained on at that level.  Chained / gated heads are fitted in level order,
     each on the scores of the heads already fitted.
     """
     if arch not in ARCHS:
@@ -130,7 +141,8 @@ def fit_heads(df: DataFrame, features: str = "features",
     cur = df
     for lv in levels:
         x = _input_features(cur, arch, lv, levels, features, gate_l2, gate_l3)
-        hm.models[lv] = _fit_level(x, labels[lv], tx.LEVEL_SIZES[lv], loss, max_iter, reg, seed)
+        hm.models[lv] = _fit_level(x, labels[lv], tx.LEVEL_SIZES[lv], loss, max_iter, reg, seed,
+                                    standardize=arch != "gated")   # standardisation would undo the gate weights
         if arch != "flat" and lv != levels[-1]:
             cur = _apply_level(hm.models[lv], x, tx.LEVEL_SIZES[lv], loss, f"scores_l{lv}").drop("_x")
     return hm

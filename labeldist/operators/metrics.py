@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labeldist.session import cut_lineage
+
 BATCH_SIZE = 16  # fixed value: batch size of the reference evaluation loops
 LOG_EVERY = 10   # fixed value: progress metrics every tenth batch
 
@@ -73,17 +75,23 @@ def distributed_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()
     A range-partitioned sort on ``(by, order)`` spreads the rows over all
     tasks; inside a task the rows of a group are contiguous, so a row's rank
     is its group's offset in that task plus its distance from the group's
-    first row there.  The offsets table has one row per (task, group) that
-    meets, so broadcasting it is bounded by tasks + groups, not by the data.
+    first row there.  The sorted rows are checkpointed with their place, since
+    two range exchanges need not cut at the same keys: rows and offsets must
+    come from the same one.  The offsets table has one row per (task, group)
+    that meets.
     """
     by, keys = list(by), [*by, *order]
     s = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    s = cut_lineage(s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     counts = s.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select("_pid", *by, "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
-    r = s.join(F.broadcast(offsets), ["_pid", *by])
-    return r.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_first")).drop("_pid", "_mid", "_off", "_first")
+    offsets = counts.select(F.col("_pid").alias("_p"), *[F.col(b).alias(f"_by_{b}") for b in by], "_first",
+                            (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
+    same = F.col("_pid") == F.col("_p")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    r = s.join(offsets, same)
+    return r.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_first")).select(*df.columns, out)
 
 
 def with_batches(df: DataFrame, key: Sequence[str], by: Sequence[str] = (),
@@ -104,9 +112,10 @@ def mean_of_batch_means(df: DataFrame, value: str, key: Sequence[str], by: Seque
     ``((S - T) / b + T / r) / ceil(n / b)`` where ``T`` is the sum of the last
     ``r`` rows in key order (``S / n`` when ``r = 0``).  Those rows come from a
     ``row_number() <= b - 1`` window, which Spark plans as a per-task group
-    limit before the shuffle.  ``value`` must not be NULL.
+    limit before the shuffle.  Rows whose ``value`` is NULL are left out.
     """
     by = list(by)
+    df = df.filter(F.col(value).isNotNull())
     grouped = bool(by)
     if not grouped:
         df, by = df.withColumn("_g", F.lit(0)), ["_g"]

@@ -100,14 +100,16 @@ def score_responses(first: DataFrame, gold: DataFrame, keys: Sequence[str],
                     levels: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Q5 + Q6 + A9: roll valid 28-vectors up (D2, D3), compare each level
     with the gold distribution (both smoothed, non-finite -> 1.0) and average
-    over valid responses; ``bad_outputs`` counts keys without one.
+    over valid responses; ``bad_outputs`` counts keys without one.  Keys
+    without gold have nothing to be compared with and are left out
+    (:func:`without_gold` lists them).
 
     ``gold`` has ``(keys..., gold_l1, gold_l2, gold_l3)``.
     """
     keys = list(keys)
     p = first.withColumn("pred_l3", F.col("probs"))
     p = p.withColumn("pred_l2", D.rollup_level("pred_l3", 2)).withColumn("pred_l1", D.rollup_level("pred_l2", 1))
-    j = p.join(gold, keys, "left")
+    j = p.join(gold, keys)
     per = F.array(*[F.struct(F.lit(lv).alias("level"),
                              D.response_js(f"gold_l{lv}", f"pred_l{lv}").alias("js")) for lv in levels])
     long = j.select(*keys, F.col("probs").isNotNull().alias("valid"), F.inline(per))
@@ -115,6 +117,11 @@ def score_responses(first: DataFrame, gold: DataFrame, keys: Sequence[str],
     return M.valid_mean(long, "js", "valid", ["level"], out="mean_js")
 
 
+def without_gold(first: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Answered keys that have no gold distribution (left out by Q6)."""
+    return first.join(gold, list(keys), "left_anti")
+
+
 def audit_exemplars(exemplars: DataFrame, answer: str = "answer", by: Sequence[str] = ()) -> DataFrame:
     """Q7: how many exemplar answers pass the response validator, by reason."""
     v = validate(exemplars, answer)

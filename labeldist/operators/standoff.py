@@ -49,6 +49,11 @@ def attach_text(rel: DataFrame, docs: DataFrame, keys: Sequence[str] = DOC_KEYS,
     return j.drop("_text", "_sp1", "_sp2")
 
 
+def lines_without_document(ann: DataFrame, docs: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
+    """Annotation lines that :func:`attach_text` leaves out because their document is missing."""
+    return ann.join(docs.select(*keys), list(keys), "left_anti")
+
+
 def one_hot(df: DataFrame, col: str, vocab: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """One 0/1 double column per vocabulary value (exact match; NULL -> 0)."""
     names = list(names) if names is not None else [v.lower() for v in vocab]
@@ -56,6 +61,7 @@ def one_hot(df: DataFrame, col: str, vocab: Sequence[str], names: Sequence[str]
                                 for v, n in zip(vocab, names)])
 
 
+# fixed values: columns of the relation table
 RELATION_COLUMNS = ["folder", "file", "relation", "arg1", "arg2", "arg1_arg2", "connective", "sense",
                     "sense_final", "sense1", "sense2", "sense3", "multi_connective", "multi_sense",
                     "multi_sense_final", "multi_sense1", "multi_sense2", "multi_sense3"]

@@ -125,7 +125,7 @@ SELECT f.doc_id, {_slice_sql('d.text', 'f.arg1_spans')} AS arg1, {_slice_sql('d.
 FROM f JOIN docs d ON d.folder = f.folder AND d.file = f.file""")
 def slice_spans_q(spark, sf):
     """P15 without a join: the annotation line is derived in the document's row."""
-    d = V.v_lines(spark, sf).join(V.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    d = V.v_lines(spark, sf).filter(R.relation_line_filter("line")).join(V.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     d = d.select("doc_id", R.rstrip(F.col("text")).alias("t"), A.parse_annotation("line").alias("a"))
     return d.select("doc_id", A.slice_spans("t", A.parse_spans("a.arg1_spans")).alias("arg1"),
                     A.slice_spans("t", A.parse_spans("a.arg2_spans")).alias("arg2"))

@@ -104,7 +104,7 @@ def soft_loss_huber(spark, sf):
 @register("soft_loss_l1")
 def soft_loss_l1(spark, sf):
     """Absolute loss (gradient-boosted trees), level 1."""
-    return _heads_eval(spark, sf, loss="l1", levels=[1], max_iter=50)
+    return _heads_eval(spark, sf, loss="l1", levels=[1], max_iter=5)
 
 
 @register("score_and_js")
@@ -133,7 +133,7 @@ def model_roundtrip(spark, sf):
 
 
 @register("embed_documents", """
-SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS INTEGER) AS n_tokens, true AS has_vector
+SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{Nl}\\p{M}\\p{Nd}\\p{Pc}]+')) AS INTEGER) AS n_tokens, true AS has_vector
 FROM documents""")
 def embed_documents(spark, sf):
     """M1: every whole document text -> TF-IDF embedding (sparse vector).
@@ -180,13 +180,13 @@ def cluster_kmeans(spark, sf):
 @register("cluster_gmm")
 def cluster_gmm(spark, sf):
     """M6: Gaussian mixture, four components."""
-    return _clustered(spark, sf, "gmm")
+    return _clustered(spark, sf, "gmm", gmm_dims=10)
 
 
 @register("cluster_density")
 def cluster_density(spark, sf):
     """M7 (re-aimed): grid density clustering, noise = -1."""
-    return _clustered(spark, sf, "density", min_size=5)
+    return _clustered(spark, sf, "density", min_size=5, dims=3)
 
 
 @register("cluster_hierarchical")

@@ -36,7 +36,7 @@ def _response_stream(spark, sf):
     """Answers written as one file per attempt, then read as a stream that
     takes one file per micro-batch (attempts arrive over time)."""
     src = scratch_path(spark, "responses")
-    V.v_responses(spark, sf).repartition(1, "attempt").write.partitionBy("attempt").parquet(src)
+    V.v_responses(spark, sf).repartition("attempt", F.pmod(F.xxhash64("itemid"), F.lit(8))).write.partitionBy("attempt").parquet(src)
     return spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
 
 

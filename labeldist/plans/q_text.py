@@ -147,13 +147,15 @@ _WS_SQL = TX.WHITESPACE_CLASS
 
 
 @register("drop_blank_text", f"""
-SELECT doc_id AS itemid FROM documents
-WHERE regexp_matches(split_part(text, chr(10), 3), '[^{_WS_SQL}]')""")
+SELECT itemid, pos FROM (
+  SELECT doc_id AS itemid, CAST(unnest(range(0, len(ls))) AS INTEGER) AS pos, unnest(ls) AS t
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+WHERE regexp_matches(t, '[^{_WS_SQL}]')""")
 def drop_blank_text(spark, sf):
-    """rows whose third line is empty or white space only are dropped."""
+    """lines (of all texts) that are empty or white space only are dropped."""
     d = V.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("itemid"), TX.line("text", 3).alias("t"))
-    return C.drop_blank(d, "t").select("itemid")
+        F.col("doc_id").alias("itemid"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "t"))
+    return C.drop_blank(d, "t").select("itemid", "pos")
 
 
 # ---------------------------------------------------------- dataflow A end to end
@@ -174,14 +176,14 @@ def _dist_literal_sql(doc: str, short: bool) -> str:
 
 def items_table(spark, sf):
     """An all-string item table in the wide corpus layout, built from
-    ``documents``: four consecutive documents form one item, one per
-    language; the split follows the item number; the first two lines are the
-    arguments; distribution literals derive from the ids (every sixth lists
-    only five senses, i.e. a partial row)."""
+    ``documents``: every document is an item in its language; the split
+    follows the item number; the text's halves are the arguments;
+    distribution literals derive from the ids (every sixth lists only five
+    senses, i.e. a partial row)."""
     d = V.table(spark, sf, "documents")
-    g = d.groupBy((F.col("doc_id") - F.col("doc_id") % 4).alias("item")).agg(
-        *[F.max(F.when(F.col("lang") == l, F.col("text"))).alias(f"text_{l}") for l in CORPUS_TEST_LANGS],
-        *[F.max(F.when(F.col("lang") == l, F.col("doc_id"))).alias(f"doc_{l}") for l in CORPUS_TEST_LANGS])
+    g = d.select(F.col("doc_id").alias("item"),
+                 *[F.when(F.col("lang") == l, F.col("text")).alias(f"text_{l}") for l in CORPUS_TEST_LANGS],
+                 *[F.when(F.col("lang") == l, F.col("doc_id")).alias(f"doc_{l}") for l in CORPUS_TEST_LANGS])
     cols = [F.expr("CASE WHEN (item DIV 4) % 10 < 7 THEN 'train' WHEN (item DIV 4) % 10 = 7 THEN 'dev' "
                    "ELSE 'test' END").alias("split"),
             F.col("item").cast("string").alias("itemid"), F.lit("en").alias("orig_lang"),
@@ -189,8 +191,7 @@ def items_table(spark, sf):
     for l in CORPUS_TEST_LANGS:
         doc = f"doc_{l}"
         cols += [
-            F.nullif(TX.line(f"text_{l}", 1), F.lit("")).alias(f"arg1_context_{l}"),
-            F.nullif(TX.line(f"text_{l}", 2), F.lit("")).alias(f"arg2_context_{l}"),
+            *[c.alias(f"arg{n}_context_{l}") for n, c in enumerate(V.halves(f"text_{l}"), 1)],
             F.expr(f"CASE WHEN {doc} IS NOT NULL THEN 'reason_{l}' END").alias(f"MV_{l}"),
             F.expr(f"CASE WHEN {doc} IS NULL THEN NULL WHEN {doc} % 6 = 0 THEN {_dist_literal_sql(doc, True)} "
                    f"ELSE {_dist_literal_sql(doc, False)} END").alias(f"MV_dist_{l}"),
@@ -202,17 +203,16 @@ def _corpus_sql() -> str:
     def lit(doc, short):
         return _dist_literal_sql(doc, short).replace("\\'", "''").replace("AS STRING", "AS VARCHAR")
     items = ", ".join(
-        f"max(CASE WHEN lang = '{l}' THEN text END) AS text_{l}, max(CASE WHEN lang = '{l}' THEN doc_id END) AS doc_{l}"
+        f"CASE WHEN lang = '{l}' THEN text END AS text_{l}, CASE WHEN lang = '{l}' THEN doc_id END AS doc_{l}"
         for l in CORPUS_TEST_LANGS)
     unp = "\n  UNION ALL ".join(
-        f"SELECT item, '{l}' AS inst_lang, nullif(split_part(text_{l}, chr(10), 1), '') AS arg1, "
-        f"nullif(split_part(text_{l}, chr(10), 2), '') AS arg2, "
+        f"SELECT item, '{l}' AS inst_lang, {S.halves('text_' + l)[0]} AS arg1, {S.halves('text_' + l)[1]} AS arg2, "
         f"CASE WHEN doc_{l} IS NOT NULL THEN 'reason_{l}' END AS mv, "
         f"CASE WHEN doc_{l} IS NULL THEN NULL WHEN doc_{l} % 6 = 0 THEN {lit('doc_' + l, True)} "
         f"ELSE {lit('doc_' + l, False)} END AS dist FROM g" for l in CORPUS_TEST_LANGS)
     tax = S.taxonomy_values().replace("tax AS (SELECT * FROM (VALUES ", "tax0 AS (SELECT * FROM (VALUES ")
     keys = ", ".join(f"({i}, '{k}')" for i, k in enumerate(tx.L3_SOURCE_KEYS))
-    return f"""WITH g AS (SELECT doc_id - doc_id % 4 AS item, {items} FROM documents GROUP BY 1),
+    return f"""WITH g AS (SELECT doc_id AS item, {items} FROM documents),
 u AS ({unp}),
 p AS (SELECT *, json_transform(replace(dist, chr(39), '"'), '"MAP(VARCHAR, DOUBLE)"') AS m FROM u),
 {tax},

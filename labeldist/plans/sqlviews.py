@@ -5,11 +5,20 @@ from __future__ import annotations
 
 from labeldist import taxonomy as tx
 
-V_ITEMS = """v_items AS (
+
+
+def halves(text: str) -> tuple[str, str]:
+    """SQL twin of :func:`labeldist.plans.views.halves`."""
+    ls = f"string_split({text}, chr(10))"
+    h = f"((len({ls}) + 1) // 2)"
+    return (f"nullif(array_to_string({ls}[1:{h}], chr(10)), '')", f"nullif(array_to_string({ls}[{h} + 1:], chr(10)), '')")
+
+
+V_ITEMS = f"""v_items AS (
   SELECT doc_id AS itemid, lang AS inst_lang,
          CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'dev' ELSE 'test' END AS split,
-         nullif(split_part(text, chr(10), 1), '') AS arg1,
-         nullif(split_part(text, chr(10), 2), '') AS arg2
+         {halves('text')[0]} AS arg1,
+         {halves('text')[1]} AS arg2
   FROM documents)"""
 
 VOTE_ROWS = """vote_rows AS (
@@ -28,20 +37,21 @@ V_LITERALS = """v_literals AS (
   FROM documents)"""
 
 V_WIDE = """v_wide AS (
-  SELECT doc_id - doc_id % 4 AS itemid,
-         max(CASE WHEN lang='en' THEN text END) AS text_en, max(CASE WHEN lang='de' THEN text END) AS text_de,
-         max(CASE WHEN lang='fr' THEN text END) AS text_fr, max(CASE WHEN lang='es' THEN text END) AS text_es
-  FROM documents GROUP BY 1)"""
+  SELECT doc_id AS itemid,
+         CASE WHEN lang='en' THEN text END AS text_en, CASE WHEN lang='de' THEN text END AS text_de,
+         CASE WHEN lang='fr' THEN text END AS text_fr, CASE WHEN lang='es' THEN text END AS text_es
+  FROM documents)"""
 
 V_LINES = """v_lines AS (
   SELECT doc_id, concat_ws('|',
-     CASE WHEN doc_id%3=0 THEN 'Explicit' ELSE 'Implicit' END, '', '', '', '', '', '', 'because',
-     CASE WHEN doc_id%2=0 THEN 'Contingency.Cause.Reason' ELSE 'Expansion.Conjunction' END, '',
-     CASE WHEN doc_id%5=0 THEN 'so' ELSE '' END,
-     CASE WHEN doc_id%5=0 THEN 'Contingency.Cause.Result' ELSE '' END, '', '',
-     concat(CAST(doc_id%5 AS VARCHAR), '..', CAST(doc_id%5+12 AS VARCHAR)), '', '', '', '', '',
-     concat('20..25;30..', CAST(31+doc_id%7 AS VARCHAR)), '') AS line
-  FROM documents)"""
+     CASE WHEN i%11=0 THEN 'EntRel' WHEN i%3=0 THEN 'Explicit' ELSE 'Implicit' END, '', '', '', '', '', '', 'because',
+     CASE WHEN i%2=0 THEN 'Contingency.Cause.Reason' ELSE 'Expansion.Conjunction' END, '',
+     CASE WHEN i%5=0 THEN 'so' ELSE '' END,
+     CASE WHEN i%5=0 THEN 'Contingency.Cause.Result' ELSE '' END, '', '',
+     concat(b+i%5, '..', b+i%5+12), '', '', '', '', '',
+     concat(b+20, '..', b+25, ';', b+30, '..', b+31+i%7), '') AS line
+  FROM (SELECT doc_id, doc_id + k AS i, k * 2000 AS b
+        FROM (SELECT doc_id, unnest(range(0, length(coalesce(text, '')) // 2000 + 1)) AS k FROM documents)))"""
 
 V_CLUSTERS = """v_clusters AS (
   SELECT vec_id, label % 4 AS sense,

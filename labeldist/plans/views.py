@@ -3,16 +3,14 @@
 The test tables are not a discourse corpus, so every check query first derives
 corpus-shaped data from them with plain projections / aggregations.  Each view
 here has a twin in :mod:`labeldist.plans.sqlviews` written in DuckDB SQL; all of
-them read whole tables (no id subsets or row caps).
+them read whole tables and whole texts (no id subsets, row caps or prefixes).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeldist.functions import text as TX
-
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -22,16 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+LINE_STEP = 2000  # characters of a document per annotation line
+
+
+def halves(text: str) -> tuple[Column, Column]:
+    """The two arguments of a pair: a text's lines up to the middle one, and the rest (NULL if empty)."""
+    lines = F.split(F.col(text), "\n", -1)
+    h = F.ceil(F.size(lines) / 2).cast("int")
+    return (F.nullif(F.array_join(F.slice(lines, F.lit(1), h), "\n"), F.lit("")),
+            F.nullif(F.array_join(F.slice(lines, h + 1, F.size(lines)), "\n"), F.lit("")))
+
+
 def v_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text pairs with a split: first two lines of every document."""
+    """Text pairs with a split: the two halves of every document."""
     d = table(spark, sf_dir, "documents")
     mod = F.col("doc_id") % 10
     return d.select(
         F.col("doc_id").alias("itemid"),
         F.col("lang").alias("inst_lang"),
         F.when(mod < 7, "train").when(mod == 7, "dev").otherwise("test").alias("split"),
-        F.nullif(TX.line("text", 1), F.lit("")).alias("arg1"),
-        F.nullif(TX.line("text", 2), F.lit("")).alias("arg2"),
+        *[c.alias(n) for c, n in zip(halves("text"), ("arg1", "arg2"))],
     )
 
 
@@ -73,20 +81,22 @@ def v_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per item, one text column per language (with gaps)."""
+    """One row per item (document), one text column per language (with gaps)."""
     d = table(spark, sf_dir, "documents")
-    return (d.groupBy((F.col("doc_id") - F.col("doc_id") % 4).alias("itemid"))
-            .agg(*[F.max(F.when(F.col("lang") == l, F.col("text"))).alias(f"text_{l}")
-                   for l in ("en", "de", "fr", "es")]))
+    return d.select(F.col("doc_id").alias("itemid"), *[
+        F.when(F.col("lang") == l, F.col("text")).alias(f"text_{l}") for l in ("en", "de", "fr", "es")])
 
 
 def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pipe-delimited stand-off annotation lines, one per document."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    i = F.col("doc_id")
+    """Pipe-delimited stand-off annotation lines: one for every ``LINE_STEP`` characters
+    of a document, with spans there; every eleventh is of a type that is not read."""
+    n = F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / LINE_STEP).cast("int")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), n)).alias("k"))
+    i = F.col("doc_id") + F.col("k")
+    at = F.col("k") * LINE_STEP
     s = lambda e: e.cast("string")
     fields = [
-        F.when(i % 3 == 0, "Explicit").otherwise("Implicit"),
+        F.when(i % 11 == 0, "EntRel").when(i % 3 == 0, "Explicit").otherwise("Implicit"),
         F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""),
         F.lit("because"),
         F.when(i % 2 == 0, "Contingency.Cause.Reason").otherwise("Expansion.Conjunction"),
@@ -94,9 +104,9 @@ def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 5 == 0, "so").otherwise(""),
         F.when(i % 5 == 0, "Contingency.Cause.Result").otherwise(""),
         F.lit(""), F.lit(""),
-        F.concat(s(i % 5), F.lit(".."), s(i % 5 + 12)),
+        F.concat(s(at + i % 5), F.lit(".."), s(at + i % 5 + 12)),
         F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""),
-        F.concat(F.lit("20..25;30.."), s(31 + i % 7)),
+        F.concat(s(at + 20), F.lit(".."), s(at + 25), F.lit(";"), s(at + 30), F.lit(".."), s(at + 31 + i % 7)),
         F.lit(""),
     ]
     return d.select("doc_id", F.concat_ws("|", *fields).alias("line"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeldist.functions import text as TX
@@ -26,12 +26,12 @@ def item_columns(langs: Sequence[str] = CORPUS_LANGS) -> list[str]:
 
 
 def read_items(spark: SparkSession, path: str, langs: Sequence[str] = CORPUS_LANGS,
-               multiline: bool = False) -> DataFrame:
+               multiline: bool = True) -> DataFrame:
     """Tab-separated item table with a header; every column is a string.
 
     No schema inference (one pass, no type guessing); only the named columns
-    are kept.  ``multiline`` allows quoted fields spanning lines, at the price
-    of one task per file (files are no longer splittable).
+    are kept.  Quoted fields may span lines, which makes each file one task;
+    ``multiline=False`` splits files, for tables known to have one line per row.
     """
     df = (spark.read.option("sep", "\t").option("header", True)
           .option("quote", '"').option("escape", '"')
@@ -63,12 +63,20 @@ def read_annotations(spark: SparkSession, root: str,
           .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path")))
     df = df.filter(relation_line_filter("line", relation_types))
     return df.select(
-        F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"),
-        F.regexp_extract("path", "([^/]+)$", 1).alias("file"),
+        F.regexp_extract(plain_path("path"), "([^/]+)/[^/]+$", 1).alias("folder"),
+        F.regexp_extract(plain_path("path"), "([^/]+)$", 1).alias("file"),
         rstrip(F.col("line")).alias("line"),
     )
 
 
+def plain_path(c: str) -> Column:
+    """A path of the scan's file metadata as it is on disk.
+
+    File metadata is percent-encoded (a blank is ``%20``), the path column of
+    ``binaryFile`` is not.  A plus sign stands for itself in both."""
+    return F.url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
+
+
 def relation_line_filter(line, relation_types: Sequence[str] = RELATION_TYPES):
     """Predicate: the line starts with one of the relation types."""
     c = F.col(line) if isinstance(line, str) else line
@@ -107,7 +115,7 @@ def read_prompts(spark: SparkSession, root: str) -> DataFrame:
     """
     df = spark.read.text(f"{root.rstrip('/')}/*.txt", wholetext=True)
     return df.select(
-        F.regexp_extract(F.col("_metadata.file_name"), "_([A-Za-z]+)\\.txt$", 1).alias("lang"),
+        F.regexp_extract(plain_path("_metadata.file_name"), "_([A-Za-z]+)\\.txt$", 1).alias("lang"),
         F.col("value").alias("prompt"),
     )
 

@@ -34,6 +34,6 @@ def write_predictions(df: DataFrame, path: str,
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Append metric rows ``(run_id, mode, level, name, step, value, config)``."""
-    df.write.mode("append").parquet(path)
+def append_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Append (or, with ``mode``, replace) metric rows."""
+    df.write.mode(mode).parquet(path)

@@ -47,7 +47,7 @@ def _settle(seen: int, valid: int, max_attempts: int):
 def first_valid_stream(responses: DataFrame, key: str = "itemid", attempt: str = "attempt",
                        response: str = "response", max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Q4 on a stream: one settled row per key (append mode)."""
-    v = responses.filter(F.col(attempt) <= max_attempts).select(
+    v = responses.filter(F.col(attempt).between(1, max_attempts)).select(
         F.col(key).cast("long").alias("itemid"), F.col(attempt).cast("int").alias("attempt"),
         RS.validate_response(response).alias("_v"))
     v = v.select("itemid", "attempt", F.col("_v.valid").alias("valid"),
