@@ -2,8 +2,8 @@
 
 Rows and queries are dealt into blocks, and each block is indexed by a cover
 tree: a node's points lie within its covering radius of its centre, and its
-children's centres cover them at a smaller radius, each further than that from
-the others.  A query block meets a row block as a pair of trees: the inner
+children's centres cover them at a smaller radius and lie at least that far
+apart.  A query block meets a row block as a pair of trees: the inner
 product of any two points below a pair of nodes is at most
 ``c*d + |c| r_d + |d| r_c + r_c r_d`` (centres c, d, radii r), and the pair is
 dropped if that is below the worst k-th score of the queries in the node.
@@ -24,8 +24,8 @@ from labeldist.llm.common import column_or_null, row_ids, stored
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
-LEAF = 64
-SHRINK = 0.7   # radius of a level, as a share of the one above
+LEAF = 128
+CHILDREN = 16
 TREE = "block long, dim int, rids array<long>, ids array<long>, points array<long>, first array<int>, last array<int>, " \
        "center array<int>, radius array<double>, child array<int>, children array<int>"
 
@@ -58,19 +58,16 @@ def build(points: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         a, b, center, radius = nodes[node][:4]
         if b - a <= LEAF or radius == 0:
             continue
-        rows, reach = order[a:b], radius
-        while True:   # centres of the level: every point lies within reach of one, and they lie further apart
-            reach *= SHRINK
-            free, parts = np.arange(len(rows)), []
-            here = rows[np.flatnonzero(rows == center)[:1]]
-            pick = here[0] if len(here) else rows[0]
-            while len(free):
-                near = distances(pick, rows[free]) <= reach
-                parts.append((pick, rows[free[near]]))
-                free = free[~near]
-                pick = rows[free[0]] if len(free) else -1
-            if len(parts) > 1:
-                break
+        # centres of the next level, each the point that is furthest from those before: every point lies within the last
+        # one's distance of a centre, and all centres are that far apart
+        rows = order[a:b]
+        centres, near, which = [center], distances(center, rows), np.zeros(len(rows), np.int64)
+        while len(centres) < CHILDREN and near.max() > 0:
+            centres.append(rows[near.argmax()])
+            d = distances(centres[-1], rows)
+            closer = d < near
+            near[closer], which[closer] = d[closer], len(centres) - 1
+        parts = [(c, rows[which == i]) for i, c in enumerate(centres) if (which == i).any()]
         order[a:b] = np.concatenate([p for _, p in parts])
         nodes[node][4:] = len(nodes), len(parts)
         at = a
