@@ -4,15 +4,15 @@ Equal vectors are one node.  Nodes are dealt to the shards of their nearest
 centres (several each, so shards overlap); every shard builds a graph whose
 edges are pruned robustly: a candidate goes when a kept neighbour is closer to
 it by the factor ``ALPHA``.  The adjacency lists of all shards are united.
-Each node is then searched for, by a greedy beam from its shards' medoids over
+Each node is then searched for in the shard of its nearest centre (whose other
+members are there by the overlap): a greedy beam from the shard's medoid over
 the united lists, and from what lies within range the search goes on expanding
 until nothing new is in range.  Only pairs whose cosine, in double precision,
 reaches the threshold are links.
 
-A pair that shares several shards is counted in the first of them, and a shard
-hands on counts and one tie per node, never its pairs, so dense groups stay
-linear.  Centres are sampled rows, so dense regions have more of them and
-shards stay near ``SHARD_ROWS``.
+A shard hands on a count and one tie per node, never its pairs, so dense
+groups stay linear.  Centres are sampled rows, so dense regions have more of
+them and shards stay near ``SHARD_ROWS`` times ``OVERLAP``.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from labeldist.llm.common import column_or_null, row_ids, small, stored
 from labeldist.llm.components import components
 
-SHARD_ROWS = 1000     # nodes whose nearest centre a shard is, on average
+SHARD_ROWS = 400      # nodes whose nearest centre a shard is, on average
 OVERLAP = 3           # shards of a node
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 48, 16, 1.2
 BEAM = 16
 SLACK = 0.03          # the search expands what lies so much below the threshold
-QUERY_BLOCK = 512
+QUERY_BLOCK = 256
+PAIR_BLOCK = 20_000   # pairs of a query and a node whose neighbours are looked at together
 AUDIT_ROWS = 200
 
 
@@ -77,14 +78,14 @@ def _prune(x: np.ndarray, seed: int) -> list[np.ndarray]:
         cand, d = np.take_along_axis(cand, order, axis=1), np.take_along_axis(d, order, axis=1)
         alive = np.isfinite(d)
         vectors = x[cand]
+        apart = np.sqrt(np.maximum(2 - 2 * (vectors @ vectors.transpose(0, 2, 1)), 0))
         for j in range(DEGREE):
             go = np.flatnonzero(alive.any(axis=1))
             if not len(go):
                 break
             best = alive[go].argmax(axis=1)
             out[rows[go], j] = cand[go, best]
-            between = np.sqrt(np.maximum(2 - 2 * np.einsum("id,ijd->ij", vectors[go, best], vectors[go]), 0))
-            alive[go] &= ALPHA * between > d[go]
+            alive[go] &= ALPHA * apart[go, best] > d[go]
             alive[go, best] = False
     src = np.repeat(np.arange(n), DEGREE)
     dst = out.ravel()
@@ -102,19 +103,19 @@ def _build(shard: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(shard: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """For each node its links counted here (copies of its partners) and a tie to its group in this shard."""
+    """For each node whose nearest centre is this shard's its links (copies of its partners), and ties between linked nodes."""
     shard = shard.sort_values("node", ignore_index=True)
-    own = int(shard["shard"].iloc[0])
     node, x, n = shard["node"].to_numpy(), _unit(np.stack(shard["__x"])), len(shard)
-    copies, places = shard["copies"].to_numpy(), shard["shards"].to_list()
-    lists = [np.searchsorted(node, e[np.isin(e, node)]) for e in (np.asarray(e) for e in shard["near"])]
+    copies, home = shard["copies"].to_numpy(), np.flatnonzero(shard["home"].to_numpy())
+    lists = []
+    for e in shard["near"]:
+        at = np.minimum(np.searchsorted(node, e), n - 1)
+        lists.append(at[node[at] == e])
     near = np.full((n, max(map(len, lists), default=0) or 1), -1)
     for i, e in enumerate(lists):
         near[i, :len(e)] = e
+    small = x.astype(np.float32)
     medoid = int((x @ x.mean(axis=0)).argmax())
-    first_of = np.full((n, OVERLAP), -1)
-    for i, p in enumerate(places):
-        first_of[i, :len(p)] = np.sort(p)
     count, root = np.zeros(n, np.int64), np.arange(n)
 
     def find(i: int) -> int:
@@ -123,51 +124,59 @@ def _search(shard: pd.DataFrame, threshold: float) -> pd.DataFrame:
             i = root[i]
         return i
 
-    for a in range(0, n, QUERY_BLOCK):
-        rows = np.arange(a, min(a + QUERY_BLOCK, n))
-        m = len(rows)
+    for rows in np.split(home, range(QUERY_BLOCK, len(home), QUERY_BLOCK)):
+        m, width = len(rows), min(BEAM, n)
         seen, done = np.zeros((m, n), bool), np.zeros((m, n), bool)
         cos = np.full((m, n), -2.0, np.float32)
 
         def visit(q: np.ndarray, at: np.ndarray) -> None:
             """Look at the neighbours of ``at`` for the queries ``q``."""
             done[q, at] = True
-            nb = near[at]
-            q2, nb = np.repeat(q, nb.shape[1]), nb.ravel()
-            new = (nb >= 0) & ~seen[q2, nb]
-            q2, nb = q2[new], nb[new]
-            cos[q2, nb] = np.einsum("ij,ij->i", x[rows[q2]], x[nb])
-            seen[q2, nb] = True
+            for a in range(0, len(q), max(PAIR_BLOCK // near.shape[1], 1)):
+                of = slice(a, a + max(PAIR_BLOCK // near.shape[1], 1))
+                nb = near[at[of]]
+                new = (nb >= 0) & ~seen[q[of, None], nb]
+                q2, nb = np.nonzero(new)[0], nb[new]
+                q2 = q[of][q2]
+                cos[q2, nb] = np.einsum("ij,ij->i", small[rows[q2]], small[nb])
+                seen[q2, nb] = True
 
         seen[:, medoid] = True
-        cos[:, medoid] = x[rows] @ x[medoid]
-        go, width = np.arange(m), min(BEAM, n)
-        while len(go):   # the nearest of the beam that is not expanded yet
-            c = cos[go]
-            beam = np.argpartition(-c, width - 1, axis=1)[:, :width]
-            open_ = np.where(done[go[:, None], beam], -3, np.take_along_axis(c, beam, axis=1))
-            pick = open_.argmax(axis=1)
-            value = np.take_along_axis(open_, pick[:, None], axis=1)[:, 0]
-            live = value > -2
-            go, at = go[live], beam[np.arange(len(pick)), pick][live]
+        cos[:, medoid] = small[rows] @ small[medoid]
+        beam = np.full((m, width), medoid)     # the nearest nodes seen so far
+        valid = np.zeros((m, width), bool)
+        valid[:, 0] = True
+        go = np.arange(m)
+        while len(go):   # expand the nearest of the beam that is not expanded yet
+            value = np.where(valid[go] & ~done[go[:, None], beam[go]], cos[go[:, None], beam[go]], -3)
+            pick = value.argmax(axis=1)
+            live = value[np.arange(len(go)), pick] > -3
+            go, at = go[live], beam[go, pick][live]
+            if not len(go):
+                break
+            nb = near[at]
+            fresh = (nb >= 0) & ~seen[go[:, None], nb]
             visit(go, at)
+            both = np.concatenate([beam[go], np.where(fresh, nb, medoid)], axis=1)
+            some = np.concatenate([valid[go], fresh], axis=1)
+            rank = np.where(some, cos[go[:, None], both], -3)
+            best = np.argpartition(-rank, width - 1, axis=1)[:, :width]
+            beam[go], valid[go] = np.take_along_axis(both, best, axis=1), np.take_along_axis(some, best, axis=1)
         while True:      # everything in range
             q, at = np.nonzero((cos >= threshold - SLACK) & ~done)
             if not len(q):
                 break
             visit(q, at)
         q, at = np.nonzero(cos >= threshold - 1e-5)
-        exact = np.einsum("ij,ij->i", x[rows[q]], x[at])
-        keep = (exact >= threshold) & (rows[q] != at)
-        q, at = rows[q[keep]], at[keep]
-        for i, j in zip(q, at, strict=True):
-            r, s = find(i), find(j)
-            if r != s:
-                root[max(r, s)] = min(r, s)
-        common = np.where((first_of[q][:, :, None] == first_of[at][:, None, :]) & (first_of[q][:, :, None] >= 0),
-                          first_of[q][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
-        mine = common == own
-        np.add.at(count, q[mine], copies[at[mine]])
+        for a in range(0, len(q), PAIR_BLOCK):
+            p, t = rows[q[a:a + PAIR_BLOCK]], at[a:a + PAIR_BLOCK]
+            keep = (np.einsum("ij,ij->i", x[p], x[t]) >= threshold) & (p != t)
+            p, t = p[keep], t[keep]
+            np.add.at(count, p, copies[t])
+            for i, j in zip(p, t, strict=True):
+                r, s = find(i), find(j)
+                if r != s:
+                    root[max(r, s)] = min(r, s)
     return pd.DataFrame({"node": node, "links": count, "tie": node[[find(i) for i in range(n)]]})
 
 
@@ -201,8 +210,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     group = ["__label", "__dim", "shard"]
     lists = spread.groupBy(*group).applyInPandas(_build, "node long, near array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = stored(member.join(united, "node").withColumn("shard", F.explode("shards")).groupBy(*group).applyInPandas(
-        lambda f: _search(f, threshold), "node long, links long, tie long"), "found")
+    found = stored(member.join(united, "node").select(
+        "*", F.posexplode("shards").alias("place", "shard")).withColumn("home", F.col("place") == 0).drop("shards").groupBy(
+        *group).applyInPandas(lambda f: _search(f, threshold), "node long, links long, tie long"), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     part = components(found.filter("node <> tie").select(F.col("node").alias("a"), F.col("tie").alias("b")))
     of_node = member.select(*key, "node", "copies").join(links, "node", "left").join(part, "node", "left").select(
