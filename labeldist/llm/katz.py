@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from labeldist.llm.common import GAP, column_or_null, crc_mod, mixed, slices, stored, text_bytes
 from labeldist.session import scratch_path
 
-CHUNK_BYTES = 16_000_000
-SLICE_BYTES = 4_000_000    # texts are split into words in slices of about so many bytes
+CHUNK_BYTES = 5_000_000
+SLICE_BYTES = 2_000_000    # texts are split into words in slices of about so many bytes
 DISCOUNTED = 5             # counts up to this are discounted
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 CHUNKS = "chunk long, ids array<long>, train array<boolean>, ends array<int>, tokens binary, words binary"
