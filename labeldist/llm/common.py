@@ -60,12 +60,17 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
+def settled(df: DataFrame, from_table: bool) -> DataFrame:
+    """A frame that gives the same rows in the same places whenever it is read.
+
+    Tables and files do (``from_table``); the result of a shuffle need not, and is written to the shared folder first."""
+    return df if from_table else stored(df, "rows")
+
+
 def row_ids(df: DataFrame, name: str = "__rid") -> DataFrame:
     """Add a row number that is unique also among repeated rows and null ids.
 
-    The number comes from the row's place in its partition, so the frame must
-    give the same rows in the same places when it is read again, as tables,
-    files and checkpoints do."""
+    It comes from the row's place in its partition: see :func:`settled`."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

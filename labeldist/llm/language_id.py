@@ -31,7 +31,7 @@ from labeldist.session import cut_lineage
 
 ORDER = 4          # characters of an n-gram, at most 6
 HASH_BITS = 22
-BATCH_BYTES = 4_000_000   # texts are worked on in slices of about so many bytes
+BATCH_BYTES = 1_500_000   # texts are worked on in slices of about so many bytes
 FLUSH_TYPES = 1_000_000   # a task hands on its partial counts beyond so many n-grams
 UND = "und"
 SHARPNESS = 20.0   # characters that the score (a softmax of the cross-entropies) stands for

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labeldist.llm.common import column_or_null, row_ids
+from labeldist.llm.common import column_or_null, row_ids, settled
 
 WINDOW_LINES = 3
 
@@ -34,14 +34,15 @@ def _windows(rows: DataFrame) -> DataFrame:
             .select("__rid", "__id", F.col("__w.pos").alias("__pos"), F.col("__w.a").alias("__a"), F.col("__w.b").alias("__b")))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, from_table: bool = False) -> DataFrame:
     """``docs`` with its texts cleaned, plus ``__n_lines`` and ``__n_removed``.
 
     Null texts stay null (0 lines); texts of fewer than three lines and windows
     of three blank lines are left alone.  Of repeated rows the first keeps its
     lines.  Rows and other columns are kept; the caller decides about texts
-    that have become empty.
+    that have become empty.  ``from_table``: the rows come straight from a table or files; any other frame is stored first.
     """
+    docs = settled(docs, from_table)
     rows = row_ids(docs).withColumn("__text", column_or_null(docs, "text", "string"))
     doc_id = column_or_null(docs, "doc_id", "long")
     keyed = rows.select("__rid", F.struct(doc_id.isNull().alias("n"), doc_id.alias("v")).alias("__id"), "__text")
@@ -70,15 +71,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.when(F.col("__left").isNull(), 0).otherwise(F.size("__lines") - F.size("__left")).cast("long").alias("__n_removed"))
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, from_table: bool = False) -> DataFrame:
     """``docs`` cleaned, without the documents of which nothing but blank lines was left."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, from_table)
     gone = (F.col("__n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", "")) == "")
     return out.filter(~F.coalesce(gone, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs).select("doc_id", F.col("__n_lines").alias("n_lines"),
+    return dedup_lines(docs, from_table=True).select("doc_id", F.col("__n_lines").alias("n_lines"),
                                     F.col("__n_removed").alias("n_removed"), "text")
 
 

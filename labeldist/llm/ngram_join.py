@@ -32,10 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.llm.common import GAP, column_or_null, mixed, row_ids, slices, small, stored
+from labeldist.llm.common import GAP, column_or_null, mixed, row_ids, settled, slices, small, stored
 from labeldist.llm.components import components
 
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 1_000_000
 #: A token is frequent if more sets than this have it among their first tokens.
 FREQUENT = 16
 BUCKETS = 256
@@ -186,7 +186,7 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, from_table: bool = False) -> DataFrame:
     """``__rid, __id`` (the document's id), ``n`` (set size), ``group`` and ``component`` of every row.
 
     ``component`` is the smallest id that links lead to, the row's own included;
@@ -196,12 +196,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     a shorter text is one shingle.  Texts that are null or without words have
     no set and link with nothing.  Rows with equal sets are one node of the
     join.  A null id counts as no id: a component of null ids only has a null
-    component.
+    component.  ``from_table``: the rows come straight from a table or files; any other frame is stored first.
     """
     if not 80 <= percent < 100:
         raise ValueError("percent must be from 80 to 99")
     least = least_size(percent)
-    rows = row_ids(docs).select("__rid", column_or_null(docs, "doc_id", "long").alias("__id"),
+    rows = row_ids(settled(docs, from_table)).select("__rid", column_or_null(docs, "doc_id", "long").alias("__id"),
                                 column_or_null(docs, "text", "string").alias("__text"))
     described = stored(rows.mapInArrow(
         _describe(width, percent), "__rid long, __id long, n long, k1 long, k2 long, zone array<long>, counts binary"), "described")
@@ -297,18 +297,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return jaccard_components(docs, width=4, percent=85).select(
+    return jaccard_components(docs, width=4, percent=85, from_table=True).select(
         F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, from_table: bool = False) -> DataFrame:
     """``docs`` without the rows that are linked (by a chain of links) to a row with a smaller id.
 
     A null id counts as the largest; of rows with the same smallest id the first
     stays; rows that link with nothing all stay."""
+    docs = settled(docs, from_table)
     rows = row_ids(docs)
     mine = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__rid"))
-    found = jaccard_components(docs, width, percent).select("__rid", "group", mine.alias("mine"))
+    found = jaccard_components(docs, width, percent, from_table=True).select("__rid", "group", mine.alias("mine"))
     best = found.groupBy("group").agg(F.min("mine").alias("best"))
     gone = found.join(best, "group").filter(F.col("mine") != F.col("best")).select("__rid")
     return rows.join(small(stored(gone, "gone")), "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from labeldist.llm.common import column_or_null, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 600_000
 SPACE, LITERAL = 0x2581, 0x110000   # the mark of a space; the same character when it stands in a text
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -409,7 +409,7 @@ def sample(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int) -> Ite
     spelt = np.array([len(x) for x in lat.spelt], np.int64)
     for rank, (of, path, value) in enumerate(found, 1):
         piece = lat.piece[path.edge]
-        log_prob = np.bincount(path.doc, weights=lat.log_q[path.edge], minlength=n)[of]
+        log_prob = np.bincount(path.doc, weights=lat.log_q[path.edge], minlength=n).astype(float)[of]
         odd = np.flatnonzero(piece >= vocab.n)
         times = np.ones(len(piece), np.int64)
         times[odd] = spelt[piece[odd] - vocab.n]

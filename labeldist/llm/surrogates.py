@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.llm.common import column_or_null, row_ids, stored
+from labeldist.llm.common import column_or_null, row_ids, settled, stored
 
 KEY = "surrogates-1"
 MAX_ATTEMPTS = 60
@@ -189,12 +189,14 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"no free surrogate for some entities after {MAX_ATTEMPTS} attempts")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str = KEY, from_table: bool = False) -> DataFrame:
     """``docs`` with its texts rewritten, plus ``__n_entities``.
 
     Null and empty texts stay as they are (no entities); rows and other columns
     are kept, also repeated ones.  ``key`` decides all surrogates.
+    ``from_table``: the rows come straight from a table or files; any other frame is stored first.
     """
+    docs = settled(docs, from_table)
     rows = row_ids(docs).withColumn("__text", column_or_null(docs, "text", "string"))
     each = stored(occurrences(rows.select("__rid", "__text")), "occurrences")
     genders = each.groupBy("kind", "value").agg(F.min("gender").alias("a"), F.max("gender").alias("b"))
@@ -213,4 +215,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    return pseudonymise(docs).select("doc_id", F.col("__n_entities").alias("n_entities"), "text")
+    return pseudonymise(docs, from_table=True).select("doc_id", F.col("__n_entities").alias("n_entities"), "text")
