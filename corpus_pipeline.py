@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages over the table ``documents``.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its
-predecessor kept; what it returns is written as Parquet and read again.  All
+predecessor kept; what it returns is written as Parquet and read again (stages count on that:
+their ``docs`` must come straight from a table or files).  All
 but the last return the columns of ``documents``:
 
 1. language ID: documents whose language is not recognised go;
@@ -31,7 +32,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.without_repeated_lines(docs)
+    out = line_dedup.without_repeated_lines(docs, from_table=True)
     if "n_chars" not in docs.columns:
         return out
     kind = docs.schema["n_chars"].dataType
@@ -39,7 +40,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each_group(docs, width=5, percent=80)
+    return ngram_join.one_of_each_group(docs, width=5, percent=80, from_table=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
