@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from labeldist.llm.common import column_or_null, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_BYTES = 600_000
+BATCH_BYTES = 1_000_000
 SPACE, LITERAL = 0x2581, 0x110000   # the mark of a space; the same character when it stands in a text
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -149,13 +149,12 @@ class Lattice:
         slots = length + 1
         self.slot_of_word = np.concatenate([[0], np.cumsum(slots)[:-1]]).astype(np.int64)
         total = int(slots.sum())
-        word = np.repeat(np.arange(len(start)), slots)
-        offset = np.arange(total) - self.slot_of_word[word]
-        self.to_end = to_end = length[word] - offset   # 0: the end
-        source = np.minimum(start[word] + offset, max(len(codes) - 1, 0))
+        slot = np.arange(total)
+        self.to_end = to_end = np.repeat(self.slot_of_word + length, slots) - slot   # 0: the end
+        source = np.minimum(np.repeat(start - self.slot_of_word, slots) + slot, max(len(codes) - 1, 0))
         found = []
-        code = codes[source].astype(np.uint64)   # by slot
-        at = np.flatnonzero(to_end > 0)
+        code = codes[source].view(np.uint64) if total else np.zeros(0, np.uint64)   # by slot
+        at = inner = np.flatnonzero(to_end > 0)
         h = np.zeros(len(at), np.uint64)
         for k in range(1, vocab.longest + 1):   # go on only where some piece begins so
             h = vocab.longer(h, code[at + (k - 1)])
@@ -168,8 +167,8 @@ class Lattice:
             at, h = at[some], h[some]
         found.reverse()
         # a character that has no piece of its own is one edge, spelt in bytes
-        odd = np.flatnonzero((to_end > 0) & ~vocab.known[codes[source]]) if total else np.zeros(0, np.int64)
-        strange, number = np.unique(codes[source[odd]], return_inverse=True)
+        odd = inner[~vocab.known[code[inner]]]
+        strange, number = np.unique(code[odd].view(np.int64), return_inverse=True)
         found.append((odd, 1, vocab.n + number))
         spelt = [(chr(SPACE) if c == LITERAL else chr(c)).encode() for c in strange]
         weight = np.concatenate([vocab.weight, [len(b) * vocab.byte_weight for b in spelt]])
