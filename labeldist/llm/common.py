@@ -51,7 +51,7 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again: compressed, and safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -60,6 +60,12 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
+def text_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Hand rows to Python in batches of about ``size``: rows hold whole texts or sets, and a batch is held several times
+    over, by the executor and its worker.  (A session setting, since it counts when a plan runs.)"""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def settled(df: DataFrame, from_table: bool) -> DataFrame:
     """A frame that gives the same rows in the same places whenever it is read.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labeldist.llm.common import column_or_null, crc_mod, mixed, slices
+from labeldist.llm.common import column_or_null, crc_mod, mixed, slices, text_batches
 from labeldist.session import cut_lineage
 
 ORDER = 4          # characters of an n-gram, at most 6
@@ -164,6 +164,7 @@ Model = dict[str, list[tuple[np.ndarray, ...]]]
 
 def fit(docs: DataFrame) -> Model:
     """Learn a model of each language of ``docs`` (columns ``text`` and ``lang``; rows with a null in either are left out)."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("text").alias("__text"), F.col("lang").alias("__lang")).dropna()
     counts = rows.mapInArrow(_count_grams, "__lang string, __a long, __b long, __n long")
     hashed = counts.mapInArrow(_slots, "__lang string, __slot long, __a long, __b long, __n long")
@@ -235,6 +236,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, limit
     """
     keep = docs.columns if keep is None else keep
     spark = docs.sparkSession
+    text_batches(spark)
     shipped = spark.sparkContext.broadcast((model, limits))
     fields = [docs.schema[c] for c in keep] + [
         T.StructField("__pred", T.StringType()), T.StructField("__score", T.DoubleType()),

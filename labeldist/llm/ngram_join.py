@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.llm.common import GAP, column_or_null, mixed, row_ids, settled, slices, small, stored
+from labeldist.llm.common import GAP, column_or_null, mixed, row_ids, settled, slices, small, stored, text_batches
 from labeldist.llm.components import components
 
 BATCH_BYTES = 1_000_000
@@ -201,6 +201,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, from_
     if not 80 <= percent < 100:
         raise ValueError("percent must be from 80 to 99")
     least = least_size(percent)
+    text_batches(docs.sparkSession)
     rows = row_ids(settled(docs, from_table)).select("__rid", column_or_null(docs, "doc_id", "long").alias("__id"),
                                 column_or_null(docs, "text", "string").alias("__text"))
     described = stored(rows.mapInArrow(

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labeldist.llm.common import GAP, column_or_null, crc_mod, slices, stored
+from labeldist.llm.common import GAP, column_or_null, crc_mod, slices, stored, text_batches
 
 BATCH_BYTES = 2_000_000
 SHARES = (0.0, 0.01, 0.03, 0.07, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95)   # a share falls into the cell of the last edge it exceeds
@@ -112,6 +112,7 @@ def describe(texts: pa.Array, classes: np.ndarray) -> np.ndarray:
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``__cells`` (a byte per feature); null texts count as empty."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], column_or_null(docs, "text", "string").alias("__text"))
+    text_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__cells", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.llm.common import column_or_null, slices
+from labeldist.llm.common import column_or_null, slices, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 600_000
 SPACE, LITERAL = 0x2581, 0x110000   # the mark of a space; the same character when it stands in a text
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -433,6 +433,7 @@ def encode(docs: DataFrame, key: Column, k: int = 2, theta: float = 0.5, model:
     without pieces; a null text has one row with null ids.  Only the vocabulary (of fixed size)
     is sent to the tasks.
     """
+    text_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary(model, theta))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], column_or_null(docs, "text", "string").alias("__text"),
