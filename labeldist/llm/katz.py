@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.llm.common import GAP, column_or_null, crc_mod, mixed, slices, stored, text_bytes
+from labeldist.llm.common import GAP, column_or_null, crc_mod, mixed, slices, stored, text_batches, text_bytes
 from labeldist.session import scratch_path
 
-CHUNK_BYTES = 5_000_000
+CHUNK_BYTES = 8_000_000
 SLICE_BYTES = 2_000_000    # texts are split into words in slices of about so many bytes
 DISCOUNTED = 5             # counts up to this are discounted
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -181,7 +181,7 @@ def _add_up(kind: str, order_stats: int = DISCOUNTED + 1):
             sums[first] = 1
             own = np.bincount(np.minimum(counts, order_stats + 1).astype(np.int64), minlength=order_stats + 2)
             stats = [*own[1:order_stats + 1], int((counts > 0).sum()), int(counts.sum())]
-            back_counts, back = counts[at].astype(np.int64), sums
+            back_counts, back = counts[at].astype(np.int64), sums   # a bit each
         else:
             both = np.concatenate([np.frombuffer(x, np.float64).reshape(-1, 2) for x in parcels["sums"]])
             kept, lower = (np.bincount(at, weights=both[:, i], minlength=len(u)) for i in (0, 1))
@@ -195,7 +195,8 @@ def _add_up(kind: str, order_stats: int = DISCOUNTED + 1):
         cut = np.cumsum(n)[:-1]
         return pd.DataFrame({
             "chunk": parcels["chunk"], "range": parcels["range"],
-            "counts": [_pack_counts(x) for x in np.split(back_counts, cut)], "sums": [x.tobytes() for x in np.split(back, cut)],
+            "counts": [_pack_counts(x) for x in np.split(back_counts, cut)],
+            "sums": [(np.packbits(x) if kind == "grams" else x).tobytes() for x in np.split(back, cut)],
             "stats": [stats] + [[]] * (len(n) - 1)})
     return run
 
@@ -255,9 +256,10 @@ def _replies(row: pd.Series, rounds: list[tuple[int, str]]) -> dict:
     out = {}
     for m, kind in rounds:
         parts = sorted(row[f"r{m}{kind}"], key=lambda x: x["range"])   # ranges in order are the chunk's keys in order
-        of_kind = np.uint8 if kind == "grams" else np.float64
-        out[m, kind] = (np.concatenate([_counts(x["counts"]) for x in parts]),
-                        np.concatenate([np.frombuffer(x["sums"], of_kind) for x in parts]))
+        counts = [_counts(x["counts"]) for x in parts]
+        sums = [np.unpackbits(np.frombuffer(x["sums"], np.uint8), count=len(c)) if kind == "grams" else np.frombuffer(x["sums"], np.float64)
+                for x, c in zip(parts, counts, strict=True)]
+        out[m, kind] = np.concatenate(counts), np.concatenate(sums)
     return out
 
 
@@ -314,11 +316,12 @@ def score(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
     tokens are the unknown word (score 0).
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(column_or_null(docs, "doc_id", "long").alias("__id"), F.coalesce(train, F.lit(False)).alias("__train"),
                        column_or_null(docs, "text", "string").alias("__text"))
     ranges = max(text_bytes(rows, "__text") // CHUNK_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"katz_chunks_{uuid.uuid4().hex[:12]}"
-    rows.mapInArrow(_encode, CHUNKS).write.bucketBy(ranges, "chunk").format("parquet").option(
+    rows.mapInArrow(_encode, CHUNKS).write.bucketBy(ranges, "chunk").format("parquet").option("compression", "zstd").option(
         "path", scratch_path(spark, "chunks")).saveAsTable(name)
     corpus = spark.table(name)
     replies: dict[tuple[int, str], DataFrame] = {}
