@@ -32,7 +32,7 @@ from labeldist.session import cut_lineage
 ORDER = 4          # characters of an n-gram, at most 6
 HASH_BITS = 22
 BATCH_BYTES = 1_500_000   # texts are worked on in slices of about so many bytes
-FLUSH_TYPES = 1_000_000   # a task hands on its partial counts beyond so many n-grams
+FLUSH_TYPES = 300_000     # a task hands on its partial counts beyond so many n-grams
 UND = "und"
 SHARPNESS = 20.0   # characters that the score (a softmax of the cross-entropies) stands for
 FALSE_REJECTS = 1e-4      # share of training texts beyond the calibrated threshold ...
@@ -91,11 +91,15 @@ def slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["__lang", "__a", "__b", "__n"]
     held: list[pd.DataFrame] = []
 
     def out(frames: list[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(frames).groupby(names[:3], as_index=False, sort=False)["__n"].sum()
+        return pd.concat(frames).groupby(["__lang", "__a", "__b"], as_index=False, sort=False)["__n"].sum()
+
+    def handed_on(counts: pd.DataFrame) -> pa.RecordBatch:
+        a, b = (counts[c].to_numpy().view(np.uint64) for c in ("__a", "__b"))
+        counts.insert(1, "__slot", slot(a, b).view(np.int64))
+        return pa.RecordBatch.from_pandas(counts, preserve_index=False)
 
     for batch in batches:
         for part in slices(batch, "__text", BATCH_BYTES):
@@ -114,9 +118,9 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(map(len, held)) > FLUSH_TYPES:
                 held = [out(held)]
                 if len(held[0]) > FLUSH_TYPES // 2:
-                    yield pa.RecordBatch.from_pandas(held.pop(), preserve_index=False)
+                    yield handed_on(held.pop())
     if held:
-        yield pa.RecordBatch.from_pandas(out(held), preserve_index=False)
+        yield handed_on(out(held))
 
 
 def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,9 +170,8 @@ def fit(docs: DataFrame) -> Model:
     """Learn a model of each language of ``docs`` (columns ``text`` and ``lang``; rows with a null in either are left out)."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("text").alias("__text"), F.col("lang").alias("__lang")).dropna()
-    counts = rows.mapInArrow(_count_grams, "__lang string, __a long, __b long, __n long")
-    hashed = counts.mapInArrow(_slots, "__lang string, __slot long, __a long, __b long, __n long")
-    types = hashed.groupBy("__lang", "__slot").agg(F.sum("__n").alias("__n"), F.min(F.struct("__a", "__b")).alias("__g"))
+    counts = rows.mapInArrow(_count_grams, "__lang string, __slot long, __a long, __b long, __n long")
+    types = counts.groupBy("__lang", "__slot").agg(F.sum("__n").alias("__n"), F.min(F.struct("__a", "__b")).alias("__g"))
     models = types.select("__lang", "__slot", "__g.*", "__n").groupBy("__lang").applyInPandas(
         _fit_language, "lang string, level int, grams binary, probs binary, contexts binary, weights binary")
     out: Model = {}
@@ -178,14 +181,6 @@ def fit(docs: DataFrame) -> Model:
     return out
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("__a", "__b"))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("__lang"), pa.array(slot(a, b).view(np.int64)), *[batch.column(c) for c in ("__a", "__b", "__n")]],
-            names=["__lang", "__slot", "__a", "__b", "__n"])
-
-
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), missing)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from labeldist.llm.common import GAP, column_or_null, mixed, row_ids, settled, slices, small, stored, text_batches
 from labeldist.llm.components import components
 
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
 #: A token is frequent if more sets than this have it among their first tokens.
 FREQUENT = 16
 BUCKETS = 256

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from labeldist.llm.common import column_or_null, slices, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_BYTES = 600_000
+BATCH_BYTES = 500_000
 SPACE, LITERAL = 0x2581, 0x110000   # the mark of a space; the same character when it stands in a text
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
