@@ -42,25 +42,13 @@ def vote_distribution(df: DataFrame, keys: Sequence[str], label_col: str, n_labe
     return df.groupBy(*keys).agg(*aggs)
 
 
-def drop_excluded(df: DataFrame, col: str, n_keep: int = tx.N_L3, out: str | None = None) -> DataFrame:
-    """P8 on arrays: keep the first ``n_keep`` labels (the excluded label is last)."""
-    return df.withColumn(out or col, F.slice(col, 1, n_keep))
-
-
-def with_levels(df: DataFrame, l3_col: str, prefix: str, normalize: bool = True) -> DataFrame:
-    """Add ``{prefix}_l3``, ``{prefix}_l2``, ``{prefix}_l1`` from a 28-array.
-
-    ``normalize`` applies D1 to the fine level first (roll-ups of a
-    normalised distribution stay normalised).
-    """
-    l3 = D.l1_normalize(l3_col) if normalize else F.col(l3_col)
-    out = df.withColumn(f"{prefix}_l3", l3)
-    out = out.withColumn(f"{prefix}_l2", D.rollup_level(f"{prefix}_l3", 2))
-    return out.withColumn(f"{prefix}_l1", D.rollup_level(f"{prefix}_l2", 1))
+def label_vocab(df: DataFrame, col: str, out: str = "label") -> DataFrame:
+    """The distinct labels of a distribution map over all rows (not only the first)."""
+    return df.select(F.explode(F.map_keys(col)).alias(out)).distinct()
 
 
 def with_levels_many(df: DataFrame, specs: Sequence[tuple[str, str, bool]]) -> DataFrame:
-    """:func:`with_levels` for several ``(l3_col, prefix, normalize)`` at once,
+    """Level columns for several ``(l3_col, prefix, normalize)`` at once,
     in three ``withColumns`` steps (one plan analysis per level, not per column)."""
     out = df.withColumns({f"{p}_l3": (D.l1_normalize(c) if n else F.col(c)) for c, p, n in specs})
     out = out.withColumns({f"{p}_l2": D.rollup_level(f"{p}_l3", 2) for _, p, _ in specs})

@@ -61,11 +61,6 @@ def build_messages(df: DataFrame, prompts: DataFrame, exemplars: DataFrame, k: i
     return j.withColumn("messages", msgs).drop("prompt", "ack", "examples")
 
 
-def with_question(df: DataFrame, a: str = "arg1", b: str = "arg2", out: str = "question") -> DataFrame:
-    """Q2 as a DataFrame step."""
-    return df.withColumn(out, TX.format_question(a, b))
-
-
 def validate(df: DataFrame, response: str = "response", n: int = RS.N_SENSES,
              tol: float = RS.SUM_TOLERANCE) -> DataFrame:
     """Q3 as a DataFrame step: adds ``valid``, ``reason``, ``probs``."""

@@ -88,8 +88,3 @@ def single_sense(df: DataFrame) -> DataFrame:
 def by_relation(df: DataFrame, relation: str) -> DataFrame:
     """one relation type (``Explicit`` / ``Implicit``)."""
     return df.filter(F.col("relation") == F.lit(relation))
-
-
-def sort_relations(df: DataFrame) -> DataFrame:
-    """By file, with folder and span start as explicit tie-breaks."""
-    return df.orderBy("file", "folder", "begin")

@@ -102,7 +102,7 @@ def parse_list_literal_q(spark, sf):
 SELECT DISTINCT unnest(map_keys(m)) AS label FROM lit""")
 def label_vocab_q(spark, sf):
     """The label vocabulary over all rows (not only the first)."""
-    return literals(spark, sf).select(F.explode(F.map_keys("m")).alias("label")).distinct()
+    return OD.label_vocab(literals(spark, sf), "m")
 
 
 ALIGN_VOCAB = ["norel", "s0", "s1", "s2"]

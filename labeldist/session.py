@@ -3,6 +3,7 @@ shared checkpoint folder."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -68,7 +69,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):   # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="labeldist-ckpt-")
     sc.setCheckpointDir(d)

@@ -103,8 +103,3 @@ def taxonomy_df(spark: SparkSession) -> DataFrame:
         rows,
         "l3_idx INT, l3 STRING, l3_key STRING, l2_idx INT, l2 STRING, l1_idx INT, l1 STRING",
     )
-
-
-def names_col(level: int):
-    """Literal array of sense names at ``level`` (for argmax -> name)."""
-    return F.array(*[F.lit(n) for n in LEVEL_NAMES[level]])
