@@ -308,7 +308,7 @@ class Space:
         free = edge != self.path.edge[self.rows[parts]][text]
         doc = self.doc[parts]
         branch = self.branch_place[doc] == self.place[parts]
-        for of, taken in self.gone[:-1] if len(self.gone) else []:
+        for of, taken in self.gone[:-1]:
             last = np.full(len(self.branch_place), -1, np.int64)
             last[of] = taken
             free &= ~(branch[text] & (edge == last[doc[text]]))
@@ -321,11 +321,8 @@ class Space:
         tail = np.append(self.first, len(self.share))[np.searchsorted(self.texts, texts) + 1] - 1
         low = run[head] - self.share[head]
         part = np.clip(np.searchsorted(run, low + u * (run[tail] - low), side="right"), head, tail)
-        while len(none := np.flatnonzero(self.share[part] <= 0)):   # rounding
+        while len(none := np.flatnonzero(self.share[part] <= 0)):   # rounding can hit a part without mass; some part has mass
             part[none] = np.where(part[none] > head[none], part[none] - 1, tail[none])
-            low_share = np.flatnonzero(self.share[part] > 0)
-            if len(low_share) == len(part):
-                break
         return part
 
 
