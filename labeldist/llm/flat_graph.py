@@ -1,37 +1,38 @@
-"""Near-duplicate embeddings by a robust-pruned flat graph.
-
-Equal vectors are one node.  Nodes are dealt to the shards of their nearest
-centres (several each, so shards overlap); every shard builds a graph whose
-edges are pruned robustly: a candidate goes when a kept neighbour is closer to
-it by the factor ``ALPHA``.  The adjacency lists of all shards are united.
-Each node is then searched for in the shard of its nearest centre (whose other
-members are there by the overlap): a greedy beam from the shard's medoid over
-the united lists, and from what lies within range the search goes on expanding
-until nothing new is in range.  Only pairs whose cosine, in double precision,
-reaches the threshold are links.
-
-A shard hands on a count and one tie per node, never its pairs, so dense
-groups stay linear.  Centres are sampled rows, so dense regions have more of
-them and shards stay near ``SHARD_ROWS`` times ``OVERLAP``.
+"""Near-duplicate embeddings: the exact graph of links between vectors of one label.
+
+Equal vectors are one node.  The nodes of a label are cut at random into
+shards.  A shard knows its centre and its radius (the largest angle of a
+member).  Two shards meet if the angle of
+their centres is at most their radii plus the angle of the threshold: by the
+triangle inequality no other shards hold a link.  Each such pair of shards is
+held against each other once, every shard also against itself: cosines in
+single precision, and in double precision where single could be wrong.
+
+A pair of shards hands on a count and one tie per linked node, never its
+links, so dense groups stay linear in rows.  How many shards meet depends on
+the data: few if vectors lie in groups, all shards of a label if its vectors
+point everywhere; one shard is moved for each pair, ``n / SHARD_ROWS / 2``
+times the input of a label at most.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.llm.common import column_or_null, row_ids, small, stored
+from labeldist.llm.common import column_or_null, row_ids, small, stored, text_batches
 from labeldist.llm.components import components
 
-SHARD_ROWS = 400      # nodes whose nearest centre a shard is, on average
-OVERLAP = 3           # shards of a node
-DEGREE, NEAREST, RANDOM, ALPHA = 24, 48, 16, 1.2
-BEAM = 16
-SLACK = 0.03          # the search expands what lies so much below the threshold
-QUERY_BLOCK = 256
-PAIR_BLOCK = 20_000   # pairs of a query and a node whose neighbours are looked at together
+SHARD_ROWS = 8192     # nodes of a shard at most, on average over the shards of a cell
+SHARD_VALUES = 2**19  # numbers in the vectors of a shard at most: fewer nodes if vectors are long
+CHUNK = 256           # shards whose centres are held against each other in one task
+QUERY_BLOCK = 512
+ANGLE_SLACK = 1e-6    # far above the rounding of an angle
 AUDIT_ROWS = 200
 
 
@@ -52,132 +53,119 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _nearest_centres(frame: pd.DataFrame) -> pd.DataFrame:
-    """The shards of the rows of one label and slice, nearest first."""
-    centres = _unit(np.stack(frame["__centres"].iloc[0]))
-    x = _unit(np.stack(frame["__x"]))
-    take = min(OVERLAP, len(centres))
-    near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :take]
-    return pd.DataFrame({"node": frame["node"], "label": frame["__label"], "shards": list(near.astype(np.int64))})
-
-
-def _prune(x: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Robust pruning over each row's nearest rows and some random ones; edges in both directions."""
-    n = len(x)
-    rng = np.random.default_rng(seed)
-    out = np.full((n, DEGREE), -1)
-    for a in range(0, n, QUERY_BLOCK):
-        rows = np.arange(a, min(a + QUERY_BLOCK, n))
-        cos = x[rows] @ x.T
-        cos[np.arange(len(rows)), rows] = -2
-        near = np.argpartition(-cos, min(NEAREST, n - 1) - 1, axis=1)[:, :NEAREST] if n > 1 else np.zeros((1, 0), int)
-        cand = np.concatenate([near, rng.integers(0, n, (len(rows), RANDOM))], axis=1)
-        d = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(cos, cand, axis=1), 0))
-        d[cand == rows[:, None]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")
-        cand, d = np.take_along_axis(cand, order, axis=1), np.take_along_axis(d, order, axis=1)
-        alive = np.isfinite(d)
-        vectors = x[cand]
-        apart = np.sqrt(np.maximum(2 - 2 * (vectors @ vectors.transpose(0, 2, 1)), 0))
-        for j in range(DEGREE):
-            go = np.flatnonzero(alive.any(axis=1))
-            if not len(go):
-                break
-            best = alive[go].argmax(axis=1)
-            out[rows[go], j] = cand[go, best]
-            alive[go] &= ALPHA * apart[go, best] > d[go]
-            alive[go, best] = False
-    src = np.repeat(np.arange(n), DEGREE)
-    dst = out.ravel()
-    src, dst = src[dst >= 0], dst[dst >= 0]
-    both = np.unique(np.concatenate([src * n + dst, dst * n + src]))
-    return np.split(both % n, np.searchsorted(both // n, np.arange(1, n)))
-
-
-def _build(shard: pd.DataFrame) -> pd.DataFrame:
-    node = shard["node"].to_numpy()
-    order = np.argsort(node)
-    node = node[order]
-    edges = _prune(_unit(np.stack(shard["__x"])[order]), len(node))
-    return pd.DataFrame({"node": node, "near": [node[e] for e in edges]})
-
-
-def _search(shard: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """For each node whose nearest centre is this shard's its links (copies of its partners), and ties between linked nodes."""
-    shard = shard.sort_values("node", ignore_index=True)
-    node, x, n = shard["node"].to_numpy(), _unit(np.stack(shard["__x"])), len(shard)
-    copies, home = shard["copies"].to_numpy(), np.flatnonzero(shard["home"].to_numpy())
-    lists = []
-    for e in shard["near"]:
-        at = np.minimum(np.searchsorted(node, e), n - 1)
-        lists.append(at[node[at] == e])
-    near = np.full((n, max(map(len, lists), default=0) or 1), -1)
-    for i, e in enumerate(lists):
-        near[i, :len(e)] = e
-    small = x.astype(np.float32)
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    count, root = np.zeros(n, np.int64), np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for rows in np.split(home, range(QUERY_BLOCK, len(home), QUERY_BLOCK)):
-        m, width = len(rows), min(BEAM, n)
-        seen, done = np.zeros((m, n), bool), np.zeros((m, n), bool)
-        cos = np.full((m, n), -2.0, np.float32)
-
-        def visit(q: np.ndarray, at: np.ndarray) -> None:
-            """Look at the neighbours of ``at`` for the queries ``q``."""
-            done[q, at] = True
-            for a in range(0, len(q), max(PAIR_BLOCK // near.shape[1], 1)):
-                of = slice(a, a + max(PAIR_BLOCK // near.shape[1], 1))
-                nb = near[at[of]]
-                new = (nb >= 0) & ~seen[q[of, None], nb]
-                q2, nb = np.nonzero(new)[0], nb[new]
-                q2 = q[of][q2]
-                cos[q2, nb] = np.einsum("ij,ij->i", small[rows[q2]], small[nb])
-                seen[q2, nb] = True
-
-        seen[:, medoid] = True
-        cos[:, medoid] = small[rows] @ small[medoid]
-        beam = np.full((m, width), medoid)     # the nearest nodes seen so far
-        valid = np.zeros((m, width), bool)
-        valid[:, 0] = True
-        go = np.arange(m)
-        while len(go):   # expand the nearest of the beam that is not expanded yet
-            value = np.where(valid[go] & ~done[go[:, None], beam[go]], cos[go[:, None], beam[go]], -3)
-            pick = value.argmax(axis=1)
-            live = value[np.arange(len(go)), pick] > -3
-            go, at = go[live], beam[go, pick][live]
-            if not len(go):
-                break
-            nb = near[at]
-            fresh = (nb >= 0) & ~seen[go[:, None], nb]
-            visit(go, at)
-            both = np.concatenate([beam[go], np.where(fresh, nb, medoid)], axis=1)
-            some = np.concatenate([valid[go], fresh], axis=1)
-            rank = np.where(some, cos[go[:, None], both], -3)
-            best = np.argpartition(-rank, width - 1, axis=1)[:, :width]
-            beam[go], valid[go] = np.take_along_axis(both, best, axis=1), np.take_along_axis(some, best, axis=1)
-        while True:      # everything in range
-            q, at = np.nonzero((cos >= threshold - SLACK) & ~done)
-            if not len(q):
-                break
-            visit(q, at)
-        q, at = np.nonzero(cos >= threshold - 1e-5)
-        for a in range(0, len(q), PAIR_BLOCK):
-            p, t = rows[q[a:a + PAIR_BLOCK]], at[a:a + PAIR_BLOCK]
-            keep = (np.einsum("ij,ij->i", x[p], x[t]) >= threshold) & (p != t)
-            p, t = p[keep], t[keep]
-            np.add.at(count, p, copies[t])
-            for i, j in zip(p, t, strict=True):
-                r, s = find(i), find(j)
-                if r != s:
-                    root[max(r, s)] = min(r, s)
-    return pd.DataFrame({"node": node, "links": count, "tie": node[[find(i) for i in range(n)]]})
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _shard_rows() -> Column:
+    return F.least(F.lit(SHARD_ROWS), F.greatest(F.floor(F.lit(SHARD_VALUES) / F.col("__dim")), F.lit(1)))
+
+
+def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """A shard as one row: its nodes, copies and unit vectors, its centre and its radius."""
+    rows = rows.sort_values("node")
+    x = _unit(np.stack(rows["__x"]))
+    mean = x.mean(axis=0)
+    centre = _unit(mean[None])[0] if np.abs(mean).max() > 1e-9 else x[0]
+    return pd.DataFrame({
+        "label": rows["__label"].iloc[:1], "dim": rows["__dim"].iloc[:1], "shard": rows["node"].iloc[:1],
+        "centre": [centre.tobytes()], "radius": [float(_angle(x @ centre).max())], "x": [np.ascontiguousarray(x).tobytes()],
+        "nodes": [rows["node"].to_numpy().tobytes()], "copies": [rows["copies"].to_numpy().tobytes()]})
+
+
+def _meetings(shards: pd.DataFrame, reach: float) -> pd.DataFrame:
+    """Pairs of shards of two chunks (or of one) that can hold a link."""
+    lo, hi = (shards[shards["chunk"] == k] for k in (shards["lo"].iloc[0], shards["hi"].iloc[0]))
+    if not len(lo) or not len(hi):
+        return pd.DataFrame({"one": [], "two": []})
+    centres = [np.stack([np.frombuffer(c) for c in s["centre"]]) for s in (lo, hi)]
+    radii = [s["radius"].to_numpy() for s in (lo, hi)]
+    one, two = (s["shard"].to_numpy() for s in (lo, hi))
+    meet = _angle(centres[0] @ centres[1].T) <= radii[0][:, None] + radii[1] + reach
+    if lo["chunk"].iloc[0] == hi["chunk"].iloc[0]:
+        meet &= one[:, None] <= two
+        meet |= one[:, None] == two
+    i, j = np.nonzero(meet)
+    return pd.DataFrame({"one": one[i], "two": two[j]})
+
+
+class _Shard:
+    def __init__(self, row, side: str):
+        self.nodes, self.copies = (np.frombuffer(getattr(row, f"{c}_{side}"), np.int64) for c in ("nodes", "copies"))
+        self.x = np.frombuffer(getattr(row, f"x_{side}")).reshape(len(self.nodes), -1)
+        self.centre, self.radius = np.frombuffer(getattr(row, f"centre_{side}")), getattr(row, f"radius_{side}")
+
+    def near(self, other: _Shard, reach: float) -> np.ndarray:
+        """Which members can have a link in the other shard."""
+        return np.flatnonzero(_angle(self.x @ other.centre) <= other.radius + reach)
+
+
+def _links(one: _Shard, two: _Shard, same: bool, threshold: float) -> pd.DataFrame:
+    """Per linked node of two shards (or of one) the copies of its partners, and a tie to a node that links lead to."""
+    reach = np.arccos(min(threshold, 1.0)) + ANGLE_SLACK
+    p, q = one.near(two, reach), two.near(one, reach)
+    x, y = one.x[p], two.x[q]
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    unsure = 1e-6 + 2.4e-7 * x.shape[1]      # more than single precision can be wrong by
+    copies = (one.copies[p].astype(float), two.copies[q].astype(float))   # sums below 2 ** 53 are exact
+    count = (np.zeros(len(p)), np.zeros(len(q)))
+    right = np.arange(len(q)) + (0 if same else len(p))   # place of the members of ``two`` among all
+    group = np.arange(len(q) if same else len(p) + len(q))
+    for a in range(0, len(p), QUERY_BLOCK):
+        cos = x32[a:a + QUERY_BLOCK] @ y32.T
+        link = cos >= threshold + unsure
+        i, j = np.nonzero((cos >= threshold - unsure) & ~link)
+        for k in range(0, len(i), 100_000):
+            u, v = i[k:k + 100_000], j[k:k + 100_000]
+            link[u, v] = np.einsum("ij,ij->i", x[a + u], y[v]) >= threshold
+        if same:
+            rows = np.arange(len(link))
+            link[rows, a + rows] = False
+        some = np.flatnonzero(link.any(axis=1))
+        if not len(some):
+            continue
+        weight = link[some].astype(float)
+        count[0][a + some] += weight @ copies[1]
+        if not same:
+            count[1][:] += copies[0][a + some] @ weight
+        for i in some:
+            met, own = group[right[link[i]]], group[a + i]
+            if (met != own).any():
+                met = np.unique(np.append(met, own))
+                group[np.isin(group, met)] = met[0]
+    nodes = one.nodes[p] if same else np.concatenate([one.nodes[p], two.nodes[q]])
+    links = np.rint(count[0] if same else np.concatenate(count)).astype(np.int64)
+    linked = links > 0
+    return pd.DataFrame({"node": nodes[linked], "links": links[linked], "tie": nodes[group][linked]})
+
+
+def _search(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            yield _links(_Shard(row, "one"), _Shard(row, "two"), row.one == row.two, threshold)
+
+
+def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``node, links, tie``: of each pair of shards that holds links of the node, their number and a node that they lead to."""
+    text_batches(nodes.sparkSession)   # a row holds two shards
+    reach = math.acos(min(threshold, 1.0)) + ANGLE_SLACK
+    split = nodes.withColumn("__cell", F.lit(1).cast("long"))
+    cell = ["__label", "__dim", "__cell"]
+    sizes = split.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    pieces = split.join(small(sizes), cell).withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / _shard_rows())))
+    shards = stored(pieces.groupBy(*cell, "piece").applyInPandas(
+        _pack, "label int, dim int, shard long, centre binary, radius double, x binary, nodes binary, copies binary"), "shards")
+    centres = shards.select("label", "dim", "shard", "centre", "radius")
+    chunks = centres.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    other = centres.join(small(chunks), ["label", "dim"]).withColumn(
+        "chunk", F.pmod(F.xxhash64("shard"), F.col("chunks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    meetings = other.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).groupBy(
+        "label", "dim", "lo", "hi").applyInPandas(lambda f: _meetings(f, reach), "one long, two long")
+    side = lambda s: shards.select(F.col("shard").alias(s), *[
+        F.col(c).alias(f"{c}_{s}") for c in ("centre", "radius", "x", "nodes", "copies")])
+    return meetings.join(side("one"), "one").join(side("two"), "two").mapInPandas(
+        lambda b: _search(b, threshold), "node long, links long, tie long")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -193,29 +181,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     ok = all_rows.filter("__ok").withColumn("__dim", F.size("__x"))
     key = ["__label", "__dim", "__x"]
     nodes = stored(ok.groupBy(*key).agg(F.min("__rid").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    sizes = nodes.groupBy("__label", "__dim").agg(F.count(F.lit(1)).alias("n"))
-    wanted = F.ceil(F.col("n") / SHARD_ROWS)
-    # centres: a sample of the nodes of each label, about one for SHARD_ROWS of them and two at least
-    draw = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = nodes.join(small(sizes), ["__label", "__dim"]).withColumn("u", draw).filter(
-        F.col("u") < F.greatest(1.5 * wanted + 8, F.lit(2)) / F.col("n"))
-    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("__label", "__dim").orderBy("u", "node")))
-    centres = ranked.filter(F.col("k") <= wanted).groupBy("__label", "__dim").agg(
-        F.collect_list("__x").alias("__centres"))
-    placed = nodes.join(small(centres), ["__label", "__dim"]).withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(64)))
-    shards_of = placed.groupBy("__label", "__dim", "slice").applyInPandas(
-        _nearest_centres, "node long, label int, shards array<long>")
-    member = stored(nodes.join(shards_of.select("node", "shards"), "node"), "members")
-    spread = member.withColumn("shard", F.explode("shards"))
-    group = ["__label", "__dim", "shard"]
-    lists = spread.groupBy(*group).applyInPandas(_build, "node long, near array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = stored(member.join(united, "node").select(
-        "*", F.posexplode("shards").alias("place", "shard")).withColumn("home", F.col("place") == 0).drop("shards").groupBy(
-        *group).applyInPandas(lambda f: _search(f, threshold), "node long, links long, tie long"), "found")
+    found = stored(links_of(nodes, threshold), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     part = components(found.filter("node <> tie").select(F.col("node").alias("a"), F.col("tie").alias("b")))
-    of_node = member.select(*key, "node", "copies").join(links, "node", "left").join(part, "node", "left").select(
+    of_node = nodes.select(*key, "node", "copies").join(links, "node", "left").join(part, "node", "left").select(
         *key, "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("group"))
     linked = ok.join(of_node, key).select("__rid", "__id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "group")
     least = linked.groupBy("group").agg(F.min("__id").alias("component"))

@@ -91,3 +91,30 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert flat_graph.op4(df.limit(0)).count() == 0
     alone = {r.vec_id: r for r in flat_graph.op4(df).filter(F.col("vec_id") > 9000).collect()}
     assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for i, r in alone.items())
+
+
+def families(spark, sizes, others, dim=32, seed=1):
+    """Families of distinct vectors around cosine 0.985 of each other, and rows that lie elsewhere, under one label."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = np.concatenate([*(unit(rng.normal(size=dim)) + rng.normal(size=(n, dim)) * math.sqrt(0.015 / dim) for n in sizes),
+                        rng.normal(size=(others, dim))])
+    x = x[rng.permutation(len(x))]
+    return spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id LONG, embedding ARRAY<DOUBLE>, label INT"), unit(x)
+
+
+def test_large_families_of_distinct_vectors(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "SHARD_ROWS", 400)
+    df, x = families(spark, (4000, 1500), 1500)
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert want.sum() > 5_000_000
+    found = flat_graph.near_duplicates(df)
+    rows = {r["__id"]: r for r in found.collect()}
+    assert [rows[i].n_links for i in range(len(x))] == want.tolist()
+    assert flat_graph.audit_recall(df, found) == 1.0
+    group = np.arange(len(x))
+    for i in range(len(x)):                                # components by brute force
+        met = np.unique(group[np.append(np.flatnonzero(x @ x[i] >= 0.98), i)])
+        if len(met) > 1:
+            group[np.isin(group, met)] = met[0]
+    assert [rows[i].component for i in range(len(x))] == group.tolist()
