@@ -1,8 +1,10 @@
 """Near-duplicate embeddings: the exact graph of links between vectors of one label.
 
-Equal vectors are one node.  The nodes of a label are cut at random into
-shards.  A shard knows its centre and its radius (the largest angle of a
-member).  Two shards meet if the angle of
+Equal vectors are one node.  The nodes of a label are split into cells by a
+tree of centres (a cell of more than ``SHARD_ROWS`` nodes is dealt to the
+nearest of up to ``FAN_OUT`` centres drawn from it, level by level); a cell
+that stays larger is cut at random into shards.  A shard knows its centre and
+its radius (the largest angle of a member).  Two shards meet if the angle of
 their centres is at most their radii plus the angle of the threshold: by the
 triangle inequality no other shards hold a link.  Each such pair of shards is
 held against each other once, every shard also against itself: cosines in
@@ -22,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeldist.llm.common import column_or_null, row_ids, small, stored, text_batches
 from labeldist.llm.components import components
 
 SHARD_ROWS = 8192     # nodes of a shard at most, on average over the shards of a cell
+FAN_OUT = 16          # centres that the nodes of a cell are dealt to
 SHARD_VALUES = 2**19  # numbers in the vectors of a shard at most: fewer nodes if vectors are long
 CHUNK = 256           # shards whose centres are held against each other in one task
 QUERY_BLOCK = 512
@@ -57,10 +60,50 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1, 1))
 
 
+def _deal(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """The child cell of each row of a slice of a cell: its nearest centre."""
+    if not len(rows):
+        return pd.DataFrame({"node": [], "cell": []})
+    if not len(centres):   # none was drawn
+        return pd.DataFrame({"node": rows["node"], "cell": rows["__cell"]})
+    c = centres.sort_values("k")
+    near = (_unit(np.stack(rows["__x"])) @ _unit(np.stack(c["__x"])).T).argmax(axis=1)
+    return pd.DataFrame({"node": rows["node"], "cell": rows["__cell"] * FAN_OUT + near})
+
+
 def _shard_rows() -> Column:
     return F.least(F.lit(SHARD_ROWS), F.greatest(F.floor(F.lit(SHARD_VALUES) / F.col("__dim")), F.lit(1)))
 
 
+def cells(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with a column ``__cell`` (unique within label and length), split while cells are too large and splits help.
+
+    The id of a cell is that of its parent times ``FAN_OUT`` plus its number; the first is 1, so ids of all levels differ."""
+    cell = ["__label", "__dim", "__cell"]
+    nodes = nodes.withColumn("__cell", F.lit(1).cast("long"))
+    largest = None
+    while True:
+        sizes = stored(nodes.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _shard_rows()), "cells")
+        top, bits = sizes.agg(F.max("n"), F.max("__cell")).first()
+        if top is None or (largest is not None and top > 0.9 * largest) or bits > (1 << 62) // FAN_OUT:
+            return nodes
+        largest = top
+        level = nodes.join(small(sizes), cell, "left")
+        large = level.filter("n IS NOT NULL")
+        wanted = F.least(F.ceil(F.col("n") / _shard_rows()), F.lit(FAN_OUT))
+        draw = F.pmod(F.xxhash64("node", "__cell"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        drawn = large.withColumn("u", draw).filter(F.col("u") < (1.5 * wanted + 8) / F.col("n"))
+        centres = stored(drawn.withColumn("k", F.row_number().over(Window.partitionBy(*cell).orderBy("u", "node"))).filter(
+            F.col("k") <= wanted), "centres")
+        n_slices = F.ceil(F.col("n") / _shard_rows())
+        sliced = large.withColumn("slice", F.pmod(F.xxhash64("node"), n_slices))
+        shown = centres.select(*cell, "__x", "k", F.explode(F.sequence(F.lit(0).cast("long"), n_slices - 1)).alias("slice"))
+        dealt = sliced.groupBy(*cell, "slice").cogroup(shown.groupBy(*cell, "slice")).applyInPandas(
+            _deal, "node long, cell long")
+        nodes = stored(level.join(dealt, "node", "left").withColumn("__cell", F.coalesce("cell", "__cell")).drop(
+            "n", "cell"), "dealt")
+
+
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     """A shard as one row: its nodes, copies and unit vectors, its centre and its radius."""
     rows = rows.sort_values("node")
@@ -149,7 +192,7 @@ def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
     """``node, links, tie``: of each pair of shards that holds links of the node, their number and a node that they lead to."""
     text_batches(nodes.sparkSession)   # a row holds two shards
     reach = math.acos(min(threshold, 1.0)) + ANGLE_SLACK
-    split = nodes.withColumn("__cell", F.lit(1).cast("long"))
+    split = cells(nodes)
     cell = ["__label", "__dim", "__cell"]
     sizes = split.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     pieces = split.join(small(sizes), cell).withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / _shard_rows())))

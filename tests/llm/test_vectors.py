@@ -118,3 +118,17 @@ def test_large_families_of_distinct_vectors(spark, monkeypatch):
         if len(met) > 1:
             group[np.isin(group, met)] = met[0]
     assert [rows[i].component for i in range(len(x))] == group.tolist()
+
+
+def test_cells_are_split_in_steps_of_few_centres(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "SHARD_ROWS", 50)
+    monkeypatch.setattr(flat_graph, "FAN_OUT", 4)
+    df, x = families(spark, (700,), 900, dim=8)
+    nodes = df.selectExpr("label AS __label", "8 AS __dim", "embedding AS __x", "vec_id AS node", "1L AS copies")
+    split = flat_graph.cells(nodes)
+    assert sorted(split.columns) == sorted([*nodes.columns, "__cell"])     # no array of centres on the rows
+    assert sorted(r.node for r in split.select("node").collect()) == list(range(len(x)))
+    sizes = [r["count"] for r in split.groupBy("__cell").count().collect()]
+    assert max(sizes) < 400 and split.filter("__cell >= 64").count() > 0    # three levels and more
+    want = (x @ x.T >= 0.98).sum() - len(x)
+    assert flat_graph.links_of(nodes, 0.98).agg(F.sum("links")).first()[0] == want
