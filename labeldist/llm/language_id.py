@@ -2,41 +2,43 @@
 
 A model per language is learned from the letter runs (words, lower-cased) of
 all training texts.  Counts of character n-grams are taken in every task and
-summed by Spark; one task per language turns them into probabilities.  Each
-order of a model is a pair of sorted hash arrays: n-gram -> discounted
-probability, and context -> weight of the next lower order.  A text gets the
+summed by Spark under the whole n-gram; Spark also derives the lower orders and
+the probabilities, so every n-gram counts at every order.  A text gets the
 language with the lowest cross-entropy per character, and is rejected when
 that cross-entropy lies beyond what the language's own training texts show.
 
-Bound: the highest order of a language is kept in ``2 ** HASH_BITS`` slots
-(n-grams that share a slot are counted as one), lower orders are derived from
-these, so a model has at most ``ORDER * 2 ** HASH_BITS`` entries.  Only the
-models are broadcast.
+A model has an entry per n-gram (its discounted probability) and one per
+context (the weight of the next lower order).  Up to ``BROADCAST_ENTRIES``
+of all languages together, which are counted, they are broadcast as sorted
+hash arrays; a larger model stays a table, and the distinct n-grams of the
+texts are joined with it (:class:`Table`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labeldist.llm.common import column_or_null, crc_mod, mixed, slices, text_batches
+from labeldist.llm.common import MAX_BROADCAST_ROWS, column_or_null, crc_mod, mixed, row_ids, slices, stored, text_batches
 from labeldist.session import cut_lineage
 
 ORDER = 4          # characters of an n-gram, at most 6
-HASH_BITS = 22
+BROADCAST_ENTRIES = 4_000_000   # of 16 bytes
 BATCH_BYTES = 1_500_000   # texts are worked on in slices of about so many bytes
 FLUSH_TYPES = 300_000     # a task hands on its partial counts beyond so many n-grams
 UND = "und"
 SHARPNESS = 20.0   # characters that the score (a softmax of the cross-entropies) stands for
 FALSE_REJECTS = 1e-4      # share of training texts beyond the calibrated threshold ...
 MARGIN = 1.5              # ... which is widened by this factor
+ROUNDING = 1e-9           # sums differ by less when they are taken in another order
 
 _BITS = np.uint64(21)
 
@@ -75,7 +77,8 @@ def characters(a: np.ndarray, b: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Packed n-grams as a matrix with one column per character."""
     head, tail = min(order, 3), max(order - 3, 0)
     mask = np.uint64(2**21 - 1)
-    return np.stack([(x >> (_BITS * np.uint64(n - 1 - j))) & mask for x, n in ((a, head), (b, tail)) for j in range(n)], axis=1)
+    columns = [(x >> (_BITS * np.uint64(n - 1 - j))) & mask for x, n in ((a, head), (b, tail)) for j in range(n)]
+    return np.stack(columns, axis=1) if columns else np.zeros((len(a), 0), np.uint64)
 
 
 def suffix_hash(chars: np.ndarray, order: int) -> np.ndarray:
@@ -87,7 +90,8 @@ def suffix_hash(chars: np.ndarray, order: int) -> np.ndarray:
 
 
 def slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mixed(a, b) >> np.uint64(64 - HASH_BITS)
+    """Key of n-grams of the highest order."""
+    return mixed(a, b)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +101,6 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pd.concat(frames).groupby(["__lang", "__a", "__b"], as_index=False, sort=False)["__n"].sum()
 
     def handed_on(counts: pd.DataFrame) -> pa.RecordBatch:
-        a, b = (counts[c].to_numpy().view(np.uint64) for c in ("__a", "__b"))
-        counts.insert(1, "__slot", slot(a, b).view(np.int64))
         return pa.RecordBatch.from_pandas(counts, preserve_index=False)
 
     for batch in batches:
@@ -130,7 +132,9 @@ def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def kneser_ney(chars: np.ndarray, counts: np.ndarray, top: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Levels 1 .. order: sorted n-gram keys, discounted probabilities, sorted context keys, their weights for the level below.
+    """One language in memory, which :func:`fit` does by aggregation.
+
+    Levels 1 .. order: sorted n-gram keys, discounted probabilities, sorted context keys, their weights for the level below.
 
     ``chars``: the distinct highest-order n-grams; ``top``: their keys.  The
     highest order uses counts, every other the number of distinct n-grams of
@@ -155,29 +159,85 @@ def kneser_ney(chars: np.ndarray, counts: np.ndarray, top: np.ndarray) -> list[t
     return levels[::-1]
 
 
-def _fit_language(rows: pd.DataFrame) -> pd.DataFrame:
-    a, b = (rows[c].to_numpy().view(np.uint64) for c in ("__a", "__b"))
-    levels = kneser_ney(characters(a, b), rows["__n"].to_numpy(), slot(a, b))
-    return pd.DataFrame({"lang": rows["__lang"].iloc[0], "level": range(1, len(levels) + 1),
-                         **{c: [x[i].astype("<f8" if i in (1, 3) else "<u8").tobytes() for x in levels]
-                            for i, c in enumerate(("grams", "probs", "contexts", "weights"))}})
+Model = dict[str, list[tuple[np.ndarray, ...]]]
 
 
-Model = dict[str, list[tuple[np.ndarray, ...]]]
+class Table(NamedTuple):
+    """A model that is not broadcast: entries ``__lang, __level, __kind`` (gram or context), ``__a, __b`` and ``__value``."""
+
+    names: list[str]
+    entries: DataFrame
+    alphabet: int
+
+
+def _without_first(a: Column, b: Column, order: int) -> tuple[Column, Column]:
+    """Packed n-grams of ``order`` characters without their first."""
+    tail = max(order - 3, 0)
+    if not tail:
+        return a.bitwiseAND(F.lit(2 ** (21 * (order - 1)) - 1)), F.lit(0).cast("long")
+    moved = F.shiftleft(a, 21).bitwiseAND(F.lit(2**63 - 1)).bitwiseOR(F.shiftright(b, 21 * (tail - 1)))
+    return moved, b.bitwiseAND(F.lit(2 ** (21 * (tail - 1)) - 1))
+
+
+def _without_last(a: Column, b: Column, order: int) -> tuple[Column, Column]:
+    return (a, F.shiftright(b, 21)) if order > 3 else (F.shiftright(a, 21), F.lit(0).cast("long"))
+
+
+def _entries(types: DataFrame) -> DataFrame:
+    """The entries of all levels, from the distinct n-grams of the highest order (``__lang, __a, __b, __n``).
+
+    As in :func:`kneser_ney`: the highest order uses counts, every other the number of distinct n-grams that end in the n-gram."""
+    out, key, context = None, ["__a", "__b"], ["__lang", "__ca", "__cb"]
+    a, b = F.col("__a"), F.col("__b")
+    for k in range(ORDER, 0, -1):
+        ca, cb = _without_last(a, b, k)
+        grams = types.withColumn("__ca", ca).withColumn("__cb", cb)
+        ones, twos = F.count_if(F.col("__n") == 1), F.count_if(F.col("__n") == 2)
+        d = types.groupBy("__lang").agg(F.least(F.when(ones > 0, ones / (ones + 2 * twos)).otherwise(0.5), F.lit(0.99)).alias("__d"))
+        contexts = stored(grams.groupBy(*context).agg(F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__types")).join(
+            d, "__lang"), "contexts")
+        probs = grams.join(contexts, context).select(
+            "__lang", F.lit(k).alias("__level"), F.lit("gram").alias("__kind"), *key,
+            (F.greatest(F.col("__n") - F.col("__d"), F.lit(0.0)) / F.col("__total")).alias("__value"))
+        weights = contexts.select(
+            "__lang", F.lit(k).alias("__level"), F.lit("context").alias("__kind"), F.col("__ca").alias("__a"),
+            F.col("__cb").alias("__b"), (F.col("__d") * F.col("__types") / F.col("__total")).alias("__value"))
+        out = probs.union(weights) if out is None else out.union(probs).union(weights)
+        if k > 1:
+            sa, sb = _without_first(a, b, k)
+            types = stored(types.select("__lang", sa.alias("__a"), sb.alias("__b")).groupBy("__lang", *key).agg(
+                F.count(F.lit(1)).alias("__n")), "grams")
+    return out
+
+
+def _arrays(rows: pd.DataFrame) -> pd.DataFrame:
+    """One level of one language as sorted hash arrays."""
+    k, out = int(rows["__level"].iloc[0]), {"lang": rows["__lang"].iloc[0], "level": int(rows["__level"].iloc[0])}
+    for kind, order in (("gram", k), ("context", k - 1)):
+        of = rows[rows["__kind"] == kind]
+        a, b = (of[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("__a", "__b"))
+        keys = slot(a, b) if order == ORDER else suffix_hash(characters(a, b, order), order)
+        sort = np.argsort(keys, kind="stable")
+        out |= {f"{kind}s": keys[sort].astype("<u8").tobytes(), f"{kind}_values": of["__value"].to_numpy()[sort].astype("<f8").tobytes()}
+    return pd.DataFrame([out])
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame) -> Model | Table:
     """Learn a model of each language of ``docs`` (columns ``text`` and ``lang``; rows with a null in either are left out)."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("text").alias("__text"), F.col("lang").alias("__lang")).dropna()
-    counts = rows.mapInArrow(_count_grams, "__lang string, __slot long, __a long, __b long, __n long")
-    types = counts.groupBy("__lang", "__slot").agg(F.sum("__n").alias("__n"), F.min(F.struct("__a", "__b")).alias("__g"))
-    models = types.select("__lang", "__slot", "__g.*", "__n").groupBy("__lang").applyInPandas(
-        _fit_language, "lang string, level int, grams binary, probs binary, contexts binary, weights binary")
+    counts = rows.mapInArrow(_count_grams, "__lang string, __a long, __b long, __n long")
+    types = stored(counts.groupBy("__lang", "__a", "__b").agg(F.sum("__n").alias("__n")), "types")
+    entries = stored(_entries(types), "model")
+    if entries.count() > BROADCAST_ENTRIES:
+        letters = entries.filter("__level = 1 AND __kind = 'gram'").groupBy("__lang").count().collect()
+        return Table(sorted(r["__lang"] for r in letters), entries, max(r["count"] for r in letters) + 1)
+    models = entries.groupBy("__lang", "__level").applyInPandas(
+        _arrays, "lang string, level int, grams binary, gram_values binary, contexts binary, context_values binary")
     out: Model = {}
     for r in sorted(models.collect(), key=lambda r: (r.lang, r.level)):
-        out.setdefault(r.lang, []).append(tuple(
-            np.frombuffer(x, dtype=k) for x, k in ((r.grams, "<u8"), (r.probs, "<f8"), (r.contexts, "<u8"), (r.weights, "<f8"))))
+        out.setdefault(r.lang, []).append(tuple(np.frombuffer(x, dtype=k) for x, k in (
+            (r.grams, "<u8"), (r.gram_values, "<f8"), (r.contexts, "<u8"), (r.context_values, "<f8"))))
     return out
 
 
@@ -221,7 +281,55 @@ def cross_entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
     return h, n
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each text and how often it has them."""
+    for batch in batches:
+        for part in slices(batch, "__text", BATCH_BYTES):
+            doc, word, words = words_of(part.column("__text"))
+            if not words:
+                continue
+            grams = Grams(words)
+            length = np.bincount(grams.word, minlength=len(words))
+            start = np.concatenate([[0], np.cumsum(length)])[word]
+            places = np.repeat(start - np.concatenate([[0], np.cumsum(length[word])])[:-1], length[word]) + np.arange(length[word].sum())
+            pairs, n = np.unique(np.repeat(doc, length[word]) * len(grams.a) + grams.gram[places], return_counts=True)
+            of, gram = pairs // len(grams.a), pairs % len(grams.a)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("__rid").take(pa.array(of)), pa.array(grams.a[gram].view(np.int64)),
+                 pa.array(grams.b[gram].view(np.int64)), pa.array(n.astype(np.int64))], names=["__rid", "__a", "__b", "__n"])
+
+
+def _table_probabilities(model: Table, grams: DataFrame) -> DataFrame:
+    """``__a, __b, __logs`` of distinct n-grams (as :func:`log_probabilities`), joined with the entries level by level."""
+    suffix = {ORDER: (F.col("__a"), F.col("__b"))}
+    for k in range(ORDER, 1, -1):
+        suffix[k - 1] = _without_first(*suffix[k], k)
+    out = grams.withColumn("__p", F.array_repeat(F.lit(1.0 / model.alphabet), len(model.names)))
+    for k in range(1, ORDER + 1):
+        for kind, missing, (a, b) in (("context", 1.0, _without_last(*suffix[k], k)), ("gram", 0.0, suffix[k])):
+            values = stored(model.entries.filter((F.col("__level") == k) & (F.col("__kind") == kind)).groupBy(
+                F.col("__a").alias("__ka"), F.col("__b").alias("__kb")).agg(F.array(*[
+                    F.coalesce(F.max(F.when(F.col("__lang") == x, F.col("__value"))), F.lit(missing)) for x in model.names]).alias("__v")), "values")
+            few = values.count() * len(model.names) <= MAX_BROADCAST_ROWS
+            fold = (lambda p, v: p * v) if kind == "context" else (lambda p, v: p + v)
+            met = out.withColumn("__ka", a).withColumn("__kb", b).join(F.broadcast(values) if few else values, ["__ka", "__kb"], "left")
+            out = met.select("__a", "__b", F.zip_with("__p", F.coalesce(
+                "__v", F.array_repeat(F.lit(missing), len(model.names))), fold).alias("__p"))
+    return out.select("__a", "__b", F.transform("__p", lambda p: F.log(F.greatest(p, F.lit(1e-12)))).alias("__logs"))
+
+
+def _with_sums(rows: DataFrame, model: Table) -> DataFrame:
+    """``rows`` with ``__n`` characters and the cross-entropies ``__h``."""
+    rows = stored(row_ids(rows), "texts")
+    grams = stored(rows.select("__rid", "__text").mapInArrow(_text_grams, "__rid long, __a long, __b long, __n long"), "text-grams")
+    logs = _table_probabilities(model, grams.select("__a", "__b").distinct())
+    sums = grams.join(logs, ["__a", "__b"]).groupBy("__rid").agg(F.sum("__n").alias("__n"), F.array(*[
+        -F.sum(F.col("__n") * F.col("__logs")[j]) / F.sum("__n") for j in range(len(model.names))]).alias("__h"))
+    return rows.join(sums, "__rid", "left").withColumn("__n", F.coalesce("__n", F.lit(0))).withColumn(
+        "__h", F.coalesce("__h", F.array_repeat(F.lit(0.0), len(model.names))))
+
+
+def identify(docs: DataFrame, model: Model | Table, keep: list[str] | None = None, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) plus ``__pred, __score, __entropy, __chars, __rejected``.
 
     Null texts, texts without a letter and all texts if there is no model are
@@ -232,7 +340,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, limit
     keep = docs.columns if keep is None else keep
     spark = docs.sparkSession
     text_batches(spark)
-    shipped = spark.sparkContext.broadcast((model, limits))
+    joined = isinstance(model, Table)
+    shipped = spark.sparkContext.broadcast((model.names if joined else model, limits))
     fields = [docs.schema[c] for c in keep] + [
         T.StructField("__pred", T.StringType()), T.StructField("__score", T.DoubleType()),
         T.StructField("__entropy", T.DoubleType()), T.StructField("__chars", T.LongType()),
@@ -243,7 +352,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, limit
         names = np.array([*own, UND], dtype=object)
         for batch in batches:
             for part in slices(batch, "__text", BATCH_BYTES):
-                h, n = cross_entropies(own, part.column("__text"))
+                if joined:
+                    n = part.column("__n").to_numpy()
+                    h = part.column("__h").flatten().to_numpy().reshape(len(n), len(own))
+                else:
+                    h, n = cross_entropies(own, part.column("__text"))
                 found = (n > 0) & (len(own) > 0)
                 best = np.where(found, h.argmin(axis=1), len(own)) if len(own) else np.zeros(len(n), int)
                 low = h.min(axis=1) if len(own) else np.zeros(len(n))
@@ -251,17 +364,17 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, limit
                 rejected = ~found
                 if bounds is not None and len(own):
                     mean, most = (np.array([bounds.get(x, (0.0, np.inf))[i] for x in own] + [0.0]) for i in (0, 1))
-                    rejected = rejected | ((low - mean[best]) * np.sqrt(n) > most[best])
+                    rejected = rejected | ((low - mean[best]) * np.sqrt(n) > most[best] + ROUNDING)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], pa.array(names[best], pa.string()), pa.array(score),
                      pa.array(np.where(found, low, np.nan)), pa.array(n.astype(np.int64)), pa.array(rejected)],
                     names=[f.name for f in fields])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], column_or_null(docs, "text", "string").alias("__text")).mapInArrow(
-        run, T.StructType(fields))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], column_or_null(docs, "text", "string").alias("__text"))
+    return (_with_sums(rows, model) if joined else rows).mapInArrow(run, T.StructType(fields))
 
 
-def calibrate(docs: DataFrame, model: Model) -> dict[str, tuple[float, float]]:
+def calibrate(docs: DataFrame, model: Model | Table) -> dict[str, tuple[float, float]]:
     """Per language its mean cross-entropy, and how far above it (times the root of the length) a text may lie.
 
     Learned from all texts of ``docs`` that carry the language: the quantile

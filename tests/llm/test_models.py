@@ -167,6 +167,48 @@ def test_kneser_ney_sums_to_one():
         assert p.sum() == pytest.approx(1)
 
 
+def many_types(spark):
+    """Two languages of characters without spaces, so that most n-grams are seen once or twice."""
+    rng = np.random.default_rng(4)
+    texts = [("".join(chr(0x4E00 + first + c) for c in rng.zipf(1.3, 4000) % 3000), lang) for lang, first in (("x", 0), ("y", 2000)) for _ in range(25)]
+    return spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(texts)], "doc_id LONG, text STRING, lang STRING")
+
+
+def test_every_ngram_counts_at_every_order(spark):
+    docs = many_types(spark)
+    seen = [collections.defaultdict(set) for _ in range(5)]
+    for r in docs.collect():
+        s = "   " + r.text + " "
+        for k in range(1, 5):
+            seen[k][r.lang] |= {s[i - k + 1:i + 1] for i in range(3, len(s))}
+    model = language_id.fit(docs)
+    for lang, levels in model.items():
+        assert [len(grams) for grams, *_ in levels] == [len(seen[k][lang]) for k in range(1, 5)]
+        assert len(levels[3][0]) > 50_000
+    for lang in model:                                     # the same as one language in memory
+        words = [r.text for r in docs.filter(F.col("lang") == lang).collect()]
+        grams = language_id.Grams(words)
+        counts = np.bincount(grams.gram)
+        for got, want in zip(model[lang], language_id.kneser_ney(
+                language_id.characters(grams.a, grams.b), counts, language_id.slot(grams.a, grams.b)), strict=True):
+            for x, y in zip(got, want, strict=True):
+                assert np.allclose(x, y, rtol=1e-12) if x.dtype == float else (x == y).all()
+
+
+def test_large_models_are_joined(spark, monkeypatch, edge_docs):
+    for docs in (many_types(spark), spark.read.parquet(f"{SF}/documents.parquet"), edge_docs.drop("rank")):
+        rows = {}
+        for limit in (10**9, 0):
+            monkeypatch.setattr(language_id, "BROADCAST_ENTRIES", limit)
+            model = language_id.fit(docs)
+            assert isinstance(model, language_id.Table) == (limit == 0)
+            rows[limit] = sorted(language_id.identify(docs, model, ["doc_id"], language_id.calibrate(docs, model)).collect(), key=repr)
+        assert len(rows[0]) == len(rows[10**9]) == docs.count()
+        for x, y in zip(rows[0], rows[10**9]):
+            assert (x.doc_id, x["__pred"], x["__chars"], x["__rejected"]) == (y.doc_id, y["__pred"], y["__chars"], y["__rejected"])
+            assert x["__entropy"] == pytest.approx(y["__entropy"], nan_ok=True) and x["__score"] == pytest.approx(y["__score"])
+
+
 def test_language_edges(spark, edge_docs, no_docs):
     rows = language_id.op9(edge_docs).collect()
     assert len(rows) == edge_docs.count() and all(0 <= r.score <= 1 for r in rows)
