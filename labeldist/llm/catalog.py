@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labeldist.llm import cover_tree, flat_graph, katz, language_id, line_dedup, mixing, ngram_join, pu_quality, sentencepieces, surrogates
+from labeldist.llm import cover_tree, flat_graph, katz, language_id, line_dedup, mixing, ngram_join, periodic_runs, pu_quality, sentencepieces, surrogates
 from labeldist.llm.common import table
 
 QUERIES: dict = {}
@@ -29,3 +29,4 @@ _register("op7_pu_quality", ("documents", "labels"), pu_quality.op7)
 _register("op8_mix_sources", ("documents",), mixing.op8, mixing.SQL)
 _register("op9_language_id", ("documents",), language_id.op9)
 _register("op10_sentencepiece_samples", ("documents",), sentencepieces.op10)
+_register("op11_periodic_runs", ("documents",), periodic_runs.op11)

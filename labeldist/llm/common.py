@@ -89,6 +89,19 @@ def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBa
         yield batch.slice(a, b - a)
 
 
+def words_of(texts: pa.Array, gap: str = GAP) -> tuple[np.ndarray, pa.Array]:
+    """The words of all texts (between matches of ``gap``; null: none), and the index of each one's text."""
+    parts = pc.split_pattern_regex(pc.fill_null(texts, ""), gap)
+    flat, owner = parts.flatten(), pc.list_parent_indices(parts)
+    full = pc.greater(pc.binary_length(flat), 0)
+    return owner.filter(full).to_numpy().astype(np.int64), flat.filter(full)
+
+
+def lists(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
+    """One list for each two neighbouring offsets."""
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+
+
 def small(df: DataFrame) -> DataFrame:
     """A hint to broadcast a narrow table, if a count shows that it has few rows."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df

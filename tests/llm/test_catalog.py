@@ -13,11 +13,12 @@ COLUMNS = {
     "op2": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op3": {"query_id", "rank", "vec_id", "score"}, "op4": {"vec_id", "n_links", "component_id", "kept"},
     "op5": {"doc_id", "n_shingles", "component_id"}, "op7": {"doc_id", "held_out", "score", "predicted"},
-    "op8": {"doc_id", "size", "source_size", "target", "taken"}, "op9": {"doc_id", "held_out", "lang_pred", "score"}}
+    "op8": {"doc_id", "size", "source_size", "target", "taken"}, "op9": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"}}
 
 
 def test_one_query_per_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
 
 
