@@ -6,10 +6,12 @@ name (``size``, ``score``, ``target`` ...) may be present and never clash.
 
 from __future__ import annotations
 
+import functools
 import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ from labeldist.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: What lies between words of letters, digits and characters beyond ASCII, once A-Z are in lower case.
+PLAIN_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A table is broadcast only after it was counted and has at most so many (narrow) rows; beyond, it is joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -102,6 +106,21 @@ def lists(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct words, and the place of every word among them."""
+    coded = words.dictionary_encode()
+    hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    return hashes.view(np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def in_blocks(df: DataFrame, blocks: DataFrame, n_blocks: int, at_once: int) -> DataFrame:
+    """Every row of ``df`` with every row of ``blocks`` (numbered by ``block`` from 0, of bounded size each): ``df`` stays
+    where it is, and ``at_once`` blocks at a time are broadcast."""
+    parts = [df.withColumn("block", F.explode(F.sequence(F.lit(a), F.lit(min(a + at_once, n_blocks) - 1)))).join(
+        F.broadcast(blocks.filter(F.col("block").between(a, a + at_once - 1))), "block") for a in range(0, n_blocks, at_once)]
+    return functools.reduce(DataFrame.union, parts)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A hint to broadcast a narrow table, if a count shows that it has few rows."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df

@@ -30,7 +30,7 @@ def values(rows, cols):
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_equals_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = QUERIES[key](spark, SF)
     res = con.execute(ORACLE[key])
