@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labeldist.llm import cover_tree, flat_graph, fm_index, katz, language_id, line_dedup, mixing, ngram_join, periodic_runs, pu_quality, sentencepieces, surrogates
+from labeldist.llm import cover_tree, dual_tree, flat_graph, fm_index, katz, language_id, line_dedup, mixing, ngram_join, periodic_runs, pu_quality, sentencepieces, surrogates
 from labeldist.llm.common import table
 
 QUERIES: dict = {}
@@ -31,3 +31,4 @@ _register("op9_language_id", ("documents",), language_id.op9)
 _register("op10_sentencepiece_samples", ("documents",), sentencepieces.op10)
 _register("op11_periodic_runs", ("documents",), periodic_runs.op11)
 _register("op12_fm_index_decontamination", ("documents", "benchmark"), fm_index.op12, fm_index.SQL)
+_register("op13_dual_tree_search", ("documents", "benchmark"), dual_tree.op13, dual_tree.SQL)
