@@ -22,18 +22,22 @@ Weights: a piece of rank r in the vocabulary (its order of merging) weighs
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.llm.common import column_or_null, slices, text_batches
+from labeldist.llm.common import column_or_null, lists, slices, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_BYTES = 500_000
+BATCH_BYTES = 200_000
+HEAD_CHARS = 50_000     # a longer text is cut at starts of words
+NO_MASS = -746.0        # exp of this is 0 in doubles
 SPACE, LITERAL = 0x2581, 0x110000   # the mark of a space; the same character when it stands in a text
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -268,17 +272,22 @@ class Space:
         n = len(value)
         self.lat, self.path, self.branch_place, self.branch_gone = lat, path, branch_place, branch_gone
         rows = np.flatnonzero(path.place >= branch_place[path.doc])
-        self.rows, self.doc, self.place = rows, path.doc[rows], path.place[rows]
         q = lat.log_q[path.edge]
-        before = np.cumsum(q) - q
+        upto = np.cumsum(q)
+        before = upto - q
         head = np.flatnonzero(np.diff(path.doc, prepend=-1))
-        begin = np.zeros(n)
+        begin, end, entry = np.zeros(n), np.zeros(n), np.zeros(n)
         begin[path.doc[head]] = before[head]
+        last = np.flatnonzero(np.diff(path.doc, append=-1))
+        end[path.doc[last]] = upto[last]
+        first = rows[np.flatnonzero(np.diff(path.doc[rows], prepend=-1))]
+        entry[path.doc[first]] = before[first]
+        self.scale = entry - begin           # log probability of the way up to the first of the parts
+        self.rest = end - entry              # and of the way from there to the end
+        rows = rows[before[rows] - entry[path.doc[rows]] > NO_MASS]     # the parts behind have no mass in doubles
+        self.rows, self.doc, self.place = rows, path.doc[rows], path.place[rows]
         self.first = np.flatnonzero(np.diff(self.doc, prepend=-1))
         self.texts = self.doc[self.first]
-        entry = np.zeros(n)
-        entry[self.texts] = before[rows[self.first]]
-        self.scale = entry - begin           # log probability of the way up to the first of the parts
         others = -np.expm1(np.minimum(q[rows], 0.0))
         others[lat.ways[path.at[rows]] < 2] = 0.0
         again = self.first[branch_place[self.texts] >= 0]
@@ -326,13 +335,12 @@ class Space:
         return part
 
 
-def sample(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int) -> Iterator[tuple]:
-    """The samples of rank 1, 2 .. k of all texts that have so many.
+def _laid_out(texts: list[str], vocab: Vocabulary, lead: str = " "):
+    """The lattice of the texts' words, each text's origin, and start, text and slot of every word.
 
-    Yields ``(text numbers, rank, all ids, ids of each text, log_prob, perturbed, log_inclusion)``."""
-    n = len(texts)
-    size = np.array([len(t) + (len(t) > 0) for t in texts], np.int64)
-    codes = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le"), np.uint32).astype(np.int64)
+    ``lead`` goes before every text that isn't empty."""
+    size = np.array([len(t) + len(lead) * (len(t) > 0) for t in texts], np.int64)
+    codes = np.frombuffer("".join(lead + t for t in texts if t).encode("utf-32-le"), np.uint32).astype(np.int64)
     codes = np.where(codes == SPACE, LITERAL, np.where(codes == 32, SPACE, codes))
     origin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
     with np.errstate(over="ignore"):
@@ -341,9 +349,38 @@ def sample(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int) -> Ite
         first = np.zeros(which.max() + 1 if len(which) else 0, np.int64)
         first[which[::-1]] = np.arange(len(which))[::-1]
         lat = Lattice(codes, start[first], length[first], vocab)
-    del codes
-    unit_doc = np.searchsorted(origin + size, start, side="right")
-    unit_slot = lat.slot_of_word[which]
+    return lat, origin, start, np.searchsorted(origin + size, start, side="right"), lat.slot_of_word[which]
+
+
+def _ids(lat: Lattice, path: Paths, vocab: Vocabulary, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a path, their number for each of ``n`` texts, and each one's log probability."""
+    piece = lat.piece[path.edge]
+    log_prob = np.bincount(path.doc, weights=lat.log_q[path.edge], minlength=n).astype(float)
+    odd = np.flatnonzero(piece >= vocab.n)
+    if not len(odd):
+        return piece, np.bincount(path.doc, minlength=n), log_prob
+    times = np.ones(len(piece), np.int64)
+    times[odd] = np.array([len(x) for x in lat.spelt], np.int64)[piece[odd] - vocab.n]
+    ids = np.repeat(piece, times)
+    ids[np.repeat(piece >= vocab.n, times)] = np.concatenate([lat.spelt[x] for x in piece[odd] - vocab.n])
+    return ids, np.bincount(path.doc, weights=times, minlength=n).astype(np.int64), log_prob
+
+
+def log_inclusion(log_prob: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Log of the chance that a value of this log probability lies above ``best``."""
+    with np.errstate(over="ignore", divide="ignore"):
+        chance = np.minimum(log_prob - best, 30.0)
+        return np.where(chance < -30, chance, np.log(-np.expm1(-np.exp(chance))))
+
+
+def sample(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int) -> Iterator[tuple]:
+    """The samples of rank 1, 2 .. k of all texts that have so many.
+
+    Yields ``(text numbers, rank, all ids, ids of each text, log_prob, perturbed, best, rest)``: ``best`` is the largest
+    value among what is left after k samples, ``rest`` the largest log probability of a way from a sample's first part to
+    the end (if that is below ``NO_MASS``, what could follow the text changes neither samples nor values)."""
+    n = len(texts)
+    lat, origin, start, unit_doc, unit_slot = _laid_out(texts, vocab)
     at_text = np.zeros(n, np.int64)
 
     live = np.arange(n)
@@ -402,65 +439,127 @@ def sample(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int) -> Ite
             space.bound[rest] = old_bound[rest]
         path, worth = Paths.joined(steps), best
 
-    spelt = np.array([len(x) for x in lat.spelt], np.int64)
+    rest = np.max([x.rest for x in spaces], axis=0)
     for rank, (of, path, value) in enumerate(found, 1):
-        piece = lat.piece[path.edge]
-        log_prob = np.bincount(path.doc, weights=lat.log_q[path.edge], minlength=n).astype(float)[of]
-        odd = np.flatnonzero(piece >= vocab.n)
-        times = np.ones(len(piece), np.int64)
-        times[odd] = spelt[piece[odd] - vocab.n]
-        ids, count = piece, np.bincount(path.doc, weights=times, minlength=n).astype(np.int64)[of]
-        if len(odd):
-            ids = np.repeat(piece, times)
-            ids[np.repeat(piece >= vocab.n, times)] = np.concatenate([lat.spelt[x] for x in piece[odd] - vocab.n])
-        with np.errstate(over="ignore", divide="ignore"):
-            chance = np.minimum(log_prob - best[of], 30.0)
-            yield of, rank, ids, count, log_prob, value, np.where(chance < -30, chance, np.log(-np.expm1(-np.exp(chance))))
+        ids, count, log_prob = _ids(lat, path, vocab, n)
+        yield of, rank, ids, count[of], log_prob[of], value, best[of], rest[of]
+
+
+def _cuts(text: str, step: int) -> list[int]:
+    """Starts of stretches of about ``step`` characters; each but the first starts a word."""
+    out = [0]
+    while found := _WORD_START.search(text, out[-1] + step):
+        out.append(found.start())
+    return out
+
+
+_WORD_START = re.compile(r"(?<! ) |\n")
+
+
+def sample_long(text: str, key: np.ndarray, vocab: Vocabulary, k: int) -> Iterator[tuple]:
+    """The same for one text of any length, in stretches: yields ``(rank, ids, log_prob, perturbed, best)``.
+
+    All samples leave each other within the first stretches (else more are taken), behind which the sample of rank r
+    goes on with the draws that belong to it.  One stretch is laid out at a time."""
+    cuts, upto = [*_cuts(text, HEAD_CHARS), len(text)], 1
+    while True:
+        head = list(sample([text[:cuts[upto]]], key, vocab, k))
+        if upto == len(cuts) - 1 or all(h[7][0] < NO_MASS for h in head):
+            break
+        upto = min(2 * upto, len(cuts) - 1)
+    for _, rank, ids, _, log_prob, value, best, _ in head:
+        parts, total = [ids.astype(np.int32)], log_prob[0]
+        for a, b in zip(cuts[upto:-1], cuts[upto + 1:], strict=True):
+            lat, _, start, unit_doc, unit_slot = _laid_out([text[a:b]], vocab, lead="")
+            path = _walk(lat, key, np.array([-1 - a]), rank - 1, unit_doc, start, unit_slot)
+            ids, _, log_prob = _ids(lat, path, vocab, 1)
+            parts.append(ids.astype(np.int32))
+            total += log_prob[0]
+        yield rank, np.concatenate(parts), total, value[0], best[0]
+
+
+class Spelling:
+    """The bytes that ids stand for, to be strung together for whole arrays of ids."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.size = np.array([len(x) for x in vocab.spelling])
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(vocab.spelling), np.uint8)
+
+    def texts(self, ids: np.ndarray, count: np.ndarray) -> list[memoryview]:
+        """The bytes of each text (``count`` ids each), without the space before its first word."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        flat = np.ones(int(end[-1]) if len(end) else 0, np.int32)
+        some = np.flatnonzero(size)
+        first = end[some] - size[some]
+        flat[first] = self.start[ids[some]] - np.concatenate([[0], (self.start[ids[some]] + size[some] - 1)[:-1]])
+        out = memoryview(self.bytes[np.cumsum(flat, dtype=np.int32)]) if len(flat) else memoryview(b"")
+        edge = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        return [out[a + 1:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def encode(docs: DataFrame, key: Column, k: int = 2, theta: float = 0.5, model: str = MODEL,
            keep: list[str] | None = None) -> DataFrame:
     """One row per document and sample: ``keep`` columns (default: all) and
     ``__rank`` (1 .. k, largest perturbed value first), ``__ids`` (array), ``__n_pieces``,
-    ``__log_prob``, ``__perturbed`` and ``__log_inclusion`` (log of the chance that the value is
-    among the k largest, given the (k+1)-th; 0 if the text has no other segmentation).
+    ``__log_prob``, ``__perturbed``, ``__log_inclusion`` (log of the chance that the value is
+    among the k largest, given the (k+1)-th; 0 if the text has no other segmentation) and
+    ``__same`` (whether decoding the ids gives the whole text again).
 
     ``key`` (long) seeds the random numbers: rows with the same key and text have the same
     samples.  A text with fewer than k segmentations has fewer rows.  The empty text has one,
-    without pieces; a null text has one row with null ids.  Only the vocabulary (of fixed size)
-    is sent to the tasks.
+    without pieces; a null text has one row with null ids; an empty table gives none.  Only the
+    vocabulary (of fixed size) is sent to the tasks.  Texts of more than ``HEAD_CHARS`` characters
+    are worked on in stretches that start with a word, so a task holds the lattice of one slice or
+    stretch (or of one longer word), and the ids of one sample.
     """
     text_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary(model, theta))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], column_or_null(docs, "text", "string").alias("__text"),
                        key.cast("long").alias("__key"))
-    names = ["__rank", "__ids", "__n_pieces", "__log_prob", "__perturbed", "__log_inclusion"]
+    names = ["__rank", "__ids", "__n_pieces", "__log_prob", "__perturbed", "__log_inclusion", "__same"]
+    kinds = ["int", "array<int>", "long", "double", "double", "double", "boolean"]
     schema = rows.select(*[F.col(f"`{c}`") for c in keep], *[F.lit(None).cast(t).alias(c) for c, t in zip(
-        names, ["int", "array<int>", "long", "double", "double", "double"], strict=True)]).schema
+        names, kinds, strict=True)]).schema
 
-    def table(part, of, rank, ids, count, *values) -> pa.RecordBatch:
-        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+    def table(part, spelling, texts, of, rank, ids, count, log_prob, value, best) -> pa.RecordBatch:
         at = pa.array(of)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+        same = [not len(texts[i]) if not n else x == texts[i].encode() for i, x, n in
+                zip(of, spelling.texts(ids, count), count, strict=True)]
         return pa.RecordBatch.from_arrays(
-            [*[part.column(c).take(at) for c in keep], pa.array(np.full(len(of), rank, np.int32)), lists,
-             pa.array(count), *[pa.array(v) for v in values]], names=[*keep, *names])
+            [*[part.column(c).take(at) for c in keep], pa.array(np.full(len(of), rank, np.int32)),
+             lists(np.concatenate([[0], np.cumsum(count)]), ids.astype(np.int32)), pa.array(count),
+             *[pa.array(v) for v in (log_prob, value, log_inclusion(log_prob, best))], pa.array(same, pa.bool_())], names=[*keep, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shipped.value
+        spelling = Spelling(vocab)
         for batch in batches:
             for part in slices(batch, "__text", BATCH_BYTES):
                 text = part.column("__text")
                 null = np.flatnonzero(text.is_null().to_numpy(zero_copy_only=False))
                 if len(null):
-                    nothing = [pa.nulls(len(null), t) for t in (pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.float64())]
+                    nothing = [pa.nulls(len(null), t) for t in (
+                        pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())]
                     yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(null)) for c in keep],
                                                       pa.array(np.ones(len(null), np.int32)), *nothing], names=[*keep, *names])
                     part = part.filter(text.is_valid())
+                size = pc.utf8_length(part.column("__text")).to_numpy()
+                long_ = part.take(pa.array(np.flatnonzero(size > HEAD_CHARS)))
+                part = part.take(pa.array(np.flatnonzero(size <= HEAD_CHARS)))
                 keys = part.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                for found in sample(part.column("__text").to_pylist(), keys, vocab, k):
-                    yield table(part, *found)
+                texts = part.column("__text").to_pylist()
+                for of, rank, ids, count, log_prob, value, best, _ in sample(texts, keys, vocab, k):
+                    yield table(part, spelling, texts, of, rank, ids, count, log_prob, value, best)
+                for i in range(long_.num_rows):
+                    one = long_.slice(i, 1)
+                    key_ = one.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    texts = one.column("__text").to_pylist()
+                    for rank, ids, *values in sample_long(texts[0], key_, vocab, k):
+                        yield table(one, spelling, texts, np.zeros(1, np.int64), rank, ids, np.array([len(ids)]),
+                                    *[np.array([v]) for v in values])
 
     return rows.mapInArrow(run, schema)
 
@@ -471,11 +570,13 @@ def decode(encoded: DataFrame, model: str = MODEL, theta: float = 0.5) -> DataFr
     schema = encoded.withColumn("__decoded", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = shipped.value.spelling
+        spelling = Spelling(shipped.value)
         for batch in batches:
-            texts = [None if ids is None else b"".join([spelling[i] for i in ids])[1:].decode("utf-8", "replace")
-                     for ids in (x.as_py() for x in batch.column("__ids"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            ids = batch.column("__ids")
+            count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+            texts = [bytes(x).decode("utf-8", "replace") for x in spelling.texts(ids.flatten().to_numpy(zero_copy_only=False), count)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(
+                zero_copy_only=False))], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
 
@@ -488,4 +589,4 @@ def op10(docs: DataFrame) -> DataFrame:
     return encode(docs, row_key(docs), keep=["doc_id"]).select(
         "doc_id", F.col("__rank").alias("rank"), F.col("__ids").alias("ids"), F.col("__n_pieces").alias("n_pieces"),
         F.col("__log_prob").alias("log_prob"), F.col("__perturbed").alias("perturbed"),
-        F.col("__log_inclusion").alias("log_inclusion"))
+        F.col("__log_inclusion").alias("log_inclusion"), F.col("__same").alias("round_trip"))

@@ -144,4 +144,4 @@ def test_stages_on_edges(spark, edge_docs, no_docs):
             before, docs = docs, stored(stage(spark, stored(docs, "test"), ""), "test")
             assert docs.count() <= 2 * before.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == [
-        "language ID", "line dedup", "n-gram Jaccard join", "mixing sources to target weights", "SentencePiece encoding"]
+        "language ID", "line dedup", "n-gram Jaccard join", "mixing sources to target weights", "SentencePiece encoding and decoding"]

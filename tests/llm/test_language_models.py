@@ -2,6 +2,7 @@
 
 import collections
 import math
+import tracemalloc
 import re
 import zlib
 from functools import lru_cache
@@ -248,8 +249,8 @@ def segmentations(word, vocab, pieces):
 
 def drawn(texts, keys, vocab, k):
     out = collections.defaultdict(list)
-    for of, _, ids, count, log_prob, value, inclusion in sentencepieces.sample(texts, np.array(keys, np.uint64), vocab, k):
-        end = np.cumsum(count)
+    for of, _, ids, count, log_prob, value, best, _ in sentencepieces.sample(texts, np.array(keys, np.uint64), vocab, k):
+        end, inclusion = np.cumsum(count), sentencepieces.log_inclusion(log_prob, best)
         for j, d in enumerate(of):
             out[int(d)].append((tuple(int(x) for x in ids[end[j] - count[j]:end[j]]), log_prob[j], value[j], inclusion[j]))
     return out
@@ -296,6 +297,7 @@ def test_round_trip_and_seeds(spark, vocab, edge_docs, no_docs):
         for ids, *_ in rows:
             assert b"".join(vocab.spelling[i] for i in ids)[1:].decode() == texts[d]
     encoded = sentencepieces.encode(edge_docs, sentencepieces.row_key(edge_docs))
+    assert encoded.filter("text is not null").filter(~F.coalesce("__same", F.lit(False))).isEmpty()
     back = sentencepieces.decode(encoded)
     assert back.filter(~F.col("text").eqNullSafe(F.col("__decoded"))).isEmpty()
     assert [c for c in back.columns if not c.startswith("__")] == edge_docs.columns
@@ -306,3 +308,31 @@ def test_round_trip_and_seeds(spark, vocab, edge_docs, no_docs):
     again = sentencepieces.encode(edge_docs.repartition(5), sentencepieces.row_key(edge_docs))
     assert {(r.doc_id, tuple(r["__ids"] or ())) for r in again.collect()} == {(r.doc_id, tuple(r["__ids"] or ())) for r in encoded.collect()}
     assert sentencepieces.op10(no_docs).count() == 0
+
+
+def test_long_texts_in_stretches(vocab, monkeypatch):
+    """Stretches give the samples that the whole text has, also where its beginning leaves no choice."""
+    monkeypatch.setattr(sentencepieces, "HEAD_CHARS", 700)
+    body = " ".join(f"word{i * i % 977}\n the ▁cat  sat é漢 on{i}" for i in range(300))
+    for text in (body, "\x00 " * 2000 + "\n" + body, "\n" * 5000, "x" * 3000 + " " + body):
+        for key in (3, 2**63 + 5):
+            keys = np.array([key], np.uint64)
+            whole = list(sentencepieces.sample([text], keys, vocab, 3))
+            parts = list(sentencepieces.sample_long(text, keys, vocab, 3))
+            assert len(whole) == len(parts) > 0
+            for w, (rank, ids, log_prob, value, best) in zip(whole, parts, strict=True):
+                assert w[1] == rank and (w[2] == ids).all() and w[5][0] == pytest.approx(value)
+                assert w[4][0] == pytest.approx(log_prob) and w[6][0] == pytest.approx(best)
+
+
+def test_memory_of_a_long_text(vocab):
+    """Beyond the ids of one sample (twice, as they are put together) no more than a stretch is held."""
+    text = " ".join(f"word{i * i % 7919} the" for i in range(50_000)) * 6
+    key = np.array([1], np.uint64)
+    tracemalloc.start()
+    ids = 0
+    for _, one, *_ in sentencepieces.sample_long(text, key, vocab, 2):
+        ids = max(ids, one.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * ids + 25e6, (peak, ids, len(text))
