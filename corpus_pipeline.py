@@ -12,7 +12,7 @@ but the last return the columns of ``documents``:
    similarity 0.8 or more) the document with the smallest id stays;
 4. mixing: a document is in the mix as often as its source's target asks for
    (not at all, once or twice);
-5. SentencePiece: two sampled segmentations of every document.
+5. SentencePiece: two sampled segmentations of every document, decoded again and held against its text.
 
 Nulls, empty texts, repeated rows, empty tables and further columns are dealt
 with as each operator's docstring says; further columns pass through.
@@ -51,7 +51,7 @@ def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     kept = [c for c in docs.columns if c != "text"]
     out = sentencepieces.encode(docs, sentencepieces.row_key(docs), keep=kept)
     names = {"__rank": "rank", "__ids": "ids", "__n_pieces": "n_pieces", "__log_prob": "log_prob",
-             "__perturbed": "perturbed", "__log_inclusion": "log_inclusion"}
+             "__perturbed": "perturbed", "__log_inclusion": "log_inclusion", "__same": "round_trip"}
     # a column of the documents with one of these names stays as it is, and the sample's keeps its underscores
     return out.withColumnsRenamed({a: b for a, b in names.items() if b not in kept})
 
@@ -61,7 +61,7 @@ STAGES = [
     ("line dedup", dedup_lines),
     ("n-gram Jaccard join", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
-    ("SentencePiece encoding", sample_pieces),
+    ("SentencePiece encoding and decoding", sample_pieces),
 ]
 
 #: Language models and sampled segmentations have no SQL; tests hold the stages against brute force.
