@@ -280,12 +280,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, from_
         part, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
     sizes = placed.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("size"))
     split = sizes.groupBy("sig").agg(F.max_by("part", F.struct("size", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    apart = stored(placed.join(split.filter("parts > 1").select("sig", "most"), "sig"), "apart")
-    a = apart.filter("part <> most").select("sig", "single", "center", "most", *[F.col(x).alias(f"a_{x}") for x in ("rid", "n", "r", "part")])
-    b = apart.select("sig", *[F.col(x).alias(f"b_{x}") for x in ("rid", "n", "r", "part")])
+    apart = placed.join(split.filter("parts > 1").select("sig", "most"), "sig")
+    # a pair is looked at in the first list that both are in: one of a rare token, if there is any
+    mine = apart.groupBy("rid").agg(F.collect_list(F.when(F.col("single"), F.col("sig"))).alias("singles"),
+                                    F.collect_list(F.when(~F.col("single"), F.col("sig"))).alias("pairs"))
+    apart = stored(apart.join(mine, "rid"), "apart")
+    held = ("rid", "n", "r", "part", "singles", "pairs")
+    a = apart.filter("part <> most").select("sig", "single", "center", "most", *[F.col(x).alias(f"a_{x}") for x in held])
+    b = apart.select("sig", *[F.col(x).alias(f"b_{x}") for x in held])
+    first = F.coalesce(*[F.array_min(F.array_intersect(f"a_{x}", f"b_{x}")) for x in ("singles", "pairs")])
     rest = a.join(b, "sig").filter(
         (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("most")) | (F.col("a_rid") < F.col("b_rid")))
-        & (F.col("a_rid") != F.col("center")) & (F.col("b_rid") != F.col("center")) & may_link("a_", "b_"))
+        & (F.col("a_rid") != F.col("center")) & (F.col("b_rid") != F.col("center")) & may_link("a_", "b_") & (first == F.col("sig")))
     links = links.union(verified(rest.select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"))))
 
     part = components(links).toDF("rid", "part")
