@@ -41,6 +41,7 @@ FREQUENT = 16
 BUCKETS = 256
 BAND = 1.26            # width of a size band: more than 100 / 80
 SUBCLASS_SHARE = 0.05  # frequent subclasses per token of a set
+LONG_LIST = 128        # sets of a list of frequent tokens from which on its pairs are told from those of other such lists
 EXTRA = 1.5            # first tokens that are looked at, as a multiple of a prefix of rare tokens
 
 
@@ -279,19 +280,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, from_
     placed = member.select("sig", "single", "rid", "n", "r", F.col("center.rid").alias("center")).join(
         part, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
     sizes = placed.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("size"))
-    split = sizes.groupBy("sig").agg(F.max_by("part", F.struct("size", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    apart = placed.join(split.filter("parts > 1").select("sig", "most"), "sig")
-    # a pair is looked at in the first list that both are in: one of a rare token, if there is any
-    mine = apart.groupBy("rid").agg(F.collect_list(F.when(F.col("single"), F.col("sig"))).alias("singles"),
-                                    F.collect_list(F.when(~F.col("single"), F.col("sig"))).alias("pairs"))
-    apart = stored(apart.join(mine, "rid"), "apart")
-    held = ("rid", "n", "r", "part", "singles", "pairs")
+    split = sizes.groupBy("sig").agg(F.max_by("part", F.struct("size", "part")).alias("most"), F.count(F.lit(1)).alias("parts"),
+                                     F.sum("size").alias("size")).filter("parts > 1")
+    apart = placed.join(split.select("sig", "most", (F.col("size") > LONG_LIST).alias("long")), "sig")
+    # frequent tokens bring the same pairs together in many long lists: there a pair is looked at in the first that both are in
+    mine = apart.filter("long and not single").groupBy("rid").agg(F.collect_list("sig").alias("sigs"))
+    apart = stored(apart.filter("long and not single").join(mine, "rid").unionByName(
+        apart.filter("not long or single").withColumn("sigs", F.lit(None).cast("array<long>"))), "apart")
+    held = ("rid", "n", "r", "part", "sigs")
     a = apart.filter("part <> most").select("sig", "single", "center", "most", *[F.col(x).alias(f"a_{x}") for x in held])
     b = apart.select("sig", *[F.col(x).alias(f"b_{x}") for x in held])
-    first = F.coalesce(*[F.array_min(F.array_intersect(f"a_{x}", f"b_{x}")) for x in ("singles", "pairs")])
+    first = F.col("a_sigs").isNull() | (F.array_min(F.array_intersect("a_sigs", "b_sigs")) == F.col("sig"))
     rest = a.join(b, "sig").filter(
         (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("most")) | (F.col("a_rid") < F.col("b_rid")))
-        & (F.col("a_rid") != F.col("center")) & (F.col("b_rid") != F.col("center")) & may_link("a_", "b_") & (first == F.col("sig")))
+        & (F.col("a_rid") != F.col("center")) & (F.col("b_rid") != F.col("center")) & may_link("a_", "b_") & first)
     links = links.union(verified(rest.select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"))))
 
     part = components(links).toDF("rid", "part")
