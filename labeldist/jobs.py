@@ -16,6 +16,7 @@ prompt batches         :func:`prompt_batch`, :func:`score_prompt_responses`
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -32,6 +33,7 @@ from labeldist.operators import heads as H
 from labeldist.operators import metrics as M
 from labeldist.operators import prompts as PR
 from labeldist.operators import standoff as SO
+from labeldist.session import written
 from labeldist.sources import readers as R
 from labeldist.sources import sinks as K
 
@@ -41,7 +43,7 @@ LEVELS = (1, 2, 3)
 # ------------------------------------------------------------------ data prep
 
 def prepare_corpus(spark: SparkSession, items_path: str, out_path: str,
-                   langs: Sequence[str] = C.CORPUS_LANGS, multiline: bool = False) -> DataFrame:
+                   langs: Sequence[str] = C.CORPUS_LANGS, multiline: bool = True) -> DataFrame:
     """Item table -> instances, written once partitioned by language and split.
 
     Returns the written table (read back, so later steps prune partitions)."""
@@ -113,56 +115,70 @@ def per_level_js(scored: DataFrame, keys: Sequence[str], levels: Sequence[int] =
     return scored.select(*keys, F.inline(per))
 
 
+def long_metrics(js: DataFrame, mode: str, keys: Sequence[str]) -> DataFrame:
+    """``(mode, level, name, step, value)`` of scored rows: mean JS, mean of batch means, accuracy of the argmax labels."""
+    mean = OD.mean_distance(js, col="js", out="mean_js", digits=None)
+    batch = M.mean_of_batch_means(js, "js", keys, ["level"], out="batch_mean_js")
+    acc = M.accuracy(js, "label", "pred", ["level"])
+    names = ("mean_js", "batch_mean_js", "accuracy")
+    m = mean.join(batch, "level").join(acc, "level")
+    return m.select(F.lit(mode).alias("mode"), "level", F.inline(F.array(*[F.struct(
+        F.lit(n).alias("name"), F.lit(0).alias("step"), F.col(n).cast("double").alias("value")) for n in names])))
+
+
 def train_and_test(spark: SparkSession, corpus_path: str, lang: str = "all", arch: str = "flat",
                    loss: str = "cross-entropy", runs: int = 1, levels: Sequence[int] = LEVELS,
                    features: str = "features", out_path: str | None = None,
                    max_iter: int = 100) -> DataFrame:
-    """Fit the heads on the training split ``runs`` times (run number = seed;
-    the logistic / linear solvers are deterministic, so only the tree-based
-    L1 loss varies between runs), measure validation and test JS per level
-    (mean, mean of batch means) and accuracy of the argmax labels, and with
-    ``out_path`` write test predictions (S8), metrics (S9) and the models
-    (M17) under it.  Returns the metrics table."""
+    """Fit the heads on the training split ``runs`` times (run number = seed of the starting weights) and measure them.
+
+    Returns the long metrics ``(run_id, mode, level, name, step, value, config)``: per level the validation and test JS (mean,
+    mean of batch means) and accuracy, the JS of every tenth batch of the training split (``step``: the batch), and the
+    training loss after every step of the fit (level 0).  With ``out_path`` test predictions (S8), metrics (S9) and models
+    (M17) are written under it, by run: other configurations in the folder stay, the same run takes its own place."""
     train_raw = load_split(spark, corpus_path, lang, "train")
     enc = _encoder(train_raw, features)
-    # every head (and every run) reads the encoded training split again:
-    # keep it (spills to disk; recomputed from the corpus if an executor is lost)
+    # scored after every run; spills to disk, and is computed again from the corpus if an executor is lost
     train = _apply(enc, train_raw).persist(StorageLevel.MEMORY_AND_DISK)
+    labels = {lv: f"dist_l{lv}" for lv in LEVELS}
+    blocks = H.packed(train, features, labels, sorted(levels))
     sets = {"Validation": _apply(enc, load_split(spark, corpus_path, lang, "dev")),
             "Testing": _apply(enc, load_split(spark, corpus_path, lang, "test"))}
-    keys = ["itemid", "inst_lang"]
-    metrics = []
+    keys, of_levels = ["itemid", "inst_lang"], "-".join(map(str, sorted(levels)))
+    metrics, run_ids = [], []
     for run in range(1, runs + 1):
-        model = H.fit_heads(train, features, arch=arch, levels=levels, loss=loss, max_iter=max_iter, seed=run)
+        model = H.fit_blocks(blocks, features, arch, sorted(levels), loss, max_iter, seed=run)
+        run_id = f"{lang}-{arch}-{loss}-{of_levels}-{run}"
+        run_ids.append(run_id)
+        rows = [spark.createDataFrame([("Training", 0, "loss", i, float(v)) for i, v in enumerate(model.history)],
+                                      "mode STRING, level INT, name STRING, step INT, value DOUBLE")]
+        progress = M.sampled_batches(per_level_js(H.score(model, train), keys, levels), "js", keys, ["level"], out="value", digits=None)
+        rows.append(progress.select(F.lit("Training").alias("mode"), "level", F.lit("js").alias("name"),
+                                    F.col("batch_idx").cast("int").alias("step"), "value"))
         for mode, data in sets.items():
             js = per_level_js(H.score(model, data), keys, levels)
-            mean = OD.mean_distance(js, col="js", out="mean_js", digits=None)
-            batch = M.mean_of_batch_means(js, "js", keys, ["level"], out="batch_mean_js")
-            acc = M.accuracy(js, "label", "pred", ["level"])
-            m = mean.join(batch, "level").join(acc, "level").select(
-                F.lit(f"{lang}-{arch}-{loss}-{run}").alias("run_id"), F.lit(mode).alias("mode"), "level",
-                F.create_map(F.lit("lang"), F.lit(lang), F.lit("arch"), F.lit(arch),
-                             F.lit("loss"), F.lit(loss)).alias("config"),
-                "mean_js", "batch_mean_js", "accuracy")
-            metrics.append(m)
+            rows.append(long_metrics(js, mode, keys))
             if out_path and mode == "Testing":
-                pred = js.select(F.lit(lang).alias("train_lang"), F.col("inst_lang").alias("test_lang"),
-                                 F.lit(arch).alias("arch"), F.lit(run).alias("run"), "itemid", "level",
-                                 "label", "pred")
-                K.write_predictions(pred, f"{out_path}/predictions", mode="overwrite" if run == 1 else "append")
+                pred = js.select(F.lit(lang).alias("train_lang"), F.col("inst_lang").alias("test_lang"), F.lit(arch).alias("arch"),
+                                 F.lit(loss).alias("loss"), F.lit(of_levels).alias("levels"), F.lit(run).alias("run"),
+                                 "itemid", "level", "label", "pred")
+                K.write_predictions(pred, f"{out_path}/predictions", ("train_lang", "test_lang", "arch", "loss", "levels", "run"))
+        config = F.create_map(*[F.lit(x) for x in ("lang", lang, "arch", arch, "loss", loss, "levels", of_levels, "run", str(run))])
+        of_run = functools.reduce(DataFrame.unionByName, rows).select(
+            F.lit(run_id).alias("run_id"), "mode", "level", "name", "step", "value", config.alias("config"))
         if out_path:
-            mdir = f"{out_path}/models/{lang}_{arch}_{loss}_{run}"
+            K.write_metrics(of_run, f"{out_path}/metrics")
+            mdir = f"{out_path}/models/{lang}_{arch}_{loss}_{of_levels}_{run}"
             H.save_model(model, mdir)
             if enc is not None:
                 enc.write().overwrite().save(f"{mdir}/encoder")
-    out = metrics[0]
-    for m in metrics[1:]:
-        out = out.unionByName(m)
+        else:
+            metrics.append(written(of_run))
+    train.unpersist()
     if out_path:
-        K.append_metrics(out, f"{out_path}/metrics", mode="overwrite")
-        train.unpersist()
-        return spark.read.parquet(f"{out_path}/metrics")
-    return out
+        return spark.read.parquet(f"{out_path}/metrics").filter(F.col("run_id").isin(run_ids)).select(
+            "run_id", "mode", "level", "name", "step", "value", "config")
+    return functools.reduce(DataFrame.union, metrics)
 
 
 def cross_test(spark: SparkSession, model_path: str, corpus_path: str, train_lang: str, test_lang: str,

@@ -8,18 +8,19 @@ most K rows) is broadcast back onto the instances.
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labeldist.operators import density, mixture, summary
 from labeldist.operators import metrics as M
+from labeldist.operators.blocks import as_array
+from labeldist.session import scratch_path
 
 NOISE = -1            # fixed value: cluster id of noise points
-EXHAUSTIVE_MAX = 7    # solve by enumeration up to this many clusters or senses
 
 
 # ------------------------------------------------------------------- A1
@@ -45,81 +46,77 @@ def contingency_wide(df: DataFrame, cluster: str, label: str, labels: Sequence,
 
 # ------------------------------------------------------------------- A2
 
-def _hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Minimum-cost assignment on a rectangular matrix (rows <= cols)."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    p, way = np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=int)
+def _least_cost(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The column of each row in an assignment of least cost of a square matrix of whole numbers, and which cells may
+    belong to one (reduced cost 0).  Shortest augmenting paths with prices of rows and columns."""
+    n = len(cost)
+    u, v = np.zeros(n + 1), np.zeros(n + 1)
+    owner, way = np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=int)     # places from 1; column 0: the row to be placed
     for i in range(1, n + 1):
-        p[0] = i
-        j0 = 0
-        minv = np.full(m + 1, np.inf)
-        used = np.zeros(m + 1, dtype=bool)
-        while True:
-            used[j0] = True
-            i0 = p[j0]
-            cur = cost[i0 - 1] - u[i0] - v[1:]
-            free = ~used[1:]
-            better = free & (cur < minv[1:])
-            minv[1:][better] = cur[better]
-            way[1:][better] = j0
-            cand = np.where(free, minv[1:], np.inf)
-            j1 = int(np.argmin(cand)) + 1
-            delta = cand[j1 - 1]
-            for j in range(m + 1):
-                if used[j]:
-                    u[p[j]] += delta
-                    v[j] -= delta
-                else:
-                    minv[j] -= delta
-            j0 = j1
-            if p[j0] == 0:
+        owner[0], j = i, 0
+        least, used = np.full(n + 1, np.inf), np.zeros(n + 1, bool)
+        while owner[j]:
+            used[j] = True
+            row = owner[j]
+            now = np.concatenate([[np.inf], cost[row - 1] - u[row] - v[1:]])
+            better = ~used & (now < least)
+            least[better], way[better] = now[better], j
+            j = int(np.where(used, np.inf, least).argmin())
+            step = least[j]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+        while j:
+            owner[j], j = owner[way[j]], way[j]
+    column = np.empty(n, int)
+    column[owner[1:] - 1] = np.arange(n)
+    return column, cost - u[1:, None] - v[1:] == 0
+
+
+def _first_of_equals(column: np.ndarray, tight: np.ndarray, rows: int) -> np.ndarray:
+    """Among assignments within the tight cells the one whose columns, row by row, are the smallest."""
+    column, n = column.copy(), len(column)
+    for i in range(rows):
+        owner = np.empty(n, int)
+        owner[column] = np.arange(n)
+        # rows behind i that can move along tight cells so that the column of i is taken again
+        moves, todo = {}, [column[i]]
+        open_ = np.zeros(n, bool)
+        open_[i + 1:] = True
+        while todo:
+            c = todo.pop()
+            for r in np.flatnonzero(open_ & tight[:, c]):
+                open_[r] = False
+                moves[r] = c
+                todo.append(column[r])
+        for j in np.flatnonzero(tight[i]):
+            if j == column[i]:
                 break
-        while True:
-            j1 = way[j0]
-            p[j0] = p[j1]
-            j0 = j1
-            if j0 == 0:
+            if owner[j] in moves:
+                r, freed = owner[j], column[i]
+                column[i] = j
+                while True:
+                    column[r] = moves[r]
+                    if moves[r] == freed:
+                        break
+                    r = owner[moves[r]]
                 break
-    return [(p[j] - 1, j - 1) for j in range(1, m + 1) if p[j] != 0]
+    return column
 
 
 def solve_assignment(cells: pd.DataFrame, cluster: str, label: str) -> pd.DataFrame:
-    """Best one-to-one cluster -> label mapping for ONE contingency table.
+    """Best one-to-one cluster -> label mapping for ONE contingency table of any size.
 
-    Maximises the matched count.  Up to ``EXHAUSTIVE_MAX`` on the smaller
-    side every injective mapping is scored and ties go to the
-    lexicographically smallest label sequence (clusters in ascending order);
-    larger tables use the Hungarian method.
-    """
+    Maximises the matched count.  Of equally good mappings it is the one that gives the clusters, in ascending order,
+    the smallest labels; being left out (more clusters than labels) comes after all labels."""
     ks = sorted(cells[cluster].unique().tolist())
     cs = sorted(cells[label].unique().tolist())
-    tab = np.zeros((len(ks), len(cs)))
-    ki = {k: i for i, k in enumerate(ks)}
-    ci = {c: j for j, c in enumerate(cs)}
-    for k, c, n in zip(cells[cluster], cells[label], cells["n"]):
-        tab[ki[k], ci[c]] += n
-    pairs: list[tuple[int, int]] = []
-    if min(len(ks), len(cs)) <= EXHAUSTIVE_MAX and max(len(ks), len(cs)) <= EXHAUSTIVE_MAX + 2:
-        best, best_key = -1.0, None
-        if len(ks) <= len(cs):
-            for perm in itertools.permutations(range(len(cs)), len(ks)):
-                s = tab[range(len(ks)), perm].sum()
-                if s > best:
-                    best, best_key = s, [(i, perm[i]) for i in range(len(ks))]
-        else:
-            for perm in itertools.permutations(range(len(ks)), len(cs)):
-                s = tab[perm, range(len(cs))].sum()
-                cand = sorted((perm[j], j) for j in range(len(cs)))
-                if s > best or (s == best and [c for _, c in cand] < [c for _, c in best_key]):
-                    best, best_key = s, cand
-        pairs = best_key or []
-    else:
-        if len(ks) <= len(cs):
-            pairs = _hungarian(-tab)
-        else:
-            pairs = [(i, j) for j, i in _hungarian(-tab.T)]
-    return pd.DataFrame({cluster: [ks[i] for i, _ in pairs], label: [cs[j] for _, j in pairs]})
+    n = max(len(ks), len(cs))
+    gain = np.zeros((n, n))
+    np.add.at(gain, ([ks.index(k) for k in cells[cluster]], [cs.index(c) for c in cells[label]]), cells["n"].to_numpy(float))
+    column = _first_of_equals(*_least_cost(-gain), len(ks))
+    pairs = [(k, cs[j]) for k, j in zip(ks, column, strict=False) if j < len(cs)]
+    return pd.DataFrame(pairs, columns=[cluster, label])
 
 
 def assign_clusters(cells: DataFrame, cluster: str = "cluster", label: str = "sense",
@@ -171,116 +168,12 @@ def evaluate_clusters(df: DataFrame, cluster: str = "cluster", label: str = "sen
 
 # ------------------------------------------------------------------- M5-M9
 
-MICRO_CLUSTERS = 200   # micro-clusters summarising the data for the merge-based algorithms
-
-
 def _kmeans(df: DataFrame, k: int, features: str, seed: int, out: str = "cluster"):
     from pyspark.ml.clustering import KMeans
     model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out, initMode="k-means||").fit(df)
     return model, model.transform(df)
 
 
-def _micro(df: DataFrame, features: str, seed: int, micro: int):
-    """Micro-clusters: k-means with ``micro`` centres; returns the rows with
-    ``_micro`` and the centre table ``(_micro, size, centre)`` (<= micro rows)."""
-    from pyspark.ml.functions import vector_to_array
-    model, rows = _kmeans(df, micro, features, seed, "_micro")
-    sizes = rows.groupBy("_micro").agg(F.count(F.lit(1)).alias("size"))
-    centres = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
-    spark = df.sparkSession
-    ctab = spark.createDataFrame(centres, "_micro INT, centre ARRAY<DOUBLE>")
-    return rows, sizes.join(ctab, "_micro")
-
-
-def ward_merge(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """Agglomerative (Ward) merge of weighted points down to ``k`` groups.
-
-    Returns the group label of every input point.  Used on micro-cluster
-    centres only (bounded by ``MICRO_CLUSTERS``): each step merges the pair
-    with the smallest increase of within-group squared error and updates
-    one row of the cost matrix."""
-    n = len(centres)
-    c = centres.astype(float).copy()
-    s = sizes.astype(float).copy()
-
-    def cost_row(i):
-        d2 = ((c - c[i]) ** 2).sum(1)
-        return s * s[i] / (s + s[i]) * d2
-
-    cost = np.array([cost_row(i) for i in range(n)])
-    np.fill_diagonal(cost, np.inf)
-    label = np.arange(n)
-    alive = n
-    while alive > k:
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        i, j = min(i, j), max(i, j)
-        c[i] = (c[i] * s[i] + c[j] * s[j]) / (s[i] + s[j])
-        s[i] += s[j]
-        label[label == j] = i
-        cost[j, :] = np.inf
-        cost[:, j] = np.inf
-        row = cost_row(i)
-        dead = np.isinf(cost[:, i]) & (np.arange(n) != i)
-        dead |= np.isinf(cost[i, :]) & (np.arange(n) != i)
-        row[dead] = np.inf
-        row[i] = np.inf
-        cost[i, :] = row
-        cost[:, i] = row
-        alive -= 1
-    _, out = np.unique(label, return_inverse=True)
-    return out
-
-
-def spectral_labels(centres: np.ndarray, sizes: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    """Spectral clustering of weighted points (micro-cluster centres).
-
-    RBF affinity scaled by the median squared distance, weighted by sizes;
-    normalised Laplacian; k smallest eigenvectors, row-normalised; k-means
-    (farthest-point start) in that space."""
-    d2 = ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(-1)
-    med = np.median(d2[d2 > 0]) if np.any(d2 > 0) else 1.0
-    w = np.exp(-d2 / med) * np.sqrt(np.outer(sizes, sizes))
-    np.fill_diagonal(w, 0.0)
-    deg = w.sum(1)
-    dinv = 1.0 / np.sqrt(np.where(deg > 0, deg, 1.0))
-    lap = np.eye(len(w)) - dinv[:, None] * w * dinv[None, :]
-    _, vecs = np.linalg.eigh(lap)
-    u = vecs[:, :k]
-    u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
-    start = [int(np.argmax(sizes))]
-    for _ in range(1, k):
-        dist = np.min(((u[:, None, :] - u[start][None, :, :]) ** 2).sum(-1), axis=1)
-        start.append(int(np.argmax(dist)))
-    cen = u[start]
-    lab = np.zeros(len(u), dtype=int)
-    for _ in range(100):
-        lab_new = np.argmin(((u[:, None, :] - cen[None, :, :]) ** 2).sum(-1), axis=1)
-        if np.array_equal(lab_new, lab) and _ > 0:
-            break
-        lab = lab_new
-        for g in range(k):
-            m = lab == g
-            if m.any():
-                cen[g] = np.average(u[m], axis=0, weights=sizes[m])
-    return lab
-
-
-def _merge_micro(df: DataFrame, k: int, features: str, seed: int, micro: int, how: str) -> DataFrame:
-    rows, centres = _micro(df, features, seed, micro)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = np.array(pdf["centre"].tolist())
-        s = pdf["size"].to_numpy(dtype=float)
-        kk = min(k, len(pdf))
-        lab = ward_merge(c, s, kk) if how == "ward" else spectral_labels(c, s, kk, seed)
-        return pd.DataFrame({"_micro": pdf["_micro"].to_numpy(), "cluster": lab.astype("int32")})
-
-    mapping = (centres.withColumn("_g", F.lit(0)).groupBy("_g")
-               .applyInPandas(solve, "_micro INT, cluster INT"))
-    # the mapping has one row per micro-cluster (<= micro), so broadcasting it is bounded
-    return rows.join(F.broadcast(mapping), "_micro").drop("_micro")
-
-
 def grid_density(df: DataFrame, features: str = "features", min_size: int = 5, eps: float | None = None,
                  *, dims: int) -> DataFrame:
     """Density clustering on a grid (re-aim of a density hierarchy).
@@ -298,7 +191,7 @@ def grid_density(df: DataFrame, features: str = "features", min_size: int = 5, e
     from pyspark.ml.functions import vector_to_array
 
     from labeldist.operators.features import reduce
-    from labeldist.session import cut_lineage
+    from labeldist.session import written
     p = reduce(df, features, k=dims, out="_p").withColumn("_pa", vector_to_array("_p")).drop("_p")
     if eps is None:
         st = p.agg(*[F.stddev_pop(F.col("_pa")[i]).alias(f"s{i}") for i in range(dims)]).first()
@@ -312,11 +205,11 @@ def grid_density(df: DataFrame, features: str = "features", min_size: int = 5, e
     edges = (dense.select("_cell", F.explode(nb).alias("_nb"))
              .join(dense.select(F.col("_cell").alias("_nb")), "_nb"))
     label_of = F.xxhash64("_cell")
-    labels = cut_lineage(dense.select("_cell", label_of.alias("_lab")))
+    labels = written(dense.select("_cell", label_of.alias("_lab")))
     while True:
         prop = edges.join(labels.select(F.col("_cell").alias("_nb"), "_lab"), "_nb").select("_cell", "_lab")
         new = labels.unionByName(prop).groupBy("_cell").agg(F.min("_lab").alias("_lab"))
-        new = cut_lineage(new)
+        new = written(new)
         changed = new.join(labels.withColumnRenamed("_lab", "_old"), "_cell").filter(
             F.col("_lab") != F.col("_old")).limit(1).count()
         labels = new
@@ -328,34 +221,43 @@ def grid_density(df: DataFrame, features: str = "features", min_size: int = 5, e
     return out.withColumn("cluster", F.coalesce(F.col("_lab"), F.lit(NOISE).cast("long"))).drop("_cell", "_lab")
 
 
-def cluster(df: DataFrame, algo: str = "kmeans", k: int = 4, features: str = "features",
-            seed: int = 42, micro: int = MICRO_CLUSTERS, **kw) -> DataFrame:
+def _by_id(df: DataFrame, features: str, labels: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``labels`` of ``(id, x)`` joined to the rows; a row without features has none."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    points = rows.select(F.col("_id").alias("id"), as_array(rows, features).alias("x")).filter(F.col("x").isNotNull())
+    found = labels(points).select(F.col("id").alias("_id"), "cluster")
+    return rows.join(found, "_id", "left").select(*[F.col(f"`{c}`") for c in df.columns], "cluster")
+
+
+def cluster(df: DataFrame, algo: str = "kmeans", k: int = 4, features: str = "features", seed: int = 42, **kw) -> DataFrame:
     """M5-M9: add a ``cluster`` column.
 
-    ``kmeans`` and ``gmm`` are Spark ML estimators; the mixture is fitted on
-    ``gmm_dims`` principal components if given (full covariances in the raw
-    dimension are singular for small samples).  ``hierarchical`` (Ward)
-    and ``spectral`` first summarise the data with ``micro`` k-means
-    centres, then cluster those centres (a bounded table) and map every row
-    through its centre.  ``density`` is :func:`grid_density`.
+    ``kmeans`` is Spark ML's; ``gmm`` :mod:`labeldist.operators.mixture` in all dimensions (``gmm_dims``: on that many
+    principal components); ``hierarchical`` (Ward) and ``spectral`` (``affinity``: ``rbf`` with ``gamma``, or ``neighbours``)
+    work on :mod:`labeldist.operators.summary`, exact up to ``entries`` distinct rows; ``density`` is
+    :func:`labeldist.operators.density.density_hierarchy` (``min_cluster_size``, ``min_samples``), ``grid``
+    :func:`grid_density`.
     """
     if algo == "kmeans":
         return _kmeans(df, k, features, seed)[1]
     if algo == "gmm":
-        from pyspark.ml.clustering import GaussianMixture
-
         from labeldist.operators.features import reduce
-        dims = kw.get("gmm_dims")
+        dims = kw.pop("gmm_dims", None)
         src, col = (reduce(df, features, k=dims, out="_gmm_x"), "_gmm_x") if dims else (df, features)
-        m = GaussianMixture(k=k, seed=seed, featuresCol=col, predictionCol="cluster",
-                            probabilityCol="_prob").fit(src)
-        return m.transform(src).drop("_prob", "_gmm_x")
-    if algo in ("hierarchical", "spectral") and k > micro:
-        raise ValueError(f"k={k} clusters need at least as many micro-clusters (micro={micro})")
-    if algo == "hierarchical":
-        return _merge_micro(df, k, features, seed, micro, "ward")
-    if algo == "spectral":
-        return _merge_micro(df, k, features, seed, micro, "spectral")
+        return mixture.assign(mixture.fit_mixture(src, col, k, seed, **kw), src, col).drop("_gmm_x")
+    if algo in ("hierarchical", "spectral"):
+        entries = kw.pop("entries", summary.ENTRIES)
+        if k > entries:
+            raise ValueError(f"k={k} clusters need at least as many entries of the summary (entries={entries})")
+        e = summary.summarise(df, features, entries)
+        k = min(k, len(e.n))
+        label = summary.ward(e.centre, e.n, k) if algo == "hierarchical" else summary.spectral(
+            summary.affinities(e.centre, e.n, **kw), e.n, k)
+        return summary.through_leaders(df, e, label, features)
     if algo == "density":
+        return _by_id(df, features, lambda points: density.density_hierarchy(points, **kw))
+    if algo == "grid":
         return grid_density(df, features, **kw)
     raise ValueError(f"unknown clustering algorithm {algo!r}")

@@ -10,15 +10,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer, StandardScaler
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labeldist.operators.blocks import as_array, pack, summed
+
 DEFAULT_FEATURES = 1 << 12  # hashed vocabulary size of the default text encoder
 TOKEN_PATTERN = "(?U)\\W+"  # letters of every script belong to words
 
@@ -98,9 +101,45 @@ def standardize(df: DataFrame, col: str = "features", out: str = "scaled",
     return res.withColumn(out, array_to_vector(z)).drop("_x")
 
 
+def components(df: DataFrame, col: str, k: int, seed: int = 42, max_iter: int = 60, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean (d), principal directions (d, k) and their variances (k).
+
+    Subspace iteration with ``k + 10`` random directions: each step is one job in which every task sums the products of
+    its rows (which may be sparse) with the directions, ``d * (k + 10)`` numbers; nothing of size d * d is formed unless
+    all components are asked for.  It ends when the variances found stay the same to ``tol`` of the largest."""
+    blocks = pack(df, col)
+    first = blocks.select("d").first()
+    if first is None:
+        raise ValueError("no rows with features")
+    d = first.d
+    total = summed(blocks, lambda x, y: np.concatenate([[len(x)], x.sum(axis=0)]))
+    n, mean = total[0], total[1:] / total[0]
+    width = min(d, k + 10)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    before = np.zeros(min(k, d))
+    for _ in range(max_iter):
+        z = summed(blocks, lambda x, y, q=q: (x.T @ (x @ q)).ravel()).reshape(d, width) / n - np.outer(mean, mean @ q)
+        value, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        value, turn = value[::-1], turn[:, ::-1]
+        if width == d or np.abs(value[:k] - before).max() <= tol * max(value[0], 1e-300):
+            break
+        before = value[:k]
+        q = np.linalg.qr(z @ turn)[0]
+    axes = q @ turn[:, :k]
+    # one sign for each direction: its largest entry is positive
+    return mean, axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])]), np.maximum(value[:k], 0)
+
+
 def reduce(df: DataFrame, col: str = "features", k: int = 10, out: str = "pca") -> DataFrame:
-    """M4: PCA to ``k`` components on centred input."""
-    centred = StandardScaler(inputCol=col, outputCol="_c", withMean=True, withStd=False)
-    pca = PCA(k=k, inputCol="_c", outputCol=out)
-    model: PipelineModel = Pipeline(stages=[centred, pca]).fit(df)
-    return model.transform(df).drop("_c")
+    """M4: principal components of centred input (see :func:`components`); NULL features give NULL."""
+    mean, axes, _ = components(df, col, k)
+    shift = mean @ axes
+
+    def run(xs: pd.Series) -> pd.Series:
+        known = xs.notna().to_numpy()
+        res = pd.Series(np.full(len(xs), None, object))
+        if known.any():
+            res[known] = pd.Series(list(np.stack(xs[known].to_numpy()).astype(float) @ axes - shift)).to_numpy()
+        return res
+
+    return df.withColumn(out, array_to_vector(F.pandas_udf(run, "array<double>")(as_array(df, col))))

@@ -1,211 +1,395 @@
-"""Soft-label classifiers per taxonomy level.
-
-A soft label is a distribution over the senses of a level.  With the
-cross-entropy loss each row is expanded to one weighted row per sense with
-non-zero mass: weighted multinomial log-loss over those rows equals the
-soft-label cross-entropy, so Spark ML's ``LogisticRegression`` trains the
-head directly.  The other losses fit one regressor per sense.
-
-Architectures: ``flat`` (independent heads), ``chain`` (level 2 sees level-1
-probabilities, level 3 sees both), ``gated`` (fixed-weight mix of features and
-upstream probabilities).  Fitted heads are ``PipelineModel``s and persist with
-Spark ML writers.
+"""Soft-label classifiers per taxonomy level (M11-M17), all heads trained together.
+
+A soft label is a distribution over the senses of a level.  One network holds
+the heads of all levels: a linear hidden layer over the features, and for each
+level a linear layer on
+
+* ``flat``: the hidden layer;
+* ``chain``: the hidden layer and the probabilities of all levels above;
+* ``gated``: a weighted sum of the hidden layer and a projection (two layers
+  with GELU) of the scores of each level above.  The weights are learned: a
+  sigmoid gate with one level above, softmax gates with more.
+
+The loss is the sum of the levels' losses, and its gradient runs through the
+levels above.  Rows are packed once into blocks in the shared folder; each step
+of L-BFGS is one Spark job in which every task sums loss and gradient over its
+blocks, so one row of the size of the parameters comes back from each group
+of tasks, never a row of the data.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeldist import taxonomy as tx
+from labeldist.operators.blocks import as_array, pack, summed
 
 LOSSES = ("cross-entropy", "l2", "smooth-l1", "l1")
 ARCHS = ("flat", "chain", "gated")
-# --- fixed values: starting mix weights of the gated architecture -----------
-GATE_L2 = 0.622                    # sigmoid(0.5): weight of upstream scores at level 2
-GATE_L3 = (0.391, 0.305, 0.305)    # softmax(.5, .25, .25): features, level 1, level 2
-# -----------------------------------------------------------------------------
+# --- fixed values: starting points of the gates (before sigmoid / softmax) ---
+GATE_TWO = 0.5                      # level above against hidden layer
+GATES_MORE = (0.25, 0.5)            # each level above, hidden layer
+# ------------------------------------------------------------------------------
+HIDDEN = 64              # units of the hidden layer (fewer features: as many as they are)
+GELU = np.sqrt(2 / np.pi)
+
+
+# --- network ----------------------------------------------------------------
+
+def _gelu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """GELU (by tanh) and its slope."""
+    t = np.tanh(GELU * (x + 0.044715 * x**3))
+    return 0.5 * x * (1 + t), 0.5 * (1 + t) + 0.5 * x * (1 - t * t) * GELU * (1 + 0.134145 * x * x)
+
+
+def _softmax(s: np.ndarray) -> np.ndarray:
+    e = np.exp(s - s.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _through_softmax(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Slope by the scores from the slope by the probabilities."""
+    return p * (g - (g * p).sum(axis=1, keepdims=True))
 
 
 @dataclass
-class HeadsModel:
-    """Fitted heads: one ``PipelineModel`` per level plus the configuration."""
+class Net:
+    """Shapes of the parameters, and the network's scores and gradients for a block of rows."""
     arch: str
     loss: str
     levels: list[int]
+    n_features: int
+    hidden: int
+    learn_gates: bool = True
+    share: list[float] = field(default_factory=list)
+    sizes: dict[int, int] = field(default_factory=lambda: dict(tx.LEVEL_SIZES))
+
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        h, mid = self.hidden, max(1, self.hidden // 2)
+        out: dict[str, tuple[int, ...]] = {"w": (self.n_features, h), "w_0": (h,)}
+        for i, lv in enumerate(self.levels):
+            n = self.sizes[lv]
+            extra = sum(self.sizes[u] for u in self.levels[:i]) if self.arch == "chain" else 0
+            out |= {f"head{lv}": (h + extra, n), f"head{lv}_0": (n,)}
+            if self.arch == "gated":
+                if lv != self.levels[-1]:
+                    out |= {f"up{lv}": (n, mid), f"up{lv}_0": (mid,), f"wide{lv}": (mid, h), f"wide{lv}_0": (h,)}
+                if i:
+                    out[f"gate{lv}"] = (1,) if i == 1 else (i + 1,)
+        return out
+
+    def split(self, theta: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, shape in self.shapes().items():
+            n = int(np.prod(shape))
+            out[name] = theta[at:at + n].reshape(shape)
+            at += n
+        return out
+
+    def start(self, seed: int, gates: Mapping[int, Sequence[float]]) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        parts = []
+        for name, shape in self.shapes().items():
+            if name.startswith("gate"):
+                parts.append(np.array(gates.get(int(name[4:])) or (
+                    [GATE_TWO] if shape == (1,) else [GATES_MORE[0]] * (shape[0] - 1) + [GATES_MORE[1]]), float))
+            else:
+                parts.append(np.zeros(shape) if name.endswith("_0") else rng.normal(0, shape[0] ** -0.5, shape))
+        return np.concatenate([p.ravel() for p in parts])
+
+    def weights(self, i: int, gate: np.ndarray) -> np.ndarray:
+        """Weight of each level above, then that of the hidden layer."""
+        if i == 1:
+            a = 1 / (1 + np.exp(-gate[0]))
+            return np.array([a, 1 - a])
+        e = np.exp(gate - gate.max())
+        return e / e.sum()
+
+    def forward(self, p: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+        """Scores of all levels (``s1`` ...) and what the gradient needs."""
+        v = {"h": x @ p["w"] + p["w_0"]}
+        for i, lv in enumerate(self.levels):
+            if self.arch == "chain":
+                v[f"in{lv}"] = np.hstack([v["h"], *[v[f"p{u}"] for u in self.levels[:i]]])
+            elif self.arch == "gated" and i:
+                g = self.weights(i, p[f"gate{lv}"])
+                v[f"in{lv}"] = g[-1] * v["h"] + sum(w * v[f"z{u}"] for w, u in zip(g, self.levels[:i], strict=False))
+            else:
+                v[f"in{lv}"] = v["h"]
+            s = v[f"s{lv}"] = v[f"in{lv}"] @ p[f"head{lv}"] + p[f"head{lv}_0"]
+            if lv == self.levels[-1]:
+                break
+            if self.arch == "chain":
+                v[f"p{lv}"] = _softmax(s)
+            elif self.arch == "gated":
+                v[f"a{lv}"], v[f"da{lv}"] = _gelu(s @ p[f"up{lv}"] + p[f"up{lv}_0"])
+                v[f"z{lv}"], v[f"dz{lv}"] = _gelu(v[f"a{lv}"] @ p[f"wide{lv}"] + p[f"wide{lv}_0"])
+        return v
+
+    def level_loss(self, s: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Summed loss of the rows and its slope by the scores.  Squared, absolute and smooth absolute loss compare
+        the scores themselves with the labels, averaged over a level's senses."""
+        if self.loss == "cross-entropy":
+            top = s.max(axis=1, keepdims=True)
+            log_p = s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))
+            return float(-(y * log_p).sum()), np.exp(log_p) * y.sum(axis=1, keepdims=True) - y
+        d, n = s - y, s.shape[1]
+        if self.loss == "l2":
+            return float((d * d).sum() / n), 2 * d / n
+        if self.loss == "l1":
+            return float(np.abs(d).sum() / n), np.sign(d) / n
+        near = np.abs(d) < 1
+        return float(np.where(near, 0.5 * d * d, np.abs(d) - 0.5).sum() / n), np.where(near, d, np.sign(d)) / n
+
+    def gradient(self, theta: np.ndarray, x: np.ndarray, labels: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed loss of each level and the gradient of their sum.  A row of NaN in a level's labels has no label there."""
+        p = self.split(theta)
+        v = self.forward(p, x)
+        flat = np.zeros_like(theta)
+        g = self.split(flat)
+        losses = np.zeros(len(self.levels))
+        to_h, to_s = np.zeros_like(v["h"]), {lv: 0.0 for lv in self.levels}
+        to_z = {lv: 0.0 for lv in self.levels}
+        for i in range(len(self.levels) - 1, -1, -1):
+            lv = self.levels[i]
+            known = ~np.isnan(labels[lv]).any(axis=1)
+            losses[i], own = self.level_loss(v[f"s{lv}"], np.where(known[:, None], labels[lv], 0.0))
+            if not known.all():
+                losses[i] = self.level_loss(v[f"s{lv}"][known], labels[lv][known])[0]
+                own = own * known[:, None]
+            if self.share:
+                losses[i], own = losses[i] * self.share[i], own * self.share[i]
+            if self.arch == "gated" and lv != self.levels[-1]:
+                t = to_z[lv] * v[f"dz{lv}"]
+                g[f"wide{lv}"] += v[f"a{lv}"].T @ t
+                g[f"wide{lv}_0"] += t.sum(axis=0)
+                t = t @ p[f"wide{lv}"].T * v[f"da{lv}"]
+                g[f"up{lv}"] += v[f"s{lv}"].T @ t
+                g[f"up{lv}_0"] += t.sum(axis=0)
+                own = own + t @ p[f"up{lv}"].T
+            own = own + to_s[lv]
+            g[f"head{lv}"] += v[f"in{lv}"].T @ own
+            g[f"head{lv}_0"] += own.sum(axis=0)
+            t = own @ p[f"head{lv}"].T
+            above = self.levels[:i]
+            if self.arch == "chain":
+                to_h += t[:, :self.hidden]
+                at = self.hidden
+                for u in above:
+                    to_s[u] = to_s[u] + _through_softmax(v[f"p{u}"], t[:, at:at + self.sizes[u]])
+                    at += self.sizes[u]
+            elif self.arch == "gated" and i:
+                w = self.weights(i, p[f"gate{lv}"])
+                by_weight = np.array([float((t * z).sum()) for z in [*[v[f"z{u}"] for u in above], v["h"]]])
+                if self.learn_gates:
+                    g[f"gate{lv}"] += (w[0] * w[1] * (by_weight[0] - by_weight[1]) if i == 1
+                                       else w * (by_weight - (w * by_weight).sum()))
+                to_h += w[-1] * t
+                for k, u in enumerate(above):
+                    to_z[u] = to_z[u] + w[k] * t
+            else:
+                to_h += t
+        g["w"] += x.T @ to_h
+        g["w_0"] += to_h.sum(axis=0)
+        return losses, flat
+
+
+# --- steps ----------------------------------------------------------------------
+
+def lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, max_iter: int, tol: float,
+          memory: int = 10) -> tuple[np.ndarray, list[float]]:
+    """The lowest point found and the loss after every step; the loss never rises."""
+    loss, g = value(theta)
+    history, pairs, step = [loss], [], 1.0 / max(1.0, float(np.linalg.norm(g)))
+    for _ in range(max_iter):
+        q, scales = g.copy(), []
+        for s, y, r in reversed(pairs):
+            a = r * (s @ q)
+            scales.append(a)
+            q -= a * y
+        if pairs:
+            q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        for (s, y, r), a in zip(pairs, reversed(scales), strict=True):
+            q += (a - r * (y @ q)) * s
+        slope, t = float(g @ q), 1.0 if pairs else step
+        if slope <= 0:
+            pairs = []
+            q, slope, t = g, float(g @ g), step
+        while True:
+            new, new_g = value(theta - t * q)
+            if np.isfinite(new) and new <= loss - 1e-4 * t * slope:
+                break
+            t /= 3
+            if t * np.abs(q).max() < 1e-10:
+                break
+        if not np.isfinite(new) or new >= loss:
+            if not pairs:
+                break
+            pairs = []      # try the plain slope once more
+            continue
+        s, y = -t * q, new_g - g
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y, 1.0 / (s @ y))][-memory:]
+        done = loss - new <= tol * max(abs(loss), 1.0)
+        theta, loss, g = theta + s, new, new_g
+        history.append(loss)
+        if done:
+            break
+    return theta, history
+
+
+# --- fitting, scoring, storing --------------------------------------------------
+
+@dataclass
+class HeadsModel:
+    """A fitted network.  ``history``: loss after every step."""
+    net: Net
     features: str
-    models: dict[int, PipelineModel] = field(default_factory=dict)
-    gate_l2: float = GATE_L2
-    gate_l3: tuple[float, float, float] = GATE_L3
+    theta: np.ndarray
+    scale: np.ndarray
+    history: list[float] = field(default_factory=list)
+
+    arch = property(lambda self: self.net.arch)
+    loss = property(lambda self: self.net.loss)
+    levels = property(lambda self: self.net.levels)
+
+    @property
+    def gates(self) -> dict[int, list[float]]:
+        """For each gated level the weights of the levels above and of the hidden layer."""
+        p = self.net.split(self.theta)
+        return {lv: self.net.weights(i, p[f"gate{lv}"]).tolist() for i, lv in enumerate(self.levels) if f"gate{lv}" in p}
 
     def transform(self, df: DataFrame) -> DataFrame:
         return score(self, df)
 
 
-def _upstream(level: int):
-    """Probabilities of an upstream head: the softmax of its scores.  Raw scores are linear in the features and would
-    add nothing to a linear head."""
-    s = F.col(f"scores_l{level}")
-    e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
-
-
-def _input_features(df: DataFrame, arch: str, level: int, levels: Sequence[int], features: str,
-                    gate_l2: float = GATE_L2, gate_l3: Sequence[float] = GATE_L3) -> DataFrame:
-    """Feature vector seen by the head of ``level`` (``_x``)."""
-    ups = [lv for lv in levels if lv < level]
-    if arch == "flat" or not ups:
-        return df.withColumn("_x", F.col(features))
-    f = vector_to_array(features)
-    if arch == "chain":
-        arr = F.concat(f, *[_upstream(u) for u in ups])
-    else:  # gated
-        if len(ups) == 1:
-            wf, wu = 1.0 - gate_l2, [gate_l2]
-        else:
-            wf, wu = gate_l3[0], list(gate_l3[1:1 + len(ups)])
-        arr = F.concat(F.transform(f, lambda x: x * F.lit(wf)),
-                       *[F.transform(_upstream(u), lambda x, w=w: x * F.lit(w)) for u, w in zip(ups, wu)])
-    return df.withColumn("_x", array_to_vector(arr))
-
-
-def _soft_rows(df: DataFrame, label_col: str, n: int) -> DataFrame:
-    """One row per (instance, sense with mass > 0): ``_x, y, w``."""
-    x = df.select("_x", F.posexplode(label_col).alias("y", "w")).filter(F.col("w") > 0)
-    meta = {"ml_attr": {"type": "nominal", "num_vals": n, "name": "y"}}
-    return x.select("_x", F.col("y").cast("double").alias("y", metadata=meta), "w")
-
-
-def _fit_level(df: DataFrame, label_col: str, n: int, loss: str, max_iter: int, reg: float,
-               seed: int = 42, standardize: bool = True) -> PipelineModel:
-    # a partial distribution (a NULL or a NULL element) is no label
-    base = df.select("_x", F.col(label_col).alias("_label")).cache()
-    whole = base.filter(F.forall("_label", lambda p: p.isNotNull()))
-    if loss == "cross-entropy":
-        rows = _soft_rows(whole, "_label", n)
-        lr = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", family="multinomial",
-                                maxIter=max_iter, regParam=reg, standardization=standardize, rawPredictionCol="_raw",
-                                probabilityCol="_prob", predictionCol="_pred")
-        model = Pipeline(stages=[lr]).fit(rows)
-        base.unpersist()
-        return model
-    stages = []
-    for i in range(n):
-        if loss == "l1":
-            est = GBTRegressor(featuresCol="_x", labelCol=f"_y{i}", predictionCol=f"_s{i}",
-                               lossType="absolute", maxIter=max_iter, seed=seed)
-        else:
-            est = LinearRegression(featuresCol="_x", labelCol=f"_y{i}", predictionCol=f"_s{i}",
-                                   maxIter=max_iter, regParam=reg, standardization=standardize,
-                                   loss="huber" if loss == "smooth-l1" else "squaredError")
-        stages.append(est)
-    model = Pipeline(stages=stages).fit(whole.select("_x", *[F.col("_label")[i].alias(f"_y{i}") for i in range(n)]))
-    base.unpersist()
-    return model
-
-
-def _apply_level(model: PipelineModel, df: DataFrame, n: int, loss: str, out: str) -> DataFrame:
-    res = model.transform(df)
-    if loss == "cross-entropy":
-        return res.withColumn(out, vector_to_array("_raw")).drop("_raw", "_prob", "_pred")
-    return res.withColumn(out, F.array(*[F.col(f"_s{i}") for i in range(n)])).drop(*[f"_s{i}" for i in range(n)])
-
-
-def fit_heads(df: DataFrame, features: str = "features",
-              labels: Mapping[int, str] | None = None, arch: str = "flat",
-              levels: Sequence[int] = (1, 2, 3), loss: str = "cross-entropy",
-              max_iter: int = 100, reg: float = 1e-4, seed: int = 42,
-              gate_l2: float = GATE_L2, gate_l3: Sequence[float] = GATE_L3) -> HeadsModel:
-    """Fit one head per level (M14 = a single level).
-
-    ``labels`` maps level -> soft-label array column (default
-    ``dist_l1/l2/l3``); rows whose label of a level is NULL or partial are not
-    trained on at that level.  Chained / gated heads are fitted in level order,
-    each on the scores of the heads already fitted.
-    """
+def packed(df: DataFrame, features: str, labels: Mapping[int, str] | None, levels: Sequence[int]) -> DataFrame:
+    """Blocks of the rows with their labels of all levels."""
+    labels = labels or {lv: f"dist_l{lv}" for lv in (1, 2, 3)}
+    return pack(df, features, [labels[lv] for lv in levels], [tx.LEVEL_SIZES[lv] for lv in levels])
+
+
+def fit_heads(df: DataFrame, features: str = "features", labels: Mapping[int, str] | None = None, arch: str = "flat",
+              levels: Sequence[int] = (1, 2, 3), loss: str = "cross-entropy", max_iter: int = 100, reg: float = 1e-4,
+              seed: int = 42, hidden: int = HIDDEN, gates: Mapping[int, Sequence[float]] | None = None,
+              learn_gates: bool = True, tol: float = 1e-5) -> HeadsModel:
+    """Fit the heads of all ``levels`` together (M14 = a single level).
+
+    ``labels`` maps level -> soft-label array column (default ``dist_l1/l2/l3``); a row whose label of a level is NULL or
+    partial is not trained on at that level.  ``gates``: starting points of the gates by level; with ``learn_gates=False``
+    they stay.  ``seed`` gives the starting weights.  Features are scaled by their root mean square; ``reg`` is the weight
+    of the squared weights (not of gates and constants)."""
     if arch not in ARCHS:
         raise ValueError(f"arch must be one of {ARCHS}")
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
     levels = sorted(levels)
-    labels = dict(labels or {lv: f"dist_l{lv}" for lv in (1, 2, 3)})
-    hm = HeadsModel(arch, loss, list(levels), features, gate_l2=gate_l2, gate_l3=tuple(gate_l3))
-    cur = df
-    for lv in levels:
-        x = _input_features(cur, arch, lv, levels, features, gate_l2, gate_l3)
-        hm.models[lv] = _fit_level(x, labels[lv], tx.LEVEL_SIZES[lv], loss, max_iter, reg, seed,
-                                    standardize=arch != "gated")   # standardisation would undo the gate weights
-        if arch != "flat" and lv != levels[-1]:
-            cur = _apply_level(hm.models[lv], x, tx.LEVEL_SIZES[lv], loss, f"scores_l{lv}").drop("_x")
-    return hm
+    blocks = packed(df, features, labels, levels)
+    return fit_blocks(blocks, features, arch, levels, loss, max_iter, reg, seed, hidden, gates, learn_gates, tol)
+
+
+def fit_blocks(blocks: DataFrame, features: str, arch: str, levels: Sequence[int], loss: str = "cross-entropy",
+               max_iter: int = 100, reg: float = 1e-4, seed: int = 42, hidden: int = HIDDEN,
+               gates: Mapping[int, Sequence[float]] | None = None, learn_gates: bool = True, tol: float = 1e-5) -> HeadsModel:
+    """:func:`fit_heads` on rows that :func:`packed` has packed already."""
+    first = blocks.select("d").first()
+    if first is None:
+        raise ValueError("no rows with features to train on")
+    d = first.d
+    net = Net(arch, loss, list(levels), d, min(hidden, d), learn_gates)
+    edge = np.cumsum([0, *[net.sizes[lv] for lv in net.levels]])
+
+    def by_level(y: np.ndarray) -> dict[int, np.ndarray]:
+        return {lv: y[:, a:b] for lv, a, b in zip(net.levels, edge[:-1], edge[1:], strict=True)}
+
+    def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(x)], (x * x).sum(axis=0), [float((~np.isnan(v).any(axis=1)).sum()) for v in by_level(y).values()]])
+
+    sums = summed(blocks, squares)
+    n_rows, mean_square, labelled = sums[0], sums[1:d + 1] / sums[0], np.maximum(sums[d + 1:], 1)
+    scale = np.where(mean_square > 0, 1 / np.sqrt(np.maximum(mean_square, 1e-300)), 0.0)
+    weighed = np.concatenate([np.full(int(np.prod(s)), 0.0 if k.endswith("_0") or k.startswith("gate") else 1.0)
+                              for k, s in net.shapes().items()])
+    net.share = (n_rows / labelled).tolist()      # each level is averaged over its own labels
+
+    def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        total = summed(blocks, lambda x, y: np.concatenate(net.gradient(theta, x * scale, by_level(y)))) / n_rows
+        k = len(net.levels)
+        return (float(total[:k].sum()) + 0.5 * reg * float((weighed * theta * theta).sum()), total[k:] + reg * weighed * theta)
+
+    theta, history = lbfgs(value, net.start(seed, gates or {}), max_iter, tol)
+    return HeadsModel(net, features, theta, scale, history)
 
 
 def score(model: HeadsModel, df: DataFrame) -> DataFrame:
-    """Add raw score arrays ``scores_l<level>`` (map-only, no shuffle)."""
-    cur = df
-    for lv in model.levels:
-        x = _input_features(cur, model.arch, lv, model.levels, model.features, model.gate_l2, model.gate_l3)
-        cur = _apply_level(model.models[lv], x, tx.LEVEL_SIZES[lv], model.loss, f"scores_l{lv}").drop("_x")
-    return cur
+    """Add raw score arrays ``scores_l<level>`` (map-only, no shuffle); NULL features give NULL scores."""
+    net, theta, scale = model.net, model.theta, model.scale
+
+    def run(xs: pd.Series) -> pd.DataFrame:
+        known = xs.notna().to_numpy()
+        out = {f"scores_l{lv}": np.full(len(xs), None, object) for lv in net.levels}
+        if known.any():
+            v = net.forward(net.split(theta), np.stack(xs[known].to_numpy()) * scale)
+            for lv in net.levels:
+                out[f"scores_l{lv}"][known] = pd.Series(list(v[f"s{lv}"])).to_numpy()
+        return pd.DataFrame(out)
+
+    kind = ", ".join(f"scores_l{lv} array<double>" for lv in net.levels)
+    added = df.withColumn("_scores", F.pandas_udf(run, f"struct<{kind}>")(as_array(df, model.features)))
+    return added.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("scores_l")],
+                        *[F.col(f"_scores.scores_l{lv}").alias(f"scores_l{lv}") for lv in net.levels])
 
 
 def save_model(model: HeadsModel, path: str) -> None:
-    """Persist every head and the configuration under ``path``."""
-    for lv, m in model.models.items():
-        m.write().overwrite().save(f"{path}/level_{lv}")
-    from pyspark.sql import SparkSession
+    """Persist the parameters and the configuration under ``path``."""
+    net = model.net
+    meta = json.dumps({"arch": net.arch, "loss": net.loss, "levels": net.levels, "features": model.features,
+                       "n_features": net.n_features, "hidden": net.hidden, "history": model.history})
     s = SparkSession.getActiveSession()
-    meta = json.dumps({"arch": model.arch, "loss": model.loss, "levels": model.levels,
-                       "features": model.features, "gate_l2": model.gate_l2, "gate_l3": list(model.gate_l3)})
-    s.createDataFrame([(meta,)], "meta STRING").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    s.createDataFrame([(meta, model.theta.tolist(), model.scale.tolist())], "meta STRING, theta ARRAY<DOUBLE>, scale ARRAY<DOUBLE>"
+                      ).coalesce(1).write.mode("overwrite").parquet(path + "/heads")
 
 
-def load_model(spark, path: str) -> HeadsModel:
+def load_model(spark: SparkSession, path: str) -> HeadsModel:
     """Load heads saved by :func:`save_model`."""
-    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    hm = HeadsModel(meta["arch"], meta["loss"], meta["levels"], meta["features"],
-                    gate_l2=meta.get("gate_l2", GATE_L2), gate_l3=tuple(meta.get("gate_l3", GATE_L3)))
-    for lv in hm.levels:
-        hm.models[lv] = PipelineModel.load(f"{path}/level_{lv}")
-    return hm
+    row = spark.read.parquet(path + "/heads").first()
+    meta = json.loads(row.meta)
+    net = Net(meta["arch"], meta["loss"], meta["levels"], meta["n_features"], meta["hidden"])
+    return HeadsModel(net, meta["features"], np.array(row.theta), np.array(row.scale), meta["history"])
 
 
-# --- fixed values: search grid of the gate weights --------------------------
+# --- fixed values: search grid of the gates' starting weights -----------------
 GATE_GRID = [0.25, 0.5, 0.622, 0.75]
-# -----------------------------------------------------------------------------
-
+# --------------------------------------------------------------------------------
 
-def tune_gates(train: DataFrame, valid: DataFrame, features: str = "features",
-               labels: Mapping[int, str] | None = None, levels: Sequence[int] = (1, 2, 3),
-               grid: Sequence[float] = GATE_GRID, **fit_kw) -> tuple[HeadsModel, list[tuple[float, float]]]:
-    """Choose the gate weight of the gated heads on the validation split.
 
-    For every ``g`` in ``grid`` the level-2 head sees ``(1-g)`` x features and
-    ``g`` x level-1 scores, and the level-3 head ``(1-g)`` x features and
-    ``g / 2`` x each upstream score vector.  Each candidate is fitted on
-    ``train`` and scored on ``valid`` (mean JS over levels, one aggregation);
-    returns the best model and ``(g, mean JS)`` per candidate.
-    """
-    from pyspark.sql import functions as F
+def tune_gates(train: DataFrame, valid: DataFrame, features: str = "features", labels: Mapping[int, str] | None = None,
+               levels: Sequence[int] = (1, 2, 3), grid: Sequence[float] = GATE_GRID,
+               **fit_kw) -> tuple[HeadsModel, list[tuple[float, float]]]:
+    """Choose the starting weight of the gates on the validation split.
 
+    For every ``g`` in ``grid`` the gates start with the weight ``g`` for the levels above together and ``1 - g`` for the
+    hidden layer (and are learned from there).  Each candidate is fitted on ``train``, whose rows are packed once, and scored on
+    ``valid`` (mean JS over levels, one aggregation); returns the best model and ``(g, mean JS)`` per candidate."""
     from labeldist.functions import distributions as D
     labels = dict(labels or {lv: f"dist_l{lv}" for lv in (1, 2, 3)})
+    levels = sorted(levels)
+    blocks = packed(train, features, labels, levels)
     results, best = [], None
     for g in grid:
-        m = fit_heads(train, features, labels, "gated", levels, gate_l2=g,
-                      gate_l3=(1.0 - g, g / 2.0, g / 2.0), **fit_kw)
-        s = score(m, valid)
-        js = F.array(*[D.classifier_js(labels[lv], f"scores_l{lv}") for lv in m.levels])
-        v = s.select(F.aggregate(js, F.lit(0.0), lambda a, x: a + x).alias("_j")).agg(F.avg("_j")).first()[0]
-        v = float(v) / len(m.levels) if v is not None else float("inf")
+        start = {lv: [float(np.log(g / (1 - g)))] if i == 1 else [*[float(np.log(g / i))] * i, float(np.log(1 - g))]
+                 for i, lv in enumerate(levels) if i}
+        m = fit_blocks(blocks, features, "gated", levels, gates=start, **fit_kw)
+        js = F.array(*[D.classifier_js(labels[lv], f"scores_l{lv}") for lv in levels])
+        v = score(m, valid).select(F.aggregate(js, F.lit(0.0), lambda a, x: a + x).alias("_j")).agg(F.avg("_j")).first()[0]
+        v = float(v) / len(levels) if v is not None else float("inf")
         results.append((g, v))
         if best is None or v < best[1]:
             best = (m, v)

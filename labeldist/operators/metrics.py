@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labeldist.session import cut_lineage
+from labeldist.session import written
 
 BATCH_SIZE = 16  # fixed value: batch size of the reference evaluation loops
 LOG_EVERY = 10   # fixed value: progress metrics every tenth batch
@@ -82,7 +82,7 @@ def distributed_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()
     """
     by, keys = list(by), [*by, *order]
     s = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    s = cut_lineage(s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    s = written(s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     counts = s.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select(F.col("_pid").alias("_p"), *[F.col(b).alias(f"_by_{b}") for b in by], "_first",

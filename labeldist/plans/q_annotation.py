@@ -172,19 +172,108 @@ def relations_sorted(spark, sf):
     return spark.read.parquet(path).select("folder", "file", "begin", "relation", "sense_final")
 
 
+# --- sources: rows written as files, read by the readers ------------------------
+
+def _write_files(df: DataFrame, root: str) -> None:
+    """One file per row of ``(folder, file, content)``, written by the tasks to a folder that all can reach."""
+    def run(batches):
+        import pyarrow.fs
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for folder, file, content in zip(pdf["folder"], pdf["file"], pdf["content"], strict=True):
+                fs.create_dir(f"{base}/{folder}", recursive=True)
+                with fs.open_output_stream(f"{base}/{folder}/{file}") as out:
+                    out.write(content)
+            yield pdf[["file"]]
+
+    df.mapInPandas(run, "file string").write.format("noop").mode("overwrite").save()
+
+
+def _file_name(doc_id):
+    """Names with a blank, a percent sign, a plus and an accent."""
+    return F.concat(F.lit("é 5%20+"), F.lpad((doc_id % 25).cast("string"), 2, "0")), F.concat(F.lit("wsj %_"), doc_id.cast("string"), F.lit("ü"))
+
+
+def _root(spark: SparkSession, name: str) -> str:
+    path = scratch_path(spark, name)
+    return path if "://" in path or path.startswith("file:") else "file://" + path
+
+
+_NAMES_SQL = "'é 5%20+' || lpad(CAST(doc_id % 25 AS VARCHAR), 2, '0') AS folder, 'wsj %_' || doc_id || 'ü' AS file"
+
+
+@register("read_raw_files", f"""
+SELECT {_NAMES_SQL}, md5(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[{TX.WHITESPACE_CLASS}]+$', '')) AS text_md5
+FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\xFF]')""")
+def read_raw_files(spark, sf):
+    """Documents as files in ISO-8859-1 (those that it can write), with line ends of two kinds and names that file
+    metadata encodes, read again."""
+    d = V.table(spark, sf, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\xFF]"))
+    folder, file = _file_name(F.col("doc_id"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    root = _root(spark, "raw")
+    _write_files(d.select(folder.alias("folder"), file.alias("file"), F.encode(text, "ISO-8859-1").alias("content")), root)
+    return R.read_raw_docs(spark, root).select("folder", "file", F.md5("text").alias("text_md5"))
+
+
+@register("read_annotation_files", ANN_SQL + f"""
+SELECT {_NAMES_SQL}, line FROM ann""")
+def read_annotation_files(spark, sf):
+    """Annotation lines as a tree of files (other lines among them), read again with their places."""
+    folder, file = _file_name(F.col("doc_id"))
+    lines = V.v_lines(spark, sf).groupBy("doc_id").agg(F.array_join(F.collect_list("line"), " \n").alias("text"))
+    root = _root(spark, "gold")
+    _write_files(lines.select(folder.alias("folder"), file.alias("file"), F.encode("text", "UTF-8").alias("content")), root)
+    return R.read_annotations(spark, root).select("folder", "file", "line")
+
+
+@register("read_prompt_files", """
+SELECT lang, 'Texts in ' || lang || ': ' || count(*) || chr(10) || 'Answer "yes" or 100 %.' AS prompt, 0 AS idx, CAST(NULL AS VARCHAR) AS answer
+FROM documents WHERE lang IS NOT NULL GROUP BY lang
+UNION ALL SELECT lang, md5(text), CAST(doc_id % 5 AS INTEGER), CAST(doc_id AS VARCHAR) FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL""")
+def read_prompt_files(spark, sf):
+    """Prompt files (one per language) and exemplars (JSON lines), read again."""
+    d = V.table(spark, sf, "documents").filter(F.col("lang").isNotNull())
+    prompts = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("").alias("folder"), F.concat(F.lit("main prompt 5%_"), F.col("lang"), F.lit(".txt")).alias("file"),
+        F.encode(F.concat(F.lit("Texts in "), "lang", F.lit(": "), "n", F.lit('\nAnswer "yes" or 100 %.')), "UTF-8").alias("content"))
+    root = _root(spark, "prompts")
+    _write_files(prompts, root)
+    path = scratch_path(spark, "exemplars")
+    d.filter(F.col("text").isNotNull()).select("lang", (F.col("doc_id") % 5).cast("int").alias("idx"), F.col("text").alias("question"),
+                                               F.col("doc_id").cast("string").alias("answer")).write.json(path)
+    read = R.read_prompts(spark, root).select("lang", "prompt", F.lit(0).alias("idx"), F.lit(None).cast("string").alias("answer"))
+    return read.union(R.read_exemplars(spark, path).select("lang", F.md5("question"), "idx", "answer"))
+
+
 @register("relation_cluster_eval", ANN_SQL + """
-SELECT DISTINCT sense1, true AS is_share FROM rel
-WHERE relation = 'Implicit' AND multi_sense1 IS NULL AND sense1 IS NOT NULL AND arg1 || ' ' || arg2 IS NOT NULL""")
+SELECT sense1, count(*) AS n, 4 AS n_clusters, true AS counted, true AS again FROM rel
+WHERE relation = 'Implicit' AND multi_sense1 IS NULL AND sense1 IS NOT NULL AND arg1 || ' ' || arg2 IS NOT NULL GROUP BY sense1""")
 def relation_cluster_eval(spark, sf):
     """Dataflow B end to end: relations (annotation lines x documents) ->
     single-sense, one relation type -> TF-IDF embedding of the argument
     pair -> k-means with 4 clusters -> optimal mapping -> accuracy per
-    level-1 sense."""
+    level-1 sense.  Per sense: its rows, the number of clusters, whether the accuracy is the share of rows whose cluster
+    is mapped to the sense, and whether a second fit gives the same one."""
     from labeldist.operators import clustering as CL
     from labeldist.operators import features as FE
     rel = SO.by_relation(SO.single_sense(relations(spark, sf)), "Implicit")
     rel = rel.filter(F.col("arg1_arg2").isNotNull())
-    emb = FE.as_features(FE.embed(rel.select("file", "sense1", "arg1_arg2"), "arg1_arg2", num_features=1 << 10))
-    c = CL.cluster(emb, "kmeans", k=4)
-    _, _, per = CL.evaluate_clusters(c.select("file", "sense1", "cluster"), "cluster", "sense1")
-    return per.select("sense1", F.col("accuracy").between(0, 100).alias("is_share"))
+    path = scratch_path(spark, "embedded")
+    FE.as_features(FE.embed(rel.select("file", "sense1", "arg1_arg2"), "arg1_arg2", num_features=1 << 10)).select(
+        "file", "sense1", "features").write.parquet(path)
+    emb = spark.read.parquet(path)
+
+    def accuracy():
+        c = CL.cluster(emb, "kmeans", k=4).select("file", "sense1", "cluster")
+        mapped, _, per = CL.evaluate_clusters(c, "cluster", "sense1")
+        return mapped, per
+    mapped, per = accuracy()
+    own = mapped.groupBy("sense1").agg(F.count(F.lit(1)).alias("n"), (100 * F.avg(F.coalesce(
+        F.col("predicted_sense") == F.col("sense1"), F.lit(False)).cast("int"))).alias("share"))
+    size = mapped.agg(F.count_distinct("cluster").cast("int").alias("n_clusters")).withColumn("sense1", F.explode(
+        F.array(*[F.lit(x) for x in tx.STANDOFF_L1])))
+    again = accuracy()[1].select("sense1", F.col("accuracy").alias("second"))
+    return own.join(per, "sense1").join(again, "sense1").join(size, "sense1").select(
+        "sense1", "n", "n_clusters", (F.abs(F.col("accuracy") - F.col("share")) < 1e-4).alias("counted"),
+        (F.abs(F.col("accuracy") - F.col("second")) < 1e-6).alias("again"))

@@ -30,10 +30,18 @@ def write_relations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_predictions(df: DataFrame, path: str,
                       partition_by: Sequence[str] = ("train_lang", "test_lang", "arch", "run"),
                       mode: str = "overwrite") -> None:
-    """Long prediction table, the run configuration as partition columns."""
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    """Long prediction table, the run configuration as partition columns.
+
+    ``overwrite`` replaces the configurations that ``df`` holds and leaves all others in the folder as they are."""
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def append_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append (or, with ``mode``, replace) metric rows."""
     df.write.mode(mode).parquet(path)
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    """Long metrics ``(run_id, mode, level, name, step, value, ...)``, a partition per run; a run written again takes
+    the place of its former rows, other runs stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

@@ -40,11 +40,26 @@ def test_corpus_train_test_and_prompts(spark, tmp_dir):
     out = os.path.join(tmp_dir, "run")
     m = J.train_and_test(spark, os.path.join(tmp_dir, "corpus"), "en", levels=[1, 2], out_path=out, max_iter=30)
     rows = m.collect()
-    assert {(r.mode, r.level) for r in rows} == {(a, b) for a in ("Validation", "Testing") for b in (1, 2)}
-    assert all(0.0 <= r.mean_js <= 1.0 for r in rows)
-    assert spark.read.parquet(f"{out}/predictions").count() == 2 * corpus.filter(
-        "inst_lang = 'en' AND split = 'test'").count()
-    x = J.cross_test(spark, f"{out}/models/en_flat_cross-entropy_1", os.path.join(tmp_dir, "corpus"), "en", "de")
+    measured = [r for r in rows if r.mode != "Training"]
+    assert sorted((r.mode, r.level, r.name) for r in measured) == sorted(
+        (a, b, c) for a in ("Validation", "Testing") for b in (1, 2) for c in ("mean_js", "batch_mean_js", "accuracy"))
+    assert all(0.0 <= r.value <= (100 if r.name == "accuracy" else 1) for r in measured)
+    losses = [r.value for r in sorted((r for r in rows if r.name == "loss"), key=lambda r: r.step)]
+    assert len(losses) > 5 and all(a >= b for a, b in zip(losses, losses[1:], strict=False))
+    n_train = corpus.filter("inst_lang = 'en' AND split = 'train'").count()
+    assert sorted((r.level, r.step) for r in rows if r.name == "js") == [
+        (lv, s) for lv in (1, 2) for s in range(0, -(-n_train // 16), 10)]
+    n_test = corpus.filter("inst_lang = 'en' AND split = 'test'").count()
+    assert spark.read.parquet(f"{out}/predictions").count() == 2 * n_test
+    # another configuration leaves the first as it is, and a run that is written again doubles nothing
+    J.train_and_test(spark, os.path.join(tmp_dir, "corpus"), "en", loss="l2", levels=[1, 2], out_path=out, max_iter=5)
+    J.train_and_test(spark, os.path.join(tmp_dir, "corpus"), "en", levels=[1, 2], out_path=out, max_iter=30)
+    assert spark.read.parquet(f"{out}/predictions").count() == 2 * 2 * n_test
+    again = spark.read.parquet(f"{out}/metrics")
+    assert {r.run_id for r in again.select("run_id").distinct().collect()} == {"en-flat-cross-entropy-1-2-1", "en-flat-l2-1-2-1"}
+    assert sorted((r.mode, r.level, r.name, r.step, round(r.value, 9)) for r in again.filter("run_id like '%entropy%'").collect()) == sorted(
+        (r.mode, r.level, r.name, r.step, round(r.value, 9)) for r in rows)
+    x = J.cross_test(spark, f"{out}/models/en_flat_cross-entropy_1-2_1", os.path.join(tmp_dir, "corpus"), "en", "de")
     assert {r.level for r in x.collect()} == {1, 2}
     ab = J.ablation(spark, os.path.join(tmp_dir, "corpus"), "de", 3)
     assert {r.level for r in ab.collect()} == {3}

@@ -97,14 +97,21 @@ def test_contingency_total(spark):
     assert CL.contingency(df).agg(F.sum("n")).first()[0] == 50
 
 
-def test_ward_and_spectral_labels():
-    rng = np.random.default_rng(2)
-    pts = np.vstack([rng.normal(loc, 0.1, (20, 2)) for loc in ([0, 0], [5, 5], [0, 5])])
-    lab = CL.ward_merge(pts, np.ones(len(pts)), 3)
-    assert len(set(lab)) == 3
-    assert all(len(set(lab[i * 20:(i + 1) * 20])) == 1 for i in range(3))
-    sl = CL.spectral_labels(pts, np.ones(len(pts)), 3)
-    assert all(len(set(sl[i * 20:(i + 1) * 20])) == 1 for i in range(3))
+def test_assignment_takes_the_smallest_labels_of_equals():
+    """Against enumeration up to 8 x 8, with many ties."""
+    rng = np.random.default_rng(3)
+    shapes = [(k, c) for k in range(1, 6) for c in range(1, 6)] * 6 + [(6, 6), (7, 5), (5, 7), (8, 8), (4, 8)]
+    for k, c in shapes:
+        tab = rng.integers(0, 3, (k, c))
+        cells = pd.DataFrame([(i, j, tab[i, j]) for i in range(k) for j in range(c)], columns=["cluster", "sense", "n"])
+        got = dict(CL.solve_assignment(cells, "cluster", "sense").itertuples(index=False))
+        best = None
+        for perm in itertools.permutations(range(max(k, c)), k):      # labels from c on: left out
+            if k <= c or sum(j < c for j in perm) == c:
+                total = sum(tab[i, j] for i, j in enumerate(perm) if j < c)
+                key = (-total, [min(j, c) for j in perm])
+                best = key if best is None or key < best else best
+        assert [got.get(i, c) for i in range(k)] == best[1], (tab, got)
 
 
 def test_distributed_rank_within_groups(spark):
