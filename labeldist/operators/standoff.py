@@ -29,15 +29,16 @@ def parse_lines(ann: DataFrame, line_col: str = "line", keep: Sequence[str] = DO
 
 
 def attach_text(rel: DataFrame, docs: DataFrame, keys: Sequence[str] = DOC_KEYS,
-                text_col: str = "text", hot_share: float | None = SK.DEFAULT_SHARE) -> DataFrame:
+                text_col: str = "text", hot_share: float | None = None) -> DataFrame:
     """J1 + P14 + P15: join every relation with its document once and cut
     the argument spans out of the text.
 
     An equi-join on the document keys: each document is read and shuffled
-    once (the reference re-opens the file per span).  A document carrying
-    more than ``hot_share`` of all annotation lines is split over salted
-    buckets (:func:`labeldist.operators.skew.salted_join`); ``None`` leaves
-    skew to AQE.
+    once (the reference re-opens the file per span).  Skew is left to AQE, which
+    splits a document's many lines and repeats its text; with ``hot_share``
+    a document that carries more than that share of all lines is split over
+    salted buckets (:func:`labeldist.operators.skew.salted_join`), at the price of
+    one more pass over the lines.
     """
     d = docs.select(*keys, F.col(text_col).alias("_text"))
     j = (SK.salted_join(rel, d, keys, "inner", share=hot_share) if hot_share
@@ -74,10 +75,14 @@ def build_relations(ann: DataFrame, docs: DataFrame,
     text)`` -> relation table with one-hot level-2 and level-1 senses."""
     rel = attach_text(parse_lines(ann), docs)
     rel = rel.withColumn("arg1_arg2", TX.pair_text("arg1", "arg2"))
-    rel = rel.select(*RELATION_COLUMNS, "begin", F.col("sense2").alias("majority_level_2"))
-    rel = one_hot(rel, "majority_level_2", l2_vocab)
-    rel = rel.withColumn("majority_level_1", F.col("sense1"))
-    return one_hot(rel, "majority_level_1", l1_vocab)
+    return sense_columns(rel.select(*RELATION_COLUMNS, "begin"), l2_vocab, l1_vocab)
+
+
+def sense_columns(rel: DataFrame, l2_vocab: Sequence[str] = tx.STANDOFF_L2,
+                  l1_vocab: Sequence[str] = tx.STANDOFF_L1) -> DataFrame:
+    """Level-2 and level-1 senses of parsed lines and their one-hot columns; no text is needed for them."""
+    rel = one_hot(rel.withColumn("majority_level_2", F.col("sense2")), "majority_level_2", l2_vocab)
+    return one_hot(rel.withColumn("majority_level_1", F.col("sense1")), "majority_level_1", l1_vocab)
 
 
 def single_sense(df: DataFrame) -> DataFrame:

@@ -146,8 +146,8 @@ def _onehot_sql() -> str:
 @register("one_hot_senses", ANN_SQL + f"""
 SELECT folder, file, sense2 AS majority_level_2, sense1 AS majority_level_1, {_onehot_sql()} FROM rel""")
 def one_hot_senses(spark, sf):
-    """One-hot level-2 (21) and level-1 (4) senses."""
-    r = relations(spark, sf)
+    """One-hot level-2 (21) and level-1 (4) senses, from the lines alone."""
+    r = SO.sense_columns(SO.parse_lines(ann_lines(spark, sf)))
     return r.select("folder", "file", "majority_level_2", "majority_level_1",
                     *[v.lower() for v in tx.STANDOFF_L2 + tx.STANDOFF_L1])
 

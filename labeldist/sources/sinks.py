@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from labeldist.session import written
+
 
 def write_corpus(df: DataFrame, path: str, partition_by: Sequence[str] = ("inst_lang", "split"),
                  mode: str = "overwrite") -> None:
@@ -22,9 +24,10 @@ def write_relations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Relations sorted by file with an explicit tie-break.
 
     ``orderBy`` range-partitions on the sort key (sampled boundaries), so the
-    sort is spread over all tasks and the output files are in order.
+    sort is spread over all tasks and the output files are in order.  Sampling reads
+    its input once more, so the relations are written down first: the texts are joined and cut once.
     """
-    df.orderBy("file", "folder", "begin").write.mode(mode).parquet(path)
+    written(df).orderBy("file", "folder", "begin").write.mode(mode).parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str,
