@@ -3,10 +3,10 @@
 * Core distance of a row: that of its ``min_samples``-th nearest row, itself
   included (exact search).  Two rows reach each other at the largest of
   their core distances and their distance.
-* Minimum spanning tree of the mutual reachability by Boruvka rounds: each
-  component takes its lightest edge to another.  Edges among near
-  neighbours are known; a row without a known edge out of its component is
-  searched for only if it could hold a lighter one than its component's.
+* Minimum spanning tree of the mutual reachability: the tree of each part in
+  a task, then Boruvka rounds, in which each component takes its lightest edge to
+  another.  Edges among near neighbours of different parts are known; a row is
+  searched for more only if it could hold a lighter one than its component's.
 * The tree's edges are merged in order of their weight, in blocks of bounded
   size; between blocks the components of all rows are joined on.  A merge of two
   components of at least ``min_cluster_size`` rows makes a new cluster of
@@ -93,16 +93,45 @@ def _foreign(cells: Cells, open_: DataFrame, rows: DataFrame) -> DataFrame:
     return meet(cells, open_, rows, pairs, compare, "id long, other long, w double")
 
 
+def _tree_of_part(d: int):
+    """The spanning tree of a part's rows, grown by its lightest edge."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x, ids, core = matrix(pdf["x"], d), pdf["id"].to_numpy(), pdf["core"].to_numpy()
+        n = len(ids)
+        w, a, b = np.full(n, np.inf), np.full(n, -1), np.full(n, -1)      # each row's lightest edge to the tree
+        out, free, new = [], np.ones(n, bool), 0
+        for _ in range(n - 1):
+            free[new] = False
+            diff = x - x[new]
+            to = np.maximum(np.sqrt(np.einsum("ij,ij->i", diff, diff)), np.maximum(core, core[new]))
+            low, high = np.minimum(ids, ids[new]), np.maximum(ids, ids[new])
+            better = free & ((to < w) | ((to == w) & ((low < a) | ((low == a) & (high < b)))))
+            w[better], a[better], b[better] = to[better], low[better], high[better]
+            ties = np.flatnonzero(free & (w == w[free].min()))
+            new = ties[np.lexsort((b[ties], a[ties]))[0]]
+            out.append((w[new], a[new], b[new]))
+        return pd.DataFrame(out, columns=["w", "a", "b"]).astype({"w": float, "a": "int64", "b": "int64"})
+    return run
+
+
 def spanning_tree(cells: Cells, core: DataFrame, near: DataFrame) -> DataFrame:
-    """``w, a, b`` (a < b) of the minimum spanning tree; ``core``: id, core; ``near``: id, near (``KNOWN`` neighbours)."""
-    c = lambda name: core.toDF(name, f"core_{name}")
+    """``w, a, b`` (a < b) of the minimum spanning tree; ``core``: id, core; ``near``: id, near (``KNOWN`` neighbours).
+
+    Each part's own tree is found in a task: no other edge within a part can be in the whole tree.  Boruvka rounds then
+    choose among these and the edges between parts."""
+    rows = written(cells.rows.join(core, "id"))
+    own = written(rows.groupBy("part").applyInPandas(_tree_of_part(cells.d), EDGE))
+    if len(cells.parts) == 1:
+        return own
+    place = rows.select("id", "core", "part")
     known = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.id").alias("other"), F.col("n.distance").alias("dist"))
-    known = known.join(c("id"), "id").join(c("other"), "other").select(
-        "id", "other", F.greatest("dist", "core_id", "core_other").alias("w"))
+    known = known.join(place, "id").join(place.toDF("other", "core_other", "part_other"), "other").filter("part <> part_other").select(
+        "id", "other", F.greatest("dist", "core", "core_other").alias("w"))
+    known = written(known.union(own.select("a", "b", "w")).union(own.select("b", "a", "w")))
     # a row's unknown edges weigh at least as much as the last of its known ones is far
     known = written(known)
     last = written(near.select("id", F.when(F.size("near") >= KNOWN, F.element_at("near", -1)["distance"]).alias("last")))
-    rows = written(cells.rows.join(core, "id"))
     comp, tree = written(core.select("id", F.col("id").alias("comp"))), None
     edge = F.struct("w", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     while True:
