@@ -190,7 +190,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     ``vectors``: see :func:`integer_vectors`; a query meets the rows of its own
     dimension.  Blocks have a fixed number of rows, so the number of block pairs
     follows the rows; each pair is one task's group, and a query gets at most
-    k rows from each.
+    k rows from each.  Repeated rows are rows of their own (and each other's candidates); an empty table, or one without
+    usable vectors or queries, gives an empty result.
     """
     vectors = stored(vectors, "vectors")
     sizes = vectors.agg(F.count(F.lit(1)), F.sum(is_query.cast("long"))).first()

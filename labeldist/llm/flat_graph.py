@@ -218,7 +218,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     that are null, zero or hold null or non-finite components link with
     nothing; vectors of different lengths never link.  ``component`` is the
     smallest id reached by links (null for null ids only), ``group`` tells
-    components apart also then.
+    components apart also then.  Repeated rows link with each other; an empty table gives an empty result; other columns
+    play no part.
     """
     all_rows = stored(usable(rows), "vectors")
     ok = all_rows.filter("__ok").withColumn("__dim", F.size("__x"))

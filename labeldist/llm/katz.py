@@ -36,6 +36,7 @@ from labeldist.session import scratch_path
 
 CHUNK_BYTES = 8_000_000
 SLICE_BYTES = 2_000_000    # texts are split into words in slices of about so many bytes
+MAX_BUCKETS = 50_000       # a table has at most so many buckets; beyond, a bucket holds several chunks
 DISCOUNTED = 5             # counts up to this are discounted
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 CHUNKS = "chunk long, ids array<long>, train array<boolean>, ends array<int>, tokens binary, words binary"
@@ -313,7 +314,9 @@ def score(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
 
     Tokens: words (A-Z lower-cased) and one end per text; a null text is empty.
     ``base_score`` is the add-one unigram score.  Without any training row all
-    tokens are the unknown word (score 0).
+    tokens are the unknown word (score 0).  Repeated rows are texts of their own, and each counts; texts are whole, a
+    longer one than ``CHUNK_BYTES`` is a chunk by itself; an empty table gives an empty result; columns other than
+    ``doc_id`` and ``text`` play no part, whatever their names.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -321,9 +324,10 @@ def score(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
                        column_or_null(docs, "text", "string").alias("__text"))
     ranges = max(text_bytes(rows, "__text") // CHUNK_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"katz_chunks_{uuid.uuid4().hex[:12]}"
-    rows.mapInArrow(_encode, CHUNKS).write.bucketBy(ranges, "chunk").format("parquet").option("compression", "zstd").option(
+    rows.mapInArrow(_encode, CHUNKS).write.bucketBy(min(ranges, MAX_BUCKETS), "chunk").format("parquet").option("compression", "zstd").option(
         "path", scratch_path(spark, "chunks")).saveAsTable(name)
     corpus = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")     # the frame reads the files, which stay
     replies: dict[tuple[int, str], DataFrame] = {}
     model: list[Discounts] = []
 

@@ -336,6 +336,8 @@ def identify(docs: DataFrame, model: Model | Table, keep: list[str] | None = Non
     ``und`` with score 0.  Ties go to the language that sorts first.
     ``limits`` (see :func:`calibrate`): texts beyond them are marked as
     rejected, as are those that are ``und``; without it only the latter.
+    Texts are whole, however long; repeated rows get the same result each; an empty table gives an empty result; input
+    columns of any other name pass through.
     """
     keep = docs.columns if keep is None else keep
     spark = docs.sparkSession

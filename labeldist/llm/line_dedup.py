@@ -40,7 +40,7 @@ def dedup_lines(docs: DataFrame, from_table: bool = False) -> DataFrame:
     Null texts stay null (0 lines); texts of fewer than three lines and windows
     of three blank lines are left alone.  Of repeated rows the first keeps its
     lines.  Rows and other columns are kept; the caller decides about texts
-    that have become empty.  ``from_table``: the rows come straight from a table or files; any other frame is stored first.
+    that have become empty.  Texts are whole, however long; an empty table gives an empty result.  ``from_table``: the rows come straight from a table or files; any other frame is stored first.
     """
     docs = settled(docs, from_table)
     rows = row_ids(docs).withColumn("__text", column_or_null(docs, "text", "string"))

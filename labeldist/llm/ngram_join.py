@@ -197,7 +197,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, from_
     a shorter text is one shingle.  Texts that are null or without words have
     no set and link with nothing.  Rows with equal sets are one node of the
     join.  A null id counts as no id: a component of null ids only has a null
-    component.  ``from_table``: the rows come straight from a table or files; any other frame is stored first.
+    component.  Texts are whole, however long; an empty table gives an empty result; other columns play no part.  ``from_table``: the rows come straight from a table or files; any other frame is stored first.
     """
     if not 80 <= percent < 100:
         raise ValueError("percent must be from 80 to 99")

@@ -228,7 +228,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, keep: list[st
     quality``) all say 1.  Unlabelled: the texts of all documents outside it.
     The class prior is the share of 1 among the labelled documents outside it.
     Null texts are scored as empty ones, rows without an id or label are
-    unlabelled, and without any positive all scores are 0.5.
+    unlabelled, and without any positive all scores are 0.5.  Texts are whole, however long; repeated rows are scored
+    and count each for itself; an empty table gives an empty result.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         (F.min("quality") == 1).alias("__good")).withColumnRenamed("doc_id", "__label_id")

@@ -193,7 +193,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, from_table: bool = False) -> D
     """``docs`` with its texts rewritten, plus ``__n_entities``.
 
     Null and empty texts stay as they are (no entities); rows and other columns
-    are kept, also repeated ones.  ``key`` decides all surrogates.
+    are kept, also repeated ones.  ``key`` decides all surrogates.  Texts are whole, however long; an empty table gives
+    an empty result.
     ``from_table``: the rows come straight from a table or files; any other frame is stored first.
     """
     docs = settled(docs, from_table)
