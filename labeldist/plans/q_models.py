@@ -57,7 +57,7 @@ REG = 0.01      # weight of squared weights in the checks: 350 vectors of 64 num
 
 def _heads_eval(spark, sf, **kw) -> DataFrame:
     d = soft_labelled(spark, sf)
-    return _per_vector(H.fit_heads(d.filter(F.col("split") == "train"), **({"reg": REG} | kw)), d)
+    return _per_vector(H.fit_heads(d.filter(F.col("split") == "train"), **({"reg": REG, "tol": 1e-4} | kw)), d)
 
 
 def _per_vector(model, d: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def soft_heads_chain(spark, sf):
 @register("soft_heads_gated", _heads_sql(1, 2, 3))
 def soft_heads_gated(spark, sf):
     """Learned gates between the hidden layer and projections of the scores above."""
-    return _closer(_heads_eval(spark, sf, arch="gated"))
+    return _closer(_heads_eval(spark, sf, arch="gated", tol=1e-5))
 
 
 @register("soft_heads_gated_tuned", _heads_sql(1, 2, 3))
@@ -135,7 +135,7 @@ def _loss_check(spark, sf, loss: str, reg: float = REG) -> DataFrame:
     """M15, per level and split: rows, the mean loss of a uniform prediction, whether the heads' mean loss is below it, and
     whether their mean JS distance is below that of a uniform prediction."""
     d = soft_labelled(spark, sf)
-    model = H.fit_heads(d.filter(F.col("split") == "train"), loss=loss, reg=reg)
+    model = H.fit_heads(d.filter(F.col("split") == "train"), loss=loss, reg=reg, tol=1e-4)
     term = {"l2": "d * d", "l1": "abs(d)", "smooth-l1": "if(abs(d) < 1, 0.5D * d * d, abs(d) - 0.5D)"}[loss]
     def mean(scores: str, lv: int):
         return F.expr(f"aggregate(zip_with({scores}, dist_l{lv}, (s, y) -> transform(array(s - y), d -> {term})[0]), "
