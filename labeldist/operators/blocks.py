@@ -1,8 +1,8 @@
 """Rows packed into blocks, and sums over all blocks: the steps of iterative fits.
 
-Each task sums over its blocks and gives one row; rows of sums are added in
-groups of tasks before they come back, so the driver sees a bounded number of rows
-of the size of the sums, however large the data is.
+Each task sums over its blocks.  Long sums are cut into slices, and the tasks' slices are
+added by Spark before they come back: the driver sees one row of the size of the sums,
+however large the data is and however many tasks there are.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from labeldist.session import scratch_path
 
 BLOCK_CELLS = 1 << 18    # values (rows times features) of a block
-FAN_IN = 64              # rows of sums that come back to the driver
+DIRECT = 1 << 16         # values that may come back to the driver unadded in a step, from all tasks together
+SLICE = 1 << 13          # values of a slice of longer sums
 
 
 def as_array(df: DataFrame, col: str) -> Column:
@@ -69,8 +70,15 @@ def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(n, d), np.frombuffer(batch.column("y")[i].as_py()).reshape(n, -1)
 
 
-def summed(blocks: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum of ``part(features, labels)`` over all blocks: within each task, then within groups of tasks, then of the groups' rows."""
+def summed(blocks: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum of ``part(features, labels)``, an array of ``size`` values, over all blocks.
+
+    There are as many tasks as the cluster runs at once, at most.  Unless all their sums are few values, these are added
+    slice by slice in a second stage."""
+    blocks = blocks.coalesce(max(1, blocks.sparkSession.sparkContext.defaultParallelism))
+    added = blocks.rdd.getNumPartitions() * size > DIRECT
+    step = SLICE if added else max(1, size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -78,14 +86,20 @@ def summed(blocks: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarra
                 one = part(*unpacked(batch, i))
                 total = one if total is None else total + one
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = sorted(table.column("sums").to_pylist())     # one order of adding, whatever order they come in
-        return pa.table({"sums": [sum(np.frombuffer(r) for r in rows).tobytes()]})
-
-    rows = blocks.mapInArrow(run, "sums binary")
-    if len(blocks.inputFiles()) > FAN_IN:
-        rows = rows.withColumn("part", F.spark_partition_id() % FAN_IN).groupBy("part").applyInArrow(
-            lambda table: add(table.drop(["part"])), "sums binary")
-    return sum(np.frombuffer(r) for r in sorted(bytes(r.sums) for r in rows.collect()))
+            cuts = range(0, size, step)
+            yield pa.RecordBatch.from_arrays([pa.array([a // step for a in cuts], pa.int32()),
+                                              pa.array([total[a:a + step].tobytes() for a in cuts], pa.binary())], names=["slice", "sums"])
+
+    def add(rows: Sequence[bytes]) -> np.ndarray:
+        return sum(np.frombuffer(r) for r in sorted(rows))      # one order of adding, whatever order they come in
+
+    def add_slices(table: pa.Table) -> pa.Table:
+        return pa.table({"slice": table.column("slice")[:1], "sums": [add(table.column("sums").to_pylist()).tobytes()]})
+
+    rows = blocks.mapInArrow(run, "slice int, sums binary")
+    if added:
+        rows = rows.groupBy("slice").applyInArrow(add_slices, "slice int, sums binary")
+    slices: dict[int, list[bytes]] = {}
+    for r in rows.collect():
+        slices.setdefault(r.slice, []).append(bytes(r.sums))
+    return np.concatenate([add(slices[k]) for k in sorted(slices)])

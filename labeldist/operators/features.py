@@ -112,13 +112,13 @@ def components(df: DataFrame, col: str, k: int, seed: int = 42, max_iter: int =
     if first is None:
         raise ValueError("no rows with features")
     d = first.d
-    total = summed(blocks, lambda x, y: np.concatenate([[len(x)], x.sum(axis=0)]))
+    total = summed(blocks, lambda x, y: np.concatenate([[len(x)], x.sum(axis=0)]), 1 + d)
     n, mean = total[0], total[1:] / total[0]
     width = min(d, k + 10)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
     before = np.zeros(min(k, d))
     for _ in range(max_iter):
-        z = summed(blocks, lambda x, y, q=q: (x.T @ (x @ q)).ravel()).reshape(d, width) / n - np.outer(mean, mean @ q)
+        z = summed(blocks, lambda x, y, q=q: (x.T @ (x @ q)).ravel(), d * width).reshape(d, width) / n - np.outer(mean, mean @ q)
         value, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
         value, turn = value[::-1], turn[:, ::-1]
         if width == d or np.abs(value[:k] - before).max() <= tol * max(value[0], 1e-300):

@@ -13,8 +13,8 @@ level a linear layer on
 The loss is the sum of the levels' losses, and its gradient runs through the
 levels above.  Rows are packed once into blocks in the shared folder; each step
 of L-BFGS is one Spark job in which every task sums loss and gradient over its
-blocks, so one row of the size of the parameters comes back from each group
-of tasks, never a row of the data.
+blocks, so one row of the size of the parameters comes back, never a row of the
+data.
 """
 
 from __future__ import annotations
@@ -312,7 +312,7 @@ def fit_blocks(blocks: DataFrame, features: str, arch: str, levels: Sequence[int
     def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], (x * x).sum(axis=0), [float((~np.isnan(v).any(axis=1)).sum()) for v in by_level(y).values()]])
 
-    sums = summed(blocks, squares)
+    sums = summed(blocks, squares, 1 + d + len(net.levels))
     n_rows, mean_square, labelled = sums[0], sums[1:d + 1] / sums[0], np.maximum(sums[d + 1:], 1)
     scale = np.where(mean_square > 0, 1 / np.sqrt(np.maximum(mean_square, 1e-300)), 0.0)
     weighed = np.concatenate([np.full(int(np.prod(s)), 0.0 if k.endswith("_0") or k.startswith("gate") else 1.0)
@@ -320,7 +320,8 @@ def fit_blocks(blocks: DataFrame, features: str, arch: str, levels: Sequence[int
     net.share = (n_rows / labelled).tolist()      # each level is averaged over its own labels
 
     def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        total = summed(blocks, lambda x, y: np.concatenate(net.gradient(theta, x * scale, by_level(y)))) / n_rows
+        total = summed(blocks, lambda x, y: np.concatenate(net.gradient(theta, x * scale, by_level(y))),
+                       len(net.levels) + len(theta)) / n_rows
         k = len(net.levels)
         return (float(total[:k].sum()) + 0.5 * reg * float((weighed * theta * theta).sum()), total[k:] + reg * weighed * theta)
 

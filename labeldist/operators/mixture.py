@@ -68,7 +68,7 @@ def fit_mixture(df: DataFrame, features: str = "features", k: int = 4, seed: int
     def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    total = summed(blocks, moments)
+    total = summed(blocks, moments, 1 + 2 * d)
     n, mean = total[0], total[1:d + 1] / total[0]
     spread = float(np.maximum(total[d + 1:] / n - mean * mean, 0).mean())
     prior = reg * (spread if spread > 0 else 1.0)
@@ -79,6 +79,8 @@ def fit_mixture(df: DataFrame, features: str = "features", k: int = 4, seed: int
                 array_to_vector("_a").alias("_x"))).clusterCenters())
     k = len(centres)      # fewer, if there are fewer distinct rows
 
+    size = k * (1 + d + d * d)
+
     def sums(x: np.ndarray, r: np.ndarray) -> np.ndarray:
         return np.concatenate([r.sum(axis=0), (r.T @ x).ravel(), *[((x * r[:, j:j + 1]).T @ x).ravel() for j in range(k)]])
 
@@ -95,7 +97,7 @@ def fit_mixture(df: DataFrame, features: str = "features", k: int = 4, seed: int
             (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
         return sums(x, np.eye(k)[away.argmin(axis=1)])
 
-    model, history = maximised(summed(blocks, start)), []
+    model, history = maximised(summed(blocks, start, size)), []
     for _ in range(max_iter):
         factors = model.factors()
 
@@ -104,7 +106,7 @@ def fit_mixture(df: DataFrame, features: str = "features", k: int = 4, seed: int
             whole = _log_sum(v)
             return np.concatenate([[whole.sum()], sums(x, np.exp(v - whole[:, None]))])
 
-        s = summed(blocks, step)
+        s = summed(blocks, step, 1 + size)
         penalty = 0.5 * prior * n / k * sum(float((inv * inv).sum()) for inv, _ in factors)     # traces of the inverses
         history.append((s[0] - penalty) / n)
         if len(history) > 1 and history[-1] - history[-2] < tol:
