@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.session import scratch_path
+from labeldist.session import written
 
 BLOCK_CELLS = 1 << 18    # values (rows times features) of a block
 DIRECT = 1 << 16         # values that may come back to the driver unadded in a step, from all tasks together
@@ -30,6 +31,15 @@ def as_array(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("array<double>")
 
 
+def _labels(column: pa.Array, n: int) -> np.ndarray:
+    """Label arrays as rows; NaN if the array is NULL, partial or of another size."""
+    whole = pc.fill_null(pc.equal(pc.list_value_length(column), n), False)
+    y = np.full((len(column), n), np.nan)
+    found = column.filter(whole).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    y[whole.to_numpy(zero_copy_only=False)] = np.where(np.isnan(found).any(axis=1, keepdims=True), np.nan, found)
+    return y
+
+
 def _pack(sizes: Sequence[int]) -> Callable:
     """Rows of a batch as blocks: the features that are not 0 (place, value) and the labels (NaN: none)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,9 +48,7 @@ def _pack(sizes: Sequence[int]) -> Callable:
             if not batch.num_rows:
                 continue
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            y = [np.array([v if v is not None and len(v) == n and None not in v else [np.nan] * n
-                           for v in batch.column(f"y{i}").to_pylist()], float).reshape(-1, n) for i, n in enumerate(sizes)]
-            y = np.hstack([np.zeros((len(x), 0)), *y])
+            y = np.hstack([np.zeros((len(x), 0)), *[_labels(batch.column(f"y{i}"), n) for i, n in enumerate(sizes)]])
             step = max(1, BLOCK_CELLS // x.shape[1])
             for a in range(0, len(x), step):
                 part = x[a:a + step]
@@ -52,14 +60,17 @@ def _pack(sizes: Sequence[int]) -> Callable:
 
 
 def pack(df: DataFrame, features: str, labels: Sequence[str] = (), sizes: Sequence[int] = ()) -> DataFrame:
-    """Blocks of rows (features and label arrays of the given sizes) in the shared folder.
+    """Blocks of rows (features and label arrays of the given sizes) in the shared folder, dealt over as many files as the
+    cluster runs tasks at once if the rows came in fewer parts.
 
     Rows without features are left out; a label array that is NULL, partial or of another size counts as unknown (NaN)."""
     ys = [F.col(c).cast("array<double>").alias(f"y{i}") for i, c in enumerate(labels)]
-    path = scratch_path(df.sparkSession, "blocks")
-    df.select(as_array(df, features).alias("x"), *ys).mapInArrow(
-        _pack(sizes), "n long, d long, at binary, x binary, y binary").write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    blocks = written(df.select(as_array(df, features).alias("x"), *ys).mapInArrow(
+        _pack(sizes), "n long, d long, at binary, x binary, y binary"))
+    files, tasks = len(blocks.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    if files < tasks and (n := blocks.count()) > files:
+        blocks = written(blocks.repartition(min(n, tasks)))
+    return blocks
 
 
 def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:

@@ -14,13 +14,13 @@ The loss is the sum of the levels' losses, and its gradient runs through the
 levels above.  Rows are packed once into blocks in the shared folder; each step
 of L-BFGS is one Spark job in which every task sums loss and gradient over its
 blocks, so one row of the size of the parameters comes back, never a row of the
-data.
+data.  Fits that differ in their starting points take their steps side by side.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Generator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +37,8 @@ ARCHS = ("flat", "chain", "gated")
 GATE_TWO = 0.5                      # level above against hidden layer
 GATES_MORE = (0.25, 0.5)            # each level above, hidden layer
 # ------------------------------------------------------------------------------
+TOGETHER = 1 << 21       # parameters of the fits that go side by side
+CACHED = 1 << 10         # rows of a block that are worked on at a time
 HIDDEN = 64              # units of the hidden layer (fewer features: as many as they are)
 GELU = np.sqrt(2 / np.pi)
 
@@ -45,8 +47,19 @@ GELU = np.sqrt(2 / np.pi)
 
 def _gelu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """GELU (by tanh) and its slope."""
-    t = np.tanh(GELU * (x + 0.044715 * x**3))
-    return 0.5 * x * (1 + t), 0.5 * (1 + t) + 0.5 * x * (1 - t * t) * GELU * (1 + 0.134145 * x * x)
+    square = x * x
+    half = square * (GELU * 0.044715)
+    half += GELU
+    half *= x
+    np.tanh(half, out=half)
+    half += 1
+    half *= 0.5                     # (1 + tanh) / 2
+    square *= GELU * 0.134145
+    square += GELU
+    square *= x
+    square *= 2 * half * (1 - half)
+    square += half
+    return x * half, square
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -137,9 +150,10 @@ class Net:
         """Summed loss of the rows and its slope by the scores.  Squared, absolute and smooth absolute loss compare
         the scores themselves with the labels, averaged over a level's senses."""
         if self.loss == "cross-entropy":
-            top = s.max(axis=1, keepdims=True)
-            log_p = s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))
-            return float(-(y * log_p).sum()), np.exp(log_p) * y.sum(axis=1, keepdims=True) - y
+            s = s - s.max(axis=1, keepdims=True)
+            e = np.exp(s)
+            total, mass = e.sum(axis=1, keepdims=True), y.sum(axis=1, keepdims=True)
+            return float((np.log(total) * mass).sum() - np.vdot(y, s)), e * (mass / total) - y
         d, n = s - y, s.shape[1]
         if self.loss == "l2":
             return float((d * d).sum() / n), 2 * d / n
@@ -160,8 +174,10 @@ class Net:
         for i in range(len(self.levels) - 1, -1, -1):
             lv = self.levels[i]
             known = ~np.isnan(labels[lv]).any(axis=1)
-            losses[i], own = self.level_loss(v[f"s{lv}"], np.where(known[:, None], labels[lv], 0.0))
-            if not known.all():
+            if known.all():
+                losses[i], own = self.level_loss(v[f"s{lv}"], labels[lv])
+            else:
+                own = self.level_loss(v[f"s{lv}"], np.where(known[:, None], labels[lv], 0.0))[1]
                 losses[i] = self.level_loss(v[f"s{lv}"][known], labels[lv][known])[0]
                 own = own * known[:, None]
             if self.share:
@@ -187,7 +203,7 @@ class Net:
                     at += self.sizes[u]
             elif self.arch == "gated" and i:
                 w = self.weights(i, p[f"gate{lv}"])
-                by_weight = np.array([float((t * z).sum()) for z in [*[v[f"z{u}"] for u in above], v["h"]]])
+                by_weight = np.array([float(np.vdot(t, z)) for z in [*[v[f"z{u}"] for u in above], v["h"]]])
                 if self.learn_gates:
                     g[f"gate{lv}"] += (w[0] * w[1] * (by_weight[0] - by_weight[1]) if i == 1
                                        else w * (by_weight - (w * by_weight).sum()))
@@ -203,10 +219,10 @@ class Net:
 
 # --- steps ----------------------------------------------------------------------
 
-def lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, max_iter: int, tol: float,
-          memory: int = 10) -> tuple[np.ndarray, list[float]]:
-    """The lowest point found and the loss after every step; the loss never rises."""
-    loss, g = value(theta)
+def descent(theta: np.ndarray, max_iter: int, tol: float,
+            memory: int = 10) -> Generator[np.ndarray, tuple[float, np.ndarray], tuple[np.ndarray, list[float]]]:
+    """L-BFGS: yields the points whose loss and gradient it is to be sent, and returns what :func:`lbfgs` returns."""
+    loss, g = yield theta
     history, pairs, step = [loss], [], 1.0 / max(1.0, float(np.linalg.norm(g)))
     for _ in range(max_iter):
         q, scales = g.copy(), []
@@ -223,7 +239,7 @@ def lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.nda
             pairs = []
             q, slope, t = g, float(g @ g), step
         while True:
-            new, new_g = value(theta - t * q)
+            new, new_g = yield theta - t * q
             if np.isfinite(new) and new <= loss - 1e-4 * t * slope:
                 break
             t /= 3
@@ -245,6 +261,27 @@ def lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.nda
     return theta, history
 
 
+def lbfgs_all(values: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]], starts: Sequence[np.ndarray], max_iter: int,
+              tol: float, memory: int = 10) -> list[tuple[np.ndarray, list[float]]]:
+    """:func:`lbfgs` from every starting point, each as if it were alone; ``values`` measures the points of all that go on."""
+    runs = [descent(theta, max_iter, tol, memory) for theta in starts]
+    points, found = {i: next(run) for i, run in enumerate(runs)}, {}
+    while points:
+        for i, measured in zip(list(points), values(list(points.values())), strict=True):
+            try:
+                points[i] = runs[i].send(measured)
+            except StopIteration as end:
+                found[i] = end.value
+                del points[i]
+    return [found[i] for i in range(len(runs))]
+
+
+def lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, max_iter: int, tol: float,
+          memory: int = 10) -> tuple[np.ndarray, list[float]]:
+    """The lowest point found and the loss after every step; the loss never rises."""
+    return lbfgs_all(lambda points: [value(p) for p in points], [theta], max_iter, tol, memory)[0]
+
+
 # --- fitting, scoring, storing --------------------------------------------------
 
 @dataclass
@@ -295,10 +332,9 @@ def fit_heads(df: DataFrame, features: str = "features", labels: Mapping[int, st
     return fit_blocks(blocks, features, arch, levels, loss, max_iter, reg, seed, hidden, gates, learn_gates, tol)
 
 
-def fit_blocks(blocks: DataFrame, features: str, arch: str, levels: Sequence[int], loss: str = "cross-entropy",
-               max_iter: int = 100, reg: float = 1e-4, seed: int = 42, hidden: int = HIDDEN,
-               gates: Mapping[int, Sequence[float]] | None = None, learn_gates: bool = True, tol: float = 1e-5) -> HeadsModel:
-    """:func:`fit_heads` on rows that :func:`packed` has packed already."""
+def _objective(blocks: DataFrame, arch: str, levels: Sequence[int], loss: str, reg: float, hidden: int,
+               learn_gates: bool) -> tuple[Net, np.ndarray, Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]]]:
+    """The network, the scale of the features, and loss and gradient at given points (all from one pass over the blocks)."""
     first = blocks.select("d").first()
     if first is None:
         raise ValueError("no rows with features to train on")
@@ -312,23 +348,50 @@ def fit_blocks(blocks: DataFrame, features: str, arch: str, levels: Sequence[int
     def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], (x * x).sum(axis=0), [float((~np.isnan(v).any(axis=1)).sum()) for v in by_level(y).values()]])
 
-    sums = summed(blocks, squares, 1 + d + len(net.levels))
+    k = len(net.levels)
+    sums = summed(blocks, squares, 1 + d + k)
     n_rows, mean_square, labelled = sums[0], sums[1:d + 1] / sums[0], np.maximum(sums[d + 1:], 1)
     scale = np.where(mean_square > 0, 1 / np.sqrt(np.maximum(mean_square, 1e-300)), 0.0)
-    weighed = np.concatenate([np.full(int(np.prod(s)), 0.0 if k.endswith("_0") or k.startswith("gate") else 1.0)
-                              for k, s in net.shapes().items()])
+    weighed = np.concatenate([np.full(int(np.prod(s)), 0.0 if name.endswith("_0") or name.startswith("gate") else 1.0)
+                              for name, s in net.shapes().items()])
     net.share = (n_rows / labelled).tolist()      # each level is averaged over its own labels
 
-    def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        total = summed(blocks, lambda x, y: np.concatenate(net.gradient(theta, x * scale, by_level(y))),
-                       len(net.levels) + len(theta)) / n_rows
-        k = len(net.levels)
-        return (float(total[:k].sum()) + 0.5 * reg * float((weighed * theta * theta).sum()), total[k:] + reg * weighed * theta)
+    def values(points: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        def gradients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            total = 0.0
+            for a in range(0, len(x), CACHED):
+                some, labels = x[a:a + CACHED] * scale, by_level(y[a:a + CACHED])
+                total = total + np.concatenate([g for theta in points for g in net.gradient(theta, some, labels)])
+            return total
+
+        total = summed(blocks, gradients, len(points) * (k + len(weighed))).reshape(len(points), -1) / n_rows
+        return [(float(t[:k].sum()) + 0.5 * reg * float((weighed * theta * theta).sum()), t[k:] + reg * weighed * theta)
+                for t, theta in zip(total, points, strict=True)]
+
+    return net, scale, values
+
 
-    theta, history = lbfgs(value, net.start(seed, gates or {}), max_iter, tol)
+def fit_blocks(blocks: DataFrame, features: str, arch: str, levels: Sequence[int], loss: str = "cross-entropy",
+               max_iter: int = 100, reg: float = 1e-4, seed: int = 42, hidden: int = HIDDEN,
+               gates: Mapping[int, Sequence[float]] | None = None, learn_gates: bool = True, tol: float = 1e-5) -> HeadsModel:
+    """:func:`fit_heads` on rows that :func:`packed` has packed already."""
+    net, scale, values = _objective(blocks, arch, levels, loss, reg, hidden, learn_gates)
+    theta, history = lbfgs(lambda point: values([point])[0], net.start(seed, gates or {}), max_iter, tol)
     return HeadsModel(net, features, theta, scale, history)
 
 
+def fit_starts(blocks: DataFrame, features: str, arch: str, levels: Sequence[int], gates: Sequence[Mapping[int, Sequence[float]]],
+               loss: str = "cross-entropy", max_iter: int = 100, reg: float = 1e-4, seed: int = 42, hidden: int = HIDDEN,
+               learn_gates: bool = True, tol: float = 1e-5) -> list[HeadsModel]:
+    """:func:`fit_blocks` for each of ``gates``; a step of all these fits is one pass over the blocks (of as many fits at a
+    time as have ``TOGETHER`` parameters)."""
+    net, scale, values = _objective(blocks, arch, levels, loss, reg, hidden, learn_gates)
+    starts = [net.start(seed, g) for g in gates]
+    width = max(1, TOGETHER // max(map(len, starts), default=1))
+    return [HeadsModel(net, features, theta, scale, history) for a in range(0, len(starts), width)
+            for theta, history in lbfgs_all(values, starts[a:a + width], max_iter, tol)]
+
+
 def score(model: HeadsModel, df: DataFrame) -> DataFrame:
     """Add raw score arrays ``scores_l<level>`` (map-only, no shuffle); NULL features give NULL scores."""
     net, theta, scale = model.net, model.theta, model.scale
@@ -377,17 +440,16 @@ def tune_gates(train: DataFrame, valid: DataFrame, features: str = "features", l
     """Choose the starting weight of the gates on the validation split.
 
     For every ``g`` in ``grid`` the gates start with the weight ``g`` for the levels above together and ``1 - g`` for the
-    hidden layer (and are learned from there).  Each candidate is fitted on ``train``, whose rows are packed once, and scored on
+    hidden layer (and are learned from there).  The candidates are fitted side by side on ``train`` and each is scored on
     ``valid`` (mean JS over levels, one aggregation); returns the best model and ``(g, mean JS)`` per candidate."""
     from labeldist.functions import distributions as D
     labels = dict(labels or {lv: f"dist_l{lv}" for lv in (1, 2, 3)})
     levels = sorted(levels)
     blocks = packed(train, features, labels, levels)
+    starts = [{lv: [float(np.log(g / (1 - g)))] if i == 1 else [*[float(np.log(g / i))] * i, float(np.log(1 - g))]
+               for i, lv in enumerate(levels) if i} for g in grid]
     results, best = [], None
-    for g in grid:
-        start = {lv: [float(np.log(g / (1 - g)))] if i == 1 else [*[float(np.log(g / i))] * i, float(np.log(1 - g))]
-                 for i, lv in enumerate(levels) if i}
-        m = fit_blocks(blocks, features, "gated", levels, gates=start, **fit_kw)
+    for g, m in zip(grid, fit_starts(blocks, features, "gated", levels, starts, **fit_kw), strict=True):
         js = F.array(*[D.classifier_js(labels[lv], f"scores_l{lv}") for lv in levels])
         v = score(m, valid).select(F.aggregate(js, F.lit(0.0), lambda a, x: a + x).alias("_j")).agg(F.avg("_j")).first()[0]
         v = float(v) / len(levels) if v is not None else float("inf")

@@ -28,3 +28,13 @@ def test_long_sums_come_back_once(spark, monkeypatch):
     assert np.allclose(got, np.resize(x.sum(axis=0), size))
     assert seen == [8 * size]
     assert np.allclose(B.summed(blocks, lambda x, y: x.sum(axis=0), 3), x.sum(axis=0))
+
+
+def test_blocks_of_one_file_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_CELLS", 30)
+    x, df = table(spark, 200, 3, 1)
+    blocks = B.pack(df, "x")
+    tasks = spark.sparkContext.defaultParallelism
+    assert len(blocks.inputFiles()) == min(tasks, 20)
+    assert blocks.agg({"n": "sum"}).first()[0] == 200
+    assert np.allclose(B.summed(blocks, lambda x, y: x.sum(axis=0), 3), x.sum(axis=0))

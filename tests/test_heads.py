@@ -50,6 +50,35 @@ def test_tune_gates(spark):
     assert all(0.0 <= v <= 1.0 for _, v in res)
 
 
+def test_tuned_fits_share_their_passes(spark, monkeypatch):
+    """A step of all candidates is one pass over the blocks, and each comes out as if it were fitted alone."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(rng.normal(size=6).tolist(), rng.dirichlet(np.ones(4)).tolist(), rng.dirichlet(np.ones(17)).tolist())
+                                for _ in range(60)], "features ARRAY<DOUBLE>, dist_l1 ARRAY<DOUBLE>, dist_l2 ARRAY<DOUBLE>").coalesce(1)
+    alone, passes = [], []
+    for g in (0.25, 0.75):
+        alone.append(H.fit_heads(df, arch="gated", levels=[1, 2], max_iter=8, gates={2: [math.log(g / (1 - g))]}))
+    plain = H.summed
+    monkeypatch.setattr(H, "summed", lambda *a: passes.append(1) or plain(*a))
+    together, fits = [], H.fit_starts
+    monkeypatch.setattr(H, "fit_starts", lambda *a, **kw: together.extend(fits(*a, **kw)) or together)
+    best, res = H.tune_gates(df, df, levels=[1, 2], grid=[0.25, 0.75], max_iter=8)
+    assert len(passes) < 1.5 * max(len(m.history) for m in together) + 2
+    for a, b in zip(alone, together, strict=True):
+        assert np.allclose(a.theta, b.theta) and np.allclose(a.history, b.history)
+    assert best is together[min((0, 1), key=lambda i: res[i][1])]
+
+
+def test_labels_of_a_batch():
+    import pyarrow as pa
+
+    from labeldist.operators.blocks import _labels
+    column = pa.array([[1.0, 2.0], None, [1.0], [None, 1.0], [3.0, 4.0], []], pa.list_(pa.float64()))
+    for batch in (column, column[1:], column[1:2]):
+        want = [v if v is not None and len(v) == 2 and None not in v else [np.nan] * 2 for v in batch.to_pylist()]
+        assert np.array_equal(_labels(batch, 2), np.array(want, float).reshape(-1, 2), equal_nan=True)
+
+
 def test_gradients_equal_differences():
     rng, sizes = np.random.default_rng(0), {1: 4, 2: 5, 3: 6}
     for arch in H.ARCHS:
