@@ -17,7 +17,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.session import written
+from labeldist.session import shuffles_dropped, written
 
 BLOCK_CELLS = 1 << 18    # values (rows times features) of a block
 DIRECT = 1 << 16         # values that may come back to the driver unadded in a step, from all tasks together
@@ -107,10 +107,11 @@ def summed(blocks: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarra
     def add_slices(table: pa.Table) -> pa.Table:
         return pa.table({"slice": table.column("slice")[:1], "sums": [add(table.column("sums").to_pylist()).tobytes()]})
 
-    rows = blocks.mapInArrow(run, "slice int, sums binary")
-    if added:
-        rows = rows.groupBy("slice").applyInArrow(add_slices, "slice int, sums binary")
     slices: dict[int, list[bytes]] = {}
-    for r in rows.collect():
-        slices.setdefault(r.slice, []).append(bytes(r.sums))
+    with shuffles_dropped(blocks.sparkSession):
+        rows = blocks.mapInArrow(run, "slice int, sums binary")
+        if added:
+            rows = rows.groupBy("slice").applyInArrow(add_slices, "slice int, sums binary")
+        for r in rows.collect():
+            slices.setdefault(r.slice, []).append(bytes(r.sums))
     return np.concatenate([add(slices[k]) for k in sorted(slices)])

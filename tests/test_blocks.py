@@ -30,6 +30,21 @@ def test_long_sums_come_back_once(spark, monkeypatch):
     assert np.allclose(B.summed(blocks, lambda x, y: x.sum(axis=0), 3), x.sum(axis=0))
 
 
+def test_steps_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+    x, df = table(spark, 40, 3, 10)
+    blocks, size = B.pack(df, "x"), 2 * B.SLICE
+    before = shuffled()
+    B.summed(blocks, lambda x, y: np.resize(x.sum(axis=0), size), size)
+    assert shuffled() <= before
+    spark.range(100).selectExpr("id % 7 k").groupBy("k").count().collect()
+    assert not shuffled() <= before     # only those of the steps go
+
+
 def test_blocks_of_one_file_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(B, "BLOCK_CELLS", 30)
     x, df = table(spark, 200, 3, 1)
