@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeldist.session import scratch_path
+from labeldist.session import SMALL_GROUPS, scratch_path, text_batches  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -52,10 +52,12 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast(kind)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written as Parquet to the shared folder and read again: compressed, and safe from lost executors."""
+def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+    """The frame, written as Parquet to the shared folder and read again: compressed, and safe from lost executors.
+
+    ``large_rows``: see :data:`labeldist.session.SMALL_GROUPS`."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**SMALL_GROUPS if large_rows else {}).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -64,12 +66,6 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
-def text_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Hand rows to Python in batches of about ``size``: rows hold whole texts or sets, and a batch is held several times
-    over, by the executor and its worker.  (A session setting, since it counts when a plan runs.)"""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def settled(df: DataFrame, from_table: bool) -> DataFrame:
     """A frame that gives the same rows in the same places whenever it is read.
 

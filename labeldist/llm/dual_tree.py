@@ -16,7 +16,8 @@ equal a k-th score is never dropped, so ties are settled by id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from labeldist.llm.common import (PLAIN_GAP, column_or_null, in_blocks, lists, row_ids, settled, slices, small, stored,
                                   text_batches, word_hashes, words_of)
 
-TEXT_BYTES = 4_000_000    # texts of a block of documents
-CELLS = 16_000_000        # values (documents times terms) that are laid out at once
+TEXT_BYTES = 2_000_000    # texts of a block of documents
+CELLS = 4_000_000         # values (documents times terms) that are laid out at once
+ITEM_CELLS = 2_000_000    # weights (items times terms) that are laid out at once
 LEAF = 8                  # documents of a leaf
 ITEM_TERMS = 20_000       # about so many terms in a block of items, with repeats between items
 BLOCK_ITEMS = 512
 BLOCKS_AT_ONCE = 16
-HELD = 4_000_000          # candidates that a task keeps before it hands them on
+HELD = 1_000_000          # candidates that a task keeps before it hands them on
 LAST_ID = np.iinfo(np.int64).max
 BLOCK = "rids array<long>, ids array<long>, lengths array<long>, offsets array<int>, codes array<int>, tfs array<int>, " \
         "vocabulary array<long>, dfs array<int>"
@@ -135,8 +137,9 @@ class Best:
         self.kth[i] = max(1, self.score[i, -1])
 
 
-def search(items: Tree, docs: Tree, ids: np.ndarray, rids: np.ndarray, best: Best) -> int:
-    """Take the best documents of all items into ``best``; gives the number of pairs whose score was computed.
+def search(items: Tree, docs: Tree, ids: np.ndarray, rids: np.ndarray, best: Best, start: int = 0) -> int:
+    """Take the best documents of all items into ``best``, where they lie from ``start`` on; gives the number of pairs whose
+    score was computed.
 
     ``items.x`` are whole numbers; ``ids`` and ``rids`` are in the documents' tree order."""
     scored = 0
@@ -154,8 +157,8 @@ def search(items: Tree, docs: Tree, ids: np.ndarray, rids: np.ndarray, best: Bes
     while todo:
         node, at = todo.pop()
         columns = np.flatnonzero(items.top[node])
-        weights = items.top[node, columns]
-        members = items.order[items.first[node]:items.last[node]]
+        weights = items.top[node, columns].astype(np.float64)
+        members = start + items.order[items.first[node]:items.last[node]]
         slack = 1 + 1e-9     # bounds are sums of doubles
         at = at[bounds(columns, weights, docs.top, at) * slack >= best.kth[members].min()]
         if not len(at):
@@ -213,19 +216,38 @@ def _search(k: int, n_docs: int, n_terms: int):
                 if not len(terms):
                     continue
                 known = np.isin(array["terms"], terms)
-                weight = np.zeros((len(items[block]), len(terms)))
-                weight[np.searchsorted(items[block], array["items"][known]), np.searchsorted(terms, array["terms"][known])] = \
-                    array["weights"][known]
-                item_tree = Tree(weight, weight, 1)
+                owner, at = np.searchsorted(items[block], array["items"][known]), np.searchsorted(terms, array["terms"][known])
+                weight = array["weights"][known]
+                highest = np.zeros(len(terms), np.float32)
+                np.maximum.at(highest, at, weight.astype(np.float32))
+                trees = _items(owner, at, weight, len(items[block]), len(terms))
                 column = np.full(len(array["vocabulary"]), -1)
                 column[np.searchsorted(array["vocabulary"], terms)] = np.arange(len(terms))
-                mean = weight.max(axis=0).astype(np.float32)
-                for a, b, tree in _documents(array, column, len(terms), mean, n_docs, n_terms):
-                    search(item_tree, tree, ids[a:b][tree.order], array["rids"][a:b][tree.order], best[block])
+                for a, b, tree in _documents(array, column, len(terms), highest, n_docs, n_terms):
+                    for start, item_tree in trees:
+                        search(item_tree(), tree, ids[a:b][tree.order], array["rids"][a:b][tree.order], best[block], start)
         yield from result(items, best)
     return run
 
 
+def _items(owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n_items: int, n_terms: int) -> list[tuple[int, Callable[[], Tree]]]:
+    """Trees of the block's items, so many at a time as their weights may be laid out, each with its first item.  One
+    tree stays; of more, each is grown when it is asked for."""
+    step = max(1, ITEM_CELLS // n_terms)
+    exact = np.float32 if weight.max() < 2**24 else np.float64      # what holds all weights
+
+    def grow(a: int) -> Tree:
+        x = np.zeros((min(step, n_items - a), n_terms), exact)
+        of = (owner >= a) & (owner < a + step)
+        x[owner[of] - a, term[of]] = weight[of]
+        return Tree(x, x, 1)
+
+    if n_items <= step:
+        one = grow(0)
+        return [(0, lambda: one)]
+    return [(a, functools.partial(grow, a)) for a in range(0, n_items, step)]
+
+
 def _documents(array: dict, column: np.ndarray, n_columns: int, weight: np.ndarray, n_docs: int, n_terms: int):
     """Trees of the block's documents, so many at a time as their values may be laid out."""
     step = max(1, CELLS // n_columns)
@@ -259,7 +281,7 @@ def top_k(docs: DataFrame, items: DataFrame, k: int = 20, from_table: bool = Fal
     files; any other frame is stored first.
     """
     docs, items = settled(docs, from_table), settled(items, from_table)
-    blocks = stored(vectors(row_ids(docs), "doc_id"), "vectors")
+    blocks = stored(vectors(row_ids(docs), "doc_id"), "vectors", large_rows=True)
     length = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     some = F.size(F.filter("lengths", lambda x: x > 0))
     n_docs, n_terms = (int(x or 0) for x in blocks.agg(F.sum(some), F.sum(length)).first())
@@ -275,7 +297,7 @@ def top_k(docs: DataFrame, items: DataFrame, k: int = 20, from_table: bool = Fal
     item_blocks = weighted.groupBy(F.pmod(F.xxhash64("item"), F.lit(n_blocks)).cast("int").alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("item", "term", "weight"))).alias("w")).select(
         "block", F.col("w.item").alias("items"), F.col("w.term").alias("terms"), F.col("w.weight").alias("weights"))
-    joined = in_blocks(blocks.drop("dfs"), stored(item_blocks, "items"), n_blocks, BLOCKS_AT_ONCE)
+    joined = in_blocks(blocks.drop("dfs"), stored(item_blocks, "items", large_rows=True), n_blocks, BLOCKS_AT_ONCE)
     found = joined.mapInArrow(_search(k, max(n_docs, 1), max(n_terms, 1)), "item long, id long, rid long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(
         F.desc("score"), F.col("id").asc_nulls_last(), "rid"))).filter(F.col("rank") <= k)

@@ -90,13 +90,26 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder: computed once (a checkpoint computes twice), and safe from lost executors."""
+#: For rows of up to some megabytes.  A writer holds a row group, and a reader decodes up to 4,096 rows of one at once, so
+#: groups are small and looked at from the first row on.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+
+
+def written(df: DataFrame, large_rows: bool = False) -> DataFrame:
+    """The frame as a table in the shared folder: computed once (a checkpoint computes twice), and safe from lost executors.
+
+    ``large_rows``: see :data:`SMALL_GROUPS`."""
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.options(**SMALL_GROUPS if large_rows else {}).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def text_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Hand rows to Python in batches of about ``size``: rows hold whole texts or sets, and a batch is held several times
+    over, by the executor and its worker.  (A session setting, since it counts when a plan runs.)"""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Queries built and run inside leave no shuffle files: many small steps would pile them up until the driver's next

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from labeldist.llm import dual_tree
@@ -109,3 +110,25 @@ def test_edges(spark, edge_docs, no_docs):
     want = sorted(plain(docs, [(r.item_id, r.text) for r in items.collect()], 20), key=repr)
     assert want and rows(dual_tree.op13(edge_docs, items)) == want
     assert dual_tree.op13(no_docs, items).count() == 0 and dual_tree.op13(edge_docs, items.limit(0)).count() == 0
+
+
+def test_memory_is_bounded(spark, monkeypatch):
+    """Rows of megabytes lie in small row groups (a reader decodes one at once), and items are laid out some at a time."""
+    docs = [(i, " ".join(f"{i}x{j}" for j in range(i, 200_000 + i))) for i in range(16)]
+    d = spark.createDataFrame(docs, "doc_id LONG, text STRING").coalesce(1)
+    kept, stored = {}, dual_tree.stored
+    monkeypatch.setattr(dual_tree, "stored", lambda df, name, **kw: kept.setdefault(name, stored(df, name, **kw)))
+    items = spark.createDataFrame([(1, "3x100"), (2, "0x5 9x9")], "item_id LONG, text STRING")
+    assert [(r.item_id, r.doc_id) for r in sorted(dual_tree.top_k(d, items).collect())] == [(1, 3), (2, 0), (2, 9)]
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in kept["vectors"].inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) > 20e6 and max(groups) < 16e6
+    # 10 items of 500 terms are laid out 4 at a time
+    monkeypatch.setattr(dual_tree, "ITEM_CELLS", 2_000)
+    owner, term = np.repeat(np.arange(10), 500), np.tile(np.arange(500), 10)
+    weight = np.arange(5_000)
+    trees = dual_tree._items(owner, term, weight, 10, 500)
+    assert [a for a, _ in trees] == [0, 4, 8] and max(t().x.size for _, t in trees) == 2_000
+    for a, t in trees:
+        tree = t()
+        assert (tree.x == weight.reshape(10, 500)[a + tree.order]).all()
