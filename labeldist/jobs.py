@@ -138,13 +138,13 @@ def train_and_test(spark: SparkSession, corpus_path: str, lang: str = "all", arc
     (M17) are written under it, by run: other configurations in the folder stay, the same run takes its own place."""
     train_raw = load_split(spark, corpus_path, lang, "train")
     enc = _encoder(train_raw, features)
-    # scored after every run; spills to disk, and is computed again from the corpus if an executor is lost
-    train = _apply(enc, train_raw).persist(StorageLevel.MEMORY_AND_DISK)
+    keys, of_levels = ["itemid", "inst_lang"], "-".join(map(str, sorted(levels)))
     labels = {lv: f"dist_l{lv}" for lv in LEVELS}
+    # scored after every run; without the texts, spills to disk, and is computed again from the corpus if an executor is lost
+    train = _apply(enc, train_raw).select(*keys, *labels.values(), features).persist(StorageLevel.MEMORY_AND_DISK)
     blocks = H.packed(train, features, labels, sorted(levels))
     sets = {"Validation": _apply(enc, load_split(spark, corpus_path, lang, "dev")),
             "Testing": _apply(enc, load_split(spark, corpus_path, lang, "test"))}
-    keys, of_levels = ["itemid", "inst_lang"], "-".join(map(str, sorted(levels)))
     metrics, run_ids = [], []
     for run in range(1, runs + 1):
         model = H.fit_blocks(blocks, features, arch, sorted(levels), loss, max_iter, seed=run)

@@ -17,7 +17,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeldist.session import shuffles_dropped, written
+from labeldist.session import shuffles_dropped, text_batches, written
 
 BLOCK_CELLS = 1 << 18    # values (rows times features) of a block
 DIRECT = 1 << 16         # values that may come back to the driver unadded in a step, from all tasks together
@@ -31,6 +31,39 @@ def as_array(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("array<double>")
 
 
+def as_rows(df: DataFrame, col: str) -> Column:
+    """What :func:`dense_parts` takes: an ML vector as it is (sparse ones stay so on their way to Python), or an array of doubles."""
+    return F.col(col) if isinstance(df.schema[col].dataType, VectorUDT) else as_array(df, col)
+
+
+def dense_parts(column: pa.Array, cells: int) -> Iterator[np.ndarray]:
+    """A column of arrays or of ML vectors (all of one length, no nulls) as dense rows, about ``cells`` values at a time."""
+    if not len(column):
+        return
+    if not pa.types.is_struct(column.type):
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        step = max(1, cells // max(1, x.shape[1]))
+        yield from (x[a:a + step] for a in range(0, len(x), step))
+        return
+    field = dict(zip((f.name for f in column.type), column.flatten(), strict=True))
+    sparse = field["type"].to_numpy(zero_copy_only=False) == 0
+    held = pc.list_value_length(field["values"]).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.where(sparse, pc.fill_null(field["size"], 0).to_numpy(zero_copy_only=False), held)
+    d, first = int(size[0]), np.concatenate([[0], np.cumsum(held)])
+    if (size != d).any():
+        raise ValueError("vectors of different lengths")
+    values = field["values"].flatten().to_numpy(zero_copy_only=False)
+    place = np.arange(len(values)) - np.repeat(first[:-1], held)
+    place[np.repeat(sparse, held)] = field["indices"].filter(pa.array(sparse)).flatten().to_numpy(zero_copy_only=False)
+    step = max(1, cells // max(1, d))
+    for a in range(0, len(size), step):
+        b = min(a + step, len(size))
+        of = slice(first[a], first[b])
+        x = np.zeros((b - a, d))
+        x[np.repeat(np.arange(b - a), held[a:b]), place[of]] = values[of]
+        yield x
+
+
 def _labels(column: pa.Array, n: int) -> np.ndarray:
     """Label arrays as rows; NaN if the array is NULL, partial or of another size."""
     whole = pc.fill_null(pc.equal(pc.list_value_length(column), n), False)
@@ -47,15 +80,14 @@ def _pack(sizes: Sequence[int]) -> Callable:
             batch = batch.filter(batch.column("x").is_valid())
             if not batch.num_rows:
                 continue
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            y = np.hstack([np.zeros((len(x), 0)), *[_labels(batch.column(f"y{i}"), n) for i, n in enumerate(sizes)]])
-            step = max(1, BLOCK_CELLS // x.shape[1])
-            for a in range(0, len(x), step):
-                part = x[a:a + step]
+            y = np.hstack([np.zeros((batch.num_rows, 0)), *[_labels(batch.column(f"y{i}"), n) for i, n in enumerate(sizes)]])
+            a = 0
+            for part in dense_parts(batch.column("x"), BLOCK_CELLS):
                 at = np.flatnonzero(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(part)], pa.int64()), pa.array([x.shape[1]], pa.int64()), pa.array([at.astype(np.int32).tobytes()]),
-                     pa.array([part.ravel()[at].tobytes()]), pa.array([y[a:a + step].tobytes()])], names=["n", "d", "at", "x", "y"])
+                    [pa.array([len(part)], pa.int64()), pa.array([part.shape[1]], pa.int64()), pa.array([at.astype(np.int32).tobytes()]),
+                     pa.array([part.ravel()[at].tobytes()]), pa.array([y[a:a + len(part)].tobytes()])], names=["n", "d", "at", "x", "y"])
+                a += len(part)
     return run
 
 
@@ -65,11 +97,12 @@ def pack(df: DataFrame, features: str, labels: Sequence[str] = (), sizes: Sequen
 
     Rows without features are left out; a label array that is NULL, partial or of another size counts as unknown (NaN)."""
     ys = [F.col(c).cast("array<double>").alias(f"y{i}") for i, c in enumerate(labels)]
-    blocks = written(df.select(as_array(df, features).alias("x"), *ys).mapInArrow(
-        _pack(sizes), "n long, d long, at binary, x binary, y binary"))
+    text_batches(df.sparkSession)
+    blocks = written(df.select(as_rows(df, features).alias("x"), *ys).mapInArrow(
+        _pack(sizes), "n long, d long, at binary, x binary, y binary"), large_rows=True)
     files, tasks = len(blocks.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
     if files < tasks and (n := blocks.count()) > files:
-        blocks = written(blocks.repartition(min(n, tasks)))
+        blocks = written(blocks.repartition(min(n, tasks)), large_rows=True)
     return blocks
 
 
@@ -89,6 +122,7 @@ def summed(blocks: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarra
     blocks = blocks.coalesce(max(1, blocks.sparkSession.sparkContext.defaultParallelism))
     added = blocks.rdd.getNumPartitions() * size > DIRECT
     step = SLICE if added else max(1, size)
+    text_batches(blocks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None

@@ -24,12 +24,13 @@ from collections.abc import Callable, Generator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeldist import taxonomy as tx
-from labeldist.operators.blocks import as_array, pack, summed
+from labeldist.operators.blocks import BLOCK_CELLS, as_rows, dense_parts, pack, summed
+from labeldist.session import text_batches
 
 LOSSES = ("cross-entropy", "l2", "smooth-l1", "l1")
 ARCHS = ("flat", "chain", "gated")
@@ -395,18 +396,23 @@ def fit_starts(blocks: DataFrame, features: str, arch: str, levels: Sequence[int
 def score(model: HeadsModel, df: DataFrame) -> DataFrame:
     """Add raw score arrays ``scores_l<level>`` (map-only, no shuffle); NULL features give NULL scores."""
     net, theta, scale = model.net, model.theta, model.scale
+    text_batches(df.sparkSession)
 
-    def run(xs: pd.Series) -> pd.DataFrame:
-        known = xs.notna().to_numpy()
-        out = {f"scores_l{lv}": np.full(len(xs), None, object) for lv in net.levels}
-        if known.any():
-            v = net.forward(net.split(theta), np.stack(xs[known].to_numpy()) * scale)
+    def run(xs: pa.Array) -> pa.Array:
+        known = xs.is_valid()
+        p, found = net.split(theta), {lv: [np.zeros(0)] for lv in net.levels}
+        for x in dense_parts(xs.filter(known), BLOCK_CELLS):
+            v = net.forward(p, x * scale)
             for lv in net.levels:
-                out[f"scores_l{lv}"][known] = pd.Series(list(v[f"s{lv}"])).to_numpy()
-        return pd.DataFrame(out)
+                found[lv].append(v[f"s{lv}"].ravel())
+        known = known.to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(known)])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(
+            pa.array((first * net.sizes[lv]).astype(np.int32)), pa.array(np.concatenate(found[lv])), mask=pa.array(~known)) for lv in net.levels],
+            names=[f"scores_l{lv}" for lv in net.levels])
 
     kind = ", ".join(f"scores_l{lv} array<double>" for lv in net.levels)
-    added = df.withColumn("_scores", F.pandas_udf(run, f"struct<{kind}>")(as_array(df, model.features)))
+    added = df.withColumn("_scores", F.arrow_udf(run, f"struct<{kind}>")(as_rows(df, model.features)))
     return added.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("scores_l")],
                         *[F.col(f"_scores.scores_l{lv}").alias(f"scores_l{lv}") for lv in net.levels])
 
