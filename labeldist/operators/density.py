@@ -3,10 +3,11 @@
 * Core distance of a row: that of its ``min_samples``-th nearest row, itself
   included (exact search).  Two rows reach each other at the largest of
   their core distances and their distance.
-* Minimum spanning tree of the mutual reachability: the tree of each part in
-  a task, then Boruvka rounds, in which each component takes its lightest edge to
-  another.  Edges among near neighbours of different parts are known; a row is
-  searched for more only if it could hold a lighter one than its component's.
+* Minimum spanning tree of the mutual reachability: Boruvka rounds, in which each
+  component takes its lightest edge to another.  Edges among near neighbours,
+  to the pivots of the cells and between these are known, so that every
+  component knows one; a pair is searched for only if both its rows could hold a
+  lighter edge than that.
 * The tree's edges are merged in order of their weight, in blocks of bounded
   size; between blocks the components of all rows are joined on.  A merge of two
   components of at least ``min_cluster_size`` rows makes a new cluster of
@@ -24,15 +25,17 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labeldist.operators.metrics import distributed_rank
-from labeldist.operators.neighbours import COMPARED, Cells, in_cells, k_nearest, matrix, meet, reach_of
+from labeldist.operators.neighbours import LAST_ID, Cells, by_part, in_cells, k_nearest, matrix, meet, reach_of
 from labeldist.session import written
 
 NOISE = -1                 # fixed value: cluster id of noise points
 BLOCK_EDGES = 500_000      # edges that are merged in one task
+FEW_EDGES = 200_000        # so many edges between components are joined by the driver
 KNOWN = 16                 # near neighbours whose edges are known to the first rounds
 LEAST = 1e-12              # lighter edges count as this
 EDGE = "w double, a long, b long"
@@ -42,6 +45,8 @@ EDGE = "w double, a long, b long"
 
 def _components(edges: DataFrame, comp: DataFrame) -> DataFrame:
     """``id, comp`` after the chosen edges (between components) are joined: each component's smallest member's name."""
+    if edges.count() <= FEW_EDGES:
+        return _renamed(comp, _few_components(edges))
     # every component chose one edge, so chosen edges form trees; smaller names spread over them, two hops at a time
     both = edges.select("ca", "cb").union(edges.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct()
     name = written(both.select(F.col("ca").alias("c")).distinct().withColumn("to", F.col("c")))
@@ -54,98 +59,127 @@ def _components(edges: DataFrame, comp: DataFrame) -> DataFrame:
         name = new
         if not changed:
             break
+    return _renamed(comp, name)
+
+
+def _renamed(comp: DataFrame, name: DataFrame) -> DataFrame:
     return comp.join(name.toDF("comp", "to"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
 
 
+def _few_components(edges: DataFrame) -> DataFrame:
+    """``c, to``: the smallest name that each component is joined with by ``edges`` (a bounded number)."""
+    up: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while up.setdefault(c, c) != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    table = edges.select("ca", "cb").toArrow()
+    for a, b in zip(table["ca"].to_pylist(), table["cb"].to_pylist(), strict=True):
+        low, high = sorted((find(a), find(b)))
+        up[high] = low
+    return edges.sparkSession.createDataFrame(pa.table(
+        {"c": pa.array(list(up), pa.int64()), "to": pa.array([find(c) for c in list(up)], pa.int64())}))
+
+
 def _foreign(cells: Cells, open_: DataFrame, rows: DataFrame) -> DataFrame:
-    """The lightest edge of each open row (``limit``: heavier ones don't matter) to a row of another component."""
+    """``comp, w, a, b``: per task the lightest edge of each component of open rows (``limit``: heavier ones don't matter) to
+    a row of another.  Rows whose ``last`` known neighbour is further than the limit have no unknown edge that matters."""
     d, centre, radius = cells.d, cells.centre, cells.radius
 
     def compare(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "other": [], "w": []})
         if not len(q) or not len(t):
-            return empty
-        t = t.sort_values("id")
-        x, cell = matrix(t["x"], d), t["cell"].to_numpy()
-        ids, core, comp = (t[c].to_numpy() for c in ("id", "core", "comp"))
-        out = []
+            return pd.DataFrame({"comp": [], "w": [], "a": [], "b": []})
+        parts = [(targets, *(of[c].to_numpy() for c in ("id", "cell", "core", "last", "comp"))) for targets, of in by_part(t, d)]
+        comps, first = np.unique(q["comp"].to_numpy(), return_index=True)
+        limit = q["limit"].to_numpy()[first].copy()
+        weight, low, high = np.full(len(comps), np.inf), np.full(len(comps), LAST_ID), np.full(len(comps), LAST_ID)
         for c, of in q.groupby("cell"):
+            whose = np.searchsorted(comps, of["comp"].to_numpy())
             gap = np.linalg.norm(centre - centre[c], axis=1) - radius - radius[c]
-            use = np.flatnonzero((gap[cell] <= of["limit"].max() * (1 + 1e-9) + 1e-12) & (core <= of["limit"].max()))
-            if not len(use):
-                continue
-            step = max(1, COMPARED // (len(use) * d))
-            for i in range(0, len(of), step):
-                part = of.iloc[i:i + step]
-                diff = matrix(part["x"], d)[:, None, :] - x[use][None, :, :]
-                w = np.maximum(np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)), np.maximum(part["core"].to_numpy()[:, None], core[use]))
-                w[part["comp"].to_numpy()[:, None] == comp[use]] = np.inf
-                lightest = w.min(axis=1)
-                # of equal weights the edge with the smaller ids: (least id, greatest id)
-                own = part["id"].to_numpy()
-                for j in np.flatnonzero(np.isfinite(lightest) & (lightest <= part["limit"].to_numpy())):
-                    ties = ids[use[w[j] == lightest[j]]]
-                    other = min(ties.tolist(), key=lambda o, me=int(own[j]): (min(o, me), max(o, me)))
-                    out.append((own[j], other, lightest[j]))
-        return pd.DataFrame(out, columns=["id", "other", "w"]) if out else empty
+            most = np.bincount(whose).argmax()
+            # the rows of the cell's main component are not compared with those of the same one
+            for rows_, main in ((np.flatnonzero(whose == most), comps[most]), (np.flatnonzero(whose != most), None)):
+                if not len(rows_):
+                    continue
+                x, own, own_core, mine = matrix(of["x"].iloc[rows_], d), of["id"].to_numpy()[rows_], of["core"].to_numpy()[rows_], whose[rows_]
+                for targets, ids, cell, core, last, comp in parts:
+                    reach = limit[mine]
+                    use = (gap[cell] <= reach.max() * (1 + 1e-9) + 1e-12) & (last <= reach.max()) & (core <= reach.max())
+                    if main is not None:
+                        use &= comp != main
+                    for i, j, far in targets.close(x, reach, use, lambda i, j, mine=mine, comp=comp: comps[mine[i]] != comp[j]):
+                        w = np.maximum(far, np.maximum(own_core[i], core[j]))
+                        g, a, b = mine[i], np.minimum(own[i], ids[j]), np.maximum(own[i], ids[j])
+                        order = np.lexsort((b, a, w, g))
+                        order = order[np.unique(g[order], return_index=True)[1]]
+                        g, w, a, b = g[order], w[order], a[order], b[order]
+                        better = (w <= limit[g]) & ((w < weight[g]) | ((w == weight[g]) & ((a < low[g]) | ((a == low[g]) & (b < high[g])))))
+                        g = g[better]
+                        weight[g], low[g], high[g] = w[better], a[better], b[better]
+                        limit[g] = weight[g]
+                        reach[:] = limit[mine]
+        found = np.flatnonzero(np.isfinite(weight))
+        return pd.DataFrame({"comp": comps[found], "w": weight[found], "a": low[found], "b": high[found]})
 
     pairs = [(p, b) for p, (of, r) in reach_of(cells, open_, "limit").items() for b in cells.near(of, r)]
-    return meet(cells, open_, rows, pairs, compare, "id long, other long, w double")
-
-
-def _tree_of_part(d: int):
-    """The spanning tree of a part's rows, grown by its lightest edge."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x, ids, core = matrix(pdf["x"], d), pdf["id"].to_numpy(), pdf["core"].to_numpy()
-        n = len(ids)
-        w, a, b = np.full(n, np.inf), np.full(n, -1), np.full(n, -1)      # each row's lightest edge to the tree
-        out, free, new = [], np.ones(n, bool), 0
-        for _ in range(n - 1):
-            free[new] = False
-            diff = x - x[new]
-            to = np.maximum(np.sqrt(np.einsum("ij,ij->i", diff, diff)), np.maximum(core, core[new]))
-            low, high = np.minimum(ids, ids[new]), np.maximum(ids, ids[new])
-            better = free & ((to < w) | ((to == w) & ((low < a) | ((low == a) & (high < b)))))
-            w[better], a[better], b[better] = to[better], low[better], high[better]
-            ties = np.flatnonzero(free & (w == w[free].min()))
-            new = ties[np.lexsort((b[ties], a[ties]))[0]]
-            out.append((w[new], a[new], b[new]))
-        return pd.DataFrame(out, columns=["w", "a", "b"]).astype({"w": float, "a": "int64", "b": "int64"})
-    return run
+    return meet(cells, open_, rows, pairs, compare, "comp long, " + EDGE)
+
+
+def _tree_of_pivots(x: np.ndarray, ids: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """The spanning tree of the pivots (a bounded number), grown by its lightest edge."""
+    weight, to = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)      # each one's lightest edge to the tree
+    out, free, new = [], np.ones(len(ids), bool), 0
+    for _ in range(len(ids) - 1):
+        free[new] = False
+        diff = x - x[new]
+        w = np.maximum(np.sqrt(np.einsum("ij,ij->i", diff, diff)), np.maximum(core, core[new]))
+        nearer = w < weight
+        weight[nearer], to[nearer] = w[nearer], new
+        new = int(np.where(free, weight, np.inf).argmin())
+        if not free[new]:
+            break
+        a, b = sorted((int(ids[new]), int(ids[to[new]])))
+        out.append((float(weight[new]), a, b))
+    return out
+
+
+def _known(cells: Cells, rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Edges (``EDGE``, each once) that are known before any search: to near neighbours, from each row to the pivot of its
+    cell, and the tree of the pivots: whatever the components, each has a known edge to another."""
+    spark, pivots = rows.sparkSession, list(zip(range(len(cells.pivot)), cells.pivot.tolist(), strict=True))
+    core = rows.select("id", "core")
+    table = F.broadcast(spark.createDataFrame(pivots, "cell int, other long"))
+    of_pivot = {r.other: r.core for r in table.select("other").join(core.toDF("other", "core"), "other").collect()}
+    tree = spark.createDataFrame(_tree_of_pivots(cells.centre, cells.pivot, np.array([of_pivot[i] for i in cells.pivot.tolist()])), EDGE)
+    to_pivot = rows.join(table, "cell").filter("id <> other").select("id", "other", F.col("far").alias("dist"))
+    edges = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.id").alias("other"), F.col("n.distance").alias("dist"))
+    edges = edges.union(to_pivot).groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("dist").alias("dist"))
+    edges = edges.join(core.toDF("a", "core_a"), "a").join(core.toDF("b", "core_b"), "b")
+    return written(edges.select(F.greatest("dist", "core_a", "core_b").alias("w"), "a", "b").union(tree))
 
 
 def spanning_tree(cells: Cells, core: DataFrame, near: DataFrame) -> DataFrame:
-    """``w, a, b`` (a < b) of the minimum spanning tree; ``core``: id, core; ``near``: id, near (``KNOWN`` neighbours).
-
-    Each part's own tree is found in a task: no other edge within a part can be in the whole tree.  Boruvka rounds then
-    choose among these and the edges between parts."""
-    rows = written(cells.rows.join(core, "id"))
-    own = written(rows.groupBy("part").applyInPandas(_tree_of_part(cells.d), EDGE))
-    if len(cells.parts) == 1:
-        return own
-    place = rows.select("id", "core", "part")
-    known = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.id").alias("other"), F.col("n.distance").alias("dist"))
-    known = known.join(place, "id").join(place.toDF("other", "core_other", "part_other"), "other").filter("part <> part_other").select(
-        "id", "other", F.greatest("dist", "core", "core_other").alias("w"))
-    known = written(known.union(own.select("a", "b", "w")).union(own.select("b", "a", "w")))
+    """``w, a, b`` (a < b) of the minimum spanning tree; ``core``: id, core; ``near``: id, near (``KNOWN`` neighbours)."""
     # a row's unknown edges weigh at least as much as the last of its known ones is far
-    known = written(known)
-    last = written(near.select("id", F.when(F.size("near") >= KNOWN, F.element_at("near", -1)["distance"]).alias("last")))
+    last = near.select("id", F.when(F.size("near") >= KNOWN, F.element_at("near", -1)["distance"]).alias("last"))
+    rows = written(cells.rows.join(core, "id").join(last, "id", "left"))
+    known = _known(cells, rows, near)
     comp, tree = written(core.select("id", F.col("id").alias("comp"))), None
-    edge = F.struct("w", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    edge = F.struct("w", "a", "b")
     while True:
-        foreign = known.join(comp, "id").join(comp.toDF("other", "comp_other"), "other").filter("comp <> comp_other")
-        own = foreign.groupBy("id", "comp").agg(F.min(edge).alias("edge"))
-        best = own.groupBy("comp").agg(F.min("edge").alias("edge"))
+        known = written(known.select("w", "a", "b").join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").filter("ca <> cb"))
+        best = known.select(F.col("ca").alias("comp"), "w", "a", "b").union(known.select("cb", "w", "a", "b"))
+        best = written(best.groupBy("comp").agg(F.min(edge).alias("edge")))
         # rows that may have a lighter edge that isn't known
-        open_ = comp.join(last, "id").join(best, "comp", "left").select(
-            "id", "comp", F.col("edge.w").alias("limit"), "last").join(own.select("id", F.col("edge.w").alias("mine")), "id", "left")
-        open_ = open_.filter(F.col("last").isNotNull() & (F.col("limit").isNull() | (F.col("last") <= F.col("limit"))))
-        open_ = rows.join(open_.select("id", "comp", F.coalesce("limit", F.lit(float("inf"))).alias("limit")), "id")
-        open_ = written(open_.filter(F.col("core") <= F.col("limit")))
-        searched = _foreign(cells, open_, rows.join(comp, "id")).join(comp, "id").select("comp", edge.alias("edge"))
-        chosen = best.union(searched).groupBy("comp").agg(F.min("edge").alias("edge")).select("edge.w", "edge.a", "edge.b").distinct()
+        limits = comp.join(best.select("comp", F.col("edge.w").alias("limit")), "comp")
+        open_ = written(rows.join(limits, "id").filter((F.col("last") <= F.col("limit")) & (F.col("core") <= F.col("limit"))))
+        chosen, furthest = best, open_.agg(F.max("limit")).first()[0]
+        if furthest is not None:
+            searched = _foreign(cells, open_, rows.filter(F.col("last") <= furthest).join(comp, "id")).select("comp", edge.alias("edge"))
+            chosen = best.union(searched).groupBy("comp").agg(F.min("edge").alias("edge"))
+        chosen = chosen.select("edge.w", "edge.a", "edge.b").distinct()
         chosen = written(chosen.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select("w", "a", "b", "ca", "cb"))
         if chosen.isEmpty():
             return tree if tree is not None else rows.sparkSession.createDataFrame([], EDGE)

@@ -128,3 +128,72 @@ def test_few_and_equal_rows(spark):
     assert {r.cluster for r in DN.density_hierarchy(few, 5).collect()} == {-1}
     two = frame(spark, [[0.0]] * 6 + [[9.0]] * 7)
     assert [r.cluster for r in DN.density_hierarchy(two, 5).orderBy("id").collect()] == [0] * 6 + [6] * 7
+
+
+def test_close_equals_all_distances():
+    """Far-off rows, repeated rows and rows at the very reach; few pairs are measured beyond those that count."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 32))
+    x[:300, 0] += 30
+    x[-9:, 1] += 10.0 ** np.arange(9)
+    x = np.vstack([x, x[:5], x[:5]])
+    d = np.sqrt(np.array([np.einsum("ij,ij->i", x - r, x - r) for r in x]))
+    q, use = np.r_[0:200, 890:910], rng.random(len(x)) < 0.9
+    reach = np.sort(d[q], axis=1)[:, 12]                # exactly as far as the 12th
+    asked = []
+
+    def wanted(i, j):
+        asked.append(len(i))
+        return q[i] != j
+    got = [set() for _ in q]
+    for i, j, far in NB.Targets(x).close(x[q], reach.copy(), use, wanted):
+        assert (far == d[q[i], j]).all()
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            got[a].add(b)
+    assert got == [{j for j in np.flatnonzero(use).tolist() if j != a and d[a, j] <= r} for a, r in zip(q.tolist(), reach, strict=True)]
+    assert sum(asked) < 0.1 * len(q) * len(x)
+    # without a reach: those that may be among the nearest
+    got = [[] for _ in q]
+    for i, j, far in NB.Targets(x).close(x[q], np.full(len(q), np.inf), use, lambda i, j: q[i] != j, 7):
+        for a, v in zip(i.tolist(), far.tolist(), strict=True):
+            got[a].append(v)
+    for a, found in zip(q.tolist(), got, strict=True):
+        others = np.flatnonzero(use & (np.arange(len(x)) != a))
+        assert sorted(found)[:7] == sorted(d[a, others].tolist())[:7] and len(found) < 0.2 * len(x)
+
+
+def test_groups_apart_outliers_and_many_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(260, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:100, 0] += 3
+    x[-8:, 5] += 20 + 50.0 * np.arange(8)
+    x = np.vstack([x, np.repeat(x[:3], 20, axis=0)])    # more copies than there are known neighbours
+    _, reach = plain_reach(x, 5)
+    want = plain_tree(reach)
+    cells = NB.in_cells(frame(spark, x), rows_per_cell=30, part_bytes=8 * 24 * 60)
+    near = NB.written(NB.k_nearest(cells, DN.KNOWN))
+    core = near.select("id", F.col("near")[3]["distance"].alias("core"))
+    tree = DN.spanning_tree(cells, core, near).collect()
+    assert sorted(r.w for r in tree) == pytest.approx([w for w, _, _ in want]) and len({(r.a, r.b) for r in tree}) == len(x) - 1
+    up = list(range(len(x)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+    for r in tree:
+        assert find(r.a) != find(r.b)
+        up[find(r.b)] = find(r.a)
+
+
+def test_components_by_the_driver_and_by_spark(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    up = [int(rng.integers(0, i)) if i % 7 else i for i in range(200)]        # trees
+    edges = spark.createDataFrame([(i, j) for i, j in enumerate(up) if i != j], "ca LONG, cb LONG")
+    comp = spark.createDataFrame([(1000 + i, i) for i in range(205)], "id LONG, comp LONG")
+    found = []
+    for few in (DN.FEW_EDGES, 0):
+        monkeypatch.setattr(DN, "FEW_EDGES", few)
+        found.append(sorted((r.id, r.comp) for r in DN._components(edges, comp).collect()))
+    assert found[0] == found[1] and len({c for _, c in found[0]}) == 29 + 5
